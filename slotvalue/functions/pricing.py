@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotvalue.functions.rounding import round_share
+
 # Certainty scale of a visual match.
 MARGIN_FULL = 5.0
 SCORE_GOOD = 12.0
@@ -69,5 +71,5 @@ def link_certainty(score: Column, margin: Column, override: Column) -> Column:
     return (
         F.when(override, F.lit(1.0))
         .when(score.isNull() | margin.isNull(), F.lit(UNKNOWN_CERTAINTY))
-        .otherwise(F.bround(_unit(margin / MARGIN_FULL) * closeness, 3))
+        .otherwise(round_share(_unit(margin / MARGIN_FULL) * closeness, 3))
     )

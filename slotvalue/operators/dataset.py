@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotvalue.functions.geometry import large_enough, relative_box, whole_pixels
 from slotvalue.functions.hashing import bernoulli, digest_number
+from slotvalue.functions.rounding import six_decimals
 from slotvalue.operators.skew import HOT_ROWS, global_index, hashed_index, rank_within
 
 # Share of turned icons, share of validation scenes, gap inside a cell in pixels.
@@ -100,9 +101,7 @@ def label_box(grid_x: Column, grid_y: Column, cw: Column, ch: Column, col: Colum
 
 
 def label_line(class_idx: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
-    # Exact halves go to the even digit, as in printf; format_string alone would round them up.
-    numbers = [F.bround(c, 6) for c in (cx, cy, w, h)]
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_idx, *numbers)
+    return F.concat_ws(" ", class_idx.cast("string"), *[six_decimals(c) for c in (cx, cy, w, h)])
 
 
 def corrections(events: DataFrame, detections: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotvalue.functions.geometry import in_top_strip
+from slotvalue.functions.rounding import round_share
 from slotvalue.functions.similarity import best_name, reported_ratio
 from slotvalue.functions.text import normalise
 
@@ -153,6 +154,6 @@ def identify_boxes(words: DataFrame, catalog: DataFrame, keys: list[str], cutoff
     return found.select(
         *keys,
         F.coalesce("top_item", "all_item", F.lit("")).alias("ocr_id"),
-        F.bround(F.when(by_top, F.col("top_score")).when(by_all, F.col("all_score")).otherwise(0.0), 2).alias("ocr_score"),
+        round_share(F.when(by_top, F.col("top_score")).when(by_all, F.col("all_score")).otherwise(0.0), 2).alias("ocr_score"),
         F.when(by_top, F.col("top_text")).when(by_all, F.col("all_text")).otherwise(F.col("raw_text")).alias("ocr_raw"),
     )

@@ -43,7 +43,9 @@ def rank_within(
     whole hot group.
     """
     keys = list(keys)
-    hot = hot_groups(df if sizes is None else sizes, keys, hot_rows)
+    # Counting a narrow table reads no columns; a table this small has no hot group.
+    small = sizes is not None and sizes.count() <= hot_rows
+    hot = None if small else hot_groups(df if sizes is None else sizes, keys, hot_rows)
     if hot is None:
         return _rank_small(df, keys, order, out, total)
     cold = df.join(F.broadcast(hot), keys, "left_anti")

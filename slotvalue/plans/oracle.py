@@ -95,13 +95,15 @@ def _items(basis: str) -> str:
     """
 
 
+INDEX = "((((day * 16 + tax) * 16 + disc) * 64 + qty) * 8 + ln) * 16777216 + cents"
+
 _fragment("items", _items("avg24h"), "catalog")
 _fragment("items_low", _items("low"), "catalog")
 _fragment(
     "detections",
     f"""
     SELECT CAST(ok AS VARCHAR) AS session_id,
-           {digest("pk", "sk", "ln", "qty", "cents", "disc", "tax", "rf", "ls", "day", digits=15)} AS det_idx,
+           {INDEX} AS det_idx,
            CAST(pk AS VARCHAR) AS icon_id,
            (qty * 37 + ln * 211) % 1700 AS x0, (disc * 91 + tax * 53 + ln * 67) % 900 AS y0,
            (qty * 37 + ln * 211) % 1700 + 64 + pk % 3 * 63 AS x1,
@@ -168,8 +170,8 @@ _fragment(
 CERTAINTY = """
     CASE WHEN {override} THEN 1.0::DOUBLE
          WHEN score IS NULL OR margin IS NULL THEN 0.5::DOUBLE
-         ELSE round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, margin / 5.0::DOUBLE))
-              * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (40.0::DOUBLE - score) / 28.0::DOUBLE)), 3) END
+         ELSE CAST(printf('%.3f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, margin / 5.0::DOUBLE))
+              * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (40.0::DOUBLE - score) / 28.0::DOUBLE))) AS DOUBLE) END
 """
 _fragment("certain", f"SELECT *, {CERTAINTY.format(override='override')} AS certainty FROM linkmap", "linkmap")
 
@@ -323,7 +325,7 @@ ORACLE["capped_detections"] = _sql(
     SELECT session_id, det_conf, det_idx FROM (
       SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY det_conf DESC, det_idx) AS rn FROM (
         SELECT CAST(sk AS VARCHAR) AS session_id, CAST(1000 - tax * 95 AS DOUBLE) / 1000 AS det_conf,
-               {digest("ok", "pk", "ln", "qty", "cents", "day", digits=15)} AS det_idx FROM li))
+               {INDEX} AS det_idx FROM li))
     WHERE rn <= 400
     """,
     "li",

@@ -172,7 +172,7 @@ def capped_detections(spark, sf):
     """At most 400 detections per image; an image here is a supplier's shelf."""
     shelf = t.line_items(spark, sf).select(
         F.col("sk").cast("string").alias("session_id"), ((1000 - F.col("tax") * 95) / 1000).alias("det_conf"),
-        hashing.digest_number(*[F.col(c) for c in ("ok", "pk", "ln", "qty", "cents", "day")], digits=15).alias("det_idx"),
+        t.detection_index().alias("det_idx"),
     )
     return rank.cap_detections(shelf)
 

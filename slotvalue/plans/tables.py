@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.functions.hashing import digest_number
 from slotvalue.functions.pricing import fallback_price
 
 SCREEN_W = 1920
@@ -96,10 +95,17 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detection_index() -> Column:
+    """Number of a line within its order: small columns side by side in one long (55 bits)."""
+    packed = F.col("day")
+    for col, bits in (("tax", 4), ("disc", 4), ("qty", 6), ("ln", 3), ("cents", 24)):
+        packed = packed * (1 << bits) + F.col(col)
+    return packed
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One session per order; ``det_idx`` is a digest of the row, unique within a session."""
+    """One session per order."""
     rows = line_items(spark, sf_dir)
-    fields = ["pk", "sk", "ln", "qty", "cents", "disc", "tax", "rf", "ls", "day"]
     x0 = (F.col("qty") * 37 + F.col("ln") * 211) % 1700
     y0 = (F.col("disc") * 91 + F.col("tax") * 53 + F.col("ln") * 67) % 900
     x1 = x0 + 64 + F.col("pk") % 3 * 63
@@ -107,7 +113,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_text = F.col("sk") % 4 == 0
     return rows.select(
         _text("ok").alias("session_id"),
-        digest_number(*[F.col(f) for f in fields], digits=15).alias("det_idx"),
+        detection_index().alias("det_idx"),
         _text("pk").alias("icon_id"),
         F.array(*[c.cast("int") for c in (x0, y0, x1, y1)]).alias("box"),
         ((1000 - F.col("tax") * 95) / 1000).alias("det_conf"),
