@@ -1035,3 +1035,31 @@ ORACLE["training_summary"] = """
       ON b.event_type = l.event_type AND b.rn = 1
     WHERE l.rn = 1
 """
+
+# --- files and streams -------------------------------------------------------------------
+
+ORACLE["catalog_last_wins"] = _sql(
+    f"""
+    SELECT id, "basePrice", file, pos FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC, pos DESC) AS rn
+      FROM (SELECT CAST(pk AS VARCHAR) AS id, unit AS "basePrice", ok AS file, {INDEX} AS pos FROM li)) WHERE rn = 1
+    """,
+    "li",
+)
+ORACLE["event_log_scan"] = """
+    SELECT CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'visual' END AS source, count(*) AS lines, max(event_id) AS last_seq
+    FROM events GROUP BY 1
+    UNION ALL SELECT 'rejected', count(*), NULL FROM supplier
+"""
+ORACLE["label_files"] = _sql(
+    f"""
+    SELECT scope AS scene, CASE WHEN {digest("'7'", "'split'", "scope")} < CAST(floor(0.1 * 4294967296) AS BIGINT) THEN 'val' ELSE 'train' END AS split,
+           printf('%d %.6f %.6f %.6f %.6f', grid_id, (x + col * cw + 2 + (cw - 4) / 2) / 1920, (y + row * ch + 2 + (ch - 4) / 2) / 1080,
+                  (cw - 4) / 1920, (ch - 4) / 1080) AS value
+    FROM cells, LATERAL (SELECT unnest(range(0, cols)) AS col) c, LATERAL (SELECT unnest(range(0, rows)) AS row) r
+    """,
+    "cells",
+)
+ORACLE["stream_current_links"] = ORACLE["link_latest_event"]
+ORACLE["stream_valued_records"] = ORACLE["session_summary"]
+ORACLE["stream_reprojection"] = ORACLE["session_summary"]

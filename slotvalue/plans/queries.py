@@ -22,7 +22,10 @@ from slotvalue.operators import (
     spatial,
 )
 from slotvalue.plans import tables as t
+from slotvalue.runtime import scratch_path
+from slotvalue.schema import DETECTION
 from slotvalue.sources import readers, writers
+from slotvalue.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -810,3 +813,83 @@ def training_summary(spark, sf):
         (F.col("event_id") * 2).alias("time"),
     )
     return reports.run_summary(log)
+
+
+# --- files and streams -----------------------------------------------------------------
+
+
+@query
+def catalog_last_wins(spark, sf):
+    """Repeated catalog entries: the line items as price observations, the last one per item."""
+    seen = t.line_items(spark, sf).select(
+        F.col("pk").cast("string").alias("id"), F.col("unit").alias("basePrice"), F.col("ok").alias("file"), t.detection_index().alias("pos")
+    )
+    return readers.latest_items(seen, "file", "pos")
+
+
+def _staged_events(spark, sf):
+    """The event log as JSON lines below the shared folder."""
+    path = scratch_path(spark, "events")
+    writers.append_log(t.link_events(spark, sf), path)
+    return path
+
+
+@query
+def event_log_scan(spark, sf):
+    """The log written as JSON lines together with broken lines, and read back."""
+    path = _staged_events(spark, sf)
+    t.raw(spark, sf, "supplier").select(F.concat(F.lit("{broken "), "s_name").alias("value")).write.mode("append").text(path)
+    return readers.log_report(readers.read_link_events(spark, path))
+
+
+@query
+def label_files(spark, sf):
+    """Label text of the container cells, written per split and scene and read back."""
+    spots = spatial.placements(spatial.cell_geometry(t.grids(spark, sf)), 1, 1)
+    box = dataset.label_box(
+        *[F.col(c) for c in ("x", "y", "cw", "ch", "col", "row")], F.lit(1), F.lit(1), F.lit(t.SCREEN_W), F.lit(t.SCREEN_H)
+    )
+    placed = spots.select(F.col("scope").alias("scene"), F.col("grid_id").alias("class_idx"), box.alias("b")).select("scene", "class_idx", "b.*")
+    path = scratch_path(spark, "labels")
+    writers.write_labels(dataset.split_scenes(placed, SEED), path)
+    return spark.read.schema("value string, split string, scene int").text(path)
+
+
+@query
+def stream_current_links(spark, sf):
+    """Manual links kept by a stream over the event log."""
+    events, out, state = _staged_events(spark, sf), scratch_path(spark, "links"), scratch_path(spark, "state")
+    jobs.maintain_links(jobs.stream_events(spark, events), out, state).awaitTermination()
+    return jobs.current_links(spark, out)
+
+
+def _staged_detections(spark, sf):
+    path = scratch_path(spark, "detections")
+    t.detections(spark, sf).drop("quantity").write.parquet(path)
+    return path
+
+
+@query
+def stream_valued_records(spark, sf):
+    """Sessions valued as their detections arrive."""
+    scans, out, state = _staged_detections(spark, sf), scratch_path(spark, "records"), scratch_path(spark, "state")
+    arriving = jobs.stream_detections(spark, scans)
+    jobs.value_detections(arriving, link_map(spark, sf), t.catalog(spark, sf), out, state).awaitTermination()
+    return rank.session_summary(jobs.current_records(spark, out))
+
+
+@query
+def stream_reprojection(spark, sf):
+    """Records without corrections, then a stream of corrections that redoes only the sessions it touches."""
+    auto, flat, catalog = t.auto_links(spark, sf), t.overrides(spark, sf), t.catalog(spark, sf)
+    scans = spark.read.schema(DETECTION).parquet(_staged_detections(spark, sf))
+    links_out, out, state = (scratch_path(spark, label) for label in ("links", "records", "state"))
+
+    def layered(manual):
+        return links.project_links(auto, flat, manual.withColumn("source", F.lit("manual")))
+
+    none = readers.empty(spark, "icon_id string, item_id string, seq bigint")
+    jobs.write_version(resolve.resolve(scans, layered(none), catalog), out, 0)
+    events = jobs.stream_events(spark, _staged_events(spark, sf))
+    jobs.maintain_records(events, scans, layered, catalog, links_out, out, state).awaitTermination()
+    return rank.session_summary(jobs.current_records(spark, out))

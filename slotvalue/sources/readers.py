@@ -114,8 +114,13 @@ def clean_events(events: DataFrame) -> DataFrame:
     return events.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def rejected_lines(events: DataFrame) -> DataFrame:
-    return events.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+def log_report(events: DataFrame) -> DataFrame:
+    """Lines and last ``seq`` per source; broken lines count as ``rejected``.
+
+    One pass over all fields: a query on the corrupt column alone is not allowed.
+    """
+    kind = F.when(F.col(CORRUPT).isNotNull(), "rejected").otherwise(F.col("source"))
+    return events.groupBy(kind.alias("source")).agg(F.count(F.lit(1)).alias("lines"), F.max("seq").alias("last_seq"))
 
 
 def list_sessions(results: DataFrame) -> DataFrame:
