@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 
-def ratio_bound(a: str, b: str) -> float:
-    """Upper bound of the ratio from shared characters, whatever their order."""
-    if not a and not b:
-        return 1.0
-    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
 
+def _letter_counts(texts: Sequence[str], alphabet: dict[str, int]) -> np.ndarray:
+    counts = np.zeros((len(texts), len(alphabet)), dtype=np.int32)
+    for row, text in enumerate(texts):
+        for letter in text:
+            column = alphabet.get(letter)
+            if column is not None:
+                counts[row, column] += 1
+    return counts
 
-def best_name(text: str, names: Iterable[str], cutoff: float) -> tuple[str, float] | None:
-    """Name with the highest ratio to ``text``, at least ``cutoff``.
 
-    The names are compared as first sequence; of equal ratios the last name in
-    alphabetical order wins.  Names whose bound cannot beat the current best are skipped.
+def best_names(texts: Sequence[str], names: Sequence[str], cutoff: float) -> list[tuple[str, str, float]]:
+    """``(text, name, ratio)`` of the best name for each text that has one above the cutoff.
+
+    The names are compared as first sequence; of equal ratios the last name in alphabetical
+    order wins.  Shared letters, whatever their order, bound the ratio from above: names whose
+    bound cannot beat the current best are not compared.
     """
-    best = None
-    matcher = SequenceMatcher(autojunk=True)
-    matcher.set_seq2(text)
-    bounded = sorted(((ratio_bound(name, text), name) for name in names), reverse=True)
-    for bound, name in bounded:
-        if bound < cutoff or (best and bound < best[1]):
-            break
-        matcher.set_seq1(name)
-        score = matcher.ratio()
-        if score >= cutoff and (best is None or (score, name) > (best[1], best[0])):
-            best = (name, score)
-    return best
+    alphabet = {letter: i for i, letter in enumerate(sorted(set("".join(names))))}
+    name_counts, lengths = _letter_counts(names, alphabet), np.array([len(n) for n in names])
+    found = []
+    for text, counts in zip(texts, _letter_counts(texts, alphabet)):
+        bounds = 2.0 * np.minimum(name_counts, counts).sum(axis=1) / (lengths + len(text))
+        matcher = SequenceMatcher()
+        matcher.set_seq2(text)
+        best = None
+        for i in np.argsort(-bounds, kind="stable"):
+            if bounds[i] < cutoff or (best and bounds[i] < best[0]):
+                break
+            matcher.set_seq1(names[i])
+            best = max(best or (cutoff, ""), (matcher.ratio(), names[i]))
+        if best and best[1]:
+            found.append((text, best[1], best[0]))
+    return found
 
 
 def reported_ratio(text: str, name: str) -> float:

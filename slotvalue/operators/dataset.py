@@ -15,6 +15,9 @@ TURNED = 0.5
 VALIDATION = 0.1
 INSET = 2
 
+# Largest sample that is taken with a top-n sort.
+SMALL_SAMPLE = 10_000
+
 
 def canonical_class(icons: DataFrame, members: DataFrame) -> DataFrame:
     """Icons with their class key: the smallest icon of the duplicate group, or the icon."""
@@ -55,7 +58,12 @@ def shuffled(
 
 
 def sample_first(df: DataFrame, seed: int, n: int, *key: str) -> DataFrame:
-    """First ``n`` rows of the seeded permutation; only ``n`` rows per task are kept."""
+    """First ``n`` rows of the seeded permutation.
+
+    A small sample keeps ``n`` rows per task; a large one is cut from the numbered table.
+    """
+    if n > SMALL_SAMPLE:
+        return shuffled(df, seed, *key, out="_place").where(F.col("_place") < n).drop("_place")
     digest = digest_number(seed, *[F.col(k) for k in key], digits=15)
     return df.orderBy(digest, *[F.col(k) for k in key]).limit(n)
 
@@ -110,8 +118,11 @@ def corrections(events: DataFrame, detections: DataFrame, catalog: DataFrame, ho
     ``events``: ``ts, session_id, icon_id, item_id``.  A correction without boxes gives nothing.
     """
     boxes = events.join(detections.select("session_id", "icon_id", "det_idx", "box"), ["session_id", "icon_id"])
-    keys = ["session_id", "icon_id", "ts", "item_id"]
-    numbered = rank_within(boxes, keys, [F.col("det_idx")], out="n", hot_rows=hot_rows)
+    shown = ["session_id", "icon_id"]
+    numbered = rank_within(
+        boxes, [*shown, "ts", "item_id"], [F.col("det_idx")], out="n",
+        sizes=detections.select(*shown), size_keys=shown, hot_rows=hot_rows,
+    )
     crop = F.concat(F.lit("crops/"), F.concat_ws("_", "session_id", "icon_id", F.col("n") - 1), F.lit(".png"))
     named = with_item_name(numbered, catalog)
     return named.select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from slotvalue.functions.hashing import WORD, hamming
 from slotvalue.operators.components import connected_components
 from slotvalue.operators.skew import global_index
+from slotvalue.runtime import checkpoint
 
 
 def representatives(signatures: DataFrame) -> DataFrame:
@@ -56,7 +57,10 @@ def near_pairs(signatures: DataFrame, bits: int, distance: int, extra: int = 2)
     segments finds every pair.  More ``extra`` means longer keys (fewer chance meetings) and
     more rows per signature.  A pair is reported once, at its first shared choice.
     """
-    reps = representatives(signatures)
+    return _close_pairs(representatives(signatures), bits, distance, extra)
+
+
+def _close_pairs(reps: DataFrame, bits: int, distance: int, extra: int) -> DataFrame:
     pieces = min(distance + extra, bits)
     extra = pieces - distance
     if extra < 1:
@@ -89,9 +93,10 @@ def near_members(signatures: DataFrame, bits: int, distance: int, extra: int = 2
 
     Components are computed over distinct signatures; copies join through their signature.
     """
-    pairs = near_pairs(signatures, bits, distance, extra)
+    reps = checkpoint(representatives(signatures))
+    pairs = _close_pairs(reps, bits, distance, extra)
     labels = connected_components(pairs.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")))
-    groups = representatives(signatures).join(labels, F.col("rep") == F.col("node"), "left")
+    groups = reps.join(labels, F.col("rep") == F.col("node"), "left")
     groups = groups.where((F.col("copies") > 1) | F.col("root").isNotNull()).select(
         "block", "sig", F.coalesce("root", "rep").alias("root")
     )

@@ -36,7 +36,7 @@ def small_set_fingerprint(assets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def set_fingerprint(assets: DataFrame, depth: int = 3) -> DataFrame:
+def set_fingerprint(assets: DataFrame, depth: int = 4) -> DataFrame:
     """Fingerprint of a set of any size as a hash tree.
 
     Lines fall into ``16**depth`` leaves by the first hex digits of the MD5 of their id; a

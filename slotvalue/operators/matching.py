@@ -17,9 +17,9 @@ ALPHA_FLOOR = 16
 BEST = 3
 
 # Largest number of vectors of each side that meet in one task.
-TILE_CANDIDATES = 4096
-TILE_QUERIES = 16384
-CHUNK = 512
+TILE_CANDIDATES = 32768
+TILE_QUERIES = 65536
+CHUNK = 256
 
 _OUT = "icon_id bigint, item_id bigint, distance double"
 

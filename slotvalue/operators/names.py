@@ -9,13 +9,16 @@ from pyspark.sql import types as T
 
 from slotvalue.functions.geometry import in_top_strip
 from slotvalue.functions.rounding import round_share
-from slotvalue.functions.similarity import best_name, reported_ratio
+from slotvalue.functions.similarity import best_names, reported_ratio
 from slotvalue.functions.text import normalise
 
 # Fixed value: lowest similarity that counts as a match.
 CUTOFF = 0.6
-# Names that are compared with a text in one call.
-TILE = 1024
+# Names and texts that meet in one task.
+TILE_NAMES = 4096
+TILE_TEXTS = 4096
+
+_BEST = "text string, key string, score double"
 
 
 def name_index(catalog: DataFrame, column: str, position: str = "pos") -> DataFrame:
@@ -24,21 +27,10 @@ def name_index(catalog: DataFrame, column: str, position: str = "pos") -> DataFr
     return named.groupBy("key").agg(F.min_by("item_id", position).alias("item_id"))
 
 
-def _tiles_by_length(index: DataFrame) -> DataFrame:
-    """Names of one length in arrays of about ``TILE``; long lists have more tiles, not larger ones."""
-    sized = index.select("key", F.length("key").alias("len"))
-    spread = sized.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    tiled = sized.join(spread, "len").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    return tiled.groupBy("len", "tile").agg(F.collect_list("key").alias("names"))
-
-
 def _scorer(cutoff: float):
-    @F.pandas_udf("struct<score: double, name: string>")
-    def score(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-        found = [best_name(text, candidates, cutoff) for text, candidates in zip(texts, names)]
-        return pd.DataFrame(
-            [(hit[1], hit[0]) if hit else (None, None) for hit in found], columns=["score", "name"]
-        )
+    def score(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        found = best_names(list(texts["text"]), list(names["key"]), cutoff) if len(names) else []
+        return pd.DataFrame(found, columns=["text", "key", "score"])
 
     return score
 
@@ -52,18 +44,31 @@ def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> Da
     """Best fuzzy name per distinct text (column ``text``).
 
     Twice the shorter length over the total length bounds the ratio, so a text only meets
-    names of admissible lengths: an equi join on the length.  It meets them tile by tile
-    and each meeting returns one row, so pairs are never listed.
+    names of admissible lengths: the join key is the length.  Long lists of equal length are
+    cut into tiles on both sides; a task compares one tile of texts with one tile of names
+    and returns at most one row per text, so pairs are never listed.
     """
     la = F.length("text")
     shortest = F.ceil(la * (cutoff / (2 - cutoff)) - 1e-9)
     longest = F.floor(la * ((2 - cutoff) / cutoff) + 1e-9)
-    reach = texts.withColumn("len", F.explode(F.sequence(shortest.cast("int"), longest.cast("int"))))
-    # Length is a poor key for spreading work: all texts of one length would share a task.
-    met = reach.join(_tiles_by_length(index), "len").repartition("text", "len", "tile")
-    scored = met.select("text", _scorer(cutoff)("text", "names").alias("hit")).where("hit.name is not null")
-    best = scored.groupBy("text").agg(F.max("hit").alias("hit"))
-    return best.select("text", F.col("hit.name").alias("key"))
+    reach = texts.withColumn("len", F.explode(F.sequence(shortest, longest)))
+    named = index.select("key", F.length("key").cast("bigint").alias("len"))
+
+    def tiles(df, size, name):
+        return df.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+
+    cuts = tiles(reach, TILE_TEXTS, "t_tiles").join(tiles(named, TILE_NAMES, "n_tiles"), "len")
+
+    def part(df, column, own, other):
+        """Rows in their own tile, repeated for every tile of the other side."""
+        cut = df.join(cuts, "len").withColumn(own, F.pmod(F.xxhash64(column), F.col(f"{own}s")))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1))
+        return cut.withColumn(other, every).select("len", "t_tile", "n_tile", column).groupBy("len", "t_tile", "n_tile")
+
+    asked, offered = part(reach, "text", "t_tile", "n_tile"), part(named, "key", "n_tile", "t_tile")
+    scored = asked.cogroup(offered).applyInPandas(_scorer(cutoff), _BEST)
+    best = scored.groupBy("text").agg(F.max(F.struct("score", "key")).alias("hit"))
+    return best.select("text", F.col("hit.key").alias("key"))
 
 
 def match_names(texts: DataFrame, catalog: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -14,7 +14,7 @@ from slotvalue.runtime import checkpoint
 # Rows of one group that a single task may sort.
 HOT_ROWS = 5_000_000
 # Value ranges of a hashed order.  Fixed, so the table of range counts has a fixed size.
-HASH_RANGES = 4096
+HASH_RANGES = 16384
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -33,23 +33,26 @@ def rank_within(
     out: str = "rn",
     total: str | None = None,
     sizes: DataFrame | None = None,
+    size_keys: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row in its group, and optionally the size of the group.
 
-    ``order`` must be total.  ``sizes`` is any cheaper table whose groups are at least
-    as large (by default ``df`` itself); it is only counted.  Groups above ``hot_rows``
-    are cut into sorted ranges that are ranked on their own, so that no task sorts a
-    whole hot group.
+    ``order`` must be total.  ``sizes`` is any cheaper table whose groups by ``size_keys``
+    (some of the keys, by default all) are at least as large; it is only counted.  Without
+    it ``df`` itself is counted.  Groups above ``hot_rows`` are cut into sorted ranges that
+    are ranked on their own, so that no task sorts a whole hot group.
     """
-    keys = list(keys)
+    keys, size_keys = list(keys), list(size_keys or keys)
     # Counting a narrow table reads no columns; a table this small has no hot group.
     small = sizes is not None and sizes.count() <= hot_rows
-    hot = None if small else hot_groups(df if sizes is None else sizes, keys, hot_rows)
+    hot = None if small else hot_groups(df if sizes is None else sizes, size_keys, hot_rows)
     if hot is None:
         return _rank_small(df, keys, order, out, total)
-    cold = df.join(F.broadcast(hot), keys, "left_anti")
-    large = df.join(F.broadcast(hot), keys, "left_semi")
+    # The hot list is bounded (see hot_groups).  Semi and anti joins on the keys are pushed
+    # below aggregations and joins, so the two branches share the rows instead of doubling them.
+    cold = df.join(F.broadcast(hot), size_keys, "left_anti")
+    large = df.join(F.broadcast(hot), size_keys, "left_semi")
     rows = hot.agg(F.sum("count")).first()[0]
     ranges = max(2, math.ceil(4 * rows / hot_rows))
     ranked = _rank_ranges(large, keys, order, out, total, ranges)
@@ -113,7 +116,11 @@ def hashed_index(
 def global_index(
     df: DataFrame, order: Sequence[Column], out: str, rows_per_range: int = HOT_ROWS
 ) -> DataFrame:
-    """0-based position over the whole table in any total order, from a range sort."""
+    """0-based position over the whole table in any total order, from a range sort.
+
+    The table is written once, since it is counted before it is ranked.
+    """
+    df = checkpoint(df)
     rows = df.count()
     whole = df.withColumn("_all", F.lit(1))
     ranges = max(1, math.ceil(rows / rows_per_range))

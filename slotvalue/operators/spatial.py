@@ -34,9 +34,16 @@ def points_in_boxes(
 
 
 def topmost(points: DataFrame, boxes: DataFrame, scope: str, point: list[str], box: str, z: str) -> DataFrame:
-    """For each point the containing box that was drawn last."""
-    met = points_in_boxes(points, boxes, scope)
-    return met.groupBy(scope, *point).agg(F.max_by(box, z).alias(box))
+    """For each point the containing box that was drawn last.
+
+    Equal rectangles are reduced to their topmost box and equal positions to one before
+    they meet, so the work in a crowded scope is bounded by the screen, not by its rows.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    shown = boxes.groupBy(scope, *sides).agg(F.max_by(box, z).alias("_box"), F.max(z).alias("_z"))
+    spots = points.select(scope, "x", "y").distinct()
+    top = points_in_boxes(spots, shown, scope).groupBy(scope, "x", "y").agg(F.max_by("_box", "_z").alias(box))
+    return points.join(top, [scope, "x", "y"]).select(scope, *point, box)
 
 
 def cell_geometry(grids: DataFrame) -> DataFrame:

@@ -907,17 +907,14 @@ ORACLE["point_in_container"] = _sql(
 
 _fragment("assets", "SELECT doc_id AS icon_id, sha256(text) AS sha256 FROM documents")
 ORACLE["asset_digests"] = _sql("SELECT * FROM assets", "assets")
-ORACLE["set_fingerprint"] = _sql(
-    """
-    SELECT sha256(string_agg(line, chr(10) ORDER BY line COLLATE "C")) AS fingerprint, CAST(sum(icons) AS BIGINT) AS icons FROM (
-      SELECT node[1] || ':' || sha256(string_agg(line, chr(10) ORDER BY line COLLATE "C")) AS line, sum(icons) AS icons FROM (
-        SELECT node[1] AS node, node[2] || ':' || sha256(string_agg(icon_id || ':' || sha256, chr(10) ORDER BY icon_id || ':' || sha256)) AS line,
-               count(*) AS icons
-        FROM (SELECT *, substr(md5(CAST(icon_id AS VARCHAR)), 1, 2) AS node FROM assets) GROUP BY substr(md5(CAST(icon_id AS VARCHAR)), 1, 2), node)
-      GROUP BY node)
-    """.replace(' COLLATE "C"', ""),
-    "assets",
-)
+TREE = "SELECT md5(CAST(icon_id AS VARCHAR)) AS node, icon_id || ':' || sha256 AS line, 1 AS icons FROM assets"
+for _depth in (4, 3, 2, 1, 0):
+    TREE = f"""
+    SELECT node, CASE WHEN node <> '' THEN node[{_depth}] || ':' ELSE '' END || sha256(string_agg(line, chr(10) ORDER BY line)) AS line,
+           sum(icons) AS icons
+    FROM (SELECT substr(node, 1, {_depth}) AS node, line, icons FROM ({TREE})) GROUP BY node
+    """
+ORACLE["set_fingerprint"] = _sql(f"SELECT line AS fingerprint, CAST(icons AS BIGINT) AS icons FROM ({TREE})", "assets")
 _fragment(
     "trained",
     """

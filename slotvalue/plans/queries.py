@@ -23,7 +23,6 @@ from slotvalue.operators import (
 )
 from slotvalue.plans import tables as t
 from slotvalue.runtime import scratch_path
-from slotvalue.schema import DETECTION
 from slotvalue.sources import readers, writers
 from slotvalue.streaming import jobs
 
@@ -691,7 +690,7 @@ def asset_digests(spark, sf):
 
 @query
 def set_fingerprint(spark, sf):
-    return manifest.set_fingerprint(t.assets(spark, sf), depth=2)
+    return manifest.set_fingerprint(t.assets(spark, sf))
 
 
 def _trained(spark, sf):
@@ -869,6 +868,9 @@ def _staged_detections(spark, sf):
     return path
 
 
+BUCKETS = 16
+
+
 @query
 def stream_valued_records(spark, sf):
     """Sessions valued as their detections arrive."""
@@ -882,7 +884,9 @@ def stream_valued_records(spark, sf):
 def stream_reprojection(spark, sf):
     """Records without corrections, then a stream of corrections that redoes only the sessions it touches."""
     auto, flat, catalog = t.auto_links(spark, sf), t.overrides(spark, sf), t.catalog(spark, sf)
-    scans = spark.read.schema(DETECTION).parquet(_staged_detections(spark, sf))
+    store = scratch_path(spark, "store")
+    jobs.store_detections(t.detections(spark, sf).drop("quantity"), store, BUCKETS)
+    scans, index = jobs.stored_detections(spark, store), jobs.stored_index(spark, store)
     links_out, out, state = (scratch_path(spark, label) for label in ("links", "records", "state"))
 
     def layered(manual):
@@ -891,5 +895,7 @@ def stream_reprojection(spark, sf):
     none = readers.empty(spark, "icon_id string, item_id string, seq bigint")
     jobs.write_version(resolve.resolve(scans, layered(none), catalog), out, 0)
     events = jobs.stream_events(spark, _staged_events(spark, sf))
-    jobs.maintain_records(events, scans, layered, catalog, links_out, out, state).awaitTermination()
+    jobs.maintain_records(
+        events, scans, layered, catalog, links_out, out, state, index=index, buckets=BUCKETS
+    ).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))

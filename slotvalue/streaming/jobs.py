@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from slotvalue.operators.resolve import item_entries, resolve
 from slotvalue.schema import DETECTION, LINK_EVENT
@@ -74,11 +75,55 @@ def value_detections(
     return start(records, "append", checkpoint, lambda df, n: write_version(df, out, n), **trigger)
 
 
-def affected_sessions(detections: DataFrame, icons: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
-    """Sessions that contain one of the icons, or whose text names one of the items."""
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _store(df: DataFrame, column: str, key: str, path: str, buckets: int) -> None:
+    """Write by bucket; a crowded bucket is split over several tasks and files."""
+    df.withColumn(column, _bucket(key, buckets)).hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
+
+
+def store_detections(detections: DataFrame, path: str, buckets: int = 1024) -> None:
+    """Keep detections by session bucket, and the (icon, session) index by icon bucket.
+
+    A batch of corrections then reads the buckets of its icons and sessions only.
+    """
+    _store(detections, "session_bucket", "session_id", f"{path}/rows", buckets)
+    shown = detections.select("icon_id", "session_id").distinct()
+    _store(shown, "icon_bucket", "icon_id", f"{path}/index", buckets)
+
+
+def stored_detections(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_ddl(DETECTION)}, session_bucket int").parquet(f"{path}/rows")
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("icon_id string, session_id string, icon_bucket int").parquet(f"{path}/index")
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+
+
+def _pick(rows: DataFrame, keys: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
+    """Rows with one of the keys.  On a stored table the bucket prunes the folders at run time."""
+    keys = keys.select(key).distinct()
+    if bucket not in rows.columns:
+        return rows.join(keys, key, "left_semi")
+    return rows.join(keys.withColumn(bucket, _bucket(key, buckets)), [bucket, key], "left_semi").drop(bucket)
+
+
+def affected_sessions(
+    detections: DataFrame, icons: DataFrame | None = None, items: DataFrame | None = None, buckets: int = 1024
+) -> DataFrame:
+    """Sessions that contain one of the icons, or whose text names one of the items.
+
+    For icons alone the stored index can take the place of the detections.
+    """
     parts = []
     if icons is not None:
-        parts.append(detections.join(icons.select("icon_id").distinct(), "icon_id", "left_semi"))
+        parts.append(_pick(detections, icons, "icon_id", "icon_bucket", buckets))
     if items is not None:
         named = items.select(F.col("item_id").alias("ocr_id")).distinct()
         parts.append(detections.join(named, "ocr_id", "left_semi"))
@@ -98,21 +143,23 @@ def repriced_items(before: DataFrame, after: DataFrame, basis_before: str = "avg
 
 def reproject(
     detections: DataFrame, sessions: DataFrame, links: DataFrame, catalog: DataFrame, out: str,
-    version: int, basis: str = "avg24h",
+    version: int, basis: str = "avg24h", buckets: int = 1024,
 ) -> None:
     """Resolve the stored detections of some sessions again and write them as a version."""
-    stored = detections.join(sessions, "session_id", "left_semi")
+    stored = _pick(detections, sessions, "session_id", "session_bucket", buckets)
     write_version(resolve(stored, links, catalog, basis), out, version)
 
 
 def maintain_records(
     events: DataFrame, detections: DataFrame, links_of: Callable[[DataFrame], DataFrame], catalog: DataFrame,
-    links_out: str, records_out: str, checkpoint: str, first_version: int = 1, basis: str = "avg24h", **trigger,
+    links_out: str, records_out: str, checkpoint: str, first_version: int = 1, basis: str = "avg24h",
+    index: DataFrame | None = None, buckets: int = 1024, **trigger,
 ) -> StreamingQuery:
     """After each batch of corrections recompute only the sessions that show a changed icon.
 
     ``links_of`` merges the manual links into the other layers.  Versions start at
-    ``first_version``, above those of the initial records.
+    ``first_version``, above those of the initial records.  Give ``detections`` and ``index``
+    from ``store_detections`` to read only the buckets a batch touches.
     """
     spark = detections.sparkSession
 
@@ -120,8 +167,9 @@ def maintain_records(
         write_version(changed, links_out, batch)
         icons = spark.read.parquet(f"{links_out}/version={batch}")
         links = links_of(current_links(spark, links_out))
-        sessions = affected_sessions(detections, icons)
-        reproject(detections, sessions, links, catalog, records_out, first_version + batch, basis)
+        shown = detections if index is None else index
+        sessions = affected_sessions(shown, icons, buckets=buckets)
+        reproject(detections, sessions, links, catalog, records_out, first_version + batch, basis, buckets)
 
     return start(changing_links(events), "update", checkpoint, each, **trigger)
 
@@ -133,6 +181,11 @@ def current_records(spark: SparkSession, out: str) -> DataFrame:
     return rows.join(newest, ["session_id", "version"])
 
 
+def compact_records(spark: SparkSession, out: str, target: str) -> None:
+    """Write the newest version of every session to a new place as version 0."""
+    write_version(current_records(spark, out).drop("version"), target, 0)
+
+
 def refresh_catalog(
     age: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame], str], ttl_h: float = 24.0
 ) -> str | None:

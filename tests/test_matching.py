@@ -69,12 +69,12 @@ def test_best_name_equals_standard_library():
         pool = sorted({random_name(rng) for _ in range(15)})
         asked = random_name(rng)
         expected = difflib.get_close_matches(asked, pool, n=1, cutoff=0.6)
-        found = similarity.best_name(asked, pool, 0.6)
-        assert ([found[0]] if found else []) == expected
+        found = similarity.best_names([asked], pool, 0.6)
+        assert [name for _, name, _ in found] == expected
 
 
 def test_equal_ratio_takes_last_name():
-    assert similarity.best_name("abcw", ["abcx", "abcz", "abcy"], 0.6)[0] == "abcz"
+    assert similarity.best_names(["abcw"], ["abcx", "abcz", "abcy"], 0.6) == [("abcw", "abcz", 0.75)]
 
 
 def expected_match(asked, short, full, cutoff=0.6):
@@ -90,7 +90,8 @@ def expected_match(asked, short, full, cutoff=0.6):
 
 
 def test_match_names_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(names, "TILE", 3)
+    monkeypatch.setattr(names, "TILE_NAMES", 3)
+    monkeypatch.setattr(names, "TILE_TEXTS", 5)
     rng = random.Random(6)
     items = [(f"i{n:03}", random_name(rng) * 2, random_name(rng) if n % 5 else "", n) for n in range(80)]
     short, full = {}, {}

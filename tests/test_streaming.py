@@ -54,6 +54,25 @@ def test_reprojection_touches_only_affected_sessions(spark, tmp_path):
     assert got == {("s1", 0): ("b", "override", 1), ("s1", 1): ("a", "yolo", 1), ("s2", 0): ("a", "yolo", 0)}
 
 
+def test_stored_index_gives_the_same_sessions(spark, tmp_path):
+    rows = [(f"s{n % 7}", n, str(n % 11), BOX, 0.9, "", 0.0, "") for n in range(60)]
+    given = spark.createDataFrame(rows, DETECTION)
+    jobs.store_detections(given, str(tmp_path), buckets=4)
+    icons = spark.createDataFrame([("3",), ("5",), ("99",)], "icon_id string")
+    stored, index = jobs.stored_detections(spark, str(tmp_path)), jobs.stored_index(spark, str(tmp_path))
+    expected = sorted(jobs.affected_sessions(given, icons).collect())
+    assert sorted(jobs.affected_sessions(index, icons, buckets=4).collect()) == expected
+    assert sorted(stored.drop("session_bucket").collect()) == sorted(given.collect())
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    out, target = str(tmp_path / "out"), str(tmp_path / "target")
+    jobs.write_version(spark.createDataFrame([("s1", 1), ("s2", 1)], "session_id string, v int"), out, 0)
+    jobs.write_version(spark.createDataFrame([("s1", 2)], "session_id string, v int"), out, 3)
+    jobs.compact_records(spark, out, target)
+    assert sorted((r.session_id, r.v, r.version) for r in jobs.current_records(spark, target).collect()) == [("s1", 2, 0), ("s2", 1, 0)]
+
+
 def test_repriced_items_and_their_sessions(spark):
     before = catalog(spark)
     after = before.withColumn("avg24h", F.when(F.col("item_id") == "a", 101).otherwise(F.col("avg24h")).cast("bigint"))
