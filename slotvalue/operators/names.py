@@ -11,6 +11,7 @@ from slotvalue.functions.geometry import in_top_strip
 from slotvalue.functions.rounding import round_share
 from slotvalue.functions.similarity import best_names, reported_ratio
 from slotvalue.functions.text import normalise
+from slotvalue.runtime import checkpoint
 
 # Fixed value: lowest similarity that counts as a match.
 CUTOFF = 0.6
@@ -57,11 +58,12 @@ def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> Da
     def tiles(df, size, name):
         return df.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
 
+    # One row per length of a name, so it may be broadcast; the length is a crowded key.
     cuts = tiles(reach, TILE_TEXTS, "t_tiles").join(tiles(named, TILE_NAMES, "n_tiles"), "len")
 
     def part(df, column, own, other):
         """Rows in their own tile, repeated for every tile of the other side."""
-        cut = df.join(cuts, "len").withColumn(own, F.pmod(F.xxhash64(column), F.col(f"{own}s")))
+        cut = df.join(F.broadcast(cuts), "len").withColumn(own, F.pmod(F.xxhash64(column), F.col(f"{own}s")))
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1))
         return cut.withColumn(other, every).select("len", "t_tile", "n_tile", column).groupBy("len", "t_tile", "n_tile")
 
@@ -75,14 +77,15 @@ def match_names(texts: DataFrame, catalog: DataFrame, cutoff: float = CUTOFF) ->
     """Item and score for each distinct ``text`` (already normalised).
 
     Stages: exact short name, exact full name, best fuzzy short name, best fuzzy full name.
-    A later stage only sees the texts the earlier ones left over.  Texts without a match
-    have a null item and score 0.
+    A later stage only sees the texts the earlier ones left over; the results of a stage are
+    written once, as the next one reads them several times.  Texts without a match have a
+    null item and score 0.
     """
     texts = texts.where(F.col("text") != "").select("text").distinct()
     short, full = name_index(catalog, "short"), name_index(catalog, "name")
-    exact = exact_names(texts, short, full)
+    exact = checkpoint(exact_names(texts, short, full))
     open_texts = exact.where(F.col("item_id").isNull()).select("text")
-    by_short = fuzzy_best(open_texts, short, cutoff).join(short, "key")
+    by_short = checkpoint(fuzzy_best(open_texts, short, cutoff).join(short, "key"))
     left = open_texts.join(by_short.select("text"), "text", "left_anti")
     by_full = fuzzy_best(left, full, cutoff).join(full, "key")
     fuzzy = by_short.withColumn("stage", F.lit("fuzzy_short")).unionByName(

@@ -571,6 +571,59 @@ ORACLE["name_match_exact"] = _sql(
     "short_index",
     "full_index",
 )
+# Longest common block of two texts as one number: length * 1000 + (999 - start in a).
+BLOCK = """
+    coalesce(list_max(list_transform(range(1, length(a) + 1), lambda i:
+      coalesce(list_max(list_filter(range(1, length(a) - i + 2), lambda k: contains(b, substr(a, CAST(i AS INTEGER), CAST(k AS INTEGER))))), 0)
+      * 1000 + 999 - i)), 0)
+"""
+
+
+def _ratios(name: str, pairs: str) -> str:
+    """Matching-block ratio of all ``(a0, b0)`` of a query: take the longest block, go on left and right of it."""
+    return f"""
+    {name}_seg(a0, b0, a, b, block) AS (
+      SELECT a0, b0, a, b, {BLOCK} FROM (SELECT a0, b0, a0 AS a, b0 AS b FROM ({pairs}))
+      UNION ALL
+      SELECT a0, b0, a, b, {BLOCK} FROM (
+        SELECT a0, b0, part.a AS a, part.b AS b FROM (
+          SELECT a0, b0, unnest([
+              {{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1)}}, {{'a': substr(a, i + k), 'b': substr(b, j + k)}}]) AS part
+          FROM (SELECT *, instr(b, substr(a, i, k)) AS j FROM (
+                  SELECT *, CAST(block // 1000 AS INTEGER) AS k, CAST(999 - block % 1000 AS INTEGER) AS i
+                  FROM {name}_seg WHERE block >= 1000)))
+        WHERE part.a <> '' AND part.b <> '')),
+    {name} AS (SELECT a0, b0, 2.0::DOUBLE * CAST(sum(block // 1000) AS DOUBLE) / (length(a0) + length(b0)) AS ratio
+               FROM {name}_seg GROUP BY a0, b0)
+    """
+
+
+def _matched(texts: str, *needs: str) -> str:
+    """CTEs up to ``matched(text, item_id, stage, score)``."""
+    bound = "2.0 * least(length(key), length(text)) / (length(key) + length(text)) >= 0.6"
+    base = _sql("", "short_index", "full_index", *needs).rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{base},
+    asked AS ({texts}),
+    exact AS (SELECT text, coalesce(s.item_id, f.item_id) AS item_id,
+                     CASE WHEN s.item_id IS NOT NULL THEN 'short' WHEN f.item_id IS NOT NULL THEN 'full' END AS stage
+              FROM asked LEFT JOIN short_index s ON s.key = text LEFT JOIN full_index f ON f.key = text),
+    offered AS (SELECT 0 AS later, * FROM short_index UNION ALL SELECT 1, * FROM full_index),
+    {_ratios("ratio", f"SELECT DISTINCT key AS a0, text AS b0 FROM exact JOIN offered ON exact.item_id IS NULL AND {bound}")},
+    chosen AS (SELECT * FROM (
+      SELECT b0 AS text, key, o.item_id, later,
+             row_number() OVER (PARTITION BY b0 ORDER BY later, ratio DESC, key DESC) AS rn
+      FROM ratio JOIN offered o ON key = a0 WHERE ratio >= 0.6::DOUBLE) WHERE rn = 1),
+    {_ratios("told", "SELECT text AS a0, key AS b0 FROM chosen")},
+    matched AS (
+      SELECT e.text, coalesce(e.item_id, c.item_id) AS item_id,
+             coalesce(e.stage, CASE c.later WHEN 0 THEN 'fuzzy_short' WHEN 1 THEN 'fuzzy_full' END) AS stage,
+             CASE WHEN e.item_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(t.ratio, 0.0::DOUBLE) END AS score
+      FROM exact e LEFT JOIN chosen c ON c.text = e.text LEFT JOIN told t ON t.a0 = c.text AND t.b0 = c.key)
+    """
+
+
+ORACLE["name_match_fuzzy"] = _matched("SELECT text FROM texts", "texts") + "SELECT * FROM matched"
+
 _fragment(
     "words",
     f"""
@@ -580,7 +633,8 @@ _fragment(
          LATERAL (SELECT unnest(range(0, len(parts))) AS i)
     """,
 )
-ORACLE["box_text"] = _sql(
+_fragment(
+    "box_texts",
     """
     SELECT box_id, coalesce(string_agg(text, ' ' ORDER BY x, word_idx) FILTER (WHERE NOT below), '') AS top_text,
            string_agg(text, ' ' ORDER BY x, word_idx) AS all_text, string_agg(text, ' ' ORDER BY word_idx) AS raw_text
@@ -588,6 +642,24 @@ ORACLE["box_text"] = _sql(
     """,
     "words",
 )
+_fragment(
+    "box_keys",
+    "SELECT *, trim(regexp_replace(lower(top_text), '[\\s\\x{A0}]+', ' ', 'g')) AS top_key, "
+    "trim(regexp_replace(lower(all_text), '[\\s\\x{A0}]+', ' ', 'g')) AS all_key FROM box_texts",
+    "box_texts",
+)
+ORACLE["box_text"] = _sql("SELECT * FROM box_texts", "box_texts")
+ORACLE["text_in_box"] = (
+    _matched("SELECT top_key AS text FROM box_keys WHERE top_key <> '' UNION SELECT all_key FROM box_keys WHERE all_key <> ''", "box_keys")
+    + """
+    SELECT box_id, coalesce(t.item_id, a.item_id, '') AS ocr_id,
+           CAST(printf('%.2f', coalesce(t.score, a.score, 0.0::DOUBLE)) AS DOUBLE) AS ocr_score,
+           CASE WHEN t.item_id IS NOT NULL THEN top_text WHEN a.item_id IS NOT NULL THEN all_text ELSE raw_text END AS ocr_raw
+    FROM box_keys
+    LEFT JOIN (SELECT * FROM matched WHERE item_id IS NOT NULL AND score >= 0.6::DOUBLE) t ON t.text = top_key
+    LEFT JOIN (SELECT * FROM matched WHERE item_id IS NOT NULL AND score >= 0.6::DOUBLE) a ON a.text = all_key
+    """
+)
 ORACLE["rescaled_words"] = _sql(
     """
     SELECT box_id, word_idx, round_even(CAST(x AS DOUBLE) / 6, 4) AS x,
