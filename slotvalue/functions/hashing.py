@@ -93,6 +93,25 @@ def dct_hash(vec: Column, length: int, keep: int) -> Column:
     return _bind(coefficients, bits)
 
 
+METHODS = ("average", "gradient", "dct")
+
+
+def signature(vec: Column, length: int, method: str, size: int) -> tuple[Column, int]:
+    """Signature of a vector and its number of bits.
+
+    ``size`` is the number of values the vector is shrunk to (average, gradient) or the
+    number of coefficients kept (dct).
+    """
+    if method == "dct":
+        return dct_hash(vec, length, size), size
+    if method not in METHODS:
+        raise ValueError(method)
+    small = vec if size == length else block_means(vec, length, size)
+    if method == "average":
+        return _bind(small, lambda v: average_hash(v, size)), size
+    return _bind(small, lambda v: gradient_hash(v, size)), size - 1
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n

@@ -8,12 +8,14 @@ collected: groups are rows ``(icon_id, root)``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.functions.hashing import WORD, hamming
+from slotvalue.functions.hashing import WORD, hamming, signature
 from slotvalue.operators.components import connected_components
 from slotvalue.operators.skew import global_index
 from slotvalue.runtime import checkpoint
@@ -113,6 +115,30 @@ def group_table(members: DataFrame) -> DataFrame:
     return members.join(indexed, "root").select("icon_id", "root", "group_idx", "size")
 
 
+# Methods that are compared by default: name, size, distance; size 0 stands for exact equality.
+CONFIGS = [("exact", 0, 0), ("average", 16, 1), ("average", 16, 2), ("dct", 16, 1), ("gradient", 64, 4)]
+
+
+def label_of(method: str, size: int, distance: int) -> str:
+    return method if method == "exact" else f"{method}-{size}/d{distance}"
+
+
+def members_by(vectors: DataFrame, length: int, method: str, size: int = 0, distance: int = 0) -> DataFrame:
+    """``(icon_id, root)`` of the duplicate groups of one method.  ``vectors``: ``icon_id, block, vec``."""
+    if method == "exact":
+        return exact_members(vectors.withColumnRenamed("vec", "sig"))
+    sig, bits = signature(F.col("vec"), length, method, size)
+    return near_members(vectors.select("icon_id", "block", sig.alias("sig")), bits, distance)
+
+
+def compare_methods(vectors: DataFrame, length: int, configs: Sequence[tuple] = tuple(CONFIGS)) -> DataFrame:
+    """One summary row per method."""
+    rows = [
+        method_summary(members_by(vectors, length, *config), vectors, label_of(*config)) for config in configs
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def method_summary(members: DataFrame, total: DataFrame, label: str) -> DataFrame:
     """Groups, ambiguous icons, their share and the largest group of one method.
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.functions.hashing import hamming
+from slotvalue.functions.text import model_and_version
 
 # Gradient-hash distance up to which a changed file counts as the same picture.
 COSMETIC_BITS = 4
+# Fixed value: oldest application version that can load a release.
+MIN_VERSION = "0.1.0"
 
 
 def missing_assets(trained: DataFrame, cached: DataFrame) -> DataFrame:
@@ -36,8 +41,8 @@ def small_set_fingerprint(assets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def set_fingerprint(assets: DataFrame, depth: int = 4) -> DataFrame:
-    """Fingerprint of a set of any size as a hash tree.
+def set_fingerprint(assets: DataFrame, depth: int = 4, keys: Sequence[str] = ()) -> DataFrame:
+    """Fingerprint of a set of any size, or of the set of each key, as a hash tree.
 
     Lines fall into ``16**depth`` leaves by the first hex digits of the MD5 of their id; a
     leaf hashes its sorted lines and a parent the sorted ``digit:hash`` lines of its at most
@@ -45,17 +50,17 @@ def set_fingerprint(assets: DataFrame, depth: int = 4) -> DataFrame:
     thousands of lines.  No task sees more than one leaf or 16 child hashes of a node.
     """
     leaf = F.substring(F.md5(F.col("icon_id").cast("string")), 1, depth)
-    level = assets.groupBy(leaf.alias("node")).agg(
+    level = assets.groupBy(*keys, leaf.alias("node")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(line_of())), "\n"), 256).alias("hash"),
         F.count(F.lit(1)).alias("icons"),
     )
     for size in range(depth - 1, -1, -1):
         child = F.concat(F.substring("node", size + 1, 1), F.lit(":"), F.col("hash"))
-        level = level.groupBy(F.substring("node", 1, size).alias("node")).agg(
+        level = level.groupBy(*keys, F.substring("node", 1, size).alias("node")).agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("hash"),
             F.sum("icons").alias("icons"),
         )
-    return level.select(F.col("hash").alias("fingerprint"), "icons")
+    return level.select(*keys, F.col("hash").alias("fingerprint"), "icons")
 
 
 def release_summary(trained: DataFrame, cached: DataFrame) -> DataFrame:
@@ -71,6 +76,27 @@ def release_summary(trained: DataFrame, cached: DataFrame) -> DataFrame:
     )
 
 
+def release_manifest(trained: DataFrame, cached: DataFrame, built_at: str, min_version: str = MIN_VERSION) -> DataFrame:
+    """One row per released model: name, version, counts and fingerprint of its icons.
+
+    ``trained``: ``model, icon_id`` per class; ``cached``: ``icon_id, sha256`` per icon.
+    """
+    icons = trained.select("model", "icon_id").distinct().join(cached.select("icon_id", "sha256"), "icon_id")
+    prints = set_fingerprint(icons, keys=["model"]).drop("icons")
+    rows = release_summary(trained, cached).join(prints, "model", "left")
+    return rows.withColumn("named", model_and_version(F.col("model"))).select(
+        F.col("model").alias("name"),
+        "named.model",
+        "named.version",
+        "classes",
+        "icon_count",
+        "icons_missing",
+        F.col("fingerprint").alias("icons_fingerprint"),
+        F.lit(built_at).alias("built_at"),
+        F.lit(min_version).alias("min_app_version"),
+    )
+
+
 def drift(trained: DataFrame, live: DataFrame, cosmetic: int = COSMETIC_BITS) -> DataFrame:
     """Compare the icons a model was trained on with the current ones.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotvalue.functions.geometry import whole_pixels
+from slotvalue.functions.rounding import round_share
 from slotvalue.functions.text import shown_name
 from slotvalue.operators.resolve import identified
 from slotvalue.operators.skew import HOT_ROWS, rank_within, top_per_group
@@ -25,6 +27,23 @@ def cap_detections(detections: DataFrame, most: int = MAX_DETECTIONS) -> DataFra
     return top_per_group(detections, ["session_id"], order, most).drop("rn")
 
 
+def raw_detections(output: DataFrame, threshold: float = SCAN_CONFIDENCE, most: int = MAX_DETECTIONS) -> DataFrame:
+    """Detector output as detections: threshold, limit per image, whole pixels, rounded scores.
+
+    ``output`` has the columns of a detection with fractional boxes and full-precision scores.
+    The threshold applies to the unrounded confidence.
+    """
+    kept = cap_detections(confident(output, threshold), most)
+    return kept.withColumns(
+        {
+            "icon_id": F.col("icon_id").cast("string"),
+            "box": whole_pixels(F.col("box")),
+            "det_conf": round_share(F.col("det_conf"), 3),
+            "ocr_score": round_share(F.coalesce("ocr_score", F.lit(0.0)), 2),
+        }
+    )
+
+
 def session_summary(records: DataFrame) -> DataFrame:
     def from_source(source):
         return F.count_if(F.col("source") == source)

@@ -330,6 +330,18 @@ ORACLE["capped_detections"] = _sql(
     """,
     "li",
 )
+ORACLE["raw_detections"] = _sql(
+    f"""
+    SELECT session_id, det_idx, icon_id, CAST(round_even(CAST(cents % 9001 AS DOUBLE) / 8, 0) AS INTEGER) AS x0,
+           CAST(round_even(CAST(cents % 7001 AS DOUBLE) / 8, 0) AS INTEGER) AS y0, CAST(printf('%.3f', conf) AS DOUBLE) AS det_conf,
+           CAST(printf('%.2f', CAST(cents % 81 AS DOUBLE) / 80) AS DOUBLE) AS ocr_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY conf DESC, det_idx) AS rn
+          FROM (SELECT *, CAST(ok AS VARCHAR) AS session_id, CAST(pk AS VARCHAR) AS icon_id, {INDEX} AS det_idx,
+                       CAST(cents % 100003 AS DOUBLE) / 100003 AS conf FROM li)
+          WHERE conf >= 0.25::DOUBLE) WHERE rn <= 400
+    """,
+    "li",
+)
 ORACLE["session_listing"] = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS session_id FROM lineitem"
 ORACLE["session_replay"] = _sql(
     """
@@ -768,20 +780,34 @@ def _method(label: str, members: str, table: str) -> str:
     """
 
 
-ORACLE["dup_summary"] = _recursive(
-    " UNION ALL ".join(
-        [
-            _method("exact", "exact_members", "docs"),
-            _method("ahash-16/d0", "members0", "small"),
-            _method("ahash-16/d1", "members1", "small"),
-            _method("ahash-16/d2", "members2", "small"),
-        ]
-    ),
-    ("small", "exact_members"),
-    0,
-    1,
-    2,
+_fragment("gradient", f"SELECT icon_id, block, {word(RISING, 0, 32)} AS lo, {word(RISING, 32, 31)} AS hi FROM vectors", "vectors")
+_fragment("dct_block", f"SELECT icon_id, block, {word('vec[{i}] > mean', 0, 16)} AS sig FROM dct_median JOIN vectors USING (icon_id)".replace("vec[", "dct_median.vec["), "dct_median", "vectors")
+
+
+def _members(name: str, table: str, close: str) -> str:
+    return f"""
+    {name}_reach(icon_id, other) AS (
+      SELECT icon_id, icon_id FROM {table}
+      UNION
+      SELECT r.icon_id, b.icon_id FROM {name}_reach r JOIN {table} a ON r.other = a.icon_id
+      JOIN {table} b ON a.block = b.block AND {close}),
+    {name} AS (SELECT icon_id, min(other) AS root FROM {name}_reach GROUP BY icon_id HAVING count(*) > 1)
+    """
+
+
+METHODS = {
+    "exact": ("same", "vectors", "a.vec = b.vec"),
+    "average-16/d1": ("near1", "small", "bit_count(xor(a.sig, b.sig)) <= 1"),
+    "average-16/d2": ("near2", "small", "bit_count(xor(a.sig, b.sig)) <= 2"),
+    "dct-16/d1": ("dct1", "dct_block", "bit_count(xor(a.sig, b.sig)) <= 1"),
+    "gradient-64/d4": ("grad4", "gradient", "bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 4"),
+}
+ORACLE["dup_summary"] = (
+    _sql("", "small", "gradient", "dct_block").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    + "".join("," + _members(*spec) for spec in METHODS.values())
+    + " UNION ALL ".join(_method(label, name, table) for label, (name, table, _) in METHODS.items())
 )
+ORACLE["document_dup_summary"] = _sql(_method("exact", "exact_members", "docs"), "exact_members", "docs")
 
 # --- training-set tables -----------------------------------------------------------------
 
@@ -979,14 +1005,23 @@ ORACLE["point_in_container"] = _sql(
 
 _fragment("assets", "SELECT doc_id AS icon_id, sha256(text) AS sha256 FROM documents")
 ORACLE["asset_digests"] = _sql("SELECT * FROM assets", "assets")
-TREE = "SELECT md5(CAST(icon_id AS VARCHAR)) AS node, icon_id || ':' || sha256 AS line, 1 AS icons FROM assets"
-for _depth in (4, 3, 2, 1, 0):
-    TREE = f"""
-    SELECT node, CASE WHEN node <> '' THEN node[{_depth}] || ':' ELSE '' END || sha256(string_agg(line, chr(10) ORDER BY line)) AS line,
-           sum(icons) AS icons
-    FROM (SELECT substr(node, 1, {_depth}) AS node, line, icons FROM ({TREE})) GROUP BY node
-    """
-ORACLE["set_fingerprint"] = _sql(f"SELECT line AS fingerprint, CAST(icons AS BIGINT) AS icons FROM ({TREE})", "assets")
+
+
+def _tree(assets: str, key: str = "0 AS key") -> str:
+    """Hash tree over ``icon_id, sha256`` of each key: one row per key with ``line`` as its root hash."""
+    tree = f"SELECT {key}, md5(CAST(icon_id AS VARCHAR)) AS node, icon_id || ':' || sha256 AS line, 1 AS icons FROM {assets}"
+    for depth in (4, 3, 2, 1, 0):
+        tree = f"""
+        SELECT key, node, CASE WHEN node <> '' THEN node[{depth}] || ':' ELSE '' END || sha256(string_agg(line, chr(10) ORDER BY line)) AS line,
+               sum(icons) AS icons
+        FROM (SELECT key, substr(node, 1, {depth}) AS node, line, icons FROM ({tree})) GROUP BY key, node
+        """
+    return tree
+
+
+ORACLE["set_fingerprint"] = _sql(
+    f"SELECT line AS fingerprint, CAST(icons AS BIGINT) AS icons FROM ({_tree('assets')})", "assets"
+)
 _fragment(
     "trained",
     """
@@ -1006,6 +1041,19 @@ ORACLE["release_summary"] = _sql(
     "trained",
     "cached",
 )
+_fragment("hashed", "SELECT CAST(p_partkey AS VARCHAR) AS icon_id, sha256(p_name) AS sha256 FROM part")
+_fragment("bound", "SELECT DISTINCT model, icon_id, sha256 FROM trained JOIN hashed USING (icon_id)", "trained", "hashed")
+ORACLE["release_manifest"] = _sql(
+    f"""
+    SELECT t.model AS name, regexp_extract(t.model, '^(.*)-', 1) AS model, regexp_extract(t.model, '-([^-]*)$', 1) AS version,
+           count(*) AS classes, count(DISTINCT h.icon_id) AS icon_count,
+           count(DISTINCT t.icon_id) - count(DISTINCT h.icon_id) AS icons_missing, any_value(f.line) AS icons_fingerprint,
+           '2024-01-01T00:00:00' AS built_at, '0.1.0' AS min_app_version
+    FROM trained t LEFT JOIN hashed h ON t.icon_id = h.icon_id LEFT JOIN ({_tree("bound", "model AS key")}) f ON f.key = t.model
+    GROUP BY t.model
+    """,
+    "bound",
+)
 ORACLE["model_names"] = """
     SELECT DISTINCT CASE c_nationkey WHEN 0 THEN segment WHEN 1 THEN '-' || segment ELSE segment || '-x-' || c_nationkey END AS name,
            CASE c_nationkey WHEN 0 THEN segment WHEN 1 THEN '-' || segment ELSE segment || '-x' END AS model,

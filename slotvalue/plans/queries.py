@@ -179,6 +179,19 @@ def capped_detections(spark, sf):
     return rank.cap_detections(shelf)
 
 
+@query
+def raw_detections(spark, sf):
+    """Detector output with fractional boxes and long scores, cleaned up."""
+    share = (F.col("cents") % 100003) / 100003
+    output = t.line_items(spark, sf).select(
+        F.col("ok").cast("string").alias("session_id"), t.detection_index().alias("det_idx"), F.col("pk").alias("icon_id"),
+        F.array(*[(F.col("cents") % m).cast("double") / 8 for m in (9001, 7001)]).alias("box"),
+        share.alias("det_conf"), (F.col("cents") % 81 / 80).alias("ocr_score"),
+    )
+    rows = rank.raw_detections(output)
+    return rows.select("session_id", "det_idx", "icon_id", F.col("box")[0].alias("x0"), F.col("box")[1].alias("y0"), "det_conf", "ocr_score")
+
+
 @query
 def session_listing(spark, sf):
     return readers.list_sessions(t.session_sizes(spark, sf))
@@ -401,10 +414,8 @@ NEAR = 2
 
 def _small_hash(spark, sf):
     """16-bit average hash of the shrunken image."""
-    shrunk = hashing.block_means(F.col("vec"), 64, BITS)
-    return t.vectors(spark, sf).withColumn("small", shrunk).select(
-        "icon_id", "block", hashing.average_hash(F.col("small"), BITS).alias("sig")
-    )
+    sig, _ = hashing.signature(F.col("vec"), 64, "average", BITS)
+    return t.vectors(spark, sf).select("icon_id", "block", sig.alias("sig"))
 
 
 @query
@@ -452,18 +463,13 @@ def near_dup_clusters(spark, sf):
 
 @query
 def dup_summary(spark, sf):
-    small = _small_hash(spark, sf)
+    return duplicates.compare_methods(t.vectors(spark, sf), 64)
+
+
+@query
+def document_dup_summary(spark, sf):
     docs = t.documents(spark, sf)
-    rows = [
-        duplicates.method_summary(duplicates.exact_members(docs), docs, "exact"),
-        duplicates.method_summary(duplicates.exact_members(small), small, "ahash-16/d0"),
-        duplicates.method_summary(duplicates.near_members(small, BITS, 1), small, "ahash-16/d1"),
-        duplicates.method_summary(duplicates.near_members(small, BITS, NEAR), small, "ahash-16/d2"),
-    ]
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+    return duplicates.method_summary(duplicates.exact_members(docs), docs, "exact")
 
 
 # --- training-set tables ---------------------------------------------------------------
@@ -715,6 +721,12 @@ def release_summary(spark, sf):
     return manifest.release_summary(_trained(spark, sf), _cached(spark, sf))
 
 
+@query
+def release_manifest(spark, sf):
+    cached = t.raw(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("icon_id"), F.sha2("p_name", 256).alias("sha256"))
+    return manifest.release_manifest(_trained(spark, sf), cached, "2024-01-01T00:00:00")
+
+
 @query
 def model_names(spark, sf):
     split = text.model_and_version(F.col("name"))
