@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from slotvalue.operators.resolve import item_entries, resolve
+from slotvalue.runtime import checkpoint as checkpoint_table
 from slotvalue.schema import DETECTION, LINK_EVENT
 from slotvalue.sources.readers import path_exists, stale
 
@@ -107,11 +108,17 @@ def _ddl(schema: StructType) -> str:
 
 
 def _pick(rows: DataFrame, keys: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
-    """Rows with one of the keys.  On a stored table the bucket prunes the folders at run time."""
+    """Rows with one of the keys.
+
+    On a stored table only the folders of the touched buckets are read; their numbers (at
+    most ``buckets`` integers) go through the driver into the partition filter.
+    """
     keys = keys.select(key).distinct()
     if bucket not in rows.columns:
         return rows.join(keys, key, "left_semi")
-    return rows.join(keys.withColumn(bucket, _bucket(key, buckets)), [bucket, key], "left_semi").drop(bucket)
+    keys = checkpoint_table(keys.withColumn(bucket, _bucket(key, buckets)))
+    touched = [row[0] for row in keys.select(bucket).distinct().collect()]
+    return rows.where(F.col(bucket).isin(touched)).join(keys, [bucket, key], "left_semi").drop(bucket)
 
 
 def affected_sessions(

@@ -63,6 +63,8 @@ def test_stored_index_gives_the_same_sessions(spark, tmp_path):
     expected = sorted(jobs.affected_sessions(given, icons).collect())
     assert sorted(jobs.affected_sessions(index, icons, buckets=4).collect()) == expected
     assert sorted(stored.drop("session_bucket").collect()) == sorted(given.collect())
+    scan = jobs.affected_sessions(index, icons, buckets=4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(icon_bucket" in scan or "PartitionFilters: [icon_bucket" in scan
 
 
 def test_compaction_keeps_the_newest_rows(spark, tmp_path):
