@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.functions.pricing import cells, effective_value, value_per_slot
@@ -28,15 +28,14 @@ def item_entries(catalog: DataFrame, basis: str = "avg24h") -> DataFrame:
 ENTRY = ["name", "short", "width", "height"]
 
 
+def _entry(*more: str) -> Column:
+    return F.struct(F.col("item_id").alias("id"), *ENTRY, *more)
+
+
 def visual_candidates(links: DataFrame, items: DataFrame) -> DataFrame:
     """Icon to item by the link map; links to unknown items are dropped."""
     joined = with_certainty(links).join(items, "item_id")
-    return joined.select(
-        "icon_id",
-        F.struct(
-            F.col("item_id").alias("id"), *ENTRY, "score", "margin", "override", "certainty", "value"
-        ).alias("v"),
-    )
+    return joined.select("icon_id", _entry("value").alias("v"), "score", "margin", "override", "certainty")
 
 
 def resolve(
@@ -50,9 +49,7 @@ def resolve(
     """
     items = item_entries(catalog, basis)
     by_text = items.select(
-        F.col("item_id").alias("ocr_id"),
-        F.lit(0).alias("_salt"),
-        F.struct(F.col("item_id").alias("id"), *ENTRY, "value").alias("o"),
+        F.col("item_id").alias("ocr_id"), F.lit(0).alias("_salt"), _entry("value").alias("o")
     )
     # Many detections carry no text; their empty keys are spread over the join.
     salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("det_idx")))
@@ -61,14 +58,14 @@ def resolve(
     )
     v, o = F.col("v"), F.col("o")
     text_score = F.coalesce("ocr_score", F.lit(0.0))
-    raw = F.coalesce("ocr_raw", F.lit(""))
-    seen = v.isNotNull() & (o.isNull() | (v["certainty"] >= text_score))
-
-    def chosen(field):
-        return F.when(seen, v[field]).otherwise(o[field]).alias(field)
+    # The decision and the chosen entry are columns of their own, so they are computed once per row.
+    both = both.withColumn("seen", v.isNotNull() & (o.isNull() | (F.col("certainty") >= text_score)))
+    both = both.withColumn("chosen", F.when(F.col("seen"), v).otherwise(o))
+    seen = F.col("seen")
+    visual = F.struct(*[v[f].alias(f) for f in ("id", *ENTRY)], "score", "margin", "override", "certainty")
 
-    def text_field(field, default=""):
-        return F.coalesce(o[field], F.lit(default)).alias(field)
+    def text_field(field):
+        return F.coalesce(o[field], F.lit("")).alias(field)
 
     records = both.select(
         "session_id",
@@ -77,23 +74,18 @@ def resolve(
         "box",
         "det_conf",
         *keep,
-        F.when(seen & v["override"], "override")
-        .when(seen, "yolo")
-        .when(o.isNotNull(), "ocr")
-        .alias("source"),
-        F.when(seen, v["certainty"]).when(o.isNotNull(), text_score).otherwise(0.0).alias("certainty"),
+        F.when(seen & F.col("override"), "override").when(seen, "yolo").when(o.isNotNull(), "ocr").alias("source"),
+        F.when(seen, F.col("certainty")).when(o.isNotNull(), text_score).otherwise(0.0).alias("certainty"),
         F.coalesce(v["id"] == o["id"], F.lit(False)).alias("agree"),
-        v.dropFields("value").alias("yolo"),
+        F.when(v.isNotNull(), visual).alias("yolo"),
         F.struct(
-            text_field("id"),
-            text_field("name"),
-            text_field("short"),
+            *[text_field(f) for f in ("id", "name", "short")],
             o["width"].alias("width"),
             o["height"].alias("height"),
             text_score.alias("score"),
-            raw.alias("raw"),
+            F.coalesce("ocr_raw", F.lit("")).alias("raw"),
         ).alias("ocr"),
-        *[chosen(f) for f in ["id", *ENTRY, "value"]],
+        "chosen.*",
     )
     slots = F.col("width") * F.col("height")
     return records.withColumn("slots", slots).withColumn("per_slot", value_per_slot(F.col("value"), slots))

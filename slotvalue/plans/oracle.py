@@ -920,9 +920,9 @@ _fragment(
 ORACLE["placements"] = _sql("SELECT grid_id, col, row FROM spots", "spots")
 ORACLE["placed_labels"] = _sql(
     """
-    SELECT grid_id, col, row, round_even((x + col * cw + 2 + (2 * cw - 4) / 2) / 1920, 6) AS cx,
-           round_even((y + row * ch + 2 + (ch - 4) / 2) / 1080, 6) AS cy,
-           round_even((2 * cw - 4) / 1920, 6) AS w, round_even((ch - 4) / 1080, 6) AS h
+    SELECT grid_id, col, row, CAST(printf('%.6f', (x + col * cw + 2 + (2 * cw - 4) / 2) / 1920) AS DOUBLE) AS cx,
+           CAST(printf('%.6f', (y + row * ch + 2 + (ch - 4) / 2) / 1080) AS DOUBLE) AS cy,
+           CAST(printf('%.6f', (2 * cw - 4) / 1920) AS DOUBLE) AS w, CAST(printf('%.6f', (ch - 4) / 1080) AS DOUBLE) AS h
     FROM spots
     """,
     "spots",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.functions import geometry, hashing, pricing, text
+from slotvalue.functions.rounding import round_share
 from slotvalue.operators import (
     dataset,
     duplicates,
@@ -590,7 +591,7 @@ def placed_labels(spark, sf):
     box = dataset.label_box(
         *[F.col(c) for c in ("x", "y", "cw", "ch", "col", "row")], F.lit(2), F.lit(1), F.lit(t.SCREEN_W), F.lit(t.SCREEN_H)
     )
-    return spots.withColumn("b", box).select("grid_id", "col", "row", *[F.bround(f"b.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return spots.withColumn("b", box).select("grid_id", "col", "row", *[round_share(F.col(f"b.{c}"), 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query
