@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,13 +34,12 @@ def _tiles(df: DataFrame, size: int, name: str) -> DataFrame:
 def _best_in_tile(k: int):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         found = []
-        by_length = {n: part for n, part in candidates.groupby(candidates["vec"].map(len))}
+        shapes = {n: part for n, part in candidates.groupby(candidates["vec"].map(len))}
         for length, asked in queries.groupby(queries["vec"].map(len)):
-            if length not in by_length:
+            part = shapes.get(length)
+            if part is None:
                 continue
-            part = by_length[length]
-            grid = np.stack(part["vec"].to_numpy())
-            ids = part["item_id"].to_numpy()
+            grid, ids = np.stack(part["vec"].to_numpy()), part["item_id"].to_numpy()
             for start in range(0, len(asked), CHUNK):
                 found += _chunk(asked.iloc[start : start + CHUNK], grid, ids, k)
         return pd.DataFrame(found, columns=["icon_id", "item_id", "distance"])
@@ -50,7 +47,8 @@ def _best_in_tile(k: int):
     return run
 
 
-def _chunk(asked: pd.DataFrame, grid: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
+def _chunk(asked: pd.DataFrame, grid: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """``(icon, item, distance)`` of the best ``k`` candidates for a few queries."""
     rows = []
     vecs = np.stack(asked["vec"].to_numpy())
     mask = (np.stack(asked["alpha"].to_numpy()) > ALPHA_FLOOR).astype(float)
@@ -94,22 +92,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = BEST) -> DataFra
         asked.select(*tile, "icon_id", "vec", "alpha")
         .groupBy(*tile)
         .cogroup(offered.select(*tile, "item_id", "vec").groupBy(*tile))
-        .applyInPandas(_drop_keys(_best_in_tile(k)), _OUT)
+        .applyInPandas(_best_in_tile(k), _OUT)
     )
     return top_per_group(pairs, ["icon_id"], [F.col("distance"), F.col("item_id")], k, "rank")
 
 
-def _drop_keys(kernel):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"icon_id": [], "item_id": [], "distance": []}).astype(
-                {"icon_id": "int64", "item_id": "int64", "distance": "float64"}
-            )
-        return kernel(queries, candidates)
-
-    return run
-
-
 def match_table(queries: DataFrame, candidates: DataFrame, names: DataFrame, k: int = BEST) -> DataFrame:
     """One row per icon: best item, rounded score, margin to the second, names of the rest.
 
