@@ -57,7 +57,8 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    # One untimed run loads the classes and compiles the hot code.
+    QUERIES["session_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()
