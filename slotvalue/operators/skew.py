@@ -41,7 +41,8 @@ def rank_within(
     ``order`` must be total.  ``sizes`` is any cheaper table whose groups by ``size_keys``
     (some of the keys, by default all) are at least as large; it is only counted.  Without
     it ``df`` itself is counted.  Groups above ``hot_rows`` are cut into sorted ranges that
-    are ranked on their own, so that no task sorts a whole hot group.
+    are ranked on their own, so that no task sorts a whole hot group.  Such a table is
+    written once on the way: select the columns you need before ranking.
     """
     keys, size_keys = list(keys), list(size_keys or keys)
     # Counting a narrow table reads no columns; a table this small has no hot group.
@@ -49,8 +50,9 @@ def rank_within(
     hot = None if small else hot_groups(df if sizes is None else sizes, size_keys, hot_rows)
     if hot is None:
         return _rank_small(df, keys, order, out, total)
-    # The hot list is bounded (see hot_groups).  Semi and anti joins on the keys are pushed
-    # below aggregations and joins, so the two branches share the rows instead of doubling them.
+    # Written once: both branches and the sampling of the range bounds read the rows again.
+    df = checkpoint(df)
+    # The hot list is bounded (see hot_groups).
     cold = df.join(F.broadcast(hot), size_keys, "left_anti")
     large = df.join(F.broadcast(hot), size_keys, "left_semi")
     rows = hot.agg(F.sum("count")).first()[0]

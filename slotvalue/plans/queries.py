@@ -62,8 +62,8 @@ def keep_ditch(spark, sf):
 
 @query
 def rank_by_slot(spark, sf):
-    ranked = rank.rank_by_slot(records(spark, sf), sizes=t.session_sizes(spark, sf))
-    return ranked.select("session_id", "det_idx", "id", "per_slot", "position")
+    rows = records(spark, sf).select("session_id", "det_idx", "source", "id", "per_slot")
+    return rank.rank_by_slot(rows, sizes=t.session_sizes(spark, sf)).drop("source")
 
 
 @query
@@ -87,8 +87,8 @@ def collapse_qty(spark, sf):
 
 @query
 def least_certain(spark, sf):
-    ranked = rank.least_certain(records(spark, sf), sizes=t.session_sizes(spark, sf))
-    return ranked.select("session_id", "det_idx", "certainty", "source", "position")
+    rows = records(spark, sf).select("session_id", "det_idx", "certainty", "source")
+    return rank.least_certain(rows, sizes=t.session_sizes(spark, sf))
 
 
 @query
