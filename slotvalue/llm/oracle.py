@@ -30,5 +30,81 @@ m AS (SELECT l.*, (g.k IS NOT NULL AND l.doc_id <> g.keeper) AS gone FROM l LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op9_warc_roundtrip": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
+    "op2_url_reputation": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM parts)),
+o AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
+      FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id),
+names AS (
+  SELECT host, n, bad, name, string_split(name, '.') AS l, regexp_matches(name, '^[0-9.]+$|:') AS address
+  FROM (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad,
+               regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name
+        FROM h LEFT JOIN o USING (page_id) GROUP BY host)),
+deep AS (
+  SELECT *, CASE WHEN len(l) > 2 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS d
+  FROM names),
+hosts AS (
+  SELECT host, n, bad,
+         CASE WHEN address THEN '' ELSE array_to_string(list_slice(l, greatest(len(l) - d + 1, 1), len(l)), '.') END AS suffix,
+         CASE WHEN address THEN name ELSE array_to_string(list_slice(l, greatest(len(l) - d, 1), len(l)), '.') END AS domain
+  FROM deep),
+dom AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dom GROUP BY ALL),
+top AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM suf),
+sk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
+  SELECT sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
+  FROM suf, top WHERE n > 0)),
+ss AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+                   ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM sk),
+sm AS (SELECT suffix, (m * k + bad) / (n + k) AS m FROM suf, top, ss),
+dk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
+  SELECT suffix, sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
+  FROM dom JOIN sm USING (suffix) WHERE n > 0 GROUP BY suffix)),
+ds AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+                   ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM dk),
+dm AS (SELECT suffix, domain, (m * k + bad) / (n + k) AS m FROM dom JOIN sm USING (suffix), ds),
+hk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
+  SELECT suffix, domain, sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
+  FROM hosts JOIN dm USING (suffix, domain) WHERE n > 0 GROUP BY suffix, domain)),
+hs AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+                   ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM hk),
+hm AS (SELECT host, n, bad, k, (m * k + bad) / (n + k) AS rate FROM hosts JOIN dm USING (suffix, domain), hs),
+rep AS (SELECT host, n AS n_labelled, bad AS n_bad, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + k + 1)) AS low FROM hm),
+r AS (
+  SELECT h.*, rep.* EXCLUDE (host), CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM h JOIN rep USING (host))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_bad AS BIGINT) AS n_bad, round(rate, 4) AS bad_rate, round(low, 4) AS bad_low
+FROM r
+""",
+    "op5_jaccard_join": f"""
+WITH RECURSIVE d AS ({_shingles("(SELECT doc_id AS id, text FROM documents)")}),
+n AS (SELECT id, count(*) AS n FROM d GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+l AS (SELECT x, y FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE c >= ceil(0.8 / 1.8 * (p.n + q.n) - 1e-9)),
+r(id, root) AS (SELECT x, x FROM l UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+k AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+m AS (SELECT x AS id, count(*) AS m FROM l GROUP BY x)
+SELECT doc_id, coalesce(k.root, doc_id) AS class_id, coalesce(m.m, 0) AS n_links
+FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN m ON m.id = doc_id
 """,
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotvalue.llm import decontam, lines
+from slotvalue.llm import decontam, lines, mixing, neardup, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_url_reputation(spark, sf_dir):
+    """A labelled page is bad if it is marked toxic or of low quality; labels share the page's id."""
+    bad = F.greatest((F.col("toxic") == 1).cast("int"), (F.col("quality") == 0).cast("int"))
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
 @query
 def op3_decontamination(spark, sf_dir):
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -28,3 +37,19 @@ def op3_decontamination(spark, sf_dir):
 @query
 def op4_line_dedup(spark, sf_dir):
     return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return neardup.document_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_source_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op9_warc_roundtrip(spark, sf_dir):
+    return warc.archive_listing(table(spark, sf_dir, "pages"))
