@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, decontam, lines, mixing, neardup, urls, warc
+from slotvalue.llm import ann, chunks, decontam, langid, lines, mixing, neardup, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,12 +49,29 @@ def op5_jaccard_join(spark, sf_dir):
     return neardup.document_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_language_fusion(spark, sf_dir):
+    model = langid.fit_text(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
 @query
 def op7_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_warc_roundtrip(spark, sf_dir):
     return warc.archive_listing(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_content_chunks(spark, sf_dir):
+    return chunks.span_report(table(spark, sf_dir, "documents"))
