@@ -203,6 +203,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
     ).drop("_doc", "_tag", "_keep", "_n_lines")
 
 
+def with_lengths(kept: DataFrame, length: str, text: str = "text") -> DataFrame:
+    """Renews the length of the texts that ``apply_bitmaps`` changed."""
+    return kept.withColumn(length, F.when(F.col("_n_dropped") > 0, F.length(text).cast("bigint")).otherwise(F.col(length)))
+
+
 def line_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
     """Lines, dropped lines and the digest of the kept text of every document."""
     whole = F.coalesce(F.col(text), F.lit(""))

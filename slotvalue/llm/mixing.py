@@ -133,9 +133,8 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     max_copies: int = 2,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` and the columns in ``keep``.
+    """``(doc_id, source, size, source_size, target, copies, taken)`` for every document.
 
     The sources, by code point and null last, weigh ``weights`` over and over; together they get
     ``share`` times all tokens, none more than ``max_copies`` times its own.
@@ -144,8 +143,7 @@ def mix(
     path = scratch_path(spark, "sizes")
     # The texts are read once; all that follows works on ids, sources and sizes.
     docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"),
-        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size")
     ).write.parquet(path)
     sized = spark.read.parquet(path)
     cells = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -198,5 +196,19 @@ def mix(
     return placed.withColumn("_rank", rank).select(
         "doc_id", "source", "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
+
+
+def attach_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with ``size, source_size, target, copies, taken``; the texts are shuffled once.
+
+    Rows that agree in id, source and size are interchangeable; they get their copies in any order.
+    """
+    key = lambda i, s: F.xxhash64(i, s, F.col("size")).alias("_key")
+    lists = mixed.select(key(F.col("doc_id"), F.col("source")), "source_size", "target", "copies").groupBy("_key").agg(
+        F.sort_array(F.collect_list("copies")).alias("_copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    )
+    keyed = docs.withColumn("size", token_count(F.col(text))).withColumn("_key", key(F.col(doc_id), F.col(source)))
+    nth = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(text)))
+    out = keyed.join(lists, "_key").withColumn("copies", F.element_at("_copies", nth))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_key", "_copies")
