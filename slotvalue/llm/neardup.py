@@ -204,10 +204,11 @@ def _placed(members: DataFrame) -> DataFrame:
     mates = mates.select("doc", "tag", "band", "key").join(cells, ["doc", "tag"])
     # A bucket names each of its cells once, so a large one has as many rows as cells, not members.
     others = mates.groupBy("band", "key").agg(F.collect_set("cell").alias("cells"))
-    tiles = mates.join(others, ["band", "key"]).select("doc", "tag", "cell", F.explode("cells").alias("other"))
-    return tiles.select(
+    tiles = mates.join(others, ["band", "key"]).groupBy("doc", "tag", "cell").agg(F.collect_set("cells").alias("cells"))
+    other = F.explode(F.array_distinct(F.flatten("cells"))).alias("other")
+    return tiles.select("doc", "tag", "cell", other).select(
         F.least("cell", "other").alias("t1"), F.greatest("cell", "other").alias("t2"), "cell", "doc", "tag"
-    ).distinct()
+    )
 
 
 def similar_documents(
