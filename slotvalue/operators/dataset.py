@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from slotvalue.functions.geometry import large_enough, relative_box, whole_pixels
 from slotvalue.functions.hashing import bernoulli, digest_number
 from slotvalue.functions.rounding import six_decimals
-from slotvalue.operators.skew import HOT_ROWS, global_index, hashed_index, rank_within
+from slotvalue.operators.skew import global_index, hashed_first, hashed_index, rank_within
 
 # Share of turned icons, share of validation scenes, gap inside a cell in pixels.
 TURNED = 0.5
 VALIDATION = 0.1
 INSET = 2
 
-# Largest sample that is taken with a top-n sort.
-SMALL_SAMPLE = 10_000
-
 
 def canonical_class(icons: DataFrame, members: DataFrame) -> DataFrame:
     """Icons with their class key: the smallest icon of the duplicate group, or the icon."""
@@ -58,14 +55,10 @@ def shuffled(
 
 
 def sample_first(df: DataFrame, seed: int, n: int, *key: str) -> DataFrame:
-    """First ``n`` rows of the seeded permutation.
-
-    A small sample keeps ``n`` rows per task; a large one is cut from the numbered table.
-    """
-    if n > SMALL_SAMPLE:
-        return shuffled(df, seed, *key, out="_place").where(F.col("_place") < n).drop("_place")
-    digest = digest_number(seed, *[F.col(k) for k in key], digits=15)
-    return df.orderBy(digest, *[F.col(k) for k in key]).limit(n)
+    """First ``n`` rows of the seeded permutation."""
+    keyed = df.withColumn("_digest", digest_number(seed, *[F.col(k) for k in key], digits=15))
+    order = [F.col("_digest"), *[F.col(k) for k in key]]
+    return hashed_first(keyed, "_digest", 60, order, n).drop("_digest")
 
 
 def chunked(queue: DataFrame, workers: int, position: str = "position", total: str = "total") -> DataFrame:
@@ -112,17 +105,13 @@ def label_line(class_idx: Column, cx: Column, cy: Column, w: Column, h: Column)
     return F.concat_ws(" ", class_idx.cast("string"), *[six_decimals(c) for c in (cx, cy, w, h)])
 
 
-def corrections(events: DataFrame, detections: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def corrections(events: DataFrame, detections: DataFrame, catalog: DataFrame) -> DataFrame:
     """A labelled sample for every box of the corrected icon in the session.
 
     ``events``: ``ts, session_id, icon_id, item_id``.  A correction without boxes gives nothing.
     """
     boxes = events.join(detections.select("session_id", "icon_id", "det_idx", "box"), ["session_id", "icon_id"])
-    shown = ["session_id", "icon_id"]
-    numbered = rank_within(
-        boxes, [*shown, "ts", "item_id"], [F.col("det_idx")], out="n",
-        sizes=detections.select(*shown), size_keys=shown, hot_rows=hot_rows,
-    )
+    numbered = rank_within(boxes, ["session_id", "icon_id", "ts", "item_id"], [F.col("det_idx")], out="n")
     crop = F.concat(F.lit("crops/"), F.concat_ws("_", "session_id", "icon_id", F.col("n") - 1), F.lit(".png"))
     named = with_item_name(numbered, catalog)
     return named.select(

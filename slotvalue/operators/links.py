@@ -91,7 +91,7 @@ def review_rank(mapping: DataFrame) -> DataFrame:
     return mapping.withColumn("doubt", F.when(F.col("source") == "override", -1e9).otherwise(doubt))
 
 
-def review(mapping: DataFrame, mode: str = "worst", n: int = 400, seed: int = 0) -> DataFrame:
+def review(mapping: DataFrame, mode: str, n: int, seed: int = 0) -> DataFrame:
     """First ``n`` mappings to look at: ``worst``, ``best`` or a repeatable ``random`` sample."""
     ranked = review_rank(mapping)
     order = {
@@ -108,14 +108,14 @@ def find_items(catalog: DataFrame, queries: Sequence[str]) -> DataFrame:
     """
     typed = F.array(*[F.lit(q) for q in dict.fromkeys(queries)])
     hits = F.filter(typed, lambda q: F.contains(F.lower("name"), F.lower(q)))
-    return catalog.select("item_id", "name", F.explode(hits).alias("query"))
+    return catalog.select("item_id", "name", "pos", F.explode(hits).alias("query"))
 
 
-def resolve_unique(catalog: DataFrame, queries: Sequence[str], listed: int = 15) -> DataFrame:
+def resolve_unique(catalog: DataFrame, queries: Sequence[str], listed: int) -> DataFrame:
     """Turn each typed text, an item id or a part of a name, into one item.
 
     ``status`` is ``id`` (exact id), ``unique``, ``none`` or ``ambiguous``; an ambiguous
-    text comes with its first ``listed`` items in id order and the full number of hits.
+    text comes with its first ``listed`` items in catalog order (``pos``) and the full number of hits.
     """
     queries = list(dict.fromkeys(queries))
     asked = catalog.sparkSession.createDataFrame([(q,) for q in queries], "query string")
@@ -124,7 +124,7 @@ def resolve_unique(catalog: DataFrame, queries: Sequence[str], listed: int = 15)
     )
     by_name = find_items(catalog, queries)
     hits = by_name.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
-    first = top_per_group(by_name, ["query"], [F.col("item_id")], listed).select("query", "item_id", "name")
+    first = top_per_group(by_name, ["query"], [F.col("pos"), F.col("item_id")], listed).select("query", "item_id", "name")
     ids = exact.select("query", "is_id", F.col("item_id").alias("exact_id"), F.col("name").alias("exact_name"))
     # ``asked`` has as many rows as there are typed queries, the others at most ``listed`` times that.
     state = asked.join(ids, "query", "left").join(hits, "query", "left")
@@ -140,13 +140,13 @@ def resolve_unique(catalog: DataFrame, queries: Sequence[str], listed: int = 15)
     )
 
 
-def search_items(catalog: DataFrame, query: str, limit: int = 25) -> DataFrame:
+def search_items(catalog: DataFrame, query: str, limit: int) -> DataFrame:
     """Items whose name or short name contains the text, best first.
 
-    Short-name prefixes come first, then name prefixes, then shorter names.
+    Short-name prefixes come first, then name prefixes, then shorter names, then catalog order.
     """
     needle = " ".join(query.lower().split())
     short, name = F.lower(F.coalesce("short", F.lit(""))), F.lower("name")
     hits = catalog.where(mentions(F.lit(needle), F.col("name"), F.col("short")))
-    order = [~F.startswith(short, F.lit(needle)), ~F.startswith(name, F.lit(needle)), F.length("name"), F.col("item_id")]
+    order = [~F.startswith(short, F.lit(needle)), ~F.startswith(name, F.lit(needle)), F.length("name"), F.col("pos"), F.col("item_id")]
     return hits.orderBy(*order).limit(limit)

@@ -9,7 +9,7 @@ from slotvalue.functions.geometry import whole_pixels
 from slotvalue.functions.rounding import round_share
 from slotvalue.functions.text import shown_name
 from slotvalue.operators.resolve import identified
-from slotvalue.operators.skew import HOT_ROWS, rank_within, top_per_group
+from slotvalue.operators.skew import rank_within, top_per_group
 
 # Most detections kept per image, detector thresholds.
 MAX_DETECTIONS = 400
@@ -21,19 +21,31 @@ def confident(detections: DataFrame, threshold: float = SCAN_CONFIDENCE) -> Data
     return detections.where(F.col("det_conf") >= threshold)
 
 
-def cap_detections(detections: DataFrame, most: int = MAX_DETECTIONS) -> DataFrame:
-    """The detector's own limit: the most confident detections of each image."""
+def cap_detections(detections: DataFrame, most: int) -> DataFrame:
+    """The detector's own limit: the most confident detections of each image.
+
+    ``MAX_DETECTIONS`` is the detector's number; what it cuts off is told by ``overflow``.
+    """
     order = [F.col("det_conf").desc(), F.col("det_idx")]
     return top_per_group(detections, ["session_id"], order, most).drop("rn")
 
 
-def raw_detections(output: DataFrame, threshold: float = SCAN_CONFIDENCE, most: int = MAX_DETECTIONS) -> DataFrame:
-    """Detector output as detections: threshold, limit per image, whole pixels, rounded scores.
+def overflow(detections: DataFrame, most: int) -> DataFrame:
+    """Images with more detections than the limit, and how many are over it."""
+    counts = detections.groupBy("session_id").agg(F.count(F.lit(1)).alias("detections"))
+    return counts.where(F.col("detections") > most).withColumn("over", F.col("detections") - most)
+
+
+def raw_detections(output: DataFrame, most: int | None, threshold: float = SCAN_CONFIDENCE) -> DataFrame:
+    """Detector output as detections: threshold, whole pixels, rounded scores.
+
+    ``most`` is the limit per image, None for none.
 
     ``output`` has the columns of a detection with fractional boxes and full-precision scores.
     The threshold applies to the unrounded confidence.
     """
-    kept = cap_detections(confident(output, threshold), most)
+    kept = confident(output, threshold)
+    kept = kept if most is None else cap_detections(kept, most)
     return kept.withColumns(
         {
             "icon_id": F.col("icon_id").cast("string"),
@@ -76,23 +88,19 @@ def collapse(records: DataFrame, first_seen: bool = False) -> DataFrame:
     return rows.drop("key")
 
 
-def rank_by_slot(records: DataFrame, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_by_slot(records: DataFrame) -> DataFrame:
     """Position of each identified detection, highest value per slot first."""
     order = [F.col("per_slot").desc(), F.col("det_idx")]
-    return rank_within(
-        identified(records), ["session_id"], order, out="position", sizes=sizes, hot_rows=hot_rows
-    )
+    return rank_within(identified(records), ["session_id"], order, out="position")
 
 
-def keep_ditch(records: DataFrame, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def keep_ditch(records: DataFrame) -> DataFrame:
     """Split the collapsed items of a session at the median.
 
     The better half (rounded up) is ``keep``, best first; the rest is ``ditch``, worst first.
     """
     order = [F.col("per_slot").desc(), F.col("first_det")]
-    ranked = rank_within(
-        collapse(records), ["session_id"], order, total="n", sizes=sizes, hot_rows=hot_rows
-    )
+    ranked = rank_within(collapse(records), ["session_id"], order, total="n")
     keep = F.col("rn") <= F.ceil(F.col("n") / 2)
     return (
         ranked.withColumn("list", F.when(keep, "keep").otherwise("ditch"))
@@ -101,13 +109,13 @@ def keep_ditch(records: DataFrame, sizes: DataFrame | None = None, hot_rows: int
     )
 
 
-def least_certain(records: DataFrame, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def least_certain(records: DataFrame) -> DataFrame:
     """Review order of a session: least certain first, unidentified rows count as 0."""
     order = [F.coalesce("certainty", F.lit(0.0)), F.col("det_idx")]
-    return rank_within(records, ["session_id"], order, out="position", sizes=sizes, hot_rows=hot_rows)
+    return rank_within(records, ["session_id"], order, out="position")
 
 
-def top_report(records: DataFrame, n: int = 25) -> DataFrame:
+def top_report(records: DataFrame, n: int) -> DataFrame:
     """The ``n`` best detections of the whole table."""
     best = identified(records).orderBy(F.col("per_slot").desc(), "session_id", "det_idx").limit(n)
     return best.select(

@@ -49,10 +49,10 @@ def resolve(
     """
     items = item_entries(catalog, basis)
     by_text = items.select(
-        F.col("item_id").alias("ocr_id"), F.lit(0).alias("_salt"), _entry("value").alias("o")
+        F.col("item_id").alias("ocr_id"), F.lit(0).cast("bigint").alias("_salt"), _entry("value").alias("o")
     )
     # Many detections carry no text; their empty keys are spread over the join.
-    salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("det_idx")))
+    salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("session_id"), F.col("det_idx")))
     both = salted.join(visual_candidates(links, items), "icon_id", "left").join(
         by_text, ["ocr_id", "_salt"], "left"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,83 +12,84 @@ from pyspark.sql import functions as F
 
 from slotvalue.runtime import checkpoint
 
-# Rows of one group that a single task may sort.
-HOT_ROWS = 5_000_000
-# Value ranges of a hashed order.  Fixed, so the table of range counts has a fixed size.
-HASH_RANGES = 16384
+# Bits of a digest that name the range a sample is cut in.
+SAMPLE_BITS = 12
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups with more than ``hot_rows`` rows, or None.
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    There are at most rows/hot_rows of them, so the result may be broadcast.
+
+def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows in sorted ranges of about equal size, numbered by ``_range``.
+
+    The checkpoint freezes the sampled bounds: all uses below see the same ranges.
     """
-    hot = checkpoint(df.groupBy(*keys).count().where(F.col("count") > hot_rows))
-    return None if hot.isEmpty() else hot
-
-
-def rank_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str = "rn",
-    total: str | None = None,
-    sizes: DataFrame | None = None,
-    size_keys: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    spread = df.repartitionByRange(shuffle_width(df), *order).withColumn("_range", F.spark_partition_id())
+    return checkpoint(spread)
+
+
+def _starts(counts: DataFrame) -> tuple[DataFrame, int]:
+    """``(_range, _start)``: rows before each range, from one count per range; and all rows.
+
+    A range is a partition, or one of a fixed number of hash ranges, so the driver gets a
+    bounded number of counts whatever the size of the table.
+    """
+    rows = sorted((r["_range"], r["count"]) for r in counts.collect())
+    starts = accumulate((n for _, n in rows), initial=0)
+    pairs = [(r, s) for (r, _), s in zip(rows, starts, strict=False)]
+    return counts.sparkSession.createDataFrame(pairs, "_range int, _start bigint"), sum(n for _, n in rows)
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn", total: str | None = None) -> DataFrame:
     """1-based position of each row in its group, and optionally the size of the group.
 
-    ``order`` must be total.  ``sizes`` is any cheaper table whose groups by ``size_keys``
-    (some of the keys, by default all) are at least as large; it is only counted.  Without
-    it ``df`` itself is counted.  Groups above ``hot_rows`` are cut into sorted ranges that
-    are ranked on their own, so that no task sorts a whole hot group.  Such a table is
-    written once on the way: select the columns you need before ranking.
+    ``order`` must be total.  The table is cut into sorted ranges by group and order, written
+    once, and each range is ranked on its own, so no task sorts more than a range,
+    however large a group is.  Only groups that reach over a bound need a shift; there are
+    fewer of them than ranges.  Select the columns you need before ranking.
     """
-    keys, size_keys = list(keys), list(size_keys or keys)
-    # Counting a narrow table reads no columns; a table this small has no hot group.
-    small = sizes is not None and sizes.count() <= hot_rows
-    hot = None if small else hot_groups(df if sizes is None else sizes, size_keys, hot_rows)
-    if hot is None:
-        return _rank_small(df, keys, order, out, total)
-    # Written once: both branches and the sampling of the range bounds read the rows again.
-    df = checkpoint(df)
-    # The hot list is bounded (see hot_groups).
-    cold = df.join(F.broadcast(hot), size_keys, "left_anti")
-    large = df.join(F.broadcast(hot), size_keys, "left_semi")
-    rows = hot.agg(F.sum("count")).first()[0]
-    ranges = max(2, math.ceil(4 * rows / hot_rows))
-    ranked = _rank_ranges(large, keys, order, out, total, ranges)
-    return _rank_small(cold, keys, order, out, total).unionByName(ranked)
-
-
-def _rank_small(df, keys, order, out, total):
-    ranked = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    keys = list(keys)
+    spread = _ranged(df, [*[F.col(k) for k in keys], *order])
+    counts = spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    wide = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_ranges"), F.sum("_n").alias("_total"), F.collect_list(F.struct("_range", "_n")).alias("_parts")
+    ).where("_ranges > 1")
+    earlier = F.filter("_parts", lambda p: p["_range"] < F.col("_part._range"))
+    names = [f"_key_{i}" for i in range(len(keys))]
+    shifts = wide.withColumn("_part", F.explode("_parts")).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part._range").alias("_part_range"), "_total",
+        F.aggregate(earlier, F.lit(0).cast("bigint"), lambda s, p: s + p["_n"]).alias("_start"),
+    )
+    whole = W.partitionBy(*keys, "_range")
+    local = spread.withColumn("_local", F.row_number().over(whole.orderBy(*order)))
     if total:
-        ranked = ranked.withColumn(total, F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    return ranked
+        local = local.withColumn("_here", F.count(F.lit(1)).over(whole))
+    # At most two rows per range: every bound is crossed by one group.
+    same = F.col("_range") == F.col("_part_range")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    ranked = local.join(F.broadcast(shifts), same, "left")
+    ranked = ranked.withColumn(out, (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("int"))
+    if total:
+        ranked = ranked.withColumn(total, F.coalesce("_total", "_here"))
+    return ranked.drop("_range", "_local", "_here", "_start", "_total", "_part_range", *names)
 
 
-def _rank_ranges(df, keys, order, out, total, ranges):
-    # The checkpoint freezes the sampled range bounds: both uses below see the same ranges.
-    spread = df.repartitionByRange(ranges, *keys, *order).withColumn(
-        "_range", F.spark_partition_id()
-    )
-    spread = checkpoint(spread)
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(
-        *keys,
-        "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+def global_index(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """0-based position over the whole table in any total order, from a range sort.
+
+    The table is written once, since its ranges are counted before they are numbered.
+    """
+    spread = _ranged(df, order)
+    starts, _ = _starts(spread.groupBy("_range").count())
+    local = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return (
+        spread.withColumn("_local", local)
+        .join(F.broadcast(starts), "_range")
+        .withColumn(out, (F.col("_local") + F.col("_start")).cast("bigint"))
+        .drop("_range", "_local", "_start")
     )
-    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
-    ranked = spread.withColumn("_local", local).join(F.broadcast(starts), [*keys, "_range"])
-    ranked = ranked.withColumn(out, (F.col("_local") + F.col("_start")).cast("int"))
-    if total:
-        ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop("_range", "_local", "_start", "_total")
 
 
 def hashed_index(
@@ -95,41 +97,38 @@ def hashed_index(
 ) -> DataFrame:
     """0-based position over the whole table in the order of an evenly spread hash.
 
-    The hash is cut into a fixed number of ranges; each range is numbered on its own and
-    shifted by the rows before it, so no task holds more than one range.  ``order`` must
-    be total and start with the hash.
+    The hash is cut into a few ranges per shuffle partition; each is numbered on its own
+    and shifted by the rows before it.  ``order`` must be total and start with the hash.
     """
-    shift = max(0, bits - int(math.log2(HASH_RANGES)))
-    ranged = df.withColumn("_range", F.shiftright(F.col(hash_col), shift))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    extra = [F.sum("_n").over(W.partitionBy()).alias(total)] if total else []
-    starts = starts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *extra)
+    wanted = max(1, math.ceil(math.log2(4 * shuffle_width(df))))
+    ranged = df.withColumn("_range", F.shiftright(F.col(hash_col), max(0, bits - wanted)).cast("int"))
+    starts, rows = _starts(ranged.groupBy("_range").count())
     local = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
-    # At most HASH_RANGES rows are broadcast.
-    return (
+    indexed = (
         ranged.withColumn("_local", local)
         .join(F.broadcast(starts), "_range")
         .withColumn(out, (F.col("_local") + F.col("_start")).cast("bigint"))
         .drop("_range", "_local", "_start")
     )
+    return indexed.withColumn(total, F.lit(rows).cast("bigint")) if total else indexed
 
 
-def global_index(
-    df: DataFrame, order: Sequence[Column], out: str, rows_per_range: int = HOT_ROWS
-) -> DataFrame:
-    """0-based position over the whole table in any total order, from a range sort.
+def hashed_first(df: DataFrame, hash_col: str, bits: int, order: Sequence[Column], n: int) -> DataFrame:
+    """First ``n`` rows in the order of an evenly spread hash.
 
-    The table is written once, since it is counted before it is ranked.
+    Counts per hash range tell where the cut falls: ranges below it are taken whole and only
+    the rows of the range that holds the cut are numbered.
     """
-    df = checkpoint(df)
-    rows = df.count()
-    whole = df.withColumn("_all", F.lit(1))
-    ranges = max(1, math.ceil(rows / rows_per_range))
-    ranked = _rank_ranges(whole, ["_all"], order, out, None, ranges) if ranges > 1 else _rank_small(
-        whole, ["_all"], order, out, None
-    )
-    return ranked.withColumn(out, F.col(out).cast("bigint") - 1).drop("_all")
+    ranged = df.withColumn("_range", F.shiftright(F.col(hash_col), bits - SAMPLE_BITS).cast("int"))
+    left, cut = n, -1
+    for r, rows in sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect()):
+        cut = r
+        if rows >= left:
+            break
+        left -= rows
+    edge = ranged.where(F.col("_range") == cut)
+    edge = edge.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(*order))).where(F.col("_place") <= left)
+    return ranged.where(F.col("_range") < cut).unionByName(edge.drop("_place")).drop("_range")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
@@ -143,11 +142,11 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     )
 
 
-def spread_missing(key: Column, row_id: Column, fan: int = 1024) -> Column:
+def spread_missing(key: Column, *row_id: Column) -> Column:
     """Salt for an equi join whose left side has many empty keys.
 
-    Rows with a key get 0 (the salt of the right side); the others get 1..fan and find
-    no partner, but no longer meet in one partition.
+    Rows with a key get 0 (the salt of the right side); the others get a hash of the row and
+    find no partner, but no longer meet in one partition.
     """
     missing = key.isNull() | (key == "")
-    return F.when(missing, F.pmod(F.xxhash64(row_id), F.lit(fan)) + 1).otherwise(F.lit(0)).cast("int")
+    return F.when(missing, F.xxhash64(*row_id).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint"))

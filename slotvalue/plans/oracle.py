@@ -434,7 +434,7 @@ ORACLE["unique_match"] = _sql(
     LEFT JOIN (SELECT q.query, count(*) AS hits FROM names JOIN (VALUES ('17'), ('small ring'), ('RED'), ('no such thing')) q(query)
                ON contains(lower(name), lower(q.query)) GROUP BY q.query) h ON h.query = a.query
     LEFT JOIN (SELECT * FROM (
-                 SELECT q.query, item_id, name, row_number() OVER (PARTITION BY q.query ORDER BY item_id) AS rn
+                 SELECT q.query, item_id, name, row_number() OVER (PARTITION BY q.query ORDER BY pos) AS rn
                  FROM names JOIN (VALUES ('17'), ('small ring'), ('RED'), ('no such thing')) q(query)
                  ON contains(lower(name), lower(q.query))) WHERE rn <= 15) f
       ON f.query = a.query AND x.item_id IS NULL
@@ -452,7 +452,7 @@ ORACLE["search_items"] = _sql(
     """
     SELECT item_id, name, short, width, height, value FROM items
     WHERE contains(lower(name), 'red') OR contains(lower(short), 'red')
-    ORDER BY NOT starts_with(lower(short), 'red'), NOT starts_with(lower(name), 'red'), length(name), item_id LIMIT 25
+    ORDER BY NOT starts_with(lower(short), 'red'), NOT starts_with(lower(name), 'red'), length(name), CAST(item_id AS BIGINT) LIMIT 25
     """,
     "items",
 )
@@ -1106,7 +1106,7 @@ ORACLE["fetch_worklist"] = """
       AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = p_partkey AND o_orderstatus = 'F')
 """
 ORACLE["freshness"] = """
-    SELECT event_type, user_id, round_even(seconds / 3600.0::DOUBLE, 1) AS age_h, round_even(seconds / 3600.0::DOUBLE, 1) >= 24 AS stale
+    SELECT event_type, user_id, round_even(seconds / 3600.0::DOUBLE, 1) AS age_h, seconds >= 86400 AS stale
     FROM (SELECT event_type, user_id, date_sub('second', max(ts), TIMESTAMP '2024-01-15 00:00:00') AS seconds
           FROM events GROUP BY event_type, user_id)
 """
@@ -1179,4 +1179,8 @@ ORACLE["label_files"] = _sql(
 )
 ORACLE["stream_current_links"] = ORACLE["link_latest_event"]
 ORACLE["stream_valued_records"] = ORACLE["session_summary"]
-ORACLE["stream_reprojection"] = ORACLE["session_summary"]
+for _name in ("stream_reprojection", "stream_split_sessions", "stream_scan_and_correct", "stream_price_refresh"):
+    ORACLE[_name] = ORACLE["session_summary"]
+ORACLE["stored_session"] = (
+    "SELECT * FROM (" + ORACLE["resolve_identity"] + ") WHERE session_id = (SELECT CAST(max(CAST(l_orderkey AS VARCHAR)) AS VARCHAR) FROM lineitem)"
+)

@@ -57,13 +57,13 @@ FLAT = [
 
 @query
 def keep_ditch(spark, sf):
-    return rank.keep_ditch(records(spark, sf), sizes=t.session_sizes(spark, sf))
+    return rank.keep_ditch(records(spark, sf))
 
 
 @query
 def rank_by_slot(spark, sf):
     rows = records(spark, sf).select("session_id", "det_idx", "source", "id", "per_slot")
-    return rank.rank_by_slot(rows, sizes=t.session_sizes(spark, sf)).drop("source")
+    return rank.rank_by_slot(rows).drop("source")
 
 
 @query
@@ -88,12 +88,12 @@ def collapse_qty(spark, sf):
 @query
 def least_certain(spark, sf):
     rows = records(spark, sf).select("session_id", "det_idx", "certainty", "source")
-    return rank.least_certain(rows, sizes=t.session_sizes(spark, sf))
+    return rank.least_certain(rows)
 
 
 @query
 def top_report(spark, sf):
-    return rank.top_report(records(spark, sf))
+    return rank.top_report(records(spark, sf), 25)
 
 
 @query
@@ -177,7 +177,7 @@ def capped_detections(spark, sf):
         F.col("sk").cast("string").alias("session_id"), ((1000 - F.col("tax") * 95) / 1000).alias("det_conf"),
         t.detection_index().alias("det_idx"),
     )
-    return rank.cap_detections(shelf)
+    return rank.cap_detections(shelf, rank.MAX_DETECTIONS)
 
 
 @query
@@ -189,7 +189,7 @@ def raw_detections(spark, sf):
         F.array(*[(F.col("cents") % m).cast("double") / 8 for m in (9001, 7001)]).alias("box"),
         share.alias("det_conf"), (F.col("cents") % 81 / 80).alias("ocr_score"),
     )
-    rows = rank.raw_detections(output)
+    rows = rank.raw_detections(output, rank.MAX_DETECTIONS)
     return rows.select("session_id", "det_idx", "icon_id", F.col("box")[0].alias("x0"), F.col("box")[1].alias("y0"), "det_conf", "ocr_score")
 
 
@@ -282,7 +282,7 @@ def effective_map(spark, sf):
 
 
 def _review(spark, sf, mode):
-    return links.review(_map(spark, sf), mode, seed=SEED).select("icon_id", "name", "source", "doubt")
+    return links.review(_map(spark, sf), mode, 400, seed=SEED).select("icon_id", "name", "source", "doubt")
 
 
 @query
@@ -310,17 +310,17 @@ SEARCHES = ["17", "small ring", "RED", "no such thing"]
 
 @query
 def unique_match(spark, sf):
-    return links.resolve_unique(t.names(spark, sf), SEARCHES)
+    return links.resolve_unique(t.names(spark, sf), SEARCHES, listed=15)
 
 
 @query
 def find_items(spark, sf):
-    return links.find_items(t.names(spark, sf), ["Gold", "bolt"])
+    return links.find_items(t.names(spark, sf), ["Gold", "bolt"]).drop("pos")
 
 
 @query
 def search_items(spark, sf):
-    found = links.search_items(t.catalog(spark, sf), "  Red ")
+    found = links.search_items(t.catalog(spark, sf), "  Red ", limit=25)
     return resolve.item_entries(found)
 
 
@@ -779,8 +779,9 @@ def freshness(spark, sf):
     now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     newest = t.raw(spark, sf, "events").groupBy("event_type", "user_id").agg(F.max("ts").alias("ts"))
     seconds = F.expr("timestampdiff(SECOND, ts, now)")
-    aged = newest.withColumn("now", now).withColumn("age_h", F.bround(seconds / 3600, 1))
-    return aged.select("event_type", "user_id", "age_h", readers.stale(F.col("age_h"), 24.0).alias("stale"))
+    aged = newest.withColumn("now", now).withColumn("age_h", seconds / 3600)
+    # Rounded for display only.
+    return aged.select("event_type", "user_id", F.bround("age_h", 1).alias("age_h"), readers.stale(F.col("age_h"), 24.0).alias("stale"))
 
 
 @query
@@ -884,31 +885,99 @@ def _staged_detections(spark, sf):
 BUCKETS = 16
 
 
+def _layered(spark, sf):
+    """Manual links on top of the other layers."""
+    auto, flat = t.auto_links(spark, sf), t.overrides(spark, sf)
+    return lambda manual: links.project_links(auto, flat, manual.withColumn("source", F.lit("manual")))
+
+
+def _no_corrections(spark):
+    return readers.empty(spark, "icon_id string, item_id string, seq bigint")
+
+
 @query
 def stream_valued_records(spark, sf):
     """Sessions valued as their detections arrive."""
     scans, out, state = _staged_detections(spark, sf), scratch_path(spark, "records"), scratch_path(spark, "state")
     arriving = jobs.stream_detections(spark, scans)
-    jobs.value_detections(arriving, link_map(spark, sf), t.catalog(spark, sf), out, state).awaitTermination()
+    jobs.value_detections(
+        arriving, lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
+    ).awaitTermination()
+    return rank.session_summary(jobs.current_records(spark, out))
+
+
+@query
+def stream_split_sessions(spark, sf):
+    """Sessions whose detections arrive in several batches."""
+    scans, out, state = (scratch_path(spark, label) for label in ("detections", "records", "state"))
+    t.detections(spark, sf).drop("quantity").repartition(4, "det_idx").write.parquet(scans)
+    arriving = jobs.stream_detections(spark, scans, files_per_batch=1)
+    jobs.value_detections(
+        arriving, lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
+    ).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))
 
 
 @query
 def stream_reprojection(spark, sf):
     """Records without corrections, then a stream of corrections that redoes only the sessions it touches."""
-    auto, flat, catalog = t.auto_links(spark, sf), t.overrides(spark, sf), t.catalog(spark, sf)
-    store = scratch_path(spark, "store")
+    layered = _layered(spark, sf)
+    store, links_out, out, state = (scratch_path(spark, label) for label in ("store", "links", "records", "state"))
     jobs.store_detections(t.detections(spark, sf).drop("quantity"), store, BUCKETS)
-    scans, index = jobs.stored_detections(spark, store), jobs.stored_index(spark, store)
-    links_out, out, state = (scratch_path(spark, label) for label in ("links", "records", "state"))
+    first = resolve.resolve(jobs.stored_detections(spark, store), layered(_no_corrections(spark)), t.catalog(spark, sf))
+    jobs.write_records(first, out, 0, "first", BUCKETS)
+    jobs.maintain_records(
+        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: t.catalog(spark, sf), links_out, out, state, buckets=BUCKETS
+    ).awaitTermination()
+    return rank.session_summary(jobs.current_records(spark, out))
 
-    def layered(manual):
-        return links.project_links(auto, flat, manual.withColumn("source", F.lit("manual")))
 
-    none = readers.empty(spark, "icon_id string, item_id string, seq bigint")
-    jobs.write_version(resolve.resolve(scans, layered(none), catalog), out, 0)
-    events = jobs.stream_events(spark, _staged_events(spark, sf))
+@query
+def stream_scan_and_correct(spark, sf):
+    """Half of each session is scanned, then corrected, then the other half is scanned into the same store."""
+    layered = _layered(spark, sf)
+    scans, store, links_out, out = (scratch_path(spark, label) for label in ("detections", "store", "links", "records"))
+    scanned, corrected = scratch_path(spark, "state"), scratch_path(spark, "state")
+    rows = t.detections(spark, sf).drop("quantity")
+
+    def scan(part):
+        rows.where(F.col("det_idx") % 2 == part).write.mode("append").parquet(scans)
+        jobs.value_detections(
+            jobs.stream_detections(spark, scans), lambda: layered(jobs.current_links(spark, links_out)), lambda: t.catalog(spark, sf),
+            out, scanned, store=store, buckets=BUCKETS,
+        ).awaitTermination()
+
+    scan(0)
     jobs.maintain_records(
-        events, scans, layered, catalog, links_out, out, state, index=index, buckets=BUCKETS
+        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: t.catalog(spark, sf), links_out, out, corrected,
+        buckets=BUCKETS,
     ).awaitTermination()
+    scan(1)
+    return rank.session_summary(jobs.current_records(spark, out))
+
+
+@query
+def stream_price_refresh(spark, sf):
+    """A stale catalog is replaced, and the sessions that show or name a repriced item are redone."""
+    shown = link_map(spark, sf)
+    catalog = t.catalog(spark, sf)
+    old = F.when(F.col("pos") % 3 == 0, F.col("avg24h") + 7).otherwise(F.col("avg24h")).cast(catalog.schema["avg24h"].dataType)
+    before = catalog.withColumn("avg24h", old)
+    store, out = scratch_path(spark, "store"), scratch_path(spark, "records")
+    jobs.store_detections(t.detections(spark, sf).drop("quantity"), store, BUCKETS)
+    jobs.write_records(resolve.resolve(jobs.stored_detections(spark, store), shown, before), out, 0, "first", BUCKETS)
+    age = readers.snapshot_age(spark, scratch_path(spark, "missing"), "2024-01-15 00:00:00")
+    jobs.refresh_prices(
+        spark, age, before, lambda: catalog, lambda rows: writers.write_snapshot(rows, "catalog"), spark.read.parquet,
+        store, shown, out, 0, buckets=BUCKETS,
+    )
     return rank.session_summary(jobs.current_records(spark, out))
+
+
+@query
+def stored_session(spark, sf):
+    """One session out of a record store; only its bucket is read."""
+    out = scratch_path(spark, "records")
+    jobs.write_records(records(spark, sf), out, 0, "first", BUCKETS)
+    newest = t.session_sizes(spark, sf).agg(F.max("session_id")).first()[0]
+    return jobs.sessions(spark, out, [newest] if newest else [], BUCKETS).select(*FLAT)

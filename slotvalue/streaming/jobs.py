@@ -1,13 +1,20 @@
-"""Correction log to links, detections to records, and incremental re-projection.
+"""Correction log to links, detections to records, price refreshes, and incremental re-projection.
 
-Results are written as versions: batch ``n`` goes to ``<path>/version=n`` and a repeated
-batch replaces the same folder, so a restart gives the same table.  Readers take the
-newest version of each key and can skip versions they have seen.
+Tables that streams maintain are folders of versions: batch ``n`` of a writer goes to
+``<path>/writer=<name>/version=n`` and a repeated batch replaces the same folder, so a restart
+gives the same table and writers never touch each other's versions.  Every version carries a
+commit time.  The current record of a detection is the one with the newest commit among all writers,
+so a scan adds to a session, a re-projection replaces what it redoes, and a replayed
+batch replaces itself.
+
+Current tables (links, catalog, stored detections) are given as functions and read anew for
+each batch, so a running stream sees every correction and refresh.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +22,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from slotvalue.operators.resolve import item_entries, resolve
+from slotvalue.operators.skew import top_per_group
 from slotvalue.runtime import checkpoint as checkpoint_table
 from slotvalue.schema import DETECTION, LINK_EVENT
 from slotvalue.sources.readers import path_exists, stale
 
+Table = Callable[[], DataFrame]
+BUCKETS = 1024
+
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(LINK_EVENT)
@@ -40,8 +51,20 @@ def changing_links(events: DataFrame) -> DataFrame:
     return manual.groupBy("icon_id").agg(F.max_by("item_id", "seq").alias("item_id"), F.max("seq").alias("seq"))
 
 
-def write_version(batch: DataFrame, path: str, version: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/version={version}")
+def _now() -> int:
+    """Commit time in microseconds; the clocks of the drivers that share a store must agree."""
+    return time.time_ns() // 1000
+
+
+def version_path(path: str, writer: str, version: int) -> str:
+    return f"{path}/writer={writer}/version={version}"
+
+
+def write_version(batch: DataFrame, path: str, version: int, writer: str = "main", by: Sequence[str] = ()) -> None:
+    rows = batch.withColumn("commit", F.lit(_now()).cast("bigint"))
+    if by:
+        rows = rows.hint("rebalance", *[F.col(c) for c in by])
+    rows.write.mode("overwrite").partitionBy(*by).parquet(version_path(path, writer, version))
 
 
 def start(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
@@ -49,6 +72,9 @@ def start(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFra
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start()
 
 
+# --- links -----------------------------------------------------------------------------
+
+
 def maintain_links(events: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write the links that changed in each batch."""
     return start(changing_links(events), "update", checkpoint, lambda df, n: write_version(df, out, n), **trigger)
@@ -56,10 +82,10 @@ def maintain_links(events: DataFrame, out: str, checkpoint: str, **trigger) -> S
 
 def current_links(spark: SparkSession, out: str) -> DataFrame:
     """Newest link per icon over all written versions."""
-    if not path_exists(spark, f"{out}/version=*"):
+    if not path_exists(spark, f"{out}/writer=*/version=*"):
         return spark.createDataFrame([], "icon_id string, item_id string, seq bigint")
-    changes = spark.read.parquet(out)
-    return changes.groupBy("icon_id").agg(F.max_by("item_id", "seq").alias("item_id"), F.max("seq").alias("seq"))
+    changes = spark.read.parquet(out).select("icon_id", "item_id", "seq")
+    return top_per_group(changes, ["icon_id"], [F.col("seq").desc()], 1).drop("rn")
 
 
 def changes_since(spark: SparkSession, out: str, seen: int) -> DataFrame:
@@ -67,44 +93,63 @@ def changes_since(spark: SparkSession, out: str, seen: int) -> DataFrame:
     return spark.read.parquet(out).where(F.col("version") > seen)
 
 
-def value_detections(
-    detections: DataFrame, links: DataFrame, catalog: DataFrame, out: str, checkpoint: str,
-    basis: str = "avg24h", **trigger,
-) -> StreamingQuery:
-    """Resolve arriving detections against the current tables and append the records."""
-    records = resolve(detections, links, catalog, basis)
-    return start(records, "append", checkpoint, lambda df, n: write_version(df, out, n), **trigger)
+def compact_links(spark: SparkSession, out: str, target: str) -> None:
+    """Write the newest link of every icon to a new place as version 0."""
+    write_version(current_links(spark, out), target, 0, "compact")
+
+
+# --- detections and records ------------------------------------------------------------
 
 
 def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _store(df: DataFrame, column: str, key: str, path: str, buckets: int) -> None:
-    """Write by bucket; a crowded bucket is split over several tasks and files."""
-    df.withColumn(column, _bucket(key, buckets)).hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+
+
+# The indexes of a detection store: name, key column and bucket column.
+ICON_INDEX = ("icons", "icon_id", "icon_bucket")
+TEXT_INDEX = ("texts", "ocr_id", "text_bucket")
 
 
-def store_detections(detections: DataFrame, path: str, buckets: int = 1024) -> None:
-    """Keep detections by session bucket, and the (icon, session) index by icon bucket.
+def store_detections(detections: DataFrame, path: str, buckets: int = BUCKETS, version: int = 0, writer: str = "main") -> None:
+    """Keep detections by session bucket, and their sessions by icon and by recognised item.
 
-    A batch of corrections then reads the buckets of its icons and sessions only.
+    A batch of corrections or prices then reads the buckets it touches only.  A crowded
+    bucket is split over several tasks and files.
     """
-    _store(detections, "session_bucket", "session_id", f"{path}/rows", buckets)
-    shown = detections.select("icon_id", "session_id").distinct()
-    _store(shown, "icon_bucket", "icon_id", f"{path}/index", buckets)
+    rows = detections.withColumn("session_bucket", _bucket("session_id", buckets))
+    write_version(rows, f"{path}/rows", version, writer, ["session_bucket"])
+    for name, key, column in (ICON_INDEX, TEXT_INDEX):
+        shown = detections.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, "session_id").distinct()
+        write_version(shown.withColumn(column, _bucket(key, buckets)), f"{path}/{name}", version, writer, [column])
+
+
+def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    if not path_exists(spark, f"{path}/writer=*/version=*"):
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(path)
 
 
 def stored_detections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{_ddl(DETECTION)}, session_bucket int").parquet(f"{path}/rows")
+    """Each detection once, however often a scan was stored."""
+    rows = _stored(spark, f"{path}/rows", f"{_ddl(DETECTION)}, commit bigint, session_bucket int")
+    return newest(rows).drop("commit", "writer", "version")
 
 
-def stored_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("icon_id string, session_id string, icon_bucket int").parquet(f"{path}/index")
+def stored_index(spark: SparkSession, path: str, index: tuple[str, str, str] = ICON_INDEX) -> DataFrame:
+    name, key, column = index
+    return _stored(spark, f"{path}/{name}", f"{key} string, session_id string, {column} int")
 
 
-def _ddl(schema: StructType) -> str:
-    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+def newest(rows: DataFrame) -> DataFrame:
+    """The row with the newest commit of every detection; a hot session is many groups."""
+    keys = ["session_id", "det_idx"]
+    if "session_bucket" in rows.columns:
+        keys.append("session_bucket")  # so that a filter on it reaches the folders
+    return top_per_group(rows, keys, [F.col("commit").desc()], 1).drop("rn")
 
 
 def _pick(rows: DataFrame, keys: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
@@ -122,75 +167,112 @@ def _pick(rows: DataFrame, keys: DataFrame, key: str, bucket: str, buckets: int)
 
 
 def affected_sessions(
-    detections: DataFrame, icons: DataFrame | None = None, items: DataFrame | None = None, buckets: int = 1024
+    icon_index: DataFrame, icons: DataFrame, text_index: DataFrame | None = None, items: DataFrame | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Sessions that contain one of the icons, or whose text names one of the items.
+    """Sessions that show one of the icons, or whose text names one of the items.
 
-    For icons alone the stored index can take the place of the detections.
+    The detections themselves can take the place of the indexes.
     """
-    parts = []
-    if icons is not None:
-        parts.append(_pick(detections, icons, "icon_id", "icon_bucket", buckets))
+    found = _pick(icon_index, icons, "icon_id", "icon_bucket", buckets).select("session_id")
     if items is not None:
-        named = items.select(F.col("item_id").alias("ocr_id")).distinct()
-        parts.append(detections.join(named, "ocr_id", "left_semi"))
-    rows = parts[0].select("session_id")
-    for part in parts[1:]:
-        rows = rows.unionByName(part.select("session_id"))
-    return rows.distinct()
+        named = items.select(F.col("item_id").alias("ocr_id"))
+        found = found.unionByName(_pick(text_index, named, "ocr_id", "text_bucket", buckets).select("session_id"))
+    return found.distinct()
 
 
-def repriced_items(before: DataFrame, after: DataFrame, basis_before: str = "avg24h", basis_after: str = "avg24h") -> DataFrame:
-    """Items whose value or entry differs between two catalogs (or two price bases)."""
-    old = item_entries(before, basis_before)
-    new = item_entries(after, basis_after)
-    changed = new.exceptAll(old).unionByName(old.exceptAll(new))
-    return changed.select("item_id").distinct()
+def sessions(spark: SparkSession, records: str, session_ids: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Current records of some sessions; only the folders of their buckets are read."""
+    touched = spark.createDataFrame([(s,) for s in session_ids], "session_id string").select(_bucket("session_id", buckets))
+    numbers = sorted({row[0] for row in touched.collect()})
+    rows = spark.read.parquet(records).where(F.col("session_bucket").isin(numbers) & F.col("session_id").isin(list(session_ids)))
+    return newest(rows).drop("commit", "writer", "version", "session_bucket")
+
+
+def write_records(records: DataFrame, out: str, version: int, writer: str, buckets: int = BUCKETS) -> None:
+    write_version(records.withColumn("session_bucket", _bucket("session_id", buckets)), out, version, writer, ["session_bucket"])
+
+
+def current_records(spark: SparkSession, out: str) -> DataFrame:
+    """The newest record of each detection over all writers."""
+    return newest(spark.read.parquet(out)).drop("commit", "session_bucket")
+
+
+def compact_records(spark: SparkSession, out: str, target: str, buckets: int = BUCKETS) -> None:
+    """Write the current record of every detection to a new place as version 0."""
+    write_records(current_records(spark, out).drop("writer", "version"), target, 0, "compact", buckets)
+
+
+def value_detections(
+    detections: DataFrame, links_of: Table, catalog_of: Table, out: str, checkpoint: str,
+    basis: str = "avg24h", store: str | None = None, buckets: int = BUCKETS, writer: str = "scan", **trigger,
+) -> StreamingQuery:
+    """Resolve arriving detections against the tables of the moment and add their records.
+
+    With ``store`` the detections are kept for later re-projections.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        if store:
+            store_detections(batch, store, buckets, n, writer)
+        write_records(resolve(batch, links_of(), catalog_of(), basis), out, n, writer, buckets)
+
+    return start(detections, "append", checkpoint, each, **trigger)
 
 
 def reproject(
     detections: DataFrame, sessions: DataFrame, links: DataFrame, catalog: DataFrame, out: str,
-    version: int, basis: str = "avg24h", buckets: int = 1024,
+    version: int, writer: str, basis: str = "avg24h", buckets: int = BUCKETS,
 ) -> None:
     """Resolve the stored detections of some sessions again and write them as a version."""
     stored = _pick(detections, sessions, "session_id", "session_bucket", buckets)
-    write_version(resolve(stored, links, catalog, basis), out, version)
+    write_records(resolve(stored, links, catalog, basis), out, version, writer, buckets)
 
 
 def maintain_records(
-    events: DataFrame, detections: DataFrame, links_of: Callable[[DataFrame], DataFrame], catalog: DataFrame,
-    links_out: str, records_out: str, checkpoint: str, first_version: int = 1, basis: str = "avg24h",
-    index: DataFrame | None = None, buckets: int = 1024, **trigger,
+    events: DataFrame, store: str, links_of: Callable[[DataFrame], DataFrame], catalog_of: Table,
+    links_out: str, records_out: str, checkpoint: str, basis: str = "avg24h", buckets: int = BUCKETS,
+    writer: str = "correction", **trigger,
 ) -> StreamingQuery:
     """After each batch of corrections recompute only the sessions that show a changed icon.
 
-    ``links_of`` merges the manual links into the other layers.  Versions start at
-    ``first_version``, above those of the initial records.  Give ``detections`` and ``index``
-    from ``store_detections`` to read only the buckets a batch touches.
+    ``links_of`` merges the manual links into the other layers; ``store`` is the folder of
+    ``store_detections``.
     """
-    spark = detections.sparkSession
+    spark = events.sparkSession
 
     def each(changed: DataFrame, batch: int) -> None:
         write_version(changed, links_out, batch)
-        icons = spark.read.parquet(f"{links_out}/version={batch}")
+        icons = spark.read.parquet(version_path(links_out, "main", batch))
+        shown = affected_sessions(stored_index(spark, store), icons, buckets=buckets)
         links = links_of(current_links(spark, links_out))
-        shown = detections if index is None else index
-        sessions = affected_sessions(shown, icons, buckets=buckets)
-        reproject(detections, sessions, links, catalog, records_out, first_version + batch, basis, buckets)
+        reproject(stored_detections(spark, store), shown, links, catalog_of(), records_out, batch, writer, basis, buckets)
 
     return start(changing_links(events), "update", checkpoint, each, **trigger)
 
 
-def current_records(spark: SparkSession, out: str) -> DataFrame:
-    """Records of the newest version of each session."""
-    rows = spark.read.parquet(out)
-    newest = rows.groupBy("session_id").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["session_id", "version"])
+# --- prices ----------------------------------------------------------------------------
 
 
-def compact_records(spark: SparkSession, out: str, target: str) -> None:
-    """Write the newest version of every session to a new place as version 0."""
-    write_version(current_records(spark, out).drop("version"), target, 0)
+def repriced_items(before: DataFrame, after: DataFrame, basis_before: str = "avg24h", basis_after: str = "avg24h") -> DataFrame:
+    """Items whose value or entry differs between two catalogs (or two price bases)."""
+    old = item_entries(before, basis_before)
+    new = item_entries(after, basis_after)
+    changed = new.exceptAll(old).unionByName(old.exceptAll(new))
+    return changed.select("item_id").distinct()
+
+
+def refresh_records(
+    spark: SparkSession, store: str, links: DataFrame, before: DataFrame, after: DataFrame, records_out: str, version: int,
+    basis_before: str = "avg24h", basis_after: str = "avg24h", buckets: int = BUCKETS, writer: str = "refresh",
+) -> None:
+    """Recompute the sessions that a new catalog or price basis changes.
+
+    An item is reached over the icons that are linked to it and over the texts that name it.
+    """
+    items = checkpoint_table(repriced_items(before, after, basis_before, basis_after))
+    icons = links.join(items, "item_id", "left_semi").select("icon_id")
+    shown = affected_sessions(stored_index(spark, store), icons, stored_index(spark, store, TEXT_INDEX), items, buckets)
+    reproject(stored_detections(spark, store), shown, links, after, records_out, version, writer, basis_after, buckets)
 
 
 def refresh_catalog(
@@ -203,3 +285,14 @@ def refresh_catalog(
     if not age.select(stale(F.col("age_h"), ttl_h)).first()[0]:
         return None
     return store(load())
+
+
+def refresh_prices(
+    spark: SparkSession, age: DataFrame, current: DataFrame, load: Table, save: Callable[[DataFrame], str], read: Callable[[str], DataFrame],
+    store: str, links: DataFrame, records_out: str, version: int, basis: str = "avg24h", ttl_h: float = 24.0, buckets: int = BUCKETS,
+) -> str | None:
+    """The whole refresh: age test, new snapshot, and the records that it changes."""
+    path = refresh_catalog(age, load, save, ttl_h)
+    if path is not None:
+        refresh_records(spark, store, links, current, read(path), records_out, version, basis, basis, buckets)
+    return path

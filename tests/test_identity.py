@@ -1,8 +1,9 @@
 """Link layers, fusion and session results on hand-made rows."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotvalue.operators import evidence, links, rank, resolve, skew
+from slotvalue.operators import dataset, evidence, links, rank, resolve, skew
 
 CATALOG = "item_id string, name string, short string, width int, height int, avg24h bigint, low bigint, vendor bigint, base bigint"
 DETECTION = "session_id string, det_idx bigint, icon_id string, box array<int>, det_conf double, ocr_id string, ocr_score double, ocr_raw string"
@@ -108,15 +109,23 @@ def test_hot_groups_rank_like_small_ones(spark):
         "id",
     )
     order = [F.col("per_slot").desc(), F.col("id")]
-    plain = skew.rank_within(rows, ["session_id"], order, total="n", hot_rows=10**9)
-    for hot_rows in (500, 100, 30):
-        split = skew.rank_within(rows, ["session_id"], order, total="n", sizes=rows, hot_rows=hot_rows)
-        assert sorted(split.collect()) == sorted(plain.select(split.columns).collect())
+    place = W.partitionBy("session_id").orderBy(*order)
+    whole = W.partitionBy("session_id")
+    plain = rows.withColumn("rn", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(whole))
+    split = skew.rank_within(rows, ["session_id"], order, total="n")
+    assert sorted(split.collect()) == sorted(plain.select(split.columns).collect())
+
+
+def test_sample_is_the_head_of_the_permutation(spark):
+    rows = spark.range(500)
+    order = {r.id: r.position for r in dataset.shuffled(rows, 3, "id").collect()}
+    for n in (0, 1, 77, 500, 900):
+        assert {r.id for r in dataset.sample_first(rows, 3, n, "id").collect()} == {i for i, p in order.items() if p < n}
 
 
 def test_global_index_in_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 101).alias("k"), "id")
-    got = skew.global_index(rows, [F.col("k").desc(), F.col("id")], "i", rows_per_range=90)
+    got = skew.global_index(rows, [F.col("k").desc(), F.col("id")], "i")
     expected = sorted(((r.k, r.id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
     assert sorted((r.i, r.k, r.id) for r in got.collect()) == [(i, k, n) for i, (k, n) in enumerate(expected)]
 

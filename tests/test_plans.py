@@ -29,7 +29,7 @@ def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert text.count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("name", ["top_report", "review_worst", "search_items", "sampled_icons"])
+@pytest.mark.parametrize("name", ["top_report", "review_worst", "search_items"])
 def test_reports_use_a_top_n_sort(spark, name):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, DATA))
 
@@ -46,3 +46,10 @@ def test_scans_read_only_needed_columns(spark, name, absent):
 def test_filters_reach_the_scan(spark):
     text = plan(QUERIES["correction_samples"](spark, DATA))
     assert "EqualTo(l_returnflag,R)" in text
+
+
+@pytest.mark.parametrize(
+    "name", ["keep_ditch", "rank_by_slot", "least_certain", "class_vocab", "dup_groups", "sampled_icons", "balanced_queue", "correction_samples"]
+)
+def test_nothing_is_ranked_in_one_partition(spark, name):
+    assert "SinglePartition" not in plan(QUERIES[name](spark, DATA))

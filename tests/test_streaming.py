@@ -33,25 +33,83 @@ def test_many_small_batches_equal_one(spark, tmp_path):
         log(spark, path, (n, "t", str(n % 2), f"item{n}"))
     jobs.maintain_links(jobs.stream_events(spark, path, files_per_batch=1), out, state).awaitTermination()
     assert {r.icon_id: r.item_id for r in jobs.current_links(spark, out).collect()} == {"0": "item2", "1": "item3"}
-    assert len([d for d in os.listdir(out) if d.startswith("version=")]) >= 4
+    assert len([d for d in os.listdir(out + "/writer=main") if d.startswith("version=")]) >= 4
 
 
-def test_reprojection_touches_only_affected_sessions(spark, tmp_path):
-    rows = [("s1", 0, "1", BOX, 0.9, "", 0.0, ""), ("s1", 1, "2", BOX, 0.9, "", 0.0, ""), ("s2", 0, "2", BOX, 0.9, "", 0.0, "")]
-    stored = spark.createDataFrame(rows, DETECTION)
+def layered(spark):
     auto = spark.createDataFrame([("2", "a", 12.0, 5.0)], "icon_id string, item_id string, score double, margin double")
     flat = spark.createDataFrame([], "icon_id string, item_id string")
-    path, links_out, out, state = (str(tmp_path / n) for n in ("log", "links", "records", "state"))
+    return lambda manual: links.project_links(auto, flat, manual.withColumn("source", F.lit("manual")))
+
 
-    def layered(manual):
-        return links.project_links(auto, flat, manual.withColumn("source", F.lit("manual")))
+def none(spark):
+    return spark.createDataFrame([], "icon_id string, item_id string, seq bigint")
 
-    none = spark.createDataFrame([], "icon_id string, item_id string, seq bigint")
-    jobs.write_version(resolve.resolve(stored, layered(none), catalog(spark)), out, 0)
+
+def seen(spark, out):
+    return {(r.session_id, r.det_idx): (r.id, r.source, r.writer) for r in jobs.current_records(spark, out).collect()}
+
+
+def test_reprojection_touches_only_affected_sessions(spark, tmp_path):
+    rows = [("s1", 0, "1", BOX, 0.9, "", 0.0, ""), ("s1", 1, "2", BOX, 0.9, "", 0.0, ""), ("s2", 0, "2", BOX, 0.9, "", 0.0, "")]
+    path, store, links_out, out, state = (str(tmp_path / n) for n in ("log", "store", "links", "records", "state"))
+    stored = spark.createDataFrame(rows, DETECTION)
+    jobs.store_detections(stored, store, 4)
+    jobs.write_records(resolve.resolve(stored, layered(spark)(none(spark)), catalog(spark)), out, 0, "scan", 4)
     log(spark, path, (1, "t", "1", "b"))
-    jobs.maintain_records(jobs.stream_events(spark, path), stored, layered, catalog(spark), links_out, out, state).awaitTermination()
-    got = {(r.session_id, r.det_idx): (r.id, r.source, r.version) for r in jobs.current_records(spark, out).collect()}
-    assert got == {("s1", 0): ("b", "override", 1), ("s1", 1): ("a", "yolo", 1), ("s2", 0): ("a", "yolo", 0)}
+    jobs.maintain_records(
+        jobs.stream_events(spark, path), store, layered(spark), lambda: catalog(spark), links_out, out, state, buckets=4
+    ).awaitTermination()
+    assert seen(spark, out) == {
+        ("s1", 0): ("b", "override", "correction"), ("s1", 1): ("a", "yolo", "correction"), ("s2", 0): ("a", "yolo", "scan"),
+    }
+
+
+def scan(spark, path, out, state, **more):
+    links_now = more.pop("links_of", lambda: layered(spark)(none(spark)))
+    jobs.value_detections(
+        jobs.stream_detections(spark, path, files_per_batch=1), links_now, lambda: catalog(spark), out, state, buckets=4, **more
+    ).awaitTermination()
+
+
+def test_a_session_in_several_batches_is_whole(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("scans", "records", "state"))
+    rows = spark.createDataFrame([("s1", n, "2", BOX, 0.9, "", 0.0, "") for n in range(10)], DETECTION)
+    rows.where("det_idx < 6").repartition(3, "det_idx").write.parquet(path)
+    scan(spark, path, out, state)
+    rows.where("det_idx >= 6").repartition(2, "det_idx").write.mode("append").parquet(path)
+    scan(spark, path, out, state)
+    assert sorted(n for _, n in seen(spark, out)) == list(range(10))
+
+
+def test_a_later_scan_keeps_corrections(spark, tmp_path):
+    path, events, store, links_out, out = (str(tmp_path / n) for n in ("scans", "log", "store", "links", "records"))
+    states = [str(tmp_path / n) for n in ("scanned", "corrected")]
+
+    def links_now():
+        return layered(spark)(jobs.current_links(spark, links_out))
+
+    spark.createDataFrame([("s1", 0, "1", BOX, 0.9, "", 0.0, "")], DETECTION).coalesce(1).write.parquet(path)
+    scan(spark, path, out, states[0], store=store, links_of=links_now)
+    log(spark, events, (1, "t", "1", "b"))
+    jobs.maintain_records(
+        jobs.stream_events(spark, events), store, layered(spark), lambda: catalog(spark), links_out, out, states[1], buckets=4
+    ).awaitTermination()
+    more = [("s2", 0, "2", BOX, 0.9, "", 0.0, ""), ("s1", 1, "1", BOX, 0.9, "", 0.0, "")]
+    spark.createDataFrame(more, DETECTION).coalesce(1).write.mode("append").parquet(path)
+    scan(spark, path, out, states[0], store=store, links_of=links_now)
+    assert seen(spark, out) == {
+        ("s1", 0): ("b", "override", "correction"), ("s1", 1): ("b", "override", "scan"), ("s2", 0): ("a", "yolo", "scan"),
+    }
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    out, store = str(tmp_path / "records"), str(tmp_path / "store")
+    rows = spark.createDataFrame([("s1", n, "2", BOX, 0.9, "", 0.0, "") for n in range(3)], DETECTION)
+    for _ in range(2):
+        jobs.store_detections(rows, store, 4, version=7, writer="scan")
+        jobs.write_records(resolve.resolve(rows, layered(spark)(none(spark)), catalog(spark)), out, 7, "scan", 4)
+    assert jobs.current_records(spark, out).count() == jobs.stored_detections(spark, store).count() == 3
 
 
 def test_stored_index_gives_the_same_sessions(spark, tmp_path):
@@ -62,28 +120,56 @@ def test_stored_index_gives_the_same_sessions(spark, tmp_path):
     stored, index = jobs.stored_detections(spark, str(tmp_path)), jobs.stored_index(spark, str(tmp_path))
     expected = sorted(jobs.affected_sessions(given, icons).collect())
     assert sorted(jobs.affected_sessions(index, icons, buckets=4).collect()) == expected
-    assert sorted(stored.drop("session_bucket").collect()) == sorted(given.collect())
+    assert sorted(stored.select(*given.columns).collect()) == sorted(given.collect())
     scan = jobs.affected_sessions(index, icons, buckets=4)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(icon_bucket" in scan or "PartitionFilters: [icon_bucket" in scan
 
 
+def test_one_session_reads_its_bucket_only(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{n}", 0, "2", BOX, 0.9, "", 0.0, "") for n in range(20)], DETECTION)
+    jobs.write_records(resolve.resolve(rows, layered(spark)(none(spark)), catalog(spark)), str(tmp_path), 0, "scan", 8)
+    found = jobs.sessions(spark, str(tmp_path), ["s3"], 8)
+    assert [r.session_id for r in found.collect()] == ["s3"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "session_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_compaction_keeps_the_newest_rows(spark, tmp_path):
     out, target = str(tmp_path / "out"), str(tmp_path / "target")
-    jobs.write_version(spark.createDataFrame([("s1", 1), ("s2", 1)], "session_id string, v int"), out, 0)
-    jobs.write_version(spark.createDataFrame([("s1", 2)], "session_id string, v int"), out, 3)
-    jobs.compact_records(spark, out, target)
+    schema = "session_id string, det_idx bigint, v int"
+    jobs.write_records(spark.createDataFrame([("s1", 0, 1), ("s2", 0, 1)], schema), out, 0, "scan", 4)
+    jobs.write_records(spark.createDataFrame([("s1", 0, 2)], schema), out, 3, "correction", 4)
+    jobs.compact_records(spark, out, target, 4)
     assert sorted((r.session_id, r.v, r.version) for r in jobs.current_records(spark, target).collect()) == [("s1", 2, 0), ("s2", 1, 0)]
 
 
-def test_repriced_items_and_their_sessions(spark):
-    before = catalog(spark)
-    after = before.withColumn("avg24h", F.when(F.col("item_id") == "a", 101).otherwise(F.col("avg24h")).cast("bigint"))
-    changed = jobs.repriced_items(before, after)
-    assert [r.item_id for r in changed.collect()] == ["a"]
+def test_link_compaction(spark, tmp_path):
+    out, target = str(tmp_path / "out"), str(tmp_path / "target")
+    schema = "icon_id string, item_id string, seq bigint"
+    jobs.write_version(spark.createDataFrame([("1", "a", 1), ("2", "b", 2)], schema), out, 0)
+    jobs.write_version(spark.createDataFrame([("1", "c", 3)], schema), out, 1)
+    jobs.compact_links(spark, out, target)
+    assert sorted(jobs.current_links(spark, target).collect()) == [("1", "c", 3), ("2", "b", 2)]
+
+
+def test_refresh_reaches_links_and_texts(spark, tmp_path):
+    after = catalog(spark)
+    before = after.withColumn("avg24h", F.when(F.col("item_id") == "a", 101).otherwise(F.col("avg24h")).cast("bigint"))
+    assert [r.item_id for r in jobs.repriced_items(before, after).collect()] == ["a"]
     assert [r.item_id for r in jobs.repriced_items(before, before, "avg24h", "low").collect()] == ["a"]
-    rows = [("s1", 0, "1", BOX, 0.9, "a", 0.3, ""), ("s2", 0, "1", BOX, 0.9, "b", 0.3, "")]
+    rows = [
+        ("text", 0, "1", BOX, 0.9, "a", 0.3, ""), ("link", 0, "2", BOX, 0.9, "", 0.0, ""), ("other", 0, "1", BOX, 0.9, "b", 0.3, ""),
+    ]
+    store, out = str(tmp_path / "store"), str(tmp_path / "records")
     stored = spark.createDataFrame(rows, DETECTION)
-    assert [r.session_id for r in jobs.affected_sessions(stored, items=changed).collect()] == ["s1"]
+    shown = layered(spark)(none(spark))
+    jobs.store_detections(stored, store, 4)
+    jobs.write_records(resolve.resolve(stored, shown, before), out, 0, "scan", 4)
+    jobs.refresh_records(spark, store, shown, before, after, out, 0, buckets=4)
+    got = {r.session_id: (r.id, r.value, r.writer) for r in jobs.current_records(spark, out).collect()}
+    want = {r.session_id: (r.id, r.value) for r in resolve.resolve(stored, shown, after).collect()}
+    assert {s: v[:2] for s, v in got.items()} == want
+    assert {s: v[2] for s, v in got.items()} == {"text": "refresh", "link": "refresh", "other": "scan"}
 
 
 def test_refresh_only_when_stale(spark):
