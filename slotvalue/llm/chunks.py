@@ -1,11 +1,14 @@
 """Substring deduplication by content-defined chunks.
 
-Texts are cut where a gear rolling hash of the last bytes matches a mask, so an insertion moves only the
-cuts around it.  The mask is strict until a chunk has its normal length and loose beyond it,
-which keeps lengths close together; cuts never split a character.  Chunks are identified by a
-128-bit digest.  A chunk found in several documents is repeated; consecutive repeated chunks make
-a span, and spans with enough words are reported.  The document with the smallest id that holds a
-chunk keeps it.
+Texts are cut where the gear rolling hash of the last bytes is the largest among its neighbours
+(``REACH`` positions to either side).  A cut thus depends on nothing but the bytes around it: an
+insertion moves no other cut, and two texts that share a passage share its cuts from the first
+few words on.  (The usual masks with a least length depend on the cut before; measured on passages of
+51 words, they need up to half a passage to fall into step.)  Cuts never split a character; a
+stretch without a largest hash, such as a repeated letter, is cut at ``MOST`` bytes.  Chunks are
+identified by a 128-bit digest.  A chunk found in several documents is repeated; consecutive repeated
+chunks make a span, and spans with enough words are reported.  The document with the smallest id that
+holds a chunk keeps it.
 
 Digests are aggregated to their smallest and largest document before the shuffle, so a chunk
 that a third of all documents share is one row per task.  Chunks meet their digest again by an
@@ -19,8 +22,6 @@ text.  A text shorter than a chunk is one chunk.  Repeats inside one document ar
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,14 +30,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotvalue.llm import tokens
-from slotvalue.llm.arrow import batch_of, id_key, map_batches, null_id
+from slotvalue.llm.arrow import batch_of, id_key, map_batches, null_id, packed
 from slotvalue.llm.lines import text_tag
 from slotvalue.runtime import scratch_path
 
-# Bytes of a chunk: at least, before the loose mask counts, at most.
-LEAST, NORMAL, MOST = 24, 56, 112
-# The hash reaches back 16 bytes to its bit 15; one position in 64 and in 8 match.
-STRICT, LOOSE = np.uint32(0b111111 << 10), np.uint32(0b111 << 13)
+# Positions on either side that a cut's hash must exceed, bytes that the hash reaches back, and bytes
+# after which a chunk ends anyway.
+REACH, WINDOW, MOST = 24, 16, 256
 # Words of whole repeated chunks that make a span worth reporting.
 MIN_WORDS = 20
 
@@ -45,9 +45,9 @@ _OTHER_BASE = 0xD1342543DE82EF95
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """Sum of the gear values of the last bytes, each shifted by its age, for every position."""
+    """Sum of the gear values of the last ``WINDOW`` bytes, each shifted by its age."""
     h, age = _GEAR[data], 1
-    while age < 32:
+    while age < WINDOW:
         older = h[:-age] << np.uint32(age)
         h = h.copy()
         h[age:] += older
@@ -55,32 +55,45 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _largest(h: np.ndarray, width: int) -> np.ndarray:
+    """Largest of ``width`` values from each position on."""
+    out, have = h, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.maximum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, start and end byte of all chunks of several texts in one buffer."""
-    h = gear_hashes(data)
-    whole = np.ones(len(data), bool)
-    whole[:-1] = (data[1:] & 0xC0) != 0x80
-    loose = (np.flatnonzero(((h & LOOSE) == 0) & whole) + 1).tolist()
-    strict = (np.flatnonzero(((h & STRICT) == 0) & whole) + 1).tolist()
-    owner, starts, ends = [], [], []
-    for i in range(len(offsets) - 1):
-        at, end = int(offsets[i]), int(offsets[i + 1])
-        while at < end:
-            cut = min(at + MOST, end)
-            k = bisect_left(strict, at + LEAST)
-            if k < len(strict) and strict[k] < at + NORMAL:
-                cut = min(strict[k], end)
-            else:
-                k = bisect_left(loose, at + NORMAL)
-                if k < len(loose) and loose[k] < cut:
-                    cut = loose[k]
-                while cut < end and not whole[cut - 1]:
-                    cut -= 1
-            owner.append(i)
-            starts.append(at)
-            ends.append(cut)
-            at = cut
-    return np.array(owner, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
+    cuts = np.zeros(0, np.int64)
+    if len(data) > 2 * REACH:
+        h = gear_hashes(data)
+        around = _largest(h, REACH)
+        at = np.arange(REACH, len(h) - REACH)
+        at = at[(h[at] > around[at - REACH]) & (h[at] >= around[at + 1])]
+        text = np.searchsorted(offsets, at, "right") - 1
+        # All bytes that a cut depends on lie inside its text.
+        at = at[(at - offsets[text] >= WINDOW - 1 + REACH) & (at + REACH < offsets[text + 1])]
+        cuts = _to_character(data, at + 1)
+    bounds = np.unique(np.concatenate([offsets, cuts]))
+    gap = np.diff(bounds)
+    more = np.maximum(0, -(-gap // MOST) - 1)
+    if more.any():
+        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        bounds = np.unique(np.concatenate([bounds, _to_character(data, np.repeat(bounds[:-1], more) + nth * MOST)]))
+    start, end = bounds[:-1], bounds[1:]
+    return np.searchsorted(offsets, start, "right") - 1, start, end
+
+
+def _to_character(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Cuts inside a character move behind it."""
+    for _ in range(3):
+        inside = cuts < len(data)
+        inside[inside] = (data[cuts[inside]] & 0xC0) == 0x80
+        cuts = cuts + inside
+    return cuts
 
 
 def _chunk(batches, schema):
@@ -127,11 +140,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     earlier = F.col("first") < F.col("doc")
     spans = spans.groupBy("doc", "tag", "span").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.max(F.struct(F.col("end") - F.col("start"), -F.col("first"))).alias("longest"),
+        F.max(F.struct((F.col("end") - F.col("start")).alias("size"), F.bitwise_not("first").alias("first"))).alias("longest"),
         F.array_sort(F.collect_list(F.when(earlier, F.struct("start", "end")))).alias("drop"),
     )
     return spans.where(F.col("n_words") >= min_words).select(
-        "doc", "tag", "start", "end", "n_words", (-F.col("longest.col2")).alias("first_doc"), "drop"
+        "doc", "tag", "start", "end", "n_words", F.bitwise_not("longest.first").alias("first_doc"), "drop"
     )
 
 
@@ -160,8 +173,10 @@ def _without(text: pd.Series, drops: pd.Series) -> pd.Series:
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
     """``docs`` without the reported chunks that an earlier document holds."""
-    spans = repeated_spans(docs, doc_id, text, **rule).groupBy("doc", "tag").agg(F.flatten(F.collect_list("drop")).alias("_drop"))
-    spans = spans.where(F.size("_drop") > 0).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "_drop")
-    joined = docs.withColumns({"_doc": id_key(doc_id), "_tag": text_tag(text)}).join(spans, ["_doc", "_tag"], "left")
-    cut = F.pandas_udf(_without, "string")(F.when(F.col("_drop").isNotNull(), F.col(text)), "_drop")
-    return joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(cut)).drop("_doc", "_tag", "_drop")
+    spans = repeated_spans(docs, doc_id, text, **rule).groupBy("doc", "tag").agg(F.flatten(F.collect_list("drop")).alias("cut"))
+    spans = spans.where(F.size("cut") > 0)
+    joined = packed(docs, doc=id_key(doc_id), tag=text_tag(text)).join(spans, ["doc", "tag"], "left")
+    old = F.col("row").getField(text)
+    cut = F.pandas_udf(_without, "string")(F.when(F.col("cut").isNotNull(), old), "cut")
+    new = F.col("row").withField(text, F.when(F.col("cut").isNull(), old).otherwise(cut))
+    return joined.select(new.alias("row")).select("row.*")
