@@ -28,6 +28,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema
     return df.mapInArrow(lambda batches: fn(batches, schema), spark_schema)
 
 
+def packed(df: DataFrame, **keys) -> DataFrame:
+    """The row as one struct ``row`` beside key columns, whose names thus cannot clash with its own."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
 def id_key(column: str):
     """A long id for use as a key: a null becomes ``NO_ID``."""
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NO_ID))

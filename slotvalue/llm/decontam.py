@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.llm import tokens
-from slotvalue.llm.arrow import batch_of, map_batches
+from slotvalue.llm.arrow import batch_of, id_key, map_batches, packed
 
 # Bytes of item text that are searched for in one pass over the documents.
 BLOCK_BYTES = 8 << 20
@@ -146,6 +146,6 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
-    """Documents without a contained item; rows with a null id are judged together."""
-    found = contained_items(docs, items, doc_id, text, **rule).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_found")), "left_anti")
+    """Documents without a contained item; rows that share an id, or have none, are judged together."""
+    found = contained_items(docs, items, doc_id, text, **rule).select(id_key("doc_id").alias("doc")).distinct()
+    return packed(docs, doc=id_key(doc_id)).join(found, "doc", "left_anti").select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.arrow import batch_of, id_key, map_batches, shuffle_width
+from slotvalue.llm.arrow import batch_of, id_key, map_batches, packed, shuffle_width
 from slotvalue.runtime import checkpoint, scratch_path
 
 SPACE = b" \t\n\x0b\f\r"
@@ -186,40 +186,40 @@ def _filter_lines(text: pd.Series, keep: pd.Series, n_lines: pd.Series) -> pd.Se
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the kept lines in ``text``, and ``_n_dropped``.
+def _filtered(docs: DataFrame, bitmaps: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(row, n_dropped, kept)``: each row with its kept text, null where nothing is dropped.
 
-    Texts that lose nothing are not sent to Python.  A null text stays null.
+    Texts that lose nothing are not sent to Python.
     """
-    marks = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("n_lines").alias("_n_lines"),
-        F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"),
-    )
-    keyed = docs.withColumns({"_doc": id_key(doc_id), "_tag": text_tag(text)})
-    joined = keyed.join(marks, ["_doc", "_tag"], "left")
-    kept = F.pandas_udf(_filter_lines, "string")(F.when(F.col("_keep").isNotNull(), F.col(text)), "_keep", "_n_lines")
-    return joined.withColumns(
-        {text: F.when(F.col("_keep").isNull(), F.col(text)).otherwise(kept), "_n_dropped": F.coalesce("_n_dropped", F.lit(0))}
-    ).drop("_doc", "_tag", "_keep", "_n_lines")
+    joined = packed(docs, doc=id_key(doc_id), tag=text_tag(text)).join(bitmaps, ["doc", "tag"], "left")
+    kept = F.pandas_udf(_filter_lines, "string")(F.when(F.col("keep").isNotNull(), F.col("row").getField(text)), "keep", "n_lines")
+    return joined.select("row", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), kept.alias("kept"))
+
 
+def apply_bitmaps(
+    docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None
+) -> DataFrame:
+    """``docs`` with the kept lines in ``text``; ``length`` names a column that counts its characters.
 
-def with_lengths(kept: DataFrame, length: str, text: str = "text") -> DataFrame:
-    """Renews the length of the texts that ``apply_bitmaps`` changed."""
-    return kept.withColumn(length, F.when(F.col("_n_dropped") > 0, F.length(text).cast("bigint")).otherwise(F.col(length)))
+    Rows that lose no line stay as they are, null texts included.
+    """
+    row, changed = F.col("row"), F.col("kept").isNotNull()
+    filtered = _filtered(docs, bitmaps, doc_id, text)
+    new = row.withField(text, F.when(changed, F.col("kept")).otherwise(row.getField(text)))
+    if length:
+        kind = docs.schema[length].dataType
+        new = new.withField(length, F.when(changed, F.length("kept").cast(kind)).otherwise(row.getField(length)))
+    return filtered.select(new.alias("row")).select("row.*")
 
 
 def line_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
     """Lines, dropped lines and the digest of the kept text of every document."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(text).alias("text"),
-        (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
-    )
-    out = apply_bitmaps(counted, keep_bitmaps(docs, doc_id, text, **rule))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = _filtered(slim, keep_bitmaps(docs, doc_id, text, **rule), "doc_id", "text")
+    whole = F.coalesce("row.text", F.lit(""))
     return out.select(
-        "doc_id",
-        "n_lines",
-        F.col("_n_dropped").cast("bigint").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "row.doc_id",
+        (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
+        F.col("n_dropped").cast("bigint").alias("n_dropped"),
+        F.sha2(F.coalesce("kept", whole), 256).alias("kept_sha256"),
     )

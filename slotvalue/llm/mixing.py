@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotvalue.llm.arrow import packed
 from slotvalue.operators.skew import global_index
 from slotvalue.runtime import checkpoint, scratch_path
 
@@ -155,7 +156,7 @@ def mix(
     cells = same(cells, known).select(
         "sid", "source", "size", "n", "target", "source_size", "_cap",
         (F.col("n") * F.col("size")).cast("double").alias("tokens"),
-        (F.col("size") * F.col("docs") / F.col("source_size")).alias("x"),
+        F.try_divide(F.col("size") * F.col("docs"), F.col("source_size")).alias("x"),
     )
     cells = checkpoint(cells)
     solved = tilts(cells.where("size > 0").select("sid", "tokens", "x"), sources, max_copies)
@@ -202,13 +203,17 @@ def mix(
 def attach_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``; the texts are shuffled once.
 
-    Rows that agree in id, source and size are interchangeable; they get their copies in any order.
+    Rows that agree in id, source and size get their copies in the order of a hash of the text.
+    The new columns replace those of the same name.
     """
-    key = lambda i, s: F.xxhash64(i, s, F.col("size")).alias("_key")
-    lists = mixed.select(key(F.col("doc_id"), F.col("source")), "source_size", "target", "copies").groupBy("_key").agg(
-        F.sort_array(F.collect_list("copies")).alias("_copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    key = lambda i, s: F.sha2(F.to_json(F.struct(i.alias("i"), s.alias("s"), F.col("size"))), 256).alias("key")
+    lists = mixed.select(key(F.col("doc_id"), F.col("source")), "source_size", "target", "copies").groupBy("key").agg(
+        F.sort_array(F.collect_list("copies")).alias("all"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
-    keyed = docs.withColumn("size", token_count(F.col(text))).withColumn("_key", key(F.col(doc_id), F.col(source)))
-    nth = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(text)))
-    out = keyed.join(lists, "_key").withColumn("copies", F.element_at("_copies", nth))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_key", "_copies")
+    keyed = packed(docs, size=token_count(F.col(text)), i=F.col(doc_id), s=F.col(source)).withColumn("key", key(F.col("i"), F.col("s")))
+    nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64(F.col("row").getField(text))))
+    out = keyed.join(lists, "key").withColumn("copies", F.element_at("all", nth))
+    added = [F.col(c) for c in ("size", "source_size", "target", "copies")] + [(F.col("copies") * F.col("size")).alias("taken")]
+    names = {"size", "source_size", "target", "copies", "taken"}
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    return out.select(*own, *added)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.llm import tokens
-from slotvalue.llm.arrow import batch_of, id_key, map_batches, null_id
+from slotvalue.llm.arrow import batch_of, id_key, map_batches, null_id, packed
 from slotvalue.llm.lines import text_tag
 from slotvalue.operators.components import connected_components
 from slotvalue.runtime import checkpoint, scratch_path
@@ -264,11 +264,11 @@ def document_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
-    """``docs`` without the members of a class but its smallest; of equal rows one stays.
+    """``docs`` without the members of a class but its smallest.
 
-    Wordless documents are similar to nothing and stay.
+    Wordless documents are similar to nothing and stay; rows that agree in id and text are one
+    document and stay together.
     """
     gone = similar_documents(docs, doc_id, text, **rule).where("doc <> class_doc or tag <> class_tag")
-    keyed = docs.withColumns({"_doc": id_key(doc_id), "_tag": text_tag(text)})
-    kept = keyed.join(gone.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")), ["_doc", "_tag"], "left_anti")
-    return kept.drop("_doc", "_tag")
+    kept = packed(docs, doc=id_key(doc_id), tag=text_tag(text)).join(gone.select("doc", "tag"), ["doc", "tag"], "left_anti")
+    return kept.select("row.*")

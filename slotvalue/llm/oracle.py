@@ -67,19 +67,19 @@ top AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.
 sk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
   SELECT sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
   FROM suf, top WHERE n > 0)),
-ss AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+ss AS (SELECT CASE WHEN room IS NULL OR room <= 0 THEN 10.0::DOUBLE WHEN excess <= 0 THEN 10000.0::DOUBLE
                    ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM sk),
 sm AS (SELECT suffix, (m * k + bad) / (n + k) AS m FROM suf, top, ss),
 dk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
   SELECT suffix, sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
   FROM dom JOIN sm USING (suffix) WHERE n > 0 GROUP BY suffix)),
-ds AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+ds AS (SELECT CASE WHEN room IS NULL OR room <= 0 THEN 10.0::DOUBLE WHEN excess <= 0 THEN 10000.0::DOUBLE
                    ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM dk),
 dm AS (SELECT suffix, domain, (m * k + bad) / (n + k) AS m FROM dom JOIN sm USING (suffix), ds),
 hk AS (SELECT sum(excess) AS excess, sum(room) AS room FROM (
   SELECT suffix, domain, sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - (count(*) - 1) AS excess, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room
   FROM hosts JOIN dm USING (suffix, domain) WHERE n > 0 GROUP BY suffix, domain)),
-hs AS (SELECT CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 10000.0::DOUBLE
+hs AS (SELECT CASE WHEN room IS NULL OR room <= 0 THEN 10.0::DOUBLE WHEN excess <= 0 THEN 10000.0::DOUBLE
                    ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (1 - least(1, excess / room)) / least(1, excess / room))) END AS k FROM hk),
 hm AS (SELECT host, n, bad, k, (m * k + bad) / (n + k) AS rate FROM hosts JOIN dm USING (suffix, domain), hs),
 rep AS (SELECT host, n AS n_labelled, bad AS n_bad, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + k + 1)) AS low FROM hm),

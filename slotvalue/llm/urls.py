@@ -12,8 +12,8 @@ execution splits where a host is hot.
 
 Nulls and repeated rows: a null url or one without ``://`` has an empty host and path, and the
 empty host is a host like any other; outcomes with a null id or value are ignored; repeated pages
-are judged each, repeated outcomes count each.  Without outcomes the rate is one half, with the
-widest bound that the strengths allow.
+are judged each, repeated outcomes count each.  Without outcomes the rate is one half, with a wide
+bound.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotvalue.llm.arrow import id_key, packed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
     ("allow", "org/"),
@@ -33,8 +35,8 @@ RULES = (
 )
 # Second-level labels under which country suffixes register names.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-# Limits of the estimated prior strengths, in outcomes.
-WEAKEST, STRONGEST = 1.0, 10_000.0
+# Limits of the estimated prior strengths, in outcomes, and the strength where nothing can be estimated.
+WEAKEST, STRONGEST, UNKNOWN = 1.0, 10_000.0, 10.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -87,7 +89,9 @@ def _strength(groups: DataFrame, mean: Column, parents: Sequence[str]) -> float:
         F.sum(F.col("_s") - (F.col("_k") - 1)).alias("excess"),
         F.sum(F.col("_n") - F.col("_n2") / F.col("_n") - (F.col("_k") - 1)).alias("room"),
     ).first()
-    if not total.room or total.room <= 0 or total.excess <= 0:
+    if not total.room or total.room <= 0:
+        return UNKNOWN
+    if total.excess <= 0:
         return STRONGEST
     share = min(1.0, total.excess / total.room)
     return min(STRONGEST, max(WEAKEST, (1 - share) / share))
@@ -153,8 +157,6 @@ def judge_urls(
 def allowed_pages(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", **rule) -> DataFrame:
     """The pages that pass."""
     blocked = judge_urls(pages, outcomes, page_id, url, **rule).where("verdict = 'block'")
-    blocked = blocked.select(F.col("page_id").alias("_page"), F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
+    blocked = blocked.select(id_key("page_id").alias("page"), "host", "path").distinct()
     host, path = url_parts(F.col(url))
-    return pages.join(
-        blocked, F.col(page_id).eqNullSafe(F.col("_page")) & (host == F.col("_host")) & (path == F.col("_path")), "left_anti"
-    )
+    return packed(pages, page=id_key(page_id), host=host, path=path).join(blocked, ["page", "host", "path"], "left_anti").select("row.*")
