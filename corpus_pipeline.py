@@ -27,8 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that other documents repeat; ``n_chars`` follows the text."""
-    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
-    return lines.with_lengths(kept, "n_chars").select(*docs.columns)
+    return lines.apply_bitmaps(docs, lines.keep_bitmaps(docs), length="n_chars")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
