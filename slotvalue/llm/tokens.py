@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 WIDTH = 5
 # Bytes of text that are worked on at once; numpy needs about 40 bytes for each.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,16 +133,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.intercept + total[first[1:]] - total[first[:-1]], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, width: int, pairs: np.ndarray, times: np.ndarray, steps: int = 400) -> tuple[float, np.ndarray]:
+def fit(
+    words: np.ndarray, size: np.ndarray, labels: np.ndarray, width: int, pairs: np.ndarray, times: np.ndarray, steps: int = 400
+) -> tuple[float, np.ndarray]:
     """Proximal gradient descent with momentum and a step for each word.
 
-    ``pairs`` are swapped word positions (``width`` stands for a word without weight), ``times`` how
+    ``words`` are the words of all rows, ``size`` of them in each.  ``pairs`` are swapped word positions (``width`` stands for a word without weight), ``times`` how
     often each swap occurs in the sample.
     """
-    size = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    words = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    n, share = len(rows), labels.mean()
+    owner = np.repeat(np.arange(len(size)), size)
+    n, share = len(size), labels.mean()
     a, b = pairs.T if len(pairs) else np.zeros((2, 0), np.int64)
     pull = 2 * COUNTERFACTUAL * times / n
     # A diagonal bound of the curvature: rare words may take long steps.
@@ -200,16 +199,23 @@ def train(
     if not len(vocabulary):
         return Model(float(np.log(n[1] / n[0])), vocabulary, np.zeros(0))
     # The sample has a fixed size, so its ids are sent to every task.
-    rows = map_batches(labelled(chosen, True), _rows(vocabulary, identity), "label int, words array<int>, mentions array<int>").collect()
-    mentions = np.bincount([m for r in rows for m in r.mentions], minlength=BUCKETS) if any(r.mentions for r in rows) else np.zeros(BUCKETS, int)
+    rows = map_batches(labelled(chosen, True), _rows(vocabulary, identity), "label int, words array<int>, mentions array<int>").toArrow().combine_chunks()
+    mentions = np.bincount(_flat(rows["mentions"])[0], minlength=BUCKETS)
     place = {int(v): i for i, v in enumerate(vocabulary)}
     used = [(a, b) for a, b in swaps(identity) if mentions[a]]
     pairs = np.array([(place.get(a, len(vocabulary)), place.get(b, len(vocabulary))) for a, b in used], np.int64).reshape(-1, 2)
     times = np.array([mentions[a] for a, _ in used], float)
-    intercept, weights = fit([np.array(r.words, np.int64) for r in rows], np.array([r["label"] for r in rows], float), len(vocabulary), pairs, times)
+    words, size = _flat(rows["words"])
+    intercept, weights = fit(words, size, rows["label"].to_numpy().astype(float), len(vocabulary), pairs, times)
     return Model(intercept, vocabulary, weights)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all lists, one after the other, and the length of each."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+
+
 def _score(model: Model):
     def run(batches, schema):
         for batch in batches:
@@ -230,9 +236,8 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects."""
 
-    def judge(texts: pd.Series) -> pd.Series:
-        array = pa.array(texts, pa.string())
-        return pd.Series(np.concatenate([model.scores(array[a:b]) for a, b in tokens.slices(array)] or [np.zeros(0)]))
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([model.scores(texts[a:b]) for a, b in tokens.slices(texts)] or [np.zeros(0)]))
 
-    score = F.pandas_udf(judge, "double")
+    score = F.arrow_udf(judge, "double")
     return docs.where(score(F.col(text).cast("string")) < 0.5)
