@@ -70,24 +70,30 @@ def _close_pairs(reps: DataFrame, bits: int, distance: int, extra: int) -> DataF
     bounds = [bits * i // pieces for i in range(pieces + 1)]
     segments = F.array(*[_segment(F.col("sig"), bounds[i], bounds[i + 1]) for i in range(pieces)])
     choices = list(combinations(range(pieces), extra))
-    keyed = reps.withColumn("segments", segments).select(
+    keyed = reps.withColumn("segments", segments)
+    keyed = keyed.select(
         "block",
         "sig",
         "rep",
         "copies",
+        "segments",
         F.posexplode(
             F.array(*[F.concat_ws("/", *[F.col("segments")[i] for i in choice]) for choice in choices])
         ).alias("choice", "key"),
     )
-    a = keyed.select("block", "choice", "key", *[F.col(c).alias(f"{c}_a") for c in ("sig", "rep", "copies")])
-    b = keyed.select("block", "choice", "key", *[F.col(c).alias(f"{c}_b") for c in ("sig", "rep", "copies")])
+    shared = ("sig", "rep", "copies", "segments")
+    a = keyed.select("block", "choice", "key", *[F.col(c).alias(f"{c}_a") for c in shared])
+    b = keyed.select("block", "choice", "key", *[F.col(c).alias(f"{c}_b") for c in shared])
     close = hamming(F.col("sig_a"), F.col("sig_b"))
-    met = a.join(b, ["block", "choice", "key"]).where((F.col("rep_a") < F.col("rep_b")) & (close <= distance))
-    return met.groupBy("block", "rep_a", "rep_b").agg(
-        F.first(close).cast("int").alias("distance"),
-        F.first("copies_a").alias("copies_a"),
-        F.first("copies_b").alias("copies_b"),
+    # The first common choice holds the first common segments; later meetings of a pair are dropped.
+    agree = F.filter(
+        F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.get("segments_a", i) == F.get("segments_b", i)
     )
+    choice = F.get(F.array(*[F.array(*[F.lit(i) for i in c]) for c in choices]), F.col("choice"))
+    met = a.join(b, ["block", "choice", "key"]).where(
+        (F.col("rep_a") < F.col("rep_b")) & (close <= distance) & (F.slice(agree, 1, extra) == choice)
+    )
+    return met.select("block", "rep_a", "rep_b", close.cast("int").alias("distance"), "copies_a", "copies_b")
 
 
 def near_members(signatures: DataFrame, bits: int, distance: int, extra: int = 2) -> DataFrame:

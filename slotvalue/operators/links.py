@@ -19,9 +19,7 @@ AUTO, FLAT, MANUAL = 0, 1, 2
 def latest_manual_links(events: DataFrame) -> DataFrame:
     """Newest manual event per icon; newest means the largest ``seq``, not the time stamp."""
     manual = events.where((F.col("source") == "manual") & (F.col("item_id") != ""))
-    return manual.groupBy("icon_id").agg(
-        F.max_by("item_id", "seq").alias("item_id"), F.max("seq").alias("seq")
-    )
+    return top_per_group(manual.select("icon_id", "item_id", "seq"), ["icon_id"], [F.col("seq").desc()], 1).drop("rn")
 
 
 def project_links(auto: DataFrame, flat: DataFrame, events: DataFrame) -> DataFrame:
@@ -40,14 +38,8 @@ def project_links(auto: DataFrame, flat: DataFrame, events: DataFrame) -> DataFr
         ),
     ]
     stacked = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    winner = F.max_by(F.struct("item_id", "score", "margin", "layer"), "layer").alias("w")
-    return stacked.groupBy("icon_id").agg(winner).select(
-        "icon_id",
-        "w.item_id",
-        "w.score",
-        "w.margin",
-        (F.col("w.layer") > AUTO).alias("override"),
-    )
+    winner = top_per_group(stacked, ["icon_id"], [F.col("layer").desc()], 1)
+    return winner.select(*fields, (F.col("layer") > AUTO).alias("override"))
 
 
 def with_certainty(links: DataFrame) -> DataFrame:

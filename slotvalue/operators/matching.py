@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from slotvalue.functions.pricing import MARGIN_FULL
 from slotvalue.operators.skew import top_per_group
+from slotvalue.runtime import checkpoint
 
 # Alpha above this belongs to the icon, matches reported per icon.
 ALPHA_FLOOR = 16
 BEST = 3
 
-# Largest number of vectors of each side that meet in one task.
-TILE_CANDIDATES = 32768
-TILE_QUERIES = 65536
+# Bytes of the vectors of each side that meet in one task, and queries that are scored at once.
+TILE_BYTES = 64 << 20
 CHUNK = 256
+# Blocks whose sizes are sent to every task, at most.
+SENT_BLOCKS = 50_000
 
 _OUT = "icon_id bigint, item_id bigint, distance double"
 
@@ -26,9 +28,10 @@ def block_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("block").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-def _tiles(df: DataFrame, size: int, name: str) -> DataFrame:
-    tiles = F.ceil(F.col("rows") / size)
-    return df.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).select("block", tiles.alias(name))
+def _tiles(df: DataFrame, name: str) -> DataFrame:
+    """Tiles of each block, from the bytes of its vectors."""
+    size = F.sum(F.size("vec").cast("bigint") * 8)
+    return df.groupBy("block").agg(F.ceil(size / TILE_BYTES).alias(name))
 
 
 def _best_in_tile(k: int):
@@ -78,13 +81,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = BEST) -> DataFra
     more tiles.  Copies of one candidate image beyond the ``k`` with the smallest ids
     cannot appear in a result and are dropped first.
     """
-    kept = top_per_group(candidates, ["block", "vec"], [F.col("item_id")], k, "_copy").drop("_copy")
-    candidate_tiles = _tiles(kept, TILE_CANDIDATES, "c_tiles")
-    query_tiles = _tiles(queries, TILE_QUERIES, "q_tiles")
-    asked = queries.join(candidate_tiles, "block").join(query_tiles, "block")
+    keyed = candidates.withColumn("_digest", F.sha2(F.col("vec").cast("string"), 256))
+    kept = top_per_group(keyed, ["block", "_digest"], [F.col("item_id")], k, "_copy").drop("_copy", "_digest")
+    # One row per block with both numbers of tiles; a few blocks go to every task.
+    cuts = checkpoint(_tiles(kept, "c_tiles").join(_tiles(queries, "q_tiles"), "block"))
+    cuts = F.broadcast(cuts) if cuts.count() <= SENT_BLOCKS else cuts
+    asked = queries.join(cuts, "block")
     asked = asked.withColumn("q_tile", F.pmod(F.xxhash64("icon_id"), F.col("q_tiles")))
     asked = asked.withColumn("c_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c_tiles") - 1)))
-    offered = kept.join(candidate_tiles, "block").join(query_tiles, "block")
+    offered = kept.join(cuts, "block")
     offered = offered.withColumn("c_tile", F.pmod(F.xxhash64("item_id"), F.col("c_tiles")))
     offered = offered.withColumn("q_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_tiles") - 1)))
     tile = ["block", "c_tile", "q_tile"]

@@ -11,6 +11,7 @@ from slotvalue.functions.geometry import in_top_strip
 from slotvalue.functions.rounding import round_share
 from slotvalue.functions.similarity import best_names, reported_ratio
 from slotvalue.functions.text import normalise
+from slotvalue.operators.skew import spread_missing, top_per_group
 from slotvalue.runtime import checkpoint
 
 # Fixed value: lowest similarity that counts as a match.
@@ -73,6 +74,29 @@ def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> Da
     return best.select("text", F.col("hit.key").alias("key"))
 
 
+def _grams(text, size: int):
+    """Distinct substrings of ``size`` characters; a shorter text is one of them."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(size))))
+
+
+def levenshtein_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF, gram: int = 3) -> DataFrame:
+    """Best name per distinct text by edit distance, without Python: ``(text, key, item_id, score)``.
+
+    The score is one less the distance over the longer length.  A text only meets names that
+    share one of its character trigrams and have an admissible length; a pair meets at its first
+    shared trigram.  Of equal scores the last name in alphabetical order wins.
+    """
+    asked = texts.where(F.col("text") != "").select("text").distinct().withColumn("t_grams", _grams("text", gram))
+    named = index.select("key", "item_id", _grams("key", gram).alias("n_grams"))
+    met = asked.withColumn("gram", F.explode("t_grams")).join(named.withColumn("gram", F.explode("n_grams")), "gram")
+    longer, shorter = F.greatest(F.length("text"), F.length("key")), F.least(F.length("text"), F.length("key"))
+    met = met.where((shorter >= cutoff * longer) & (F.array_min(F.array_intersect("t_grams", "n_grams")) == F.col("gram")))
+    scored = met.withColumn("score", 1 - F.levenshtein("text", "key") / longer).where(F.col("score") >= cutoff)
+    best = top_per_group(scored, ["text"], [F.col("score").desc(), F.col("key").desc()], 1)
+    return best.select("text", "key", "item_id", "score")
+
+
 def match_names(texts: DataFrame, catalog: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Item and score for each distinct ``text`` (already normalised).
 
@@ -122,18 +146,19 @@ def assemble_text(words: DataFrame, keys: list[str]) -> DataFrame:
     box, so only the words of a single box come together.
     """
     top = in_top_strip(F.col("y"), F.col("h"), F.col("box_height"))
-    placed = F.struct("x", "word_idx", "text")
-    boxes = words.groupBy(*keys).agg(
-        F.collect_list(F.when(top, placed)).alias("top"),
-        F.collect_list(placed).alias("all"),
-        F.collect_list(F.struct("word_idx", "text")).alias("read"),
-    )
+    placed = F.struct("x", "word_idx", "text", top.alias("top"))
+    # Collected once; the three texts are the same words in two orders.
+    boxes = words.groupBy(*keys).agg(F.array_sort(F.collect_list(placed)).alias("w"))
 
     def line(col):
-        return F.array_join(F.transform(F.array_sort(F.col(col)), lambda w: w["text"]), " ")
+        return F.array_join(F.transform(col, lambda w: w["text"]), " ")
 
+    read = F.array_sort(F.transform("w", lambda w: F.struct(w["word_idx"].alias("word_idx"), w["text"].alias("text"))))
     return boxes.select(
-        *keys, line("top").alias("top_text"), line("all").alias("all_text"), line("read").alias("raw_text")
+        *keys,
+        line(F.filter("w", lambda w: w["top"])).alias("top_text"),
+        line(F.col("w")).alias("all_text"),
+        line(read).alias("raw_text"),
     )
 
 
@@ -152,12 +177,17 @@ def identify_boxes(words: DataFrame, catalog: DataFrame, keys: list[str], cutoff
         F.col("item_id").isNotNull() & (F.col("score") >= cutoff)
     )
 
+    # Boxes without text share the empty key; they are spread over the joins.
     def side(name):
         return matched.select(
-            F.col("text").alias(f"{name}_key"), F.col("item_id").alias(f"{name}_item"), F.col("score").alias(f"{name}_score")
+            F.col("text").alias(f"{name}_key"), F.lit(0).cast("bigint").alias(f"{name}_salt"),
+            F.col("item_id").alias(f"{name}_item"), F.col("score").alias(f"{name}_score"),
         )
 
-    found = boxes.join(side("top"), "top_key", "left").join(side("all"), "all_key", "left")
+    found = boxes
+    for name in ("top", "all"):
+        found = found.withColumn(f"{name}_salt", spread_missing(F.col(f"{name}_key"), *[F.col(k) for k in keys]))
+        found = found.join(side(name), [f"{name}_key", f"{name}_salt"], "left")
     by_top, by_all = F.col("top_item").isNotNull(), F.col("all_item").isNotNull()
     return found.select(
         *keys,

@@ -24,6 +24,7 @@ from slotvalue.operators import (
 )
 from slotvalue.plans import tables as t
 from slotvalue.runtime import scratch_path
+from slotvalue.schema import METRIC_COLUMNS
 from slotvalue.sources import readers, writers
 from slotvalue.streaming import jobs
 
@@ -397,6 +398,11 @@ def name_match_fuzzy(spark, sf):
     return names.match_names(_texts(spark, sf), t.names(spark, sf))
 
 
+@query
+def name_match_levenshtein(spark, sf):
+    return names.levenshtein_best(_texts(spark, sf), names.name_index(t.names(spark, sf), "name"))
+
+
 @query
 def box_text(spark, sf):
     return names.assemble_text(t.words(spark, sf), ["box_id"])
@@ -865,7 +871,71 @@ def label_files(spark, sf):
     placed = spots.select(F.col("scope").alias("scene"), F.col("grid_id").alias("class_idx"), box.alias("b")).select("scene", "class_idx", "b.*")
     path = scratch_path(spark, "labels")
     writers.write_labels(dataset.split_scenes(placed, SEED), path)
-    return spark.read.schema("value string, split string, scene int").text(path)
+    return writers.read_labels(spark, path)
+
+
+CATALOG = ["item_id", "name", "short", "width", "height", "avg24h", "low", "base"]
+
+
+@query
+def catalog_json_scan(spark, sf):
+    """The catalog landed as JSON arrays, a thousand items each, and read back."""
+    items = t.catalog(spark, sf).select(
+        F.floor(F.col("pos") / 1000).alias("part"), "pos",
+        F.struct(
+            F.col("item_id").alias("id"), "name", F.col("short").alias("shortName"), "width", "height",
+            F.col("avg24h").alias("avg24hPrice"), F.col("low").alias("lastLowPrice"), F.col("base").alias("basePrice"),
+        ).alias("item"),
+    )
+    arrays = items.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("rows"))
+    path = scratch_path(spark, "catalog")
+    arrays.select("part", F.to_json(F.transform("rows", lambda r: r["item"])).alias("value")).write.partitionBy("part").text(path)
+    return readers.flat_catalog(readers.latest_items(readers.read_catalog_arrays(spark, path + "/*/*.txt"), "file", "pos")).select(*CATALOG)
+
+
+@query
+def link_map_scan(spark, sf):
+    """The matcher's links landed as JSON maps and read back, under an override map that does not exist."""
+    links_now = t.auto_links(spark, sf)
+    match = F.struct("item_id", "name", "short", "score", "margin")
+    parts = links_now.groupBy(F.pmod(F.xxhash64("icon_id"), F.lit(BUCKETS)).alias("part")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("icon_id", match)))).alias("value")
+    )
+    path = scratch_path(spark, "links")
+    parts.write.partitionBy("part").text(path)
+    pinned = readers.read_overrides(spark, path + "/missing.json").select("icon_id", F.lit(True).alias("pinned"))
+    found = readers.read_auto_links(spark, path + "/*/*.txt").join(pinned, "icon_id", "left")
+    return found.select("icon_id", "item_id", "name", "short", "score", "margin", F.coalesce("pinned", F.lit(False)).alias("pinned"))
+
+
+@query
+def snapshot_scan(spark, sf):
+    """The catalog written as a snapshot and read back."""
+    return spark.read.parquet(writers.write_snapshot(t.catalog(spark, sf), "catalog")).select(*CATALOG)
+
+
+@query
+def metrics_csv(spark, sf):
+    """Training logs as CSV, one folder per model, and their summary."""
+    known = {"epoch": F.col("event_id").cast("int"), "time": F.col("event_id") * 2.0, "metrics/mAP50(B)": F.col("value")}
+    log = t.raw(spark, sf, "events").select(
+        F.col("event_type").alias("model"), *[known.get(c, F.lit(0.0)).alias(c) for c in METRIC_COLUMNS]
+    )
+    path = scratch_path(spark, "metrics")
+    log.write.partitionBy("model").option("header", True).csv(path)
+    logs = readers.read_metrics(spark, path + "/*/*.csv").withColumn("model", F.regexp_replace("model", "^model=", ""))
+    return reports.run_summary(logs)
+
+
+@query
+def release_files(spark, sf):
+    """Text files, one per customer segment and nation, with their lengths and digests."""
+    names = t.raw(spark, sf, "customer").select(F.lower("c_mktsegment").alias("model"), "c_nationkey").distinct()
+    path = scratch_path(spark, "release")
+    names.select("model", "c_nationkey", F.concat_ws("-", "model", F.col("c_nationkey").cast("string")).alias("value")).write.partitionBy(
+        "model", "c_nationkey"
+    ).text(path)
+    return readers.file_digests(spark, path + "/*/*").where(F.col("file").startswith("part-")).select("length", "sha256")
 
 
 @query

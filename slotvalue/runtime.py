@@ -24,6 +24,9 @@ CLUSTER_CONF = {
     ),
 }
 
+# Scratch folders handed out by this process.
+_made: list[str] = []
+
 
 def build_session(app: str = "slotvalue", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -51,7 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so retries cannot collide."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders of this process once their results are no longer read."""
+    hadoop, removed = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

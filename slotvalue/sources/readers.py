@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from slotvalue.functions.geometry import footprint
 from slotvalue.functions.pricing import best_offer
+from slotvalue.operators.skew import top_per_group
 from slotvalue.operators.spatial import cell_geometry
 from slotvalue.schema import AUTO_LINK, CATALOG_ITEM, GRID, LINK_EVENT, METRICS
 
@@ -46,9 +47,7 @@ def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
 def latest_items(items: DataFrame, *order: str) -> DataFrame:
     """One row per id: the last duplicate wins."""
     order = order or ("pos",)
-    payload = F.struct(*[c for c in items.columns if c != "id"])
-    last = items.groupBy("id").agg(F.max_by(payload, F.struct(*order)).alias("last"))
-    return last.select("id", "last.*")
+    return top_per_group(items, ["id"], [F.col(c).desc() for c in order], 1).drop("rn")
 
 
 def flat_catalog(items: DataFrame) -> DataFrame:

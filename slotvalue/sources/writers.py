@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.operators.dataset import label_line
@@ -39,9 +39,21 @@ def write_snapshot(rows: DataFrame, label: str) -> str:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    """Label text partitioned by split and scene: ``class cx cy w h`` with six decimals."""
-    lines = labels.select("split", "scene", label_line(*[F.col(c) for c in ("class_idx", "cx", "cy", "w", "h")]).alias("value"))
-    lines.repartition("split", "scene").write.partitionBy("split", "scene").text(path)
+    """Label lines by split: the scene, a tab, and ``class cx cy w h`` with six decimals.
+
+    A folder per split only; the lines of a scene are together and scenes are in order.
+    """
+    line = label_line(*[F.col(c) for c in ("class_idx", "cx", "cy", "w", "h")])
+    lines = labels.select("split", "scene", F.concat_ws("\t", F.col("scene").cast("string"), line).alias("value"))
+    lines = lines.repartitionByRange("split", "scene").sortWithinPartitions("split", "scene")
+    lines.select("split", "value").write.partitionBy("split").text(path)
+
+
+def read_labels(spark: SparkSession, path: str, scene: str = "int") -> DataFrame:
+    """``(split, scene, value)`` of written labels."""
+    lines = spark.read.schema("value string, split string").text(path)
+    parts = F.split("value", "\t", 2)
+    return lines.select("split", parts[0].cast(scene).alias("scene"), parts[1].alias("value"))
 
 
 def class_metadata(vocabulary: DataFrame) -> DataFrame:

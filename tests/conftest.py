@@ -8,14 +8,17 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from slotvalue.runtime import CLUSTER_CONF  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    builder = SparkSession.builder.master("local[8]").appName("slotvalue-tests")
+    for key, value in CLUSTER_CONF.items():
+        builder = builder.config(key, value)
     session = (
-        SparkSession.builder.master("local[8]")
-        .appName("slotvalue-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")

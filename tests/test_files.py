@@ -132,9 +132,11 @@ def test_snapshot_age_and_versions(spark):
 def test_label_files(spark, tmp_path):
     rows = spark.createDataFrame([("train", "s1", 3, 0.8203125, 0.5, 0.1, 0.2)], "split string, scene string, class_idx int, cx double, cy double, w double, h double")
     writers.write_labels(rows, str(tmp_path / "labels"))
-    folder = tmp_path / "labels" / "split=train" / "scene=s1"
+    folder = tmp_path / "labels" / "split=train"
     text = "".join(p.read_text() for p in folder.iterdir() if p.suffix == ".txt")
-    assert text == "3 0.820312 0.500000 0.100000 0.200000\n"
+    assert text == "s1\t3 0.820312 0.500000 0.100000 0.200000\n"
+    back = writers.read_labels(spark, str(tmp_path / "labels"), "string").first()
+    assert (back.split, back.scene, back.value) == ("train", "s1", "3 0.820312 0.500000 0.100000 0.200000")
 
 
 def test_fingerprints(spark):

@@ -13,8 +13,7 @@ from slotvalue.operators import components, duplicates, matching, names
 
 
 def test_nearest_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(matching, "TILE_CANDIDATES", 7)
-    monkeypatch.setattr(matching, "TILE_QUERIES", 11)
+    monkeypatch.setattr(matching, "TILE_BYTES", 400)
     monkeypatch.setattr(matching, "CHUNK", 4)
     rng = random.Random(2)
     candidates = []

@@ -1,5 +1,7 @@
 """Where checkpoints and scratch tables go."""
 
+import os
+
 import pytest
 
 from slotvalue import runtime
@@ -39,3 +41,10 @@ def test_cluster_without_setting_is_an_error():
 
 def test_checkpoint_keeps_rows(spark):
     assert sorted(r.id for r in runtime.checkpoint(spark.range(5)).collect()) == list(range(5))
+
+
+def test_scratch_folders_can_be_dropped(spark):
+    path = runtime.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    runtime.drop_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and runtime.drop_scratch(spark) == 0
