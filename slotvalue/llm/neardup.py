@@ -40,6 +40,8 @@ ROWS = 6
 # Members and distinct shingles of a cell; a tile is made of two.
 CELL_MEMBERS = 256
 CELL_SHINGLES = 500_000
+# Large labels that are sent to every task instead of being shuffled, at most.
+SENT_LABELS = 50_000
 # A shingle that more members of a tile share is counted by matrix products.
 COMMON = 48
 COLUMNS = 4096
@@ -200,7 +202,10 @@ def _placed(members: DataFrame) -> DataFrame:
     cell = F.when(F.col("parts") == 1, F.pmod(name, F.lit(bins))).otherwise(
         F.xxhash64(name, F.pmod(F.xxhash64("doc", "tag"), F.col("parts")))
     )
-    cells = labelled.join(total.select("label", parts.alias("parts")), "label").select("doc", "tag", cell.alias("cell"))
+    large = checkpoint(total.select("label", parts.alias("parts")).where("parts > 1"))
+    large = F.broadcast(large) if large.count() <= SENT_LABELS else large
+    cells = labelled.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cells = cells.select("doc", "tag", cell.alias("cell"))
     mates = mates.select("doc", "tag", "band", "key").join(cells, ["doc", "tag"])
     # A bucket names each of its cells once, so a large one has as many rows as cells, not members.
     others = mates.groupBy("band", "key").agg(F.collect_set("cell").alias("cells"))
