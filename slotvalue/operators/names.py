@@ -74,27 +74,51 @@ def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> Da
     return best.select("text", F.col("hit.key").alias("key"))
 
 
-def _grams(text, size: int):
-    """Distinct substrings of ``size`` characters; a shorter text is one of them."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(size))))
+def _letter_tokens(text: str):
+    """``(letter, occurrence)`` of every letter of a text: what two texts share of it is a plain set intersection."""
+    whole, starts = F.col(text), F.sequence(F.lit(1), F.length(text))
+    letters = F.array_distinct(F.transform(starts, lambda i: F.substr(whole, i, F.lit(1))))
 
+    def occurrences(c):
+        times = F.length(whole) - F.length(F.replace(whole, c, F.lit("")))
+        return F.transform(F.sequence(F.lit(1), times), lambda n: F.concat(c, n.cast("string")))
 
-def levenshtein_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF, gram: int = 3) -> DataFrame:
+    return F.flatten(F.transform(letters, occurrences))
+
+
+def _prefixes(df: DataFrame, text: str, counts: DataFrame, cutoff: float) -> DataFrame:
+    """``(text, prefix)``: the rarest tokens of each text, as many as cannot all be absent from a match."""
+    tokens = df.select(text, F.explode(_letter_tokens(text)).alias("token")).join(counts, "token", "left")
+    placed = F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "token")))
+    needed = F.length(text) - F.ceil(cutoff * F.length(text) - 1e-9) + 1
+    ranked = tokens.groupBy(text).agg(placed.alias("ranked"))
+    return ranked.select(text, F.slice("ranked.token", F.lit(1), needed.cast("int")).alias("prefix"))
+
+
+def levenshtein_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Best name per distinct text by edit distance, without Python: ``(text, key, item_id, score)``.
 
-    The score is one less the distance over the longer length.  A text only meets names that
-    share one of its character trigrams and have an admissible length; a pair meets at its first
-    shared trigram.  Of equal scores the last name in alphabetical order wins.
+    The score is one less the distance over the longer length; ``cutoff`` is above 0.  An edit changes
+    at most one letter on either side, so a pair at the cutoff shares at least ``cutoff`` times the longer
+    length of its (letter, occurrence) tokens, in any order.  Sorted by rarity among the names, the
+    tokens of a text that come after its first ``length - ceil(cutoff * length)`` are too few for that, and one
+    more is the prefix that every match of it meets: the join on prefixes of both sides loses no pair.  A pair is
+    scored at its first shared token if its lengths are admissible.  Of equal scores the last name in
+    alphabetical order wins.
     """
-    asked = texts.where(F.col("text") != "").select("text").distinct().withColumn("t_grams", _grams("text", gram))
-    named = index.select("key", "item_id", _grams("key", gram).alias("n_grams"))
-    met = asked.withColumn("gram", F.explode("t_grams")).join(named.withColumn("gram", F.explode("n_grams")), "gram")
+    if cutoff <= 0:
+        raise ValueError("cutoff must be above 0")
+    asked = texts.where(F.col("text") != "").select("text").distinct()
+    counts = index.select(F.explode(_letter_tokens("key")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("names"))
+    offered = _prefixes(index.select("key"), "key", counts, cutoff).withColumnRenamed("prefix", "n_prefix")
+    asked = _prefixes(asked, "text", counts, cutoff).withColumnRenamed("prefix", "t_prefix")
+    met = asked.withColumn("token", F.explode("t_prefix")).join(offered.withColumn("token", F.explode("n_prefix")), "token")
     longer, shorter = F.greatest(F.length("text"), F.length("key")), F.least(F.length("text"), F.length("key"))
-    met = met.where((shorter >= cutoff * longer) & (F.array_min(F.array_intersect("t_grams", "n_grams")) == F.col("gram")))
+    first = F.array_intersect("t_prefix", "n_prefix")[0] == F.col("token")
+    met = met.where((shorter >= cutoff * longer - 1e-9) & first)
     scored = met.withColumn("score", 1 - F.levenshtein("text", "key") / longer).where(F.col("score") >= cutoff)
     best = top_per_group(scored, ["text"], [F.col("score").desc(), F.col("key").desc()], 1)
-    return best.select("text", "key", "item_id", "score")
+    return best.join(index.select("key", "item_id"), "key").select("text", "key", "item_id", "score")
 
 
 def match_names(texts: DataFrame, catalog: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

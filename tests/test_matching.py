@@ -189,3 +189,37 @@ def test_exact_groups_with_a_hot_group(spark):
     assert duplicates.group_table(members).select("group_idx", "size").distinct().collect() == [(0, 300)]
     summary = duplicates.method_summary(members, df, "exact").first()
     assert (summary.groups, summary.ambiguous, summary.ambiguous_pct, summary.biggest) == (1, 300, 33.33, 300)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.8, 1.0])
+def test_levenshtein_best_equals_brute_force(spark, cutoff):
+    rng = random.Random(11)
+
+    def some(letters, longest):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(1, longest)))
+
+    # short names and codes, few letters, repeated letters, letters outside ASCII and the basic plane
+    names_ = {some("abcd", 7) for _ in range(60)} | {some("aé漢😀1", 5) for _ in range(40)} | {some("ab ", 20) for _ in range(20)}
+    names_ |= {"abxde", "sabewo", "a", "ab", "a1", "a11"}
+    asked = {some("abcd", 7) for _ in range(60)} | {some("aé漢😀1", 5) for _ in range(40)} | {some("ab ", 20) for _ in range(20)}
+    asked |= {"abcde", "salewa", "zzz", "ax", "a1", ""}
+    index = spark.createDataFrame([(k, f"item {k}") for k in sorted(names_)], "key string, item_id string")
+    texts = spark.createDataFrame([(t,) for t in [*sorted(asked), "abcde"]], "text string")
+    got = {r.text: (r.key, r.item_id, r.score) for r in names.levenshtein_best(texts, index, cutoff).collect()}
+    expected = {}
+    for t in asked - {""}:
+        score, key = max((1 - edit_distance(t, k) / max(len(t), len(k)), k) for k in names_)
+        if score >= cutoff:
+            expected[t] = (key, f"item {key}", score)
+    assert got == expected
+    if cutoff == 0.6:
+        assert got["abcde"][2] >= 0.8 and got["salewa"][2] >= 2 / 3
