@@ -120,10 +120,10 @@ def hashed_first(df: DataFrame, hash_col: str, bits: int, order: Sequence[Column
     the rows of the range that holds the cut are numbered.
     """
     ranged = df.withColumn("_range", F.shiftright(F.col(hash_col), bits - SAMPLE_BITS).cast("int"))
-    left, cut = n, -1
+    left, cut = n, 1 << SAMPLE_BITS  # above all ranges: a table of fewer rows is taken whole
     for r, rows in sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect()):
-        cut = r
         if rows >= left:
+            cut = r
             break
         left -= rows
     edge = ranged.where(F.col("_range") == cut)

@@ -148,3 +148,10 @@ def test_evidence_repeats_do_not_corroborate(spark):
 def test_majority_tie_goes_to_first_name(spark):
     votes = spark.createDataFrame([("1", "b"), ("1", "a"), ("1", "b"), ("1", "a"), ("2", "z")], "icon_id string, name string")
     assert sorted((r.icon_id, r.name, r.votes) for r in evidence.majority(votes).collect()) == [("1", "a", 2), ("2", "z", 1)]
+
+
+def test_sample_of_more_rows_than_the_table_holds(spark):
+    # 20,000 rows over 4,096 ranges: several rows in the last one
+    rows = spark.range(20_000)
+    for n in (19_999, 20_000, 20_001, 20_003):
+        assert dataset.sample_first(rows, 7, n, "id").distinct().count() == min(n, 20_000)
