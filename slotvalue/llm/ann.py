@@ -8,7 +8,8 @@ scored by exact inner products on the original vectors.
 Where norms differ, vectors get one more component that makes them equally long, which turns the
 largest inner product into the smallest angle.  The number of probes is calibrated: a bounded sample
 of queries is answered by brute force over all vectors, and the fewest probes are taken
-that would find ``recall`` of the true neighbours.
+that would find ``recall`` of the true neighbours.  If ``MAX_PROBES`` of them are too few, hashing does not pay: all
+vectors go into one bucket, whose parts answer every query exactly; that work is queries times vectors.
 
 Equal vectors are one entry of the index with its smallest ids, as many as a result can hold, and
 equal queries are answered once; so a vector that a third of the table shares is no hot
@@ -70,6 +71,11 @@ class Hasher:
     def __init__(self, rows: int, longest: float, shortest: float, tables: int = TABLES):
         self.rows, self.longest, self.tables = rows, longest, tables
         self.level_norms = longest > 0 and (longest - shortest) > 1e-3 * longest
+        self.exact = False
+
+    def make_exact(self) -> None:
+        """One table of one bucket, so that every query meets every candidate."""
+        self.exact, self.tables = True, 1
 
     def prepared(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Unit vectors of a length that is a power of two."""
@@ -98,12 +104,16 @@ class Hasher:
         return out
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
+        if self.exact:
+            return np.zeros(len(x), np.int64)
         axes = self._axes(x, table)
         out = axes[0].argmax(axis=1)
         return out if len(axes) == 1 else out * axes[1].shape[1] + axes[1].argmax(axis=1)
 
     def probes(self, x: np.ndarray, table: int, count: int) -> np.ndarray:
         """Buckets in order of nearness, at most ``count`` for each vector."""
+        if self.exact:
+            return np.zeros((len(x), 1), np.int64)
         axes = self._axes(x, table)
         if len(axes) == 1:
             return np.argsort(-axes[0], axis=1, kind="stable")[:, :count]
@@ -170,7 +180,10 @@ def _brute(sample: list[list[float]], k: int):
 
 
 def calibrated_probes(classes: DataFrame, hasher: Hasher, kind: str, k: int, recall: float, sample: int) -> int:
-    """Fewest probes per table that find ``recall`` of the true neighbours of a sample of queries."""
+    """Fewest probes per table that find ``recall`` of the true neighbours of a sample of queries.
+
+    More than ``MAX_PROBES`` says that so many do not find them.
+    """
     queries = classes.where("is_query").orderBy(F.xxhash64("c"), "c").limit(sample).select("c", "v").collect()
     if not queries:
         return 1
@@ -295,6 +308,8 @@ def neighbours(
     whole = classes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.min(norm).alias("shortest")).first()
     hasher = Hasher(whole.n, whole.longest or 0.0, whole.shortest or 0.0, tables)
     probes = calibrated_probes(classes, hasher, kind, k, recall, sample)
+    if probes > MAX_PROBES:
+        hasher.make_exact()
     path = scratch_path(spark, "buckets")
     key = ["d", "t", "bucket"]
     map_batches(classes.select("c", "v", "is_query"), _hashes(hasher, probes), "d int, t int, bucket bigint, probe boolean, c bigint").write.parquet(path)

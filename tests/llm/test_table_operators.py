@@ -68,6 +68,14 @@ def test_recall_of_few_probes(spark):
     assert found(spark, []) == set() and found(spark, [(0, [1.0, 2.0])]) == set()
 
 
+def test_too_few_probes_end_in_an_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_PROBES", 2)
+    monkeypatch.setattr(ann, "PART", 64)
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.normal(size=16).tolist()) for i in range(400)] + [(500 + i, (rng.normal(size=3) + i % 2).tolist()) for i in range(50)]
+    assert found(spark, vectors, k=9) == exact(vectors, 9)
+
+
 def test_refined_buckets_are_probed_in_order():
     hasher = ann.Hasher(10**7, 1.0, 1.0)
     x = hasher.prepared(np.random.default_rng(4).normal(size=(50, 30)), True)
