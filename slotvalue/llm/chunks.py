@@ -39,6 +39,10 @@ from slotvalue.runtime import scratch_path
 REACH, WINDOW, MOST = 24, 16, 256
 # Words of whole repeated chunks that make a span worth reporting.
 MIN_WORDS = 20
+# Other characters that a run between spaces may have as one word, and characters of each word of a longer run.
+LONG, EACH = 32, 6
+# First two UTF-8 bytes of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese.
+UNSPACED = ((0xE0B8, 0xE0BF), (0xE180, 0xE181), (0xE19E, 0xE19F), (0xE2BA, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3))
 
 _GEAR = np.random.default_rng(65_537).integers(0, 2**32, 256, dtype=np.uint32)
 _OTHER_BASE = 0xD1342543DE82EF95
@@ -96,6 +100,35 @@ def _to_character(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return cuts
 
 
+def word_halves(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Half words that begin at each byte of several texts in one buffer.
+
+    A word is a run between spaces.  A character of a script without spaces is half a word, and of a run of more than
+    ``LONG`` other characters every ``EACH`` are one.
+    """
+    lead = (data & 0xC0) != 0x80
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    begins = ~space
+    begins[1:] &= space[:-1]
+    heads = offsets[offsets < len(data)]
+    begins[heads] = ~space[heads]
+    two = data.astype(np.uint16) << np.uint16(8)
+    two[:-1] |= data[1:]
+    unspaced = np.zeros(len(data), bool)
+    for low, high in UNSPACED:
+        unspaced |= (two >= low) & (two <= high)
+    unspaced &= lead
+    other = lead & ~unspaced & ~space
+    halves = 2 * (begins & ~unspaced) + unspaced
+    count, starts = np.cumsum(other), np.flatnonzero(begins)
+    if len(starts):
+        before = np.append(count[starts] - other[starts], count[-1])
+        run = np.maximum(np.cumsum(begins) - 1, 0)
+        place = count - 1 - before[run]
+        halves += 2 * (other & (np.diff(before)[run] > LONG) & (place > 0) & (place % EACH == 0))
+    return halves
+
+
 def _chunk(batches, schema):
     for batch in batches:
         doc, tag, text = batch.column(0), batch.column(1), batch.column(2)
@@ -105,10 +138,7 @@ def _chunk(batches, schema):
             if not len(owner):
                 continue
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-            begins = ~space
-            begins[1:] &= space[:-1]
-            words = np.concatenate([[0], np.cumsum(begins)])
+            words = np.concatenate([[0], np.cumsum(word_halves(data, offsets))])
             origin = chars[offsets[:-1]][owner]
             yield batch_of(
                 {
@@ -124,7 +154,7 @@ def _chunk(batches, schema):
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, tag, start, end, n_words, first_doc, drop)`` for spans that several documents share.
 
-    ``start`` and ``end`` count characters.  ``drop`` has the parts of the span that an earlier
+    ``start`` and ``end`` count characters, ``n_words`` words as in ``word_halves``.  ``drop`` has the parts of the span that an earlier
     document holds; ``first_doc`` holds its longest chunk first.
     """
     spark = docs.sparkSession
@@ -139,7 +169,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated.withColumn("new", new).withColumn("span", F.sum("new").over(by_doc))
     earlier = F.col("first") < F.col("doc")
     spans = spans.groupBy("doc", "tag", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.floor(F.sum("words") / 2).alias("n_words"),
         F.max(F.struct((F.col("end") - F.col("start")).alias("size"), F.bitwise_not("first").alias("first"))).alias("longest"),
         F.array_sort(F.collect_list(F.when(earlier, F.struct("start", "end")))).alias("drop"),
     )

@@ -200,3 +200,32 @@ def test_shared_passages_are_found_and_removed(spark):
     assert out[0].asDict() == {"doc_id": 0, "text": whole[0], "doc": "d", "tag": "t", "row": "r", "keep": "k"}
     assert len(out[29].text) < len(whole[29]) - 150 and all(out[i].text == t for i, t in clean)
     assert chunks.span_report(spark.createDataFrame([], DOC)).isEmpty()
+
+
+def test_passages_without_spaces_are_found(spark):
+    rng = random.Random(8)
+
+    def run(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    scripts = ["".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x3041, 0x3097))), "abcdefghij0123456789"]
+    docs = []
+    for letters in scripts:
+        shared = run(letters, 400)
+        docs += [(len(docs) + i, run(letters, 300) + shared + run(letters, 200)) for i in range(2)]
+    rows = chunks.span_report(spark.createDataFrame(docs, DOC)).collect()
+    assert {r.doc_id for r in rows} == {i for i, _ in docs}
+    for r in rows:
+        assert r.n_words >= chunks.MIN_WORDS and 300 <= r.span_start < r.span_end <= 700
+    kept = {r.doc_id: r.text for r in chunks.drop_repeats(spark.createDataFrame(docs, DOC)).collect()}
+    assert all(len(kept[i]) == 900 if i % 2 == 0 else len(kept[i]) < 700 for i, _ in docs)
+
+
+def test_words_of_each_script():
+    def words(*texts):
+        data, offsets = tokens.utf8(pa.array(texts, pa.string()))
+        halves = np.concatenate([[0], np.cumsum(chunks.word_halves(data, offsets))])
+        return (np.diff(halves[offsets]) / 2).tolist()
+
+    assert words("one two\tthree ", "four", "", " fünf ", "x" * 32, "x" * 60) == [3, 1, 0, 1, 1, 10]
+    assert words("漢字" * 10, "漢字 abc", "привет мир", "ภาษาไทย", "") == [10, 2, 2, 3.5, 0]
