@@ -28,9 +28,8 @@ from slotvalue.llm import tokens
 from slotvalue.llm.arrow import batch_of, map_batches
 
 BUCKETS = 1 << 18
-# Labelled documents that the weights are fitted on, and words that may get one, at most.
+# Labelled documents that the weights are fitted on, at most.
 SAMPLE = 20_000
-VOCABULARY = 4_096
 # Labels that are sent to every task instead of being shuffled, at most.
 SENT_LABELS = 2_000_000
 # Least distance from independence, in standard deviations, and documents of a screened word.
@@ -195,7 +194,8 @@ def train(
     p = docs_with / F.lit(float(n[0] + n[1]))
     z = F.abs(F.col("toxic") / n[1] - F.col("clean") / n[0]) / F.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
     screened = counts.where((docs_with >= LEAST_DOCS) & (p < 1)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    vocabulary = np.array(sorted(r.bucket for r in screened.orderBy(F.col("z").desc(), "bucket").limit(VOCABULARY).collect()), np.int64)
+    # At most BUCKETS numbers, whatever the size of the tables.
+    vocabulary = np.array(sorted(r.bucket for r in screened.select("bucket").collect()), np.int64)
     if not len(vocabulary):
         return Model(float(np.log(n[1] / n[0])), vocabulary, np.zeros(0))
     # The sample has a fixed size, so its ids are sent to every task.

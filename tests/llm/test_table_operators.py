@@ -312,6 +312,15 @@ def test_scores_of_odd_documents(spark):
         assert toxicity.score_documents(docs, toxicity.train(docs, some)).select("score").distinct().count() == 1
 
 
+def test_every_screened_word_may_weigh(spark):
+    # 5,000 words that tell more than the insult do not take its place
+    many = " ".join(f"m{i}" for i in range(5000))
+    docs = [(k, "x y z" if k % 2 else many if k % 4 else "insult y" if k % 8 else "y x") for k in range(240)]
+    labels = [(k, int(k % 2 == 0)) for k, _ in docs]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert model.table[toxicity.bucket_of(["insult"])[0]] > 0
+
+
 def test_held_out_accuracy(spark):
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
     docs, labels = read("documents"), read("labels")
