@@ -7,8 +7,8 @@ in the document with the largest id.
 Lines are reduced to a 128-bit hash of the key, the document and the position.  They are
 range-partitioned and sorted by (hash, document descending, position), so a frequent line is cut
 into several ranges like any other; one small pass per range reports its first and last key, and
-the second pass streams over the sorted rows.  Neither holds more than the lines of
-``min_docs`` documents.
+the second pass streams over the sorted rows.  A key is decided at its ``min_docs``-th document;
+until then its lines in the documents before wait, so no task holds a long run of equal keys.
 
 Nulls and repeated rows: a null or empty text is one empty line; a null id counts as one document
 below all others; rows that share an id count as one document, and each is filtered on its own.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -101,43 +102,73 @@ def _totals(edges: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
     return totals
 
 
+@dataclass
+class _Open:
+    """The key at the end of a batch: it may go on in the next one."""
+
+    key: tuple[int, int]
+    keeper: int
+    docs: int
+    last_doc: int
+    # Lines outside the keeper, while fewer than ``min_docs`` documents were seen.
+    waiting: list[list[np.ndarray]]
+
+
 def _dropped(totals: dict, min_docs: int):
     def run(batches, schema):
-        held: list[np.ndarray] | None = None
+        carry: _Open | None = None
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            if held is not None:
-                cols = [np.concatenate(pair) for pair in zip(held, cols, strict=True)]
             if len(cols[0]):
-                out, held = _decide(cols, totals, min_docs, last=False)
-                yield batch_of(dict(zip(schema.names, out, strict=True)), schema)
-        if held is not None and len(held[0]):
-            out, _ = _decide(held, totals, min_docs, last=True)
-            yield batch_of(dict(zip(schema.names, out, strict=True)), schema)
+                parts, carry = _decide(cols, carry, totals, min_docs)
+                for part in parts:
+                    yield batch_of(dict(zip(schema.names, part, strict=True)), schema)
 
     return run
 
 
-def _decide(cols, totals, min_docs, last):
-    """Lines to drop among complete runs; the run that may go on is held back.
+def _decide(cols: list[np.ndarray], carry: _Open | None, totals: dict, min_docs: int) -> tuple[list[list[np.ndarray]], _Open]:
+    """Lines of a batch that are known to be dropped, and the state of its last key.
 
-    A run that reaches over the edge of a partition is in ``totals`` and never waits.
+    Documents come in descending order, so the first one of a key keeps its lines, and a key is
+    decided as soon as ``min_docs`` documents were seen.  Keys that reach over the edge of a
+    partition are in ``totals`` and decided from the start.
     """
-    h1, h2, doc, tag, pos, n_lines = cols
+    h1, h2, doc, *lines = cols
     at = _runs(h1, h2)
-    known = {0: totals.get((int(h1[0]), int(h2[0]))), len(at) - 2: totals.get((int(h1[at[-2]]), int(h2[at[-2]])))}
-    end = len(at) - 1 if last or known[len(at) - 2] else len(at) - 2
-    size, starts = at[end], at[:end]
-    run = np.repeat(np.arange(end), np.diff(at[: end + 1]))
-    new_doc = np.ones(size, np.int64)
-    new_doc[1:] = (run[1:] != run[:-1]) | (doc[1:size] != doc[: size - 1])
-    docs = np.add.reduceat(new_doc, starts) if end else np.zeros(0, np.int64)
-    largest = doc[starts]
-    for i, total in known.items():
-        if total and i < end:
-            docs[i], largest[i] = total
-    drop = (docs[run] >= min_docs) & (doc[:size] != largest[run])
-    return [c[:size][drop] for c in (doc, tag, pos, n_lines)], [c[size:] for c in cols]
+    starts, last = at[:-1], len(at) - 2
+    run = np.repeat(np.arange(last + 1), np.diff(at))
+    goes_on = carry is not None and carry.key == (int(h1[0]), int(h2[0]))
+    new_doc = np.ones(len(doc), np.int64)
+    new_doc[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
+    keeper = doc[starts].copy()
+    if goes_on:
+        new_doc[0] = doc[0] != carry.last_doc
+        keeper[0] = carry.keeper
+    docs = np.add.reduceat(new_doc, starts)
+    if goes_on:
+        docs[0] += carry.docs
+    settled = False
+    for i in {0, last}:
+        total = totals.get((int(h1[starts[i]]), int(h2[starts[i]])))
+        if total:
+            docs[i], keeper[i] = total
+            settled = settled or i == last
+    outside = doc != keeper[run]
+    drop = (docs[run] >= min_docs) & outside
+    parts = [[c[drop] for c in (doc, *lines)]]
+    waiting = carry.waiting if goes_on else []
+    if goes_on and docs[0] >= min_docs:
+        parts, waiting = [*waiting, *parts], []
+    if last > 0:
+        waiting = []
+    if settled or docs[last] >= min_docs:
+        waiting = []
+    else:
+        rest = slice(starts[last], None)
+        waiting = [*waiting, [c[rest][outside[rest]] for c in (doc, *lines)]]
+    key = (int(h1[-1]), int(h2[-1]))
+    return parts, _Open(key, int(keeper[last]), int(docs[last]), int(doc[-1]), waiting)
 
 
 def pack(dropped, n_lines: int) -> bytes:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from slotvalue.llm import chunks, decontam, lines, neardup, tokens
 from tests.llm import brute
@@ -64,6 +65,50 @@ def test_a_line_of_most_documents_spans_ranges(spark):
     assert got == {i: 0 if i == 399 else 3 for i in range(400)}
 
 
+def test_decisions_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    schema = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "doc", "tag", "pos", "n_lines")])
+    out = pa.schema([(n, pa.int64()) for n in ("doc", "tag", "pos", "n_lines")])
+    for trial in range(60):
+        rows = [(k % 3, k, d, 0, p, 9) for k in range(6) for d in rng.integers(0, 9, rng.integers(1, 12)) for p in range(rng.integers(1, 4))]
+        rows = sorted(rows, key=lambda r: (r[0], r[1], -r[2], r[4]))
+        holders = {}
+        for r in rows:
+            holders.setdefault(r[:2], set()).add(r[2])
+        # The keys at the edges of a partition are known; here they also have a document elsewhere.
+        totals = {k: (len(holders[k]) + trial % 2, max(holders[k]) + trial % 2) for k in (rows[0][:2], rows[-1][:2])}
+        known = {k: totals.get(k, (len(v), max(v))) for k, v in holders.items()}
+        want = sorted((r[2], r[3], r[4], r[5]) for r in rows if known[r[:2]][0] >= 4 and r[2] != known[r[:2]][1])
+        size = int(rng.integers(1, 9))
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], schema=schema) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in lines._dropped(totals, 4)(iter(batches), out) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_a_long_run_is_not_held():
+    carry, dropped = None, 0
+    for i in range(50):
+        doc = np.arange(10**6 - 1000 * i, 10**6 - 1000 * (i + 1), -1)
+        cols = [np.full(1000, 1), np.full(1000, 2), doc, *[np.zeros(1000, np.int64)] * 3]
+        parts, carry = lines._decide(cols, carry, {}, 5)
+        dropped += sum(len(p[0]) for p in parts)
+        assert carry.waiting == []
+    assert dropped == 49_999
+
+
+def test_a_frequent_line_spans_batches_and_ranges(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        line = "the same long line in every single document of the table"
+        docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.col("id").cast("string")).alias("text"))
+        got = lines.line_digests(docs).groupBy("n_dropped").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).collect()
+        assert {(r.n_dropped, r.n, r.last) for r in got} == {(1, 49_999, 49_998), (0, 1, 49_999)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_filtered_rows_keep_their_columns(spark):
     docs = line_documents()
     table = spark.createDataFrame([(i, t, "d", "t", "r", "k") for i, t in docs], EXTRA)
