@@ -106,5 +106,45 @@ k AS (SELECT id, min(root) AS root FROM r GROUP BY id),
 m AS (SELECT x AS id, count(*) AS m FROM l GROUP BY x)
 SELECT doc_id, coalesce(k.root, doc_id) AS class_id, coalesce(m.m, 0) AS n_links
 FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN m ON m.id = doc_id
+""",
+    "op12_periodic_runs": r"""
+WITH RECURSIVE
+bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+crc(rid, s, k, c) AS (
+  SELECT rid, CAST(doc_id AS VARCHAR), 1, 4294967295 FROM docs WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT rid, s, crc.k + 1, xor(crc.c // 256, bits.c)
+  FROM crc JOIN bits ON bits.k = 8 AND bits.i = xor(crc.c % 256, ascii(substr(s, crc.k, 1))) WHERE crc.k <= length(s)),
+plan AS (
+  SELECT docs.rid, w, len(w) AS n, h % 10 = 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS r
+  FROM docs LEFT JOIN (SELECT rid, xor(c, 4294967295) AS h FROM crc WHERE k = length(s) + 1) USING (rid)),
+words AS (
+  SELECT rid, n, i AS pos, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + r)) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM plan)),
+level(size, rid, n, pos, name) AS (
+  SELECT 1, rid, n, pos, hash(word) FROM words
+  UNION ALL
+  SELECT size * 2, rid, n, pos, hash(name, half)
+  FROM (SELECT *, lead(name, size) OVER (PARTITION BY rid ORDER BY pos) AS half FROM level)
+  WHERE half IS NOT NULL AND n >= 4 * (size + 1)),
+next AS (SELECT size, rid, pos, lead(pos) OVER (PARTITION BY size, rid, name ORDER BY pos) - pos AS period FROM level),
+steps AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY rid, period ORDER BY pos) AS island
+  FROM next WHERE 2 * period > size AND period <= size),
+runs AS (
+  SELECT rid, period, min(pos) AS start, max(pos) - min(pos) + any_value(size) + period AS length
+  FROM steps GROUP BY rid, period, island
+  HAVING max(pos) - min(pos) + any_value(size) + period >= greatest(6, 4 * period)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM runs) WHERE place = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS line FROM runs GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY pos) AS text FROM words
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.rid = words.rid AND words.pos >= r.start + r.period AND words.pos < r.start + r.length) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(line, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
 """,
 }
