@@ -21,9 +21,9 @@ def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], ddl: str | T.StructType) -> DataFrame:
     """``mapInArrow`` whose function is told the Arrow schema of its result."""
-    spark_schema = T.StructType.fromDDL(ddl)
+    spark_schema = T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl
     schema = to_arrow_schema(spark_schema)
     return df.mapInArrow(lambda batches: fn(batches, schema), spark_schema)
 

@@ -27,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotvalue.llm.arrow import packed
+from slotvalue.llm.arrow import map_batches, packed
 from slotvalue.llm.tokens import slices
 
 LEAST_WORDS = 6
@@ -98,7 +99,8 @@ def periodic_runs(
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
-def _slice(text: pa.Array, least_words: int, least_exponent: int) -> pa.StructArray:
+def _slice(text: pa.Array, least_words: int, least_exponent: int) -> list[pa.Array]:
+    """Number of words, runs and collapsed text of each of some texts."""
     flat, first = split_words(text)
     codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     runs = periodic_runs(codes, first, least_words, least_exponent)
@@ -108,27 +110,22 @@ def _slice(text: pa.Array, least_words: int, least_exponent: int) -> pa.StructAr
     np.add.at(cover, start + period, 1)
     np.add.at(cover, start + length, -1)
     keep = np.cumsum(cover)[: len(codes)] == 0
-    kept = np.concatenate([[0], np.cumsum(keep)])[first]
-    collapsed = pc.binary_join(pa.ListArray.from_arrays(kept.astype(np.int32), flat.filter(pa.array(keep))), " ")
+    kept = np.concatenate([[0], np.cumsum(keep)])[first].astype(np.int32)
+    collapsed = pc.binary_join(pa.ListArray.from_arrays(kept, flat.filter(pa.array(keep))), " ")
     shown = pa.StructArray.from_arrays([pa.array(start - first[doc]), pa.array(length), pa.array(period)], ["start", "length", "period"])
     lists = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(text) + 1)).astype(np.int32), shown)
-    return pa.StructArray.from_arrays(
-        [pa.array(np.diff(first)), lists, collapsed], ["n_words", "runs", "collapsed"]
-    )
+    return [pa.array(np.diff(first)), lists, collapsed]
 
 
 def _finder(least_words: int, least_exponent: int):
-    @F.arrow_udf(FOUND)
-    def find(text: pa.Array) -> pa.Array:
-        parts = [_slice(text[a:b], least_words, least_exponent) for a, b in slices(text, SLICE_BYTES)]
-        return pa.concat_arrays(parts) if parts else pa.array([], parts_type())
-
-    return find
-
+    def run(batches, schema):
+        for batch in batches:
+            for a, b in slices(batch.column("text"), SLICE_BYTES):
+                found = _slice(batch.column("text")[a:b], least_words, least_exponent)
+                cols = [batch.column("row")[a:b], *found]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-def parts_type() -> pa.DataType:
-    run = pa.struct([(n, pa.int64()) for n in ("start", "length", "period")])
-    return pa.struct([("n_words", pa.int64()), ("runs", pa.list_(run)), ("collapsed", pa.string())])
+    return run
 
 
 def find_runs(
@@ -136,8 +133,12 @@ def find_runs(
 ) -> DataFrame:
     """``(row, n_words, runs, collapsed)`` of every row: its runs by start and period, and its words joined
     by single spaces without those that a run repeats after its first period."""
-    text = F.col(text) if isinstance(text, str) else text
-    return packed(docs, found=_finder(least_words, least_exponent)(text)).select("row", "found.*")
+    return _found(packed(docs, text=F.col(text) if isinstance(text, str) else text), least_words, least_exponent)
+
+
+def _found(rows: DataFrame, least_words: int = LEAST_WORDS, least_exponent: int = LEAST_EXPONENT) -> DataFrame:
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND)])
+    return map_batches(rows, _finder(least_words, least_exponent), schema)
 
 
 def strongest(runs: Column) -> Column:
@@ -181,11 +182,12 @@ def run_digests(docs: DataFrame, doc_id: str = "doc_id", text: str | Column = "t
     """Per row: number of runs, the strongest one, and digests of all runs and of the collapsed text."""
     best = strongest(F.col("runs"))
     line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]), F.lit("\n")))
+    slim = docs.select(F.struct(F.col(doc_id).alias("doc_id")).alias("row"), (F.col(text) if isinstance(text, str) else text).alias("text"))
     return (
-        find_runs(docs, text)
+        _found(slim)
         .withColumn("best", best)
         .select(
-            F.col(f"row.{doc_id}").alias("doc_id"),
+            "row.doc_id",
             F.size("runs").cast("bigint").alias("n_runs"),
             *[F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")],
             F.expr("1000 * best.length div best.period").alias("exponent_milli"),
