@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, chunks, decontam, langid, lines, mixing, neardup, runs, toxicity, urls, warc
+from slotvalue.llm import ann, chunks, decontam, langid, lines, mixing, neardup, negatives, runs, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,3 +81,13 @@ def op10_content_chunks(spark, sf_dir):
 def op12_periodic_runs(spark, sf_dir):
     """A tenth of the documents repeat a stretch of their own words (``with_planted_runs``)."""
     return runs.run_digests(table(spark, sf_dir, "documents"), text=runs.with_planted_runs())
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Vectors in steps of 1/256; ids divisible by 7 get the next label, ids divisible by 50 are anchors."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        negatives.scaled_floor("embedding", 256).alias("vector"),
+    )
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
