@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, chunks, decontam, langid, lines, mixing, neardup, negatives, runs, toxicity, urls, warc
+from slotvalue.llm import ann, chunks, decontam, langid, lines, mixing, neardup, negatives, pii, runs, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,6 +77,11 @@ def op10_content_chunks(spark, sf_dir):
     return chunks.span_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_personal_data(spark, sf_dir):
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_periodic_runs(spark, sf_dir):
     """A tenth of the documents repeat a stretch of their own words (``with_planted_runs``)."""
