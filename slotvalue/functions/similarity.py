@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
-import numpy as np
 
+def ratios(first: Iterable[str], second: Iterable[str]) -> list[float]:
+    """Matching-block ratio of each pair; the order of a pair matters.
 
-def _letter_counts(texts: Sequence[str], alphabet: dict[str, int]) -> np.ndarray:
-    counts = np.zeros((len(texts), len(alphabet)), dtype=np.int32)
-    for row, text in enumerate(texts):
-        for letter in text:
-            column = alphabet.get(letter)
-            if column is not None:
-                counts[row, column] += 1
-    return counts
-
-
-def best_names(texts: Sequence[str], names: Sequence[str], cutoff: float) -> list[tuple[str, str, float]]:
-    """``(text, name, ratio)`` of the best name for each text that has one above the cutoff.
-
-    The names are compared as first sequence; of equal ratios the last name in alphabetical
-    order wins.  Shared letters, whatever their order, bound the ratio from above: names whose
-    bound cannot beat the current best are not compared.
+    The second sequence is indexed once for neighbours that share it.
     """
-    alphabet = {letter: i for i, letter in enumerate(sorted(set("".join(names))))}
-    name_counts, lengths = _letter_counts(names, alphabet), np.array([len(n) for n in names])
-    found = []
-    for text, counts in zip(texts, _letter_counts(texts, alphabet)):
-        bounds = 2.0 * np.minimum(name_counts, counts).sum(axis=1) / (lengths + len(text))
-        matcher = SequenceMatcher()
-        matcher.set_seq2(text)
-        best = None
-        for i in np.argsort(-bounds, kind="stable"):
-            if bounds[i] < cutoff or (best and bounds[i] < best[0]):
-                break
-            matcher.set_seq1(names[i])
-            best = max(best or (cutoff, ""), (matcher.ratio(), names[i]))
-        if best and best[1]:
-            found.append((text, best[1], best[0]))
-    return found
-
-
-def reported_ratio(text: str, name: str) -> float:
-    """Score that is reported for the chosen name; the text is the first sequence here."""
-    return SequenceMatcher(None, text, name).ratio()
+    out, matcher, last = [], SequenceMatcher(), None
+    for a, b in zip(first, second, strict=True):
+        if b != last:
+            matcher.set_seq2(b)
+            last = b
+        matcher.set_seq1(a)
+        out.append(matcher.ratio())
+    return out

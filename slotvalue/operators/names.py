@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotvalue.functions.geometry import in_top_strip
 from slotvalue.functions.rounding import round_share
-from slotvalue.functions.similarity import best_names, reported_ratio
+from slotvalue.functions.similarity import ratios
 from slotvalue.functions.text import normalise
 from slotvalue.operators.skew import spread_missing, top_per_group
 from slotvalue.runtime import checkpoint
 
 # Fixed value: lowest similarity that counts as a match.
 CUTOFF = 0.6
-# Names and texts that meet in one task.
-TILE_NAMES = 4096
-TILE_TEXTS = 4096
-
-_BEST = "text string, key string, score double"
+# Name lengths that share a join key.
+LENGTHS = 4
+# Candidates of each text that are scored before the others are held against the best of them.
+SEEDS = 4
 
 
 def name_index(catalog: DataFrame, column: str, position: str = "pos") -> DataFrame:
@@ -29,70 +29,91 @@ def name_index(catalog: DataFrame, column: str, position: str = "pos") -> DataFr
     return named.groupBy("key").agg(F.min_by("item_id", position).alias("item_id"))
 
 
-def _scorer(cutoff: float):
-    def score(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        found = best_names(list(texts["text"]), list(names["key"]), cutoff) if len(names) else []
-        return pd.DataFrame(found, columns=["text", "key", "score"])
+@F.pandas_udf(T.DoubleType())
+def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Matching-block ratio of each pair."""
+    return pd.Series(ratios(first, second), dtype="float64")
 
-    return score
 
+def _letter_tokens(text: str) -> Column:
+    """``(letter, occurrence)`` of every letter of a text: what two texts share of it is a plain set intersection."""
+    whole, starts = F.col(text), F.sequence(F.lit(1), F.length(text))
+    letters = F.array_distinct(F.transform(starts, lambda i: F.substr(whole, i, F.lit(1))))
 
-@F.pandas_udf(T.DoubleType())
-def _reported(texts: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([reported_ratio(t, n) for t, n in zip(texts, names)], dtype="float64")
+    def occurrences(c):
+        times = F.length(whole) - F.length(F.replace(whole, c, F.lit("")))
+        code = F.shiftleft(F.ascii(c).cast("bigint"), 32)
+        return F.transform(F.sequence(F.lit(1), times), lambda n: code + n)
 
+    return F.flatten(F.transform(letters, occurrences))
 
-def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Best fuzzy name per distinct text (column ``text``).
 
-    Twice the shorter length over the total length bounds the ratio, so a text only meets
-    names of admissible lengths: the join key is the length.  Long lists of equal length are
-    cut into tiles on both sides; a task compares one tile of texts with one tile of names
-    and returns at most one row per text, so pairs are never listed.
-    """
-    la = F.length("text")
-    shortest = F.ceil(la * (cutoff / (2 - cutoff)) - 1e-9)
-    longest = F.floor(la * ((2 - cutoff) / cutoff) + 1e-9)
-    reach = texts.withColumn("len", F.explode(F.sequence(shortest, longest)))
-    named = index.select("key", F.length("key").cast("bigint").alias("len"))
+def _token_counts(index: DataFrame) -> DataFrame:
+    """In how many names each token occurs."""
+    return index.select(F.explode(_letter_tokens("key")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("names"))
 
-    def tiles(df, size, name):
-        return df.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
 
-    # One row per length of a name, so it may be broadcast; the length is a crowded key.
-    cuts = tiles(reach, TILE_TEXTS, "t_tiles").join(tiles(named, TILE_NAMES, "n_tiles"), "len")
+def _ranked_tokens(df: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """``(text, ranked)``: the tokens of each text, those of the fewest names first."""
+    tokens = df.select(text, F.explode(_letter_tokens(text)).alias("token")).join(counts, "token", "left")
+    placed = F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "token")))
+    return tokens.groupBy(text).agg(placed["token"].alias("ranked"))
 
-    def part(df, column, own, other):
-        """Rows in their own tile, repeated for every tile of the other side."""
-        cut = df.join(F.broadcast(cuts), "len").withColumn(own, F.pmod(F.xxhash64(column), F.col(f"{own}s")))
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1))
-        return cut.withColumn(other, every).select("len", "t_tile", "n_tile", column).groupBy("len", "t_tile", "n_tile")
 
-    asked, offered = part(reach, "text", "t_tile", "n_tile"), part(named, "key", "n_tile", "t_tile")
-    scored = asked.cogroup(offered).applyInPandas(_scorer(cutoff), _BEST)
-    best = scored.groupBy("text").agg(F.max(F.struct("score", "key")).alias("hit"))
-    return best.select("text", F.col("hit.key").alias("key"))
+def ratio_candidates(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``(text, key, bound)``: every pair whose shared letters allow a ratio of ``cutoff``, once.
 
+    The ratio is twice the matched letters over both lengths ``a`` and ``b``, and the matched letters are among
+    the shared (letter, occurrence) tokens: a pair needs ``need = ceil(cutoff * (a + b) / 2)`` of them.  With the
+    tokens of both sides in one order, rare ones first, the first shared one is at a place ``i`` with
+    ``a - i >= need`` and ``b - j >= need``.  So a token at place ``i`` only meets names up to a length that falls with
+    ``i``; the join key is the token and a range of ``LENGTHS`` lengths, and a pair is kept at its first shared token.
+    No pair at the cutoff is lost, and short texts need no case of their own.
+    """
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
+    asked = texts.where(F.col("text") != "").select("text").distinct()
+    counts = _token_counts(index)
+    a, b, i, j = (F.col(c) for c in "abij")
+    need = lambda x, y: F.ceil((x + y) * (cutoff / 2) - 1e-9)
+    least = lambda x: F.ceil(x * (cutoff / (2 - cutoff)) - 1e-9)
+    most = F.floor((a - i) * (2 / cutoff) + 1e-9) - a
+
+    def placed(df, text, length, place, ranked):
+        rows = _ranked_tokens(df, text, counts).withColumn(length, F.size("ranked"))
+        return rows.select(text, F.col("ranked").alias(ranked), length, F.posexplode("ranked").alias(place, "token"))
+
+    left = placed(asked, "text", "a", "i", "t_ranked").where(a - i >= need(a, least(a)))
+    spread = F.explode(F.sequence(F.floor(least(a) / LENGTHS), F.floor(most / LENGTHS)))
+    left = left.where(most >= least(a)).withColumn("lengths", spread)
+    right = placed(index.select("key"), "key", "b", "j", "n_ranked").where(b - j >= need(b, least(b)))
+    met = left.join(right.withColumn("lengths", F.floor(b / LENGTHS)), ["token", "lengths"])
+    met = met.where(F.least(a - i, b - j) >= need(a, b)).withColumn("shared", F.array_intersect("t_ranked", "n_ranked"))
+    met = met.where((F.get("shared", F.lit(0)) == F.col("token")) & (F.size("shared") >= need(a, b)))
+    return met.select("text", "key", (F.size("shared") * 2.0 / (a + b)).alias("bound"))
 
-def _letter_tokens(text: str):
-    """``(letter, occurrence)`` of every letter of a text: what two texts share of it is a plain set intersection."""
-    whole, starts = F.col(text), F.sequence(F.lit(1), F.length(text))
-    letters = F.array_distinct(F.transform(starts, lambda i: F.substr(whole, i, F.lit(1))))
 
-    def occurrences(c):
-        times = F.length(whole) - F.length(F.replace(whole, c, F.lit("")))
-        return F.transform(F.sequence(F.lit(1), times), lambda n: F.concat(c, n.cast("string")))
+def fuzzy_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Best fuzzy name per distinct text (column ``text``).
 
-    return F.flatten(F.transform(letters, occurrences))
+    Candidates are written once.  The ``SEEDS`` with the highest bounds of each text are scored first; of the others only
+    those whose bound reaches the best score so far can still win or tie.  Names are compared as the first
+    sequence; of equal ratios the last name in alphabetical order wins.
+    """
+    order = W.partitionBy("text").orderBy(F.col("bound").desc(), F.col("key").desc())
+    found = checkpoint(ratio_candidates(texts, index, cutoff).withColumn("place", F.row_number().over(order)))
+    scored = lambda df: df.select("text", F.struct(_ratio("key", "text").alias("score"), "key").alias("hit"))
+    top = lambda df: df.groupBy("text").agg(F.max("hit").alias("hit"))
+    seeds = checkpoint(top(scored(found.where(F.col("place") <= SEEDS))))
+    rest = found.where(F.col("place") > SEEDS).join(seeds, "text").where(F.col("bound") >= F.greatest("hit.score", F.lit(cutoff)))
+    best = top(seeds.unionByName(scored(rest.select("text", "key"))))
+    return best.where(F.col("hit.score") >= cutoff).select("text", F.col("hit.key").alias("key"))
 
 
 def _prefixes(df: DataFrame, text: str, counts: DataFrame, cutoff: float) -> DataFrame:
     """``(text, prefix)``: the rarest tokens of each text, as many as cannot all be absent from a match."""
-    tokens = df.select(text, F.explode(_letter_tokens(text)).alias("token")).join(counts, "token", "left")
-    placed = F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "token")))
     needed = F.length(text) - F.ceil(cutoff * F.length(text) - 1e-9) + 1
-    ranked = tokens.groupBy(text).agg(placed.alias("ranked"))
-    return ranked.select(text, F.slice("ranked.token", F.lit(1), needed.cast("int")).alias("prefix"))
+    return _ranked_tokens(df, text, counts).select(text, F.slice("ranked", F.lit(1), needed.cast("int")).alias("prefix"))
 
 
 def levenshtein_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -109,7 +130,7 @@ def levenshtein_best(texts: DataFrame, index: DataFrame, cutoff: float = CUTOFF)
     if cutoff <= 0:
         raise ValueError("cutoff must be above 0")
     asked = texts.where(F.col("text") != "").select("text").distinct()
-    counts = index.select(F.explode(_letter_tokens("key")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("names"))
+    counts = _token_counts(index)
     offered = _prefixes(index.select("key"), "key", counts, cutoff).withColumnRenamed("prefix", "n_prefix")
     asked = _prefixes(asked, "text", counts, cutoff).withColumnRenamed("prefix", "t_prefix")
     met = asked.withColumn("token", F.explode("t_prefix")).join(offered.withColumn("token", F.explode("n_prefix")), "token")
@@ -140,7 +161,7 @@ def match_names(texts: DataFrame, catalog: DataFrame, cutoff: float = CUTOFF) ->
         by_full.withColumn("stage", F.lit("fuzzy_full"))
     )
     fuzzy = fuzzy.select(
-        "text", F.col("item_id").alias("f_item"), F.col("stage").alias("f_stage"), _reported("text", "key").alias("f_score")
+        "text", F.col("item_id").alias("f_item"), F.col("stage").alias("f_stage"), _ratio("text", "key").alias("f_score")
     )
     merged = exact.join(fuzzy, "text", "left")
     return merged.select(

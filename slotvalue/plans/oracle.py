@@ -1193,18 +1193,16 @@ ORACLE["release_files"] = """
     SELECT strlen(v) + 1 AS length, sha256(v || chr(10)) AS sha256
     FROM (SELECT DISTINCT lower(c_mktsegment) || '-' || c_nationkey AS v FROM customer)
 """
-_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3)))"
 ORACLE["name_match_levenshtein"] = _sql(
-    f"""
+    """
     SELECT text, key, item_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, key DESC) AS rn FROM (
         SELECT text, key, item_id, 1 - levenshtein(text, key) / greatest(length(text), length(key))::DOUBLE AS score
-        FROM (SELECT DISTINCT text, {_GRAMS.format("text")} AS tg FROM texts WHERE text <> '')
-        JOIN (SELECT lower(name) AS key, arg_min(item_id, pos) AS item_id, {_GRAMS.format("lower(name)")} AS ng
-              FROM names WHERE name <> '' GROUP BY lower(name)) ON list_has_any(tg, ng)
+        FROM (SELECT DISTINCT text FROM texts WHERE text <> '')
+        JOIN full_index ON least(length(text), length(key)) >= 0.6 * greatest(length(text), length(key)) - 1e-9
       ) WHERE score >= 0.6)
     WHERE rn = 1
     """,
     "texts",
-    "names",
+    "full_index",
 )

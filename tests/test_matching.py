@@ -62,18 +62,40 @@ def random_name(rng):
     return "".join(rng.choice(WORDS) for _ in range(rng.randint(3, 9)))
 
 
-def test_best_name_equals_standard_library():
+def best(spark, asked, pool, cutoff=0.6):
+    texts = spark.createDataFrame([(t,) for t in asked], "text string")
+    index = spark.createDataFrame([(n, n) for n in pool], "key string, item_id string")
+    return {r.text: r.key for r in names.fuzzy_best(texts, index, cutoff).collect()}
+
+
+@pytest.mark.parametrize("cutoff", [0.25, 0.6, 0.85, 1.0])
+def test_best_name_equals_standard_library(spark, cutoff):
     rng = random.Random(4)
-    for _ in range(400):
-        pool = sorted({random_name(rng) for _ in range(15)})
-        asked = random_name(rng)
-        expected = difflib.get_close_matches(asked, pool, n=1, cutoff=0.6)
-        found = similarity.best_names([asked], pool, 0.6)
-        assert [name for _, name, _ in found] == expected
+    some = lambda letters, longest: "".join(rng.choice(letters) for _ in range(rng.randint(1, longest)))
+    kinds = [("abcd", 9), ("aé漢😀1", 4), ("ab", 30), ("abcdefghij ", 16), ("a", 12)]
+    pool = sorted({some(*rng.choice(kinds)) for _ in range(150)} | {"abcde", "salewa", "a", "b"})
+    asked = sorted({some(*rng.choice(kinds)) for _ in range(150)} | {"abxde", "sabewo", "zz", "z"})
+    expected = {t: difflib.get_close_matches(t, pool, n=1, cutoff=cutoff) for t in asked}
+    assert best(spark, asked, pool, cutoff) == {t: found[0] for t, found in expected.items() if found}
+
+
+def test_candidates_lose_no_pair_and_come_once(spark):
+    rng = random.Random(5)
+    pool, asked = sorted({random_name(rng) for _ in range(90)}), sorted({random_name(rng) for _ in range(90)})
+    texts, index = spark.createDataFrame([(t,) for t in asked], "text string"), spark.createDataFrame([(n,) for n in pool], "key string")
+    rows = names.ratio_candidates(texts, index).collect()
+    got = {(r.text, r.key): r.bound for r in rows}
+    quick = {(t, n): difflib.SequenceMatcher(None, n, t).quick_ratio() for t in asked for n in pool}
+    assert len(rows) == len(got) and got == {pair: bound for pair, bound in quick.items() if bound >= 0.6}
+
+
+def test_equal_ratio_takes_last_name(spark):
+    assert best(spark, ["abcw"], ["abcx", "abcz", "abcy"]) == {"abcw": "abcz"}
 
 
-def test_equal_ratio_takes_last_name():
-    assert similarity.best_names(["abcw"], ["abcx", "abcz", "abcy"], 0.6) == [("abcw", "abcz", 0.75)]
+def test_ratios_keep_the_order_of_pairs():
+    pairs = [("ab", "ba"), ("abcd", "ba"), ("tide", "diet"), ("diet", "tide"), ("x" * 300, "x" * 300)]
+    assert similarity.ratios(*zip(*pairs, strict=True)) == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
 
 
 def expected_match(asked, short, full, cutoff=0.6):
@@ -89,8 +111,8 @@ def expected_match(asked, short, full, cutoff=0.6):
 
 
 def test_match_names_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(names, "TILE_NAMES", 3)
-    monkeypatch.setattr(names, "TILE_TEXTS", 5)
+    monkeypatch.setattr(names, "LENGTHS", 3)
+    monkeypatch.setattr(names, "SEEDS", 2)
     rng = random.Random(6)
     items = [(f"i{n:03}", random_name(rng) * 2, random_name(rng) if n % 5 else "", n) for n in range(80)]
     short, full = {}, {}
