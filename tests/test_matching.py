@@ -5,6 +5,8 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from slotvalue.operators import components, duplicates, matching, names
 
 
 def test_nearest_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(matching, "TILE_BYTES", 400)
-    monkeypatch.setattr(matching, "CHUNK", 4)
+    monkeypatch.setattr(matching, "TILE_ROWS", 7)
+    monkeypatch.setattr(matching, "PACK_ROWS", 4)
     rng = random.Random(2)
     candidates = []
     for i in range(60):
@@ -46,6 +48,44 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == expected
 
 
+def test_tiles_are_skipped_in_a_block_with_half_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TILE_ROWS", 32)
+    rng = np.random.default_rng(3)
+    kinds = rng.uniform(0, 255, (24, 48))
+    candidates = [(i, 0 if i % 2 else 1 + i % 5, np.clip(kinds[i % 24] + rng.normal(0, 6, 48), 0, 255).tolist()) for i in range(2400)]
+    queries = []
+    for i in range(120):
+        alpha = rng.choice([0.0, 255.0], 48, p=[0.3, 0.7])
+        queries.append((i, int(rng.integers(0, 4)), np.clip(kinds[i % 24] + rng.normal(0, 6, 48), 0, 255).tolist(), alpha.tolist()))
+    q = spark.createDataFrame(queries, "icon_id bigint, block int, vec array<double>, alpha array<double>")
+    c = spark.createDataFrame(candidates, "item_id bigint, block int, vec array<double>")
+    tiles = matching.build_tiles(c)
+    visits, _ = matching.tile_visits(q, tiles)
+    per_block = {r["block"]: r["count"] for r in tiles.groupBy("block").count().collect()}
+    assert sum(per_block.values()) >= 75 and visits.count() == visits.select("icon_id", "tile").distinct().count()
+    assert visits.count() < 0.4 * sum(per_block[b] for _, b, _, _ in queries)
+    got = {}
+    for r in matching.nearest(q, c).collect():
+        got.setdefault(r.icon_id, []).append((r.rank, r.item_id))
+    for icon, block, vec, alpha in queries:
+        on = np.array(alpha) > 16
+        scored = sorted((np.sqrt(((np.array(v) - vec)[on] ** 2).mean()), item) for item, b, v in candidates if b == block)
+        assert sorted(got[icon]) == [(n + 1, item) for n, (_, item) in enumerate(scored[:3])]
+
+
+def test_bounds_hold_under_any_mask():
+    rng = np.random.default_rng(4)
+    for width in (1, 5, 16, 40):
+        grid = rng.normal(size=(30, width)) * 9
+        batch = pa.table({"block": [0] * 30, "n": [width] * 30, "tile": [0] * 30, "item_id": range(30), "vec": grid.tolist()})
+        schema = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("tile", pa.int64()), ("data", pa.binary()), ("summary", pa.binary())])
+        summary = matching.unpack(matching._summarised(batch, schema).column("summary")[0].as_py())
+        vecs, mask = rng.normal(size=(50, width)) * 20, (rng.random((50, width)) < rng.random((50, 1))).astype(float)
+        bound = matching.tile_bounds(vecs, mask, [summary])[:, 0]
+        exact = ((((vecs[:, None] - grid) ** 2) * mask[:, None]).sum(axis=2)).min(axis=1)
+        assert (bound <= exact + 1e-9).all() and (bound > 0).any()
+
+
 def test_single_candidate_has_no_margin(spark):
     q = spark.createDataFrame([(1, 0, [1.0, 2.0], [255.0, 255.0]), (2, 9, [1.0, 2.0], [255.0, 255.0])], "icon_id bigint, block int, vec array<double>, alpha array<double>")
     c = spark.createDataFrame([(7, 0, [1.0, 4.0])], "item_id bigint, block int, vec array<double>")
