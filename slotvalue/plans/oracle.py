@@ -736,39 +736,45 @@ _fragment(
 _fragment("dct_median", "SELECT *, (list_sort(vec)[8] + list_sort(vec)[9]) / 2 AS mean FROM dct", "dct")
 ORACLE["dct_hash"] = _sql(f"SELECT icon_id, {word('vec[{i}] > mean', 0, 16)} AS w0 FROM dct_median", "dct_median")
 _fragment(
-    "shrunk",
+    "rendered",
     """
-    SELECT icon_id, block, list_transform(range(0, 16), lambda b: list_sum(vec[b * 4 + 1 : b * 4 + 4]) / 4) AS vec FROM vectors
+    SELECT icon_id * 4 + i AS icon_id, block, CASE i WHEN 0 THEN vec WHEN 1 THEN list_transform(vec, lambda v: round_even(v / 6, 0) * 6)
+           ELSE list_transform(vec, lambda v: round_even(v / 10, 0) * 10) END AS vec
+    FROM vectors, range(3) r(i)
     """,
     "vectors",
 )
-_fragment("shrunk_mean", "SELECT *, list_sum(vec) / 16 AS mean FROM shrunk", "shrunk")
-_fragment("small", f"SELECT icon_id, block, {word('vec[{i}] > mean', 0, 16)} AS sig FROM shrunk_mean", "shrunk_mean")
-_fragment("reps", "SELECT block, sig, min(icon_id) AS rep, count(*) AS copies FROM small GROUP BY block, sig", "small")
+_fragment("drawn_mean", "SELECT *, list_sum(vec) / 64 AS mean FROM rendered", "rendered")
+_fragment(
+    "drawn", f"SELECT icon_id, block, {word('vec[{i}] > mean', 0, 32)} AS lo, {word('vec[{i}] > mean', 32, 32)} AS hi FROM drawn_mean", "drawn_mean"
+)
+_fragment("reps", "SELECT block, lo, hi, min(icon_id) AS rep, count(*) AS copies FROM drawn GROUP BY block, lo, hi", "drawn")
+APART = "bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi))"
 ORACLE["near_dup_pairs"] = _sql(
-    """
-    SELECT a.block, a.rep AS rep_a, b.rep AS rep_b, bit_count(xor(a.sig, b.sig)) AS distance,
-           a.copies AS copies_a, b.copies AS copies_b
-    FROM reps a JOIN reps b ON a.block = b.block AND a.rep < b.rep AND bit_count(xor(a.sig, b.sig)) <= 2
+    f"""
+    SELECT a.block, a.rep AS rep_a, b.rep AS rep_b, {APART} AS distance, a.copies AS copies_a, b.copies AS copies_b
+    FROM reps a JOIN reps b ON a.block = b.block AND a.rep < b.rep AND {APART} <= 4
     """,
     "reps",
 )
-MEMBERS = """
-    reach{d}(icon_id, other) AS (
-      SELECT icon_id, icon_id FROM small
+
+
+def _members(name: str, table: str, close: str) -> str:
+    return f"""
+    {name}_reach(icon_id, other) AS (
+      SELECT icon_id, icon_id FROM {table}
       UNION
-      SELECT r.icon_id, b.icon_id FROM reach{d} r JOIN small a ON r.other = a.icon_id
-      JOIN small b ON a.block = b.block AND bit_count(xor(a.sig, b.sig)) <= {d}),
-    members{d} AS (SELECT icon_id, min(other) AS root FROM reach{d} GROUP BY icon_id HAVING count(*) > 1)
-"""
+      SELECT r.icon_id, b.icon_id FROM {name}_reach r JOIN {table} a ON r.other = a.icon_id
+      JOIN {table} b ON a.block = b.block AND {close}),
+    {name} AS (SELECT icon_id, min(other) AS root FROM {name}_reach GROUP BY icon_id HAVING count(*) > 1)
+    """
 
 
-def _recursive(body: str, needs: tuple[str, ...], *distances: int) -> str:
-    base = _sql("", *needs).rstrip()
-    return base.replace("WITH ", "WITH RECURSIVE ", 1) + "," + ",".join(MEMBERS.format(d=d) for d in distances) + body
+def _recursive(*needs: str) -> str:
+    return _sql("", *needs).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ","
 
 
-ORACLE["near_dup_clusters"] = _recursive("SELECT icon_id, root FROM members2", ("small",), 2)
+ORACLE["near_dup_clusters"] = _recursive("drawn") + _members("near", "drawn", f"{APART} <= 4") + "SELECT icon_id, root FROM near"
 
 
 def _method(label: str, members: str, table: str) -> str:
@@ -780,31 +786,28 @@ def _method(label: str, members: str, table: str) -> str:
     """
 
 
-_fragment("gradient", f"SELECT icon_id, block, {word(RISING, 0, 32)} AS lo, {word(RISING, 32, 31)} AS hi FROM vectors", "vectors")
-_fragment("dct_block", f"SELECT icon_id, block, {word('vec[{i}] > mean', 0, 16)} AS sig FROM dct_median JOIN vectors USING (icon_id)".replace("vec[", "dct_median.vec["), "dct_median", "vectors")
-
-
-def _members(name: str, table: str, close: str) -> str:
-    return f"""
-    {name}_reach(icon_id, other) AS (
-      SELECT icon_id, icon_id FROM {table}
-      UNION
-      SELECT r.icon_id, b.icon_id FROM {name}_reach r JOIN {table} a ON r.other = a.icon_id
-      JOIN {table} b ON a.block = b.block AND {close}),
-    {name} AS (SELECT icon_id, min(other) AS root FROM {name}_reach GROUP BY icon_id HAVING count(*) > 1)
+_fragment("gradient", f"SELECT icon_id, block, {word(RISING, 0, 32)} AS lo, {word(RISING, 32, 31)} AS hi FROM rendered", "rendered")
+_fragment(
+    "drawn_dct",
     """
-
-
+    SELECT icon_id, block, list_transform(range(0, 16), lambda k: list_sum(list_transform(range(0, 64), lambda n:
+             vec[n + 1] * cos(pi() * k * (2 * n + 1) / 128.0::DOUBLE)))) AS vec
+    FROM rendered
+    """,
+    "rendered",
+)
+_fragment("drawn_median", "SELECT *, (list_sort(vec)[8] + list_sort(vec)[9]) / 2 AS mean FROM drawn_dct", "drawn_dct")
+_fragment("waves", f"SELECT icon_id, block, {word('vec[{i}] > mean', 0, 16)} AS lo, 0::BIGINT AS hi FROM drawn_median", "drawn_median")
 METHODS = {
-    "exact": ("same", "vectors", "a.vec = b.vec"),
-    "average-16/d1": ("near1", "small", "bit_count(xor(a.sig, b.sig)) <= 1"),
-    "average-16/d2": ("near2", "small", "bit_count(xor(a.sig, b.sig)) <= 2"),
-    "dct-16/d1": ("dct1", "dct_block", "bit_count(xor(a.sig, b.sig)) <= 1"),
-    "gradient-64/d4": ("grad4", "gradient", "bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 4"),
+    "exact": ("same", "rendered", "a.vec = b.vec"),
+    "average-64/d2": ("near2", "drawn", f"{APART} <= 2"),
+    "average-64/d4": ("near4", "drawn", f"{APART} <= 4"),
+    "dct-16/d1": ("dct1", "waves", f"{APART} <= 1"),
+    "gradient-64/d4": ("grad4", "gradient", f"{APART} <= 4"),
 }
 ORACLE["dup_summary"] = (
-    _sql("", "small", "gradient", "dct_block").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
-    + "".join("," + _members(*spec) for spec in METHODS.values())
+    _recursive("drawn", "gradient", "waves")
+    + ",".join(_members(*spec) for spec in METHODS.values())
     + " UNION ALL ".join(_method(label, name, table) for label, (name, table, _) in METHODS.items())
 )
 ORACLE["document_dup_summary"] = _sql(_method("exact", "exact_members", "docs"), "exact_members", "docs")

@@ -415,14 +415,14 @@ def text_in_box(spark, sf):
 
 # --- duplicates ------------------------------------------------------------------------
 
-BITS = 16
-NEAR = 2
+BITS = 64
+NEAR = 4
 
 
-def _small_hash(spark, sf):
-    """16-bit average hash of the shrunken image."""
+def _drawn_hash(spark, sf):
+    """64-bit average hash of every picture of every renderer."""
     sig, _ = hashing.signature(F.col("vec"), 64, "average", BITS)
-    return t.vectors(spark, sf).select("icon_id", "block", sig.alias("sig"))
+    return t.rendered(spark, sf).select("icon_id", "block", sig.alias("sig"))
 
 
 @query
@@ -460,17 +460,18 @@ def dct_hash(spark, sf):
 
 @query
 def near_dup_pairs(spark, sf):
-    return duplicates.near_pairs(_small_hash(spark, sf), BITS, NEAR)
+    pairs = duplicates.near_pairs(_drawn_hash(spark, sf), BITS, NEAR)
+    return pairs.select("block", "rep_a", "rep_b", "distance", "copies_a", "copies_b")
 
 
 @query
 def near_dup_clusters(spark, sf):
-    return duplicates.near_members(_small_hash(spark, sf), BITS, NEAR)
+    return duplicates.near_members(_drawn_hash(spark, sf), BITS, NEAR)
 
 
 @query
 def dup_summary(spark, sf):
-    return duplicates.compare_methods(t.vectors(spark, sf), 64)
+    return duplicates.compare_methods(t.rendered(spark, sf), 64)
 
 
 @query

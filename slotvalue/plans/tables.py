@@ -208,6 +208,15 @@ def catalog_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture as three renderers draw it: as it is, and with coarser and coarser colours."""
+    drawn = lambda step: F.transform("vec", lambda v: F.bround(v / step) * step)
+    views = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("vec")) for i, v in enumerate([F.col("vec"), drawn(6), drawn(10)])]))
+    return vectors(spark, sf_dir).select("icon_id", "block", views.alias("view")).select(
+        (F.col("icon_id") * 4 + F.col("view.i")).alias("icon_id"), "block", F.col("view.vec").alias("vec")
+    )
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets with content: digest per document, blocked by language."""
     return raw(spark, sf_dir, "documents").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slotvalue.functions import similarity
+from slotvalue.functions import hashing, similarity
 from slotvalue.operators import components, duplicates, matching, names
 
 
@@ -229,6 +229,57 @@ def test_near_members_equal_union_find(spark):
     assert {r.icon_id: r.root for r in duplicates.near_members(df, 64, 3).collect()} == expected
 
 
+def test_flat_pictures_refine_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "CROWD", 40)
+    rng = random.Random(12)
+    # flat pictures: few bits set, so most segments are empty; and some others in the same block
+    values = {0} | {sum(1 << p for p in rng.sample(range(64), rng.randrange(1, 5))) for _ in range(1500)} | {rng.getrandbits(64) for _ in range(500)}
+    values = sorted(values)
+    df = spark.createDataFrame([(i, 0, [v & 0xFFFFFFFF, v >> 32]) for i, v in enumerate(values)], "icon_id bigint, block int, sig array<bigint>")
+    refined = []
+    inner = duplicates._refined
+    monkeypatch.setattr(duplicates, "_refined", lambda *a: refined.append(inner(*a)) or refined[-1])
+    expected = {(i, j, (values[i] ^ values[j]).bit_count()) for i, j in combinations(range(len(values)), 2) if (values[i] ^ values[j]).bit_count() <= 3}
+    got = duplicates.near_pairs(df, 64, 3).collect()
+    assert {(r.rep_a, r.rep_b, r.distance) for r in got} == expected and len(got) == len(expected)
+    assert len(refined) == 1
+    # Bits that hardly ever differ share a segment, so keys stay small where equal segments would crowd.
+    largest = refined[0].groupBy("choice", "key", "part", "finer").count().agg({"count": "max"}).first()[0]
+    assert largest < len(values) / 2
+
+
+def test_cuts_follow_the_data():
+    rng = np.random.default_rng(1)
+    sample = (rng.random((1024, 64)) < np.linspace(0.01, 0.5, 64)).astype(np.int64)
+    cuts = duplicates.even_cuts(sample, range(64), 6)
+    assert [p for run in cuts for p in run] == list(range(64)) and len(cuts) == 6
+    share = [sum((n / 1024) ** 2 for n in np.unique(sample[:, run], axis=0, return_counts=True)[1]) for run in cuts]
+    assert max(share) < 4 * min(share) and len(cuts[0]) > 2 * len(cuts[-1])
+    for pieces in (1, 5, 64):
+        assert len(duplicates.even_cuts(sample[:0], range(64), pieces)) == len(duplicates.even_cuts(sample, range(64), pieces)) == pieces
+
+
+def test_all_methods_share_one_components_loop(spark, monkeypatch):
+    rng = random.Random(14)
+    vectors = []
+    for i in range(90):
+        base = [float(rng.randrange(256)) for _ in range(64)] if i % 3 == 0 else [v + rng.choice([0, 0, 0, 30]) for v in vectors[-1][2]]
+        vectors.append((i, i % 2 if i % 3 == 0 else vectors[-1][1], base))
+    df = spark.createDataFrame(vectors, "icon_id bigint, block int, vec array<double>")
+    calls = []
+    inner = duplicates.connected_components
+    monkeypatch.setattr(duplicates, "connected_components", lambda *a, **k: calls.append(1) or inner(*a, **k))
+    configs = [("exact", 0, 0), ("average", 64, 2), ("average", 64, 8), ("gradient", 32, 3)]
+    got = {(r.config, r.icon_id): r.root for r in duplicates.members_by_method(df, 64, configs).collect()}
+    assert len(calls) == 1
+    for i, (method, size, distance) in enumerate(configs[1:], 1):
+        sig, bits = hashing.signature(F.col("vec"), 64, method, size)
+        alone = duplicates.near_members(df.select("icon_id", "block", sig.alias("sig")), bits, distance)
+        assert {r.icon_id: r.root for r in alone.collect()} == {n: r for (c, n), r in got.items() if c == i}
+    assert {n: r for (c, n), r in got.items() if c == 0} == {r.icon_id: r.root for r in duplicates.exact_members(df.withColumnRenamed("vec", "sig")).collect()}
+    assert len({r for (c, _), r in got.items() if c == 2}) > 5
+
+
 def test_components_of_chain_star_and_random_graph(spark):
     rng = random.Random(9)
     chain = [(i, i + 1) for i in range(100, 160)]
