@@ -1022,8 +1022,23 @@ def _tree(assets: str, key: str = "0 AS key") -> str:
     return tree
 
 
-ORACLE["set_fingerprint"] = _sql(
-    f"SELECT line AS fingerprint, CAST(icons AS BIGINT) AS icons FROM ({_tree('assets')})", "assets"
+def _deep_tree(assets: str, leaf: int = 256, most: int = 5) -> str:
+    """CTEs of a hash tree whose depth follows from the number of lines, up to a root ``t0``; levels that it lacks pass through."""
+    out = f"""
+    depth AS (SELECT greatest(0, CAST(ceil(ln(greatest(count(*), 1) / {leaf}.0::DOUBLE) / ln(16.0::DOUBLE) - 1e-12) AS BIGINT)) AS d FROM {assets}),
+    t{most + 1} AS (SELECT md5(CAST(icon_id AS VARCHAR)) AS node, icon_id || ':' || sha256 AS line, CAST(1 AS BIGINT) AS icons FROM {assets})"""
+    for k in range(most, -1, -1):
+        out += f""",
+    t{k} AS (
+      SELECT substr(node, 1, {k}) AS node, substr(node, {k}, 1) || CASE WHEN {k} > 0 THEN ':' ELSE '' END || sha256(string_agg(line, chr(10) ORDER BY line)) AS line,
+             CAST(sum(icons) AS BIGINT) AS icons
+      FROM t{k + 1}, depth WHERE {k} <= d GROUP BY substr(node, 1, {k}), substr(node, {k}, 1)
+      UNION ALL SELECT node, line, icons FROM t{k + 1}, depth WHERE {k} > d)"""
+    return out
+
+
+ORACLE["set_fingerprint"] = (
+    _sql("", "assets").rstrip() + "," + _deep_tree("assets") + " SELECT line AS fingerprint, icons FROM t0"
 )
 _fragment(
     "trained",
@@ -1046,16 +1061,42 @@ ORACLE["release_summary"] = _sql(
 )
 _fragment("hashed", "SELECT CAST(p_partkey AS VARCHAR) AS icon_id, sha256(p_name) AS sha256 FROM part")
 _fragment("bound", "SELECT DISTINCT model, icon_id, sha256 FROM trained JOIN hashed USING (icon_id)", "trained", "hashed")
+_fragment(
+    "release_texts",
+    """
+    SELECT model, file, string_agg(line, '' ORDER BY class_idx) AS text FROM (
+      SELECT model, class_idx, icon_id || ':' || sha256(CAST(class_idx AS VARCHAR)) || chr(10) AS line,
+             unnest(['links/links.txt', 'icons/part-' || class_idx // 1000 || '.txt']) AS file
+      FROM trained) GROUP BY model, file
+    """,
+    "trained",
+)
+_fragment(
+    "released",
+    """
+    SELECT model, file, any_value(length(text)) AS length,
+           CASE WHEN any_value(length(text)) <= 512 THEN sha256(any_value(text)) ELSE sha256(string_agg(sha256(substr(text, 512 * i + 1, 512)), chr(10) ORDER BY i)) END AS sha256
+    FROM (SELECT *, unnest(range((greatest(length(text), 1) + 511) // 512)) AS i FROM release_texts) GROUP BY model, file
+    """,
+    "release_texts",
+)
+ORACLE["release_files"] = _sql("SELECT model || '/' || file AS name, length, sha256 FROM released", "released")
 ORACLE["release_manifest"] = _sql(
     f"""
     SELECT t.model AS name, regexp_extract(t.model, '^(.*)-', 1) AS model, regexp_extract(t.model, '-([^-]*)$', 1) AS version,
            count(*) AS classes, count(DISTINCT h.icon_id) AS icon_count,
            count(DISTINCT t.icon_id) - count(DISTINCT h.icon_id) AS icons_missing, any_value(f.line) AS icons_fingerprint,
-           '2024-01-01T00:00:00' AS built_at, '0.1.0' AS min_app_version
-    FROM trained t LEFT JOIN hashed h ON t.icon_id = h.icon_id LEFT JOIN ({_tree("bound", "model AS key")}) f ON f.key = t.model
+           '2024-01-01T00:00:00' AS built_at, '0.1.0' AS min_app_version, any_value(l.files) AS files
+    FROM trained t LEFT JOIN (SELECT model, string_agg(file || ':' || sha256, ' ' ORDER BY file) AS files FROM released GROUP BY model) l ON l.model = t.model
+    LEFT JOIN hashed h ON t.icon_id = h.icon_id LEFT JOIN ({_tree("bound", "model AS key")}) f ON f.key = t.model
     GROUP BY t.model
     """,
     "bound",
+    "released",
+)
+ORACLE["model_fingerprint"] = _sql(
+    "SELECT model, sha256(string_agg(icon_id || ':' || sha256, chr(10) ORDER BY icon_id || ':' || sha256)) AS fingerprint, count(*) AS icons FROM bound GROUP BY model",
+    "bound",
 )
 ORACLE["model_names"] = """
     SELECT DISTINCT CASE c_nationkey WHEN 0 THEN segment WHEN 1 THEN '-' || segment ELSE segment || '-x-' || c_nationkey END AS name,
@@ -1192,10 +1233,43 @@ ORACLE["catalog_json_scan"] = _sql(f"SELECT {_CATALOG} FROM catalog", "catalog")
 ORACLE["snapshot_scan"] = ORACLE["catalog_json_scan"]
 ORACLE["link_map_scan"] = _sql("SELECT icon_id, item_id, name, short, score, margin, false AS pinned FROM auto", "auto")
 ORACLE["metrics_csv"] = "SELECT * REPLACE (CAST(seconds AS DOUBLE) AS seconds) FROM (" + ORACLE["training_summary"] + ")"
-ORACLE["release_files"] = """
-    SELECT strlen(v) + 1 AS length, sha256(v || chr(10)) AS sha256
-    FROM (SELECT DISTINCT lower(c_mktsegment) || '-' || c_nationkey AS v FROM customer)
-"""
+_fragment(
+    "pngs",
+    """
+    SELECT icon_id, px_w, 64 // px_w AS px_h, vec FROM (
+      SELECT *, CASE icon_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 16 WHEN 2 THEN 4 ELSE 64 END AS px_w FROM vectors)
+    """,
+    "vectors",
+)
+# Signature, three chunks with 12 bytes around each, 13 bytes of header, and the rows stored in one block of 11 bytes.
+ORACLE["image_files"] = _sql(
+    """
+    SELECT icon_id, px_w, px_h, CAST(px_h * (px_w + 1) + 68 AS BIGINT) AS length,
+           greatest(1, CAST(round_even((px_w - 1) / 63.0::DOUBLE, 0) AS INTEGER)) AS cells_w,
+           greatest(1, CAST(round_even((px_h - 1) / 63.0::DOUBLE, 0) AS INTEGER)) AS cells_h
+    FROM pngs
+    """,
+    "pngs",
+)
+ORACLE["image_contents"] = _sql(
+    "SELECT icon_id, md5(array_to_string(list_transform(vec, lambda v: CAST(floor(abs(v)) AS INTEGER) % 256), ',')) AS grey_md5 FROM pngs", "pngs"
+)
+_fragment(
+    "link_events",
+    """
+    SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS icon_id, CASE WHEN k % 10 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS item_id,
+           CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'visual' END AS source
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+    """,
+)
+ORACLE["plain_log_scan"] = _sql(
+    """
+    SELECT row_number() OVER (ORDER BY seq) - 1 + 2 * coalesce(sum(CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END)
+             OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq, icon_id, item_id, source
+    FROM link_events
+    """,
+    "link_events",
+)
 ORACLE["name_match_levenshtein"] = _sql(
     """
     SELECT text, key, item_id, score FROM (

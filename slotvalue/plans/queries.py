@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.functions import geometry, hashing, pricing, text
+from slotvalue.functions import images as image_bytes
 from slotvalue.functions.rounding import round_share
 from slotvalue.operators import (
     dataset,
@@ -25,7 +26,7 @@ from slotvalue.operators import (
 from slotvalue.plans import tables as t
 from slotvalue.runtime import scratch_path
 from slotvalue.schema import METRIC_COLUMNS
-from slotvalue.sources import readers, writers
+from slotvalue.sources import files, readers, writers
 from slotvalue.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -729,10 +730,76 @@ def release_summary(spark, sf):
     return manifest.release_summary(_trained(spark, sf), _cached(spark, sf))
 
 
+def _hashed(spark, sf):
+    return t.raw(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("icon_id"), F.sha2("p_name", 256).alias("sha256"))
+
+
+@query
+def model_fingerprint(spark, sf):
+    """The fingerprint over one sorted list of lines, for the icon set of each model."""
+    icons = _trained(spark, sf).select("model", "icon_id").distinct().join(_hashed(spark, sf), "icon_id")
+    return manifest.small_set_fingerprint(icons, ["model"])
+
+
+RANGE = 512
+
+
+def _released(spark, sf):
+    """``(name, length, sha256)`` of the files of all releases, written and digested in ranges of a few hundred bytes.
+
+    A release has its links in one file and its icons in files of up to a thousand customers.
+    """
+    line = F.concat("icon_id", F.lit(":"), F.sha2(F.col("class_idx").cast("string"), 256), F.lit("\n"))
+    rows = _trained(spark, sf).select("model", "class_idx", line.alias("line"))
+    part = F.concat(F.lit("icons/part-"), F.floor(F.col("class_idx") / 1000).cast("string"), F.lit(".txt"))
+    rows = rows.withColumn("file", F.explode(F.array(F.lit("links/links.txt"), part)))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "line"))), lambda r: r["line"]), "")
+    path = scratch_path(spark, "release")
+    files.write_files(rows.groupBy("model", "file").agg(content.alias("content")).select(F.concat_ws("/", "model", "file").alias("name"), "content"), path)
+    return files.tree_digests(files.read_ranges(spark, path, RANGE)).select(files.stored_name().alias("name"), "length", "sha256")
+
+
+@query
+def release_files(spark, sf):
+    return _released(spark, sf)
+
+
 @query
 def release_manifest(spark, sf):
-    cached = t.raw(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("icon_id"), F.sha2("p_name", 256).alias("sha256"))
-    return manifest.release_manifest(_trained(spark, sf), cached, "2024-01-01T00:00:00")
+    parts = F.split("name", "/", 2)
+    listed = _released(spark, sf).select(parts[0].alias("model"), parts[1].alias("file"), "sha256")
+    built = manifest.release_manifest(_trained(spark, sf), _hashed(spark, sf), "2024-01-01T00:00:00", files=listed)
+    return built.withColumn("files", F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["file"], f["sha256"])), " "))
+
+
+def _png_pixels():
+    """Pictures of different shapes, as whole grey values."""
+    width = F.element_at(F.array(*map(F.lit, (8, 16, 4, 64))), (F.col("icon_id") % 4 + 1).cast("int"))
+    grey = F.transform("vec", lambda v: F.floor(F.abs(v)).cast("int") % 256)
+    return width, grey
+
+
+def _picture_files(spark, sf):
+    width, grey = _png_pixels()
+    path = scratch_path(spark, "pictures")
+    pictures = t.vectors(spark, sf).select(F.concat(F.col("icon_id").cast("string"), F.lit(".png")).alias("name"), image_bytes.png(grey, width).alias("content"))
+    files.write_files(pictures, path)
+    return path
+
+
+@query
+def image_files(spark, sf):
+    """Pictures written as PNG files; their sizes come from the first bytes of each file."""
+    return readers.read_icons(spark, _picture_files(spark, sf), digests=False)
+
+
+@query
+def image_contents(spark, sf):
+    """Pictures written as PNG files, read back whole and decoded."""
+    whole = files.read_ranges(spark, _picture_files(spark, sf), suffix=".png")
+    grey = F.array_join(image_bytes.grey_values("data"), ",")
+    stem = F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("bigint")
+    return whole.select(stem.alias("icon_id"), F.md5(grey).alias("grey_md5"))
 
 
 @query
@@ -929,14 +996,17 @@ def metrics_csv(spark, sf):
 
 
 @query
-def release_files(spark, sf):
-    """Text files, one per customer segment and nation, with their lengths and digests."""
-    names = t.raw(spark, sf, "customer").select(F.lower("c_mktsegment").alias("model"), "c_nationkey").distinct()
-    path = scratch_path(spark, "release")
-    names.select("model", "c_nationkey", F.concat_ws("-", "model", F.col("c_nationkey").cast("string")).alias("value")).write.partitionBy(
-        "model", "c_nationkey"
-    ).text(path)
-    return readers.file_digests(spark, path + "/*/*").where(F.col("file").startswith("part-")).select("length", "sha256")
+def plain_log_scan(spark, sf):
+    """The event log as its writers leave it, without numbers: a few files that are read in many splits."""
+    events = t.link_events(spark, sf)
+    lines = events.select("seq", F.to_json(F.struct("ts", "icon_id", "item_id", "source", "certainty", "note")).alias("value"))
+    path = scratch_path(spark, "log")
+    ordered = lines.repartitionByRange(2, "seq").sortWithinPartitions("seq")
+    ordered.select(F.explode(F.when(F.col("seq") % 50 == 0, F.array("value", F.lit(""), F.lit("{cut of"))).otherwise(F.array("value")))).write.text(path)
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    small.conf.set("spark.sql.files.minPartitionNum", "1")
+    return readers.read_plain_log(small, path).select("seq", "icon_id", "item_id", "source")
 
 
 @query

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotvalue.functions import images
 from slotvalue.functions.geometry import footprint
 from slotvalue.functions.pricing import best_offer
 from slotvalue.operators.skew import top_per_group
 from slotvalue.operators.spatial import cell_geometry
 from slotvalue.schema import AUTO_LINK, CATALOG_ITEM, GRID, LINK_EVENT, METRICS
+from slotvalue.sources import files
 
 CORRUPT = "_corrupt"
 
@@ -92,19 +98,40 @@ def read_link_events(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def read_plain_log(spark: SparkSession, path: str) -> DataFrame:
-    """Event log without ``seq``: the line number becomes the order.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq, line)``: the lines of text files, numbered from 0 by file name and line, whatever the size of a file.
 
-    The file must be read as one value to number its lines, which suits hand-kept logs;
-    services should write ``seq`` and use ``read_link_events``.
+    Files are split as always.  A task counts the lines of each of its splits, which it sees in order; the lines of
+    all splits before, known from one count per split, are added to that.
     """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            places = []
+            for split in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[split] = seen.get(split, -1) + 1
+                places.append(seen[split])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "block", "line", "place"])
+
+    numbered = rows.mapInArrow(count, "file string, block bigint, line string, place bigint")
+    splits = numbered.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "block", before.alias("start"))
+    return numbered.join(starts, ["file", "block"]).select((F.col("start") + F.col("place")).alias("seq"), "line")
+
+
+def read_plain_log(spark: SparkSession, path: str) -> DataFrame:
+    """Event log without ``seq``: the number of the line becomes the order (``numbered_lines``)."""
     if not path_exists(spark, path):
         return empty(spark, LINK_EVENT)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
     rest = T.StructType([f for f in LINK_EVENT.fields if f.name != "seq"])
     event = F.from_json(F.trim("line"), rest)
     # An object is kept whatever fields it has; blank lines, broken lines and other values are not.
-    parsed = lines.where(F.get_json_object("line", "$").startswith("{")).select(F.col("seq").cast("bigint"), event.alias("e"))
+    parsed = numbered_lines(spark, path).where(F.get_json_object("line", "$").startswith("{")).select("seq", event.alias("e"))
     return parsed.select("seq", "e.*").select(*LINK_EVENT.fieldNames())
 
 
@@ -146,39 +173,34 @@ def replay(stored: DataFrame, session_id: str) -> DataFrame:
     return stored.where(F.col("session_id") == session_id)
 
 
-def read_icons(spark: SparkSession, path: str) -> DataFrame:
-    """PNG files with a numeric name: digest, size in pixels and footprint.
+def read_icons(spark: SparkSession, path: str, digests: bool = True) -> DataFrame:
+    """PNG files with a numeric name: size in pixels, bytes and footprint, and the digest if it is asked for.
 
-    Width and height are bytes 17 to 24 of the file.  The content column is dropped.
+    Width and height are bytes 17 to 24 of a file.  Without digests no more than these bytes are read; with them, files
+    are read in ranges.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
     stem = F.regexp_extract("path", r"([^/]+)\.png$", 1)
-
-    def number(start):
-        return F.conv(F.hex(F.substring("content", start, 4)), 16, 10).cast("int")
-
-    sized = files.withColumn("stem", stem).where(F.col("stem").rlike("^[0-9]+$")).select(
-        F.col("stem").cast("bigint").alias("icon_id"),
-        number(17).alias("px_w"),
-        number(21).alias("px_h"),
-        F.sha2("content", 256).alias("sha256"),
-        "length",
-    )
-    return sized.withColumns({"cells_w": footprint(F.col("px_w")), "cells_h": footprint(F.col("px_h"))})
+    px_w, px_h = images.size_in_header("data")
+    sized = files.read_headers(spark, path, images.HEADER_BYTES, ".png").withColumn("stem", stem).where(F.col("stem").rlike("^[0-9]+$"))
+    sized = sized.select("path", F.col("stem").cast("bigint").alias("icon_id"), px_w.alias("px_w"), px_h.alias("px_h"), "length")
+    if digests:
+        sized = sized.join(files.tree_digests(files.read_ranges(spark, path, suffix=".png")).select("path", "sha256"), "path")
+    own = ["icon_id", "px_w", "px_h", *(["sha256"] if digests else []), "length"]
+    return sized.select(*own, footprint(F.col("px_w")).alias("cells_w"), footprint(F.col("px_h")).alias("cells_h"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a cache folder by stem and length; the content is not read."""
     if not path_exists(spark, path):
         return empty(spark, "item_id string, length bigint")
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("item_id"), "length")
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("item_id"), "length")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length and SHA-256 of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, range_bytes: int = files.RANGE_BYTES) -> DataFrame:
+    """Name, length and digest of every file below a folder; large files are read in ranges (``files.tree_digests``)."""
+    found = files.tree_digests(files.read_ranges(spark, path, range_bytes))
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "sha256")
 
 
 def read_grids(spark: SparkSession, path: str) -> DataFrame:
@@ -197,9 +219,9 @@ def snapshot_age(spark: SparkSession, path: str, now: str) -> DataFrame:
     """Hours between the newest file of a snapshot and ``now``; null if there is no file."""
     if not path_exists(spark, path):
         return spark.range(1).select(F.lit(None).cast("double").alias("age_h"))
-    files = spark.read.format("binaryFile").load(path).select("modificationTime")
+    found = spark.read.format("binaryFile").load(path).select("modificationTime")
     newest = F.max(F.unix_timestamp("modificationTime"))
-    return files.agg(((F.unix_timestamp(F.lit(now)) - newest) / 3600).alias("age_h"))
+    return found.agg(((F.unix_timestamp(F.lit(now)) - newest) / 3600).alias("age_h"))
 
 
 def stale(age_h: Column, ttl_h: float = 24.0) -> Column:
