@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.functions.hashing import digest_number
 from slotvalue.functions.pricing import fallback_price, link_certainty
 from slotvalue.functions.text import mentions
 from slotvalue.operators.skew import top_per_group
+from slotvalue.runtime import checkpoint
 
+# Letters of the runs that names are indexed by.
+GRAM = 3
 # Later layers win.
 AUTO, FLAT, MANUAL = 0, 1, 2
 
@@ -103,24 +106,60 @@ def find_items(catalog: DataFrame, queries: Sequence[str]) -> DataFrame:
     return catalog.select("item_id", "name", "pos", F.explode(hits).alias("query"))
 
 
-def resolve_unique(catalog: DataFrame, queries: Sequence[str], listed: int) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` letters; the empty run for size 0."""
+    if not size:
+        return F.array(F.lit(""))
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def find_asked(catalog: DataFrame, asked: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Catalog rows whose name contains a query of the table ``asked (query)``, one row per query and item.
+
+    An inverted index: every name under each of its runs of ``gram`` letters.  A query is looked up under the rarest of its
+    own runs only, and what is found there is tested as a whole.  Queries of fewer letters use runs of their own
+    length, so they need no scan either; the empty query is in every name.
+    """
+    typed = asked.select("query", F.lower("query").alias("needle")).where(F.col("query").isNotNull()).distinct()
+    typed = checkpoint(typed.withColumn("size", F.least(F.length("needle"), F.lit(gram))))
+    sizes = [r["size"] for r in typed.select("size").distinct().collect()]
+    if not sizes:
+        return catalog.select("item_id", "name", "pos", F.lit(None).cast("string").alias("query")).limit(0)
+    pick = None
+    for size in sizes:
+        own = _grams(F.col("needle"), size)
+        pick = F.when(F.col("size") == size, own) if pick is None else pick.when(F.col("size") == size, own)
+    wanted = typed.select("query", "needle", F.explode(pick).alias("gram"))
+    every = F.flatten(F.array(*[_grams(F.lower("name"), size) for size in sizes]))
+    postings = catalog.where(F.col("name").isNotNull()).select("item_id", "name", "pos", F.explode(every).alias("gram"))
+    counts = postings.select("gram").join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    # A run that no name has is the rarest of all: the query finds nothing.
+    rarest = wanted.join(counts, "gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r"))
+    looked = rarest.where(F.col("r.names") > 0).select("query", "needle", F.col("r.gram").alias("gram"))
+    found = postings.join(looked, "gram").where(F.contains(F.lower("name"), F.col("needle")))
+    return found.select("item_id", "name", "pos", "query")
+
+
+def resolve_unique(catalog: DataFrame, queries: Sequence[str] | DataFrame, listed: int) -> DataFrame:
     """Turn each typed text, an item id or a part of a name, into one item.
 
-    ``status`` is ``id`` (exact id), ``unique``, ``none`` or ``ambiguous``; an ambiguous
-    text comes with its first ``listed`` items in catalog order (``pos``) and the full number of hits.
+    ``queries`` are a few texts or a table ``(query)``.  ``status`` is ``id`` (exact id), ``unique``, ``none`` or
+    ``ambiguous``; an ambiguous text comes with its first ``listed`` items in catalog order (``pos``) and the full
+    number of hits.
     """
-    queries = list(dict.fromkeys(queries))
-    asked = catalog.sparkSession.createDataFrame([(q,) for q in queries], "query string")
-    exact = catalog.where(F.col("item_id").isin(queries)).select(
-        F.col("item_id").alias("query"), F.lit(True).alias("is_id"), "item_id", "name"
-    )
-    by_name = find_items(catalog, queries)
+    if isinstance(queries, DataFrame):
+        asked = queries.select("query").where(F.col("query").isNotNull()).distinct()
+        by_name = checkpoint(find_asked(catalog, asked))
+    else:
+        asked = catalog.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+        by_name = find_items(catalog, queries)
+    exact = catalog.join(asked, F.col("item_id") == F.col("query")).select("query", F.lit(True).alias("is_id"), "item_id", "name")
     hits = by_name.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
     first = top_per_group(by_name, ["query"], [F.col("pos"), F.col("item_id")], listed).select("query", "item_id", "name")
-    ids = exact.select("query", "is_id", F.col("item_id").alias("exact_id"), F.col("name").alias("exact_name"))
-    # ``asked`` has as many rows as there are typed queries, the others at most ``listed`` times that.
-    state = asked.join(ids, "query", "left").join(hits, "query", "left")
-    state = state.join(first, "query", "left").where(F.col("is_id").isNull()).select(
+    # ``asked`` has a row per query, the others at most ``listed`` times that.
+    open_ = asked.join(exact.select("query").distinct(), "query", "left_anti").join(hits, "query", "left")
+    state = open_.join(first, "query", "left").select(
         "query",
         F.when(F.col("hits") == 1, "unique").when(F.col("hits") > 1, "ambiguous").otherwise("none").alias("status"),
         F.coalesce("hits", F.lit(0)).alias("hits"),

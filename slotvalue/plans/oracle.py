@@ -142,6 +142,14 @@ _fragment(
     "events_k",
     "SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
 )
+_fragment(
+    "link_events",
+    """
+    SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS icon_id, CASE WHEN k % 10 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS item_id,
+           CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'visual' END AS source
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+    """,
+)
 _fragment(
     "manual",
     """
@@ -330,6 +338,9 @@ ORACLE["capped_detections"] = _sql(
     """,
     "li",
 )
+ORACLE["detection_overflow"] = _sql(
+    "SELECT CAST(sk AS VARCHAR) AS session_id, count(*) AS detections, count(*) - 400 AS over FROM li GROUP BY sk HAVING count(*) > 400", "li"
+)
 ORACLE["raw_detections"] = _sql(
     f"""
     SELECT session_id, det_idx, icon_id, CAST(round_even(CAST(cents % 9001 AS DOUBLE) / 8, 0) AS INTEGER) AS x0,
@@ -423,23 +434,28 @@ for _mode, _order in {
 }.items():
     ORACLE[f"review_{_mode}"] = _sql(f"SELECT * FROM doubtful ORDER BY {_order} LIMIT 400", "doubtful")
 ORACLE["near_tie_links"] = _sql("SELECT icon_id, score, margin FROM auto WHERE margin < 5", "auto")
+_fragment(
+    "searches",
+    """
+    SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN upper(substr(p_name, 1, 9))
+                                       WHEN 2 THEN substr(p_name, 3, 2) WHEN 3 THEN substr(p_name, 2, 1) ELSE lower(p_type) END AS query
+    FROM part
+    """,
+)
+_fragment("hits", "SELECT query, item_id, name, pos FROM names JOIN searches ON contains(lower(name), lower(query))", "names", "searches")
+ORACLE["find_asked"] = _sql("SELECT query, count(*) AS hits, min(pos) AS first_pos FROM hits GROUP BY query", "hits")
 ORACLE["unique_match"] = _sql(
     """
     SELECT a.query, CASE WHEN x.item_id IS NOT NULL THEN 'id' WHEN coalesce(h.hits, 0) = 0 THEN 'none'
                          WHEN h.hits = 1 THEN 'unique' ELSE 'ambiguous' END AS status,
            CASE WHEN x.item_id IS NOT NULL THEN 1 ELSE coalesce(h.hits, 0) END AS hits,
            coalesce(x.item_id, f.item_id) AS item_id, coalesce(x.name, f.name) AS name
-    FROM (VALUES ('17'), ('small ring'), ('RED'), ('no such thing')) a(query)
-    LEFT JOIN names x ON x.item_id = a.query
-    LEFT JOIN (SELECT q.query, count(*) AS hits FROM names JOIN (VALUES ('17'), ('small ring'), ('RED'), ('no such thing')) q(query)
-               ON contains(lower(name), lower(q.query)) GROUP BY q.query) h ON h.query = a.query
-    LEFT JOIN (SELECT * FROM (
-                 SELECT q.query, item_id, name, row_number() OVER (PARTITION BY q.query ORDER BY pos) AS rn
-                 FROM names JOIN (VALUES ('17'), ('small ring'), ('RED'), ('no such thing')) q(query)
-                 ON contains(lower(name), lower(q.query))) WHERE rn <= 15) f
+    FROM searches a LEFT JOIN names x ON x.item_id = a.query
+    LEFT JOIN (SELECT query, count(*) AS hits FROM hits GROUP BY query) h ON h.query = a.query
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos, item_id) AS rn FROM hits) WHERE rn <= 15) f
       ON f.query = a.query AND x.item_id IS NULL
     """,
-    "names",
+    "hits",
 )
 ORACLE["find_items"] = _sql(
     """
@@ -1221,7 +1237,15 @@ ORACLE["label_files"] = _sql(
     """,
     "cells",
 )
-ORACLE["stream_current_links"] = ORACLE["link_latest_event"]
+ORACLE["stream_current_links"] = ORACLE["stream_compacted_links"] = ORACLE["link_latest_event"]
+ORACLE["link_changes"] = _sql(
+    """
+    SELECT icon_id, arg_max(item_id, seq) AS item_id, max(seq) AS seq, v AS version
+    FROM (SELECT *, CAST(seq % 3 AS INTEGER) AS arrived FROM link_events WHERE source = 'manual' AND item_id <> '') e, range(1, 3) r(v)
+    WHERE arrived <= v GROUP BY icon_id, v HAVING max(arrived) FILTER (WHERE arrived = v) IS NOT NULL
+    """,
+    "link_events",
+)
 ORACLE["stream_valued_records"] = ORACLE["session_summary"]
 for _name in ("stream_reprojection", "stream_split_sessions", "stream_scan_and_correct", "stream_price_refresh"):
     ORACLE[_name] = ORACLE["session_summary"]
@@ -1254,14 +1278,6 @@ ORACLE["image_files"] = _sql(
 ORACLE["image_contents"] = _sql(
     "SELECT icon_id, md5(array_to_string(list_transform(vec, lambda v: CAST(floor(abs(v)) AS INTEGER) % 256), ',')) AS grey_md5 FROM pngs", "pngs"
 )
-_fragment(
-    "link_events",
-    """
-    SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS icon_id, CASE WHEN k % 10 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS item_id,
-           CASE WHEN event_type = 'purchase' THEN 'manual' ELSE 'visual' END AS source
-    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-    """,
-)
 ORACLE["plain_log_scan"] = _sql(
     """
     SELECT row_number() OVER (ORDER BY seq) - 1 + 2 * coalesce(sum(CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END)

@@ -182,6 +182,13 @@ def capped_detections(spark, sf):
     return rank.cap_detections(shelf, rank.MAX_DETECTIONS)
 
 
+@query
+def detection_overflow(spark, sf):
+    """Images with more detections than the detector reports, and how many it drops."""
+    shelf = t.line_items(spark, sf).select(F.col("sk").cast("string").alias("session_id"))
+    return rank.overflow(shelf, rank.MAX_DETECTIONS)
+
+
 @query
 def raw_detections(spark, sf):
     """Detector output with fractional boxes and long scores, cleaned up."""
@@ -307,12 +314,19 @@ def near_tie_links(spark, sf):
     return matching.near_ties(t.auto_links(spark, sf)).select("icon_id", "score", "margin")
 
 
-SEARCHES = ["17", "small ring", "RED", "no such thing"]
 
 
 @query
 def unique_match(spark, sf):
-    return links.resolve_unique(t.names(spark, sf), SEARCHES, listed=15)
+    """Ids, parts of names of all lengths, and texts that fit nothing, typed for every part."""
+    return links.resolve_unique(t.names(spark, sf), t.searches(spark, sf), listed=15)
+
+
+@query
+def find_asked(spark, sf):
+    """How many names hold each typed text, by the inverted index."""
+    found = links.find_asked(t.names(spark, sf), t.searches(spark, sf))
+    return found.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos"))
 
 
 @query
@@ -966,13 +980,15 @@ def link_map_scan(spark, sf):
     """The matcher's links landed as JSON maps and read back, under an override map that does not exist."""
     links_now = t.auto_links(spark, sf)
     match = F.struct("item_id", "name", "short", "score", "margin")
-    parts = links_now.groupBy(F.pmod(F.xxhash64("icon_id"), F.lit(BUCKETS)).alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("icon_id", match)))).alias("value")
+    # As many maps as it takes to keep each at about a thousand icons.
+    maps = -(-max(1, links_now.count()) // 1000)
+    parts = links_now.groupBy(F.pmod(F.xxhash64("icon_id"), F.lit(maps)).alias("part")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("icon_id", match)))).alias("content")
     )
     path = scratch_path(spark, "links")
-    parts.write.partitionBy("part").text(path)
+    files.write_files(parts.select(F.concat(F.lit("map-"), F.col("part").cast("string"), F.lit(".json")).alias("name"), "content"), path)
     pinned = readers.read_overrides(spark, path + "/missing.json").select("icon_id", F.lit(True).alias("pinned"))
-    found = readers.read_auto_links(spark, path + "/*/*.txt").join(pinned, "icon_id", "left")
+    found = readers.read_auto_links(spark, path + "/*/*.json").join(pinned, "icon_id", "left")
     return found.select("icon_id", "item_id", "name", "short", "score", "margin", F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
@@ -1009,14 +1025,36 @@ def plain_log_scan(spark, sf):
     return readers.read_plain_log(small, path).select("seq", "icon_id", "item_id", "source")
 
 
+def _link_stream(spark, sf, runs, **more):
+    """Folders of links and state after the event log arrived in parts, each met by a stream that starts anew."""
+    events, out, state = (scratch_path(spark, label) for label in ("events", "links", "state"))
+    for run in range(runs):
+        writers.append_log(t.link_events(spark, sf).where(F.col("seq") % runs == run), events)
+        jobs.maintain_links(jobs.stream_events(spark, events), out, state, **more).awaitTermination()
+    return out, state
+
+
 @query
 def stream_current_links(spark, sf):
-    """Manual links kept by a stream over the event log."""
-    events, out, state = _staged_events(spark, sf), scratch_path(spark, "links"), scratch_path(spark, "state")
-    jobs.maintain_links(jobs.stream_events(spark, events), out, state).awaitTermination()
+    """Manual links out of the state of a stream that was restarted twice."""
+    _, state = _link_stream(spark, sf, 3)
+    return jobs.links_in_state(spark, state)
+
+
+@query
+def stream_compacted_links(spark, sf):
+    """The same links out of the versions, which the stream compacts as it goes."""
+    out, _ = _link_stream(spark, sf, 5, compact_every=2)
     return jobs.current_links(spark, out)
 
 
+@query
+def link_changes(spark, sf):
+    """What a reader that has seen the first of three versions still has to read."""
+    out, _ = _link_stream(spark, sf, 3)
+    return jobs.changes_since(spark, out, 0).select("icon_id", "item_id", "seq", "version")
+
+
 def _staged_detections(spark, sf):
     path = scratch_path(spark, "detections")
     t.detections(spark, sf).drop("quantity").write.parquet(path)

@@ -270,3 +270,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(10.0).alias("h"),
         F.lit(64.0).alias("box_height"),
     )
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed texts, one per part: an id, the beginning of a name in capitals, two letters, one letter, the type."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    typed = (
+        F.when(key % 5 == 0, key.cast("string"))
+        .when(key % 5 == 1, F.upper(F.substring(name, 1, 9)))
+        .when(key % 5 == 2, F.substring(name, 3, 2))
+        .when(key % 5 == 3, F.substring(name, 2, 1))
+        .otherwise(F.lower("p_type"))
+    )
+    return raw(spark, sf_dir, "part").select(typed.alias("query")).distinct()

@@ -48,7 +48,8 @@ def stream_detections(spark: SparkSession, path: str, files_per_batch: int | Non
 def changing_links(events: DataFrame) -> DataFrame:
     """Streaming state: the newest manual item per icon.  Order of arrival does not matter."""
     manual = events.where((F.col("source") == "manual") & (F.col("item_id") != ""))
-    return manual.groupBy("icon_id").agg(F.max_by("item_id", "seq").alias("item_id"), F.max("seq").alias("seq"))
+    last = manual.groupBy("icon_id").agg(F.max(F.struct("seq", "item_id")).alias("last"))
+    return last.select("icon_id", "last.item_id", "last.seq")
 
 
 def _now() -> int:
@@ -75,24 +76,81 @@ def start(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFra
 # --- links -----------------------------------------------------------------------------
 
 
-def maintain_links(events: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the links that changed in each batch."""
-    return start(changing_links(events), "update", checkpoint, lambda df, n: write_version(df, out, n), **trigger)
+LINKS = "icon_id string, item_id string, seq bigint"
+
+
+def maintain_links(events: DataFrame, out: str, checkpoint: str, compact_every: int = 0, **trigger) -> StreamingQuery:
+    """Write the links that changed in each batch; after every ``compact_every`` batches fold the versions into one."""
+    spark = events.sparkSession
+
+    def each(changed: DataFrame, n: int) -> None:
+        write_version(changed, out, n)
+        if compact_every and (n + 1) % compact_every == 0:
+            fold_links(spark, out, links_as_of(spark, checkpoint, n, spark.read.parquet(version_path(out, "main", n))), n)
+
+    return start(changing_links(events), "update", checkpoint, each, **trigger)
+
+
+def links_in_state(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """Newest link per icon out of the state of the stream, as of a finished batch or of the last one.
+
+    The state has one row per icon, so this costs the same after any number of batches.
+    """
+    if not path_exists(spark, f"{checkpoint}/state/0/*") or (batch is not None and batch < 0):
+        return spark.createDataFrame([], LINKS)
+    reader = spark.read.format("statestore")
+    state = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+    # The value of the state is the one aggregate of ``changing_links``.
+    last = F.col(f"value.{state.schema['value'].dataType.names[0]}")
+    return state.select("key.icon_id", last["item_id"].alias("item_id"), last["seq"].alias("seq"))
+
+
+def links_as_of(spark: SparkSession, checkpoint: str, batch: int, changed: DataFrame) -> DataFrame:
+    """Links while a batch is being worked on: the state after the batch before, and what this one changed."""
+    both = links_in_state(spark, checkpoint, batch - 1).unionByName(changed.select("icon_id", "item_id", "seq"))
+    return top_per_group(both, ["icon_id"], [F.col("seq").desc()], 1).drop("rn")
 
 
 def current_links(spark: SparkSession, out: str) -> DataFrame:
     """Newest link per icon over all written versions."""
     if not path_exists(spark, f"{out}/writer=*/version=*"):
-        return spark.createDataFrame([], "icon_id string, item_id string, seq bigint")
+        return spark.createDataFrame([], LINKS)
     changes = spark.read.parquet(out).select("icon_id", "item_id", "seq")
     return top_per_group(changes, ["icon_id"], [F.col("seq").desc()], 1).drop("rn")
 
 
 def changes_since(spark: SparkSession, out: str, seen: int) -> DataFrame:
-    """Rows of the versions after ``seen``; older folders are pruned."""
+    """Rows of the versions after ``seen``; older folders are pruned.
+
+    A folded version has every link, changed or not: what a reader missed is in it, also where the versions between
+    are gone.
+    """
     return spark.read.parquet(out).where(F.col("version") > seen)
 
 
+def _versions(spark: SparkSession, out: str, writer: str) -> dict[int, str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/writer={writer}/version=*")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    return {int(s.getPath().getName().partition("=")[2]): s.getPath().toString() for s in found}
+
+
+def fold_links(spark: SparkSession, out: str, links: DataFrame, version: int) -> None:
+    """Write all links as one folded version, and remove what the folded version before it made superfluous.
+
+    Versions since that one stay until the next fold, so a reader that has listed them can finish.
+    """
+    before = [v for v in _versions(spark, out, "fold") if v < version]
+    write_version(links, out, version, "fold")
+    if not before:
+        return
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    last = max(before)
+    old = [p for v, p in _versions(spark, out, "main").items() if v <= last] + [p for v, p in _versions(spark, out, "fold").items() if v < last]
+    for p in old:
+        path = hadoop.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def compact_links(spark: SparkSession, out: str, target: str) -> None:
     """Write the newest link of every icon to a new place as version 0."""
     write_version(current_links(spark, out), target, 0, "compact")
@@ -244,7 +302,7 @@ def maintain_records(
         write_version(changed, links_out, batch)
         icons = spark.read.parquet(version_path(links_out, "main", batch))
         shown = affected_sessions(stored_index(spark, store), icons, buckets=buckets)
-        links = links_of(current_links(spark, links_out))
+        links = links_of(links_as_of(spark, checkpoint, batch, icons))
         reproject(stored_detections(spark, store), shown, links, catalog_of(), records_out, batch, writer, basis, buckets)
 
     return start(changing_links(events), "update", checkpoint, each, **trigger)

@@ -1,10 +1,12 @@
 """Streams over files: order of arrival, restarts and incremental re-projection."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from slotvalue.operators import links, resolve
+from slotvalue.schema import LINK_EVENT
 from slotvalue.sources import writers
 from slotvalue.streaming import jobs
 from tests.test_identity import BOX, DETECTION, catalog
@@ -182,3 +184,59 @@ def test_refresh_only_when_stale(spark):
     assert jobs.refresh_catalog(age(23.9), load, lambda df: writers.write_snapshot(df, "c")) is None
     assert jobs.refresh_catalog(age(24.0), load, lambda df: writers.write_snapshot(df, "c"))
     assert jobs.refresh_catalog(age(None), load, lambda df: writers.write_snapshot(df, "c"))
+
+
+def log_in_parts(spark, tmp_path, parts, **more):
+    """Links and state after each part of a log, every part met by a stream that starts anew."""
+    log, out, state = (str(tmp_path / n) for n in ("log", "links", "state"))
+    for part in parts:
+        rows = [(s, "t", i, x, "manual", 100, "") for s, i, x in part]
+        spark.createDataFrame(rows, LINK_EVENT).coalesce(1).write.mode("append").json(log)
+        jobs.maintain_links(jobs.stream_events(spark, log), out, state, **more).awaitTermination()
+    return out, state
+
+
+def links_of(df):
+    return {r.icon_id: (r.item_id, r.seq) for r in df.collect()}
+
+
+def test_links_come_from_the_state(spark, tmp_path):
+    parts = [[(1, "a", "x"), (5, "b", "late")], [(3, "a", "y"), (2, "b", "early")], [(4, "c", "z")]]
+    out, state = log_in_parts(spark, tmp_path, parts)
+    assert links_of(jobs.links_in_state(spark, state)) == {"a": ("y", 3), "b": ("late", 5), "c": ("z", 4)}
+    assert links_of(jobs.links_in_state(spark, state, 0)) == {"a": ("x", 1), "b": ("late", 5)}
+    assert links_of(jobs.links_in_state(spark, state, -1)) == links_of(jobs.links_in_state(spark, str(tmp_path / "none"))) == {}
+    changed = spark.createDataFrame([("a", "w", 9), ("b", "old", 1)], jobs.LINKS)
+    assert links_of(jobs.links_as_of(spark, state, 1, changed)) == {"a": ("w", 9), "b": ("late", 5)}
+    # The state is read, not the versions.
+    plan = jobs.links_in_state(spark, state)._jdf.queryExecution().toString()
+    assert out not in plan and links_of(jobs.links_in_state(spark, state)) == links_of(jobs.current_links(spark, out))
+
+
+def test_a_stream_folds_its_versions(spark, tmp_path):
+    rng = random.Random(3)
+    parts = [[(10 * p + n, f"i{rng.randrange(6)}", f"v{p}{n}") for n in range(4)] for p in range(7)]
+    out, state = log_in_parts(spark, tmp_path, parts, compact_every=2)
+    want = {}
+    for part in parts:
+        for seq, icon, item in part:
+            want[icon] = (item, seq)
+    assert links_of(jobs.current_links(spark, out)) == links_of(jobs.links_in_state(spark, state)) == want
+    main, fold = jobs._versions(spark, out, "main"), jobs._versions(spark, out, "fold")
+    # Folds at 1, 3 and 5: those before the last but one, and the versions they hold, are gone.
+    assert sorted(main) == [4, 5, 6] and sorted(fold) == [3, 5]
+    for seen in range(-1, 6):
+        known = {}
+        for part in parts[: seen + 1]:
+            known |= {icon: (item, seq) for seq, icon, item in part}
+        for r in jobs.changes_since(spark, out, seen).collect():
+            if r.seq >= known.get(r.icon_id, ("", -1))[1]:
+                known[r.icon_id] = (r.item_id, r.seq)
+        assert known == want
+
+
+def test_a_repeated_fold_changes_nothing(spark, tmp_path):
+    out, state = log_in_parts(spark, tmp_path, [[(1, "a", "x")], [(2, "b", "y")]], compact_every=2)
+    before = links_of(jobs.current_links(spark, out))
+    jobs.fold_links(spark, out, jobs.links_in_state(spark, state), 1)
+    assert links_of(jobs.current_links(spark, out)) == before and sorted(jobs._versions(spark, out, "fold")) == [1]
