@@ -41,9 +41,14 @@ STRENGTH = 8.0
 # Smoothing of P(declared | language) and P(suffix | language), in pages.
 ALPHA = 0.5
 
-_NOISE = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,8};")
-_LANG = re.compile(rb"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b")
-_META = re.compile(rb"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b")
+_OPEN = re.compile(rb"[<&]")
+_RAW = re.compile(rb"(?i)<(script|style)\b")
+_RAW_END = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style")}
+_ENTITY = re.compile(rb"(?i)&[a-z0-9#]{1,8};")
+_HTML, _META = re.compile(rb"(?i)<html\b"), re.compile(rb"(?i)<meta\b")
+_LANG = re.compile(rb"(?i)\slang\s*=\s*[\"']?([a-z]{2,3})\b")
+_ABOUT_LANGUAGE = re.compile(rb"(?i)content-language")
+_CONTENT = re.compile(rb"(?i)content\s*=\s*[\"']?([a-z]{2,3})\b")
 
 _LETTER = np.full(256, 0x20, np.uint8)
 for _b in (*range(ord("a"), ord("z") + 1), *range(128, 256)):
@@ -118,12 +123,75 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang") -> TextMo
 
 
 def visible_text(html: bytes | None) -> str:
-    return _NOISE.sub(b" ", html or b"").decode("utf-8", "replace")
+    """The page without tags, comments, scripts, styles and entities, which become blanks.
+
+    A comment, script or style that is never closed counts as a tag only, and a tag that is never closed as text.  Every
+    closing mark is looked for once beyond each place, and a missing one not again, so that broken pages take
+    linear time too.
+    """
+    html, out, at = html or b"", [], 0
+    none_left: set[bytes] = set()
+
+    def beyond(mark: bytes, start: int) -> int:
+        """End of the next closing mark, or -1."""
+        if mark in none_left:
+            return -1
+        if mark in _RAW_END:
+            found = _RAW_END[mark].search(html, start)
+            end = found.end() if found else -1
+        else:
+            place = html.find(mark, start)
+            end = place + len(mark) if place >= 0 else -1
+        if end < 0:
+            none_left.add(mark)
+        return end
+
+    def noise_end(i: int) -> int:
+        if html[i : i + 1] == b"&":
+            entity = _ENTITY.match(html, i)
+            return entity.end() if entity else -1
+        raw = _RAW.match(html, i)
+        end = beyond(raw[1].lower(), raw.end()) if raw else beyond(b"-->", i + 4) if html.startswith(b"<!--", i) else -1
+        return end if end >= 0 else beyond(b">", i + 1)
+
+    pos = 0
+    while (found := _OPEN.search(html, pos)) is not None:
+        end = noise_end(found.start())
+        if end < 0:
+            pos = found.end()
+            continue
+        out += [html[at : found.start()], b" "]
+        at = pos = end
+    out.append(html[at:])
+    return b"".join(out).decode("utf-8", "replace")
+
+
+def _in_tags(html: bytes, opening: re.Pattern, read) -> bytes | None:
+    """The first value that ``read`` finds in a tag, from its opening to the next ``>``; every byte is looked at once."""
+    at = 0
+    while (tag := opening.search(html, at)) is not None:
+        end = html.find(b">", tag.end())
+        end = len(html) if end < 0 else end
+        if (value := read(html, tag.end(), end)) is not None:
+            return value
+        at = end
+    return None
+
+
+def _lang(html: bytes, start: int, end: int) -> bytes | None:
+    found = _LANG.search(html, start, end)
+    return found and found[1]
+
+
+def _content_language(html: bytes, start: int, end: int) -> bytes | None:
+    about = _ABOUT_LANGUAGE.search(html, start, end)
+    found = about and _CONTENT.search(html, about.end(), end)
+    return found and found[1]
 
 
 def declared_language(html: bytes | None) -> str | None:
-    found = html and (_LANG.search(html) or _META.search(html))
-    return found[1].decode().lower() if found else None
+    found = html and (_in_tags(html, _HTML, _lang) or _in_tags(html, _META, _content_language))
+    return found.decode().lower() if found else None
 
 
 def _read(model: TextModel):
