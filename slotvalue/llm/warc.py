@@ -24,12 +24,12 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.llm.arrow import NO_ID, batch_of, id_key, map_batches, shuffle_width
 from slotvalue.runtime import scratch_path
+from slotvalue.sources.files import open_store
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 30
@@ -79,7 +79,7 @@ def page_record(key: int, url: str | None, payload: bytes, digest: str, first: i
 
 def _write(folder: str, file_bytes: int):
     def run(batches, schema):
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = open_store(folder)
         fs.create_dir(base, recursive=True)
         out = name = None
         done: list[tuple[str, int, int]] = []
@@ -95,8 +95,9 @@ def _write(folder: str, file_bytes: int):
                 if out is None or size >= file_bytes:
                     if out is not None:
                         close()
-                    name = posixpath.join(base, f"pages-{uuid.uuid4().hex}.warc.gz")
-                    out = fs.open_output_stream(name, compression=None)
+                    file = f"pages-{uuid.uuid4().hex}.warc.gz"
+                    name = posixpath.join(folder, file)
+                    out = fs.open_output_stream(posixpath.join(base, file), compression=None)
                     records = 0
                     out.write(_INFO)
                     size = len(_INFO)
@@ -120,7 +121,11 @@ def write_archives(
     min_bytes: int = 100,
     file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Writes the archives below ``folder`` and returns their manifest ``(path, bytes, records)``."""
+    """Writes the archives below ``folder`` and returns their manifest ``(path, bytes, records)``.
+
+    The folder must be one that tasks can reach (``sources.files``); another is refused before anything runs.
+    """
+    open_store(folder)
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(
         id_key(page_id).alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"),
@@ -231,7 +236,7 @@ def read_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 def _read(batches, schema):
     for batch in batches:
         for row in batch.to_pylist():
-            fs, path = pafs.FileSystem.from_uri(row["path"])
+            fs, path = open_store(row["path"])
             rows, held = [], 0
             with fs.open_input_file(path) as file:
                 for offset, record in read_range(file, file.size(), row["start"], row["end"]):
@@ -258,11 +263,13 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
 
 
 def archive_listing(pages: DataFrame, folder: str | None = None, **rule) -> DataFrame:
-    """Writes ``pages``, reads the archives back and lists their records."""
+    """Writes ``pages``, reads the archives back and lists their records; a damaged record is an error, not a missing page."""
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     records = read_archives(spark, write_archives(pages, folder, **rule))
-    records = records.where(F.col("record_type").isin("response", "revisit"))
+    damaged = F.raise_error(F.concat(F.lit("damaged record at "), F.col("offset").cast("string"), F.lit(" of "), F.col("path"))).cast("boolean")
+    pages_only = F.when(F.col("record_type") == "damaged", damaged).otherwise(F.col("record_type").isin("response", "revisit"))
+    records = records.where(pages_only)
     own = F.col("record_type") == "response"
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
     return records.select(

@@ -5,6 +5,8 @@ import hashlib
 import io
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -376,3 +378,50 @@ def test_listing_and_damage(spark, tmp_path):
     parts = [(a, min(a + 11, len(data))) for a in range(0, len(data), 11)]
     again = sorted(x for a, b in parts for x, r in warc.read_range(io.BytesIO(data), len(data), a, b) if r["record_type"] == "response")
     assert again == [0, len(good + cut), 2 * len(good) + len(cut) + 7]
+
+
+def test_a_damaged_archive_is_an_error(spark, tmp_path, monkeypatch):
+    _, pages = archive_pages(spark)
+    inner = warc.write_archives
+
+    def spoilt(rows, folder, **rule):
+        found = inner(rows, folder, **rule)
+        path = found.first()["path"]
+        with open(path, "r+b") as f:
+            f.truncate(f.seek(0, 2) - 15)
+        return found.withColumn("bytes", F.col("bytes") - F.when(F.col("path") == path, 15).otherwise(0))
+
+    monkeypatch.setattr(warc, "write_archives", spoilt)
+    with pytest.raises(Exception, match="damaged record at"):
+        warc.archive_listing(pages, str(tmp_path / "a")).collect()
+
+
+def test_archives_go_where_tasks_can_write(spark, tmp_path):
+    _, pages = archive_pages(spark)
+    files = warc.write_archives(pages, f"file://{tmp_path}/out").collect()
+    assert files and all(f["path"].startswith(f"file://{tmp_path}/out/pages-") for f in files)
+    with pytest.raises(ValueError, match="cannot be reached"):
+        warc.write_archives(pages, "nosuch://store/out")
+
+
+OLD_NOISE = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,8};")
+OLD_LANG = re.compile(rb"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b")
+OLD_META = re.compile(rb"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b")
+
+
+def test_the_page_scan_equals_plain_patterns():
+    rng = random.Random(6)
+    parts = ["<", ">", "<!--", "-->", "<script>", "</script >", "<STYLE a=b>", "</style>", "<scripts>", "&amp;", "&", ";", "text ", "<html", " lang=", "'de'", "en", "fr-CA", "\n", "<meta ", "content-language", " content=", '"es"', "</script", "ü"]
+    for _ in range(6000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(14))).encode()
+        assert langid.visible_text(html) == OLD_NOISE.sub(b" ", html).decode("utf-8", "replace"), html
+        found = OLD_LANG.search(html) or OLD_META.search(html)
+        assert langid.declared_language(html) == (found[1].decode().lower() if found else None), html
+
+
+@pytest.mark.parametrize("unit", [b"<!-- x ", b"<script>", b"<style ", b"<", b"&", b"<html lang ", b"<meta content-language ", b"<!--<script><style>&a"])
+def test_broken_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    langid.visible_text(page), langid.declared_language(page)
+    assert time.perf_counter() - start < 5
