@@ -25,6 +25,7 @@ a query with that id.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotvalue.llm.arrow import batch_of, map_batches
+from slotvalue.operators.skew import hashed_index
 from slotvalue.runtime import scratch_path
 
 TABLES = 6
@@ -44,6 +46,8 @@ BUCKET = 1024
 PART = 8192
 PART_QUERIES = 1024
 BLOCK = 2048
+# Probes that are ranked at once.
+PAIRS = 1 << 19
 SEED = 7_919
 
 
@@ -70,6 +74,7 @@ class Hasher:
 
     def __init__(self, rows: int, longest: float, shortest: float, tables: int = TABLES):
         self.rows, self.longest, self.tables = rows, longest, tables
+        self.bucket = BUCKET
         self.level_norms = longest > 0 and (longest - shortest) > 1e-3 * longest
         self.exact = False
 
@@ -92,7 +97,7 @@ class Hasher:
 
     def second(self, width: int) -> int:
         """Axes of the refining transform: none while the first gives enough buckets."""
-        need = self.rows / BUCKET / (2 * width)
+        need = self.rows / self.bucket / (2 * width)
         return 0 if need <= 1 else min(width, 1 << max(0, math.ceil(math.log2(need / 2))))
 
     def _axes(self, x: np.ndarray, table: int) -> list[np.ndarray]:
@@ -114,14 +119,30 @@ class Hasher:
         """Buckets in order of nearness, at most ``count`` for each vector."""
         if self.exact:
             return np.zeros((len(x), 1), np.int64)
+        most = max(1, PAIRS // max(1, count))
+        if len(x) > most:
+            return np.vstack([self.probes(x[a : a + most], table, count) for a in range(0, len(x), most)])
         axes = self._axes(x, table)
         if len(axes) == 1:
             return np.argsort(-axes[0], axis=1, kind="stable")[:, :count]
-        some = [np.argsort(-a, axis=1, kind="stable")[:, : max(8, 3 * math.isqrt(count))] for a in axes]
-        value = [np.take_along_axis(a, s, axis=1) for a, s in zip(axes, some, strict=True)]
-        score = (value[0][:, :, None] + value[1][:, None, :]).reshape(len(x), -1)
-        bucket = (some[0][:, :, None] * axes[1].shape[1] + some[1][:, None, :]).reshape(len(x), -1)
-        return np.take_along_axis(bucket, np.argsort(-score, axis=1, kind="stable")[:, :count], axis=1)
+        sorted_ = [np.argsort(-a, axis=1, kind="stable") for a in axes]
+        value = [np.take_along_axis(a, s, axis=1) for a, s in zip(axes, sorted_, strict=True)]
+        i, j = leading_pairs(axes[0].shape[1], axes[1].shape[1], count)
+        order = np.argsort(-(value[0][:, i] + value[1][:, j]), axis=1, kind="stable")[:, :count]
+        rows = np.arange(len(x))[:, None]
+        return sorted_[0][rows, i[order]] * axes[1].shape[1] + sorted_[1][rows, j[order]]
+
+
+@lru_cache(maxsize=8)
+def leading_pairs(n: int, m: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(i, j)`` in two descending lists, in order, that can be among the ``count`` largest sums.
+
+    ``(i, j)`` comes after all of ``(i', j')`` with ``i' <= i`` and ``j' <= j``: there must be at most ``count`` of them.  With
+    ties in the order of the places, a smaller ``count`` gives a prefix of the same ranking.
+    """
+    places = [(i, j) for i in range(min(n, count)) for j in range(min(m, count // (i + 1)))]
+    i, j = np.array(places).T
+    return i, j
 
 
 def matrices(column: pa.Array):
@@ -297,12 +318,15 @@ def neighbours(
     # Only the k + 1 smallest ids of a vector can be in a result; each task drops the others early.
     place = F.dense_rank().over(W.partitionBy("digest").orderBy("id"))
     heads = rows.select("digest", "id", "v").withColumn("_n", place).where(F.col("_n") <= k + 1)
-    heads = heads.groupBy("digest").agg(F.min("id").alias("c"), F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v"))
+    heads = heads.groupBy("digest").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v"))
     path = scratch_path(spark, "vectors")
-    # The same id can stand for several vectors, so classes are numbered by their digest.
     heads.join(asked, "digest").select(
-        F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("c"), "digest", "ids", "v", "is_query"
+        F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("h"), "digest", "ids", "v", "is_query"
     ).write.parquet(path)
+    # The same id can stand for several vectors, so classes are numbered, in the order of their whole digest.
+    numbered = hashed_index(spark.read.parquet(path), "h", 60, [F.col("h"), F.col("digest")], "c")
+    path = scratch_path(spark, "classes")
+    numbered.select("c", "digest", "ids", "v", "is_query").write.parquet(path)
     classes = spark.read.parquet(path)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     whole = classes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.min(norm).alias("shortest")).first()

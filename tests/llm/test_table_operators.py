@@ -70,6 +70,33 @@ def test_recall_of_few_probes(spark):
     assert found(spark, []) == set() and found(spark, [(0, [1.0, 2.0])]) == set()
 
 
+def test_fewer_probes_are_a_prefix_of_more():
+    rng = np.random.default_rng(9)
+    for width, rows in ((64, 8_000_000), (16, 200_000), (64, 1000), (3, 10**6)):
+        hasher = ann.Hasher(rows, 1.0, 1.0)
+        x = hasher.prepared(rng.normal(size=(60, width)), True)
+        x[:5] = np.round(x[:5])  # ties
+        for table in (0, 3):
+            every = hasher.probes(x, table, ann.MAX_PROBES)
+            for n in (1, 2, 7, 20, 60, 120, 500):
+                assert (hasher.probes(x, table, n) == every[:, :n]).all()
+            for row, probes in zip(x, every, strict=True):
+                axes = [a[0] for a in hasher._axes(row[None], table)]
+                score = axes[0][:, None] + axes[1] if len(axes) == 2 else axes[0][:, None]
+                got = score.ravel()[probes]
+                assert len(set(probes)) == len(probes) and np.allclose(got, np.sort(score.ravel())[::-1][: len(probes)])
+
+
+def test_recall_on_refined_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET", 8)
+    rng = np.random.default_rng(10)
+    vectors = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    assert ann.Hasher(3000, 1.0, 1.0).second(16) > 0
+    got, want = found(spark, vectors), exact(vectors)
+    share = len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in want}) / len(want)
+    assert 0.9 <= share and {r[0] for r in got} == {r[0] for r in want}
+
+
 def test_too_few_probes_end_in_an_exact_search(spark, monkeypatch):
     monkeypatch.setattr(ann, "MAX_PROBES", 2)
     monkeypatch.setattr(ann, "PART", 64)
