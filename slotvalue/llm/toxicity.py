@@ -7,7 +7,10 @@ fitted with an L1 penalty on a bounded sample of them (``SAMPLE`` rows in the or
 In the sampled sentences each identity term is swapped for the other terms of its group and for a
 neutral word, and the squared change of the sentence's score is added to the loss.  A term that
 merely keeps bad company thus cannot carry a weight of its own, and neutral mentions of a group do not
-raise a score.
+raise a score.  A corpus may mention few groups or none, so every sampled document also counts, with a small
+weight and its own label, as a copy with one term inserted into a sentence; that sentence is swapped like any other, so
+every term of ``IDENTITY`` is held to neutrality whether the corpus knows it or not.  Terms are always
+screened and pay no L1 penalty: the swaps alone hold them.
 
 Nulls and repeated rows: a null or wordless text gets the score of the intercept; a null id is
 unlabelled and not held out; documents without a label or with other labels than 0 and 1 teach nothing;
@@ -35,13 +38,27 @@ SENT_LABELS = 2_000_000
 # Least distance from independence, in standard deviations, and documents of a screened word.
 LEAST_Z, LEAST_DOCS = 5.0, 5
 L1, COUNTERFACTUAL = 5e-5, 0.5
-# Identity terms by group, with the neutral word that stands for no group.
+# Weight of a copy with an inserted term.
+INSERTED = 0.25
+# Identity terms by group, each with a neutral word that stands for no group, in the languages of the corpus.
 IDENTITY = (
     ("person", ("woman", "man", "girl", "boy", "transgender", "nonbinary")),
-    ("people", ("women", "men", "girls", "boys", "gays", "lesbians", "immigrants", "refugees")),
+    ("people", ("women", "men", "girls", "boys", "gays", "lesbians", "immigrants", "refugees", "foreigners")),
     ("believers", ("muslims", "christians", "jews", "hindus", "buddhists", "atheists")),
     ("religious", ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist")),
     ("human", ("black", "white", "asian", "african", "latino", "arab", "gay", "straight", "disabled", "deaf", "blind")),
+    ("mensch", ("frau", "mann", "mädchen", "junge", "ausländer", "ausländerin", "flüchtling")),
+    ("menschen", ("frauen", "männer", "schwule", "lesben", "einwanderer", "geflüchtete", "migranten", "behinderte")),
+    ("gläubige", ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten")),
+    ("menschlich", ("muslimisch", "christlich", "jüdisch", "schwarz", "weiß", "asiatisch", "afrikanisch", "arabisch", "schwul", "lesbisch", "behindert")),
+    ("personne", ("femme", "homme", "fille", "garçon", "étranger", "étrangère", "réfugié", "réfugiée")),
+    ("personnes", ("femmes", "hommes", "gays", "lesbiennes", "immigrés", "migrants", "étrangers", "réfugiés", "handicapés")),
+    ("croyants", ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées")),
+    ("humain", ("musulman", "chrétien", "juif", "noir", "blanc", "asiatique", "africain", "arabe", "homosexuel", "handicapé")),
+    ("persona", ("mujer", "hombre", "chica", "chico", "extranjero", "extranjera", "refugiado", "refugiada")),
+    ("personas", ("mujeres", "hombres", "gais", "lesbianas", "inmigrantes", "migrantes", "extranjeros", "refugiados", "discapacitados")),
+    ("creyentes", ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos")),
+    ("humano", ("musulmán", "cristiano", "judío", "negro", "blanco", "asiático", "africano", "árabe", "homosexual", "discapacitado")),
 )
 
 
@@ -85,12 +102,12 @@ def swaps(identity=IDENTITY) -> list[tuple[int, int]]:
 
 
 def _rows(vocabulary: np.ndarray, identity):
-    """Screened words of each sampled document, and how many of its sentences hold an identity term."""
+    """Each sampled document as its screened words and the identity terms of its sentences, and again with a term inserted."""
     terms = bucket_of([t for _, group in identity for t in group])
 
     def run(batches, schema):
         for batch in batches:
-            text, label = batch.column(0), batch.column(1)
+            text, label, pick = batch.column(0), batch.column(1), batch.column(2).to_numpy()
             for a, b in tokens.slices(text):
                 bucket, first = distinct_words(text[a:b])
                 place = np.searchsorted(vocabulary, bucket)
@@ -99,13 +116,19 @@ def _rows(vocabulary: np.ndarray, identity):
                 words = [place[known][np.searchsorted(owner, i) : np.searchsorted(owner, i + 1)] for i in range(b - a)]
                 held = np.isin(bucket, terms)
                 some = set(np.repeat(np.arange(b - a), np.diff(first))[held].tolist())
+                added = terms[pick[a:b] % len(terms)] if len(terms) else np.zeros(0, np.int64)
+                copies = [np.union1d(w, np.searchsorted(vocabulary, t)) for w, t in zip(words, added, strict=len(terms) > 0)]
                 yield batch_of(
                     {
-                        "label": label[a:b], "words": words,
+                        "label": label[a:b], "words": words, "weight": np.ones(b - a),
                         "mentions": [_mentions(text[a + i].as_py(), terms) if i in some else [] for i in range(b - a)],
                     },
                     schema,
                 )
+                yield batch_of(
+                    {"label": label[a : a + len(copies)], "words": copies, "weight": np.full(len(copies), INSERTED), "mentions": [[int(t)] for t in added]},
+                    schema,
+                )
 
     return run
 
@@ -133,32 +156,39 @@ class Model:
 
 
 def fit(
-    words: np.ndarray, size: np.ndarray, labels: np.ndarray, width: int, pairs: np.ndarray, times: np.ndarray, steps: int = 400
+    words: np.ndarray, size: np.ndarray, labels: np.ndarray, width: int, pairs: np.ndarray, times: np.ndarray,
+    row_weight: np.ndarray | None = None, free: Sequence[int] = (), steps: int = 400,
 ) -> tuple[float, np.ndarray]:
     """Proximal gradient descent with momentum and a step for each word.
 
-    ``words`` are the words of all rows, ``size`` of them in each.  ``pairs`` are swapped word positions (``width`` stands for a word without weight), ``times`` how
-    often each swap occurs in the sample.
+    ``words`` are the words of all rows, ``size`` of them in each, ``row_weight`` what each row counts.  ``pairs`` are swapped
+    word positions (``width`` stands for a word without weight), ``times`` how often each swap occurs in the
+    sample.  ``free`` words pay no L1 penalty.  Minimises the mean logistic loss, plus ``L1`` times the absolute weights,
+    plus ``COUNTERFACTUAL`` times the summed squared change of all swaps over the rows.
     """
     owner = np.repeat(np.arange(len(size)), size)
-    n, share = len(size), labels.mean()
+    counts = np.ones(len(size)) if row_weight is None else row_weight
+    n = counts.sum()
+    share = (labels * counts).sum() / n
+    price = np.full(width + 1, L1)
+    price[list(free)] = 0
     a, b = pairs.T if len(pairs) else np.zeros((2, 0), np.int64)
     pull = 2 * COUNTERFACTUAL * times / n
     # A diagonal bound of the curvature: rare words may take long steps.
-    curve = 0.25 / n * np.bincount(words, (size + 1.0)[owner], width + 1)
+    curve = 0.25 / n * np.bincount(words, (counts * (size + 1.0))[owner], width + 1)
     curve += 2 * (np.bincount(a, pull, width + 1) + np.bincount(b, pull, width + 1))
-    rate, rate_b = 1.0 / np.maximum(curve, 1e-12), 4.0 * n / (size + 1.0).sum()
+    rate, rate_b = 1.0 / np.maximum(curve, 1e-12), 4.0 * n / (counts * (size + 1.0)).sum()
     w = np.zeros(width + 1)
     intercept = float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5)))
     ahead, ahead_b, t = w, intercept, 1.0
     for _ in range(steps):
-        z = ahead_b + np.bincount(owner, ahead[words], n)
-        error = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - labels) / n
+        z = ahead_b + np.bincount(owner, ahead[words], len(size))
+        error = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - labels) * counts / n
         grad = np.bincount(words, error[owner], width + 1)
         change = pull * (ahead[a] - ahead[b])
         grad += np.bincount(a, change, width + 1) - np.bincount(b, change, width + 1)
         new = ahead - rate * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * L1, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * price, 0)
         new[width] = 0
         new_b = ahead_b - rate_b * error.sum()
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -198,15 +228,20 @@ def train(
     vocabulary = np.array(sorted(r.bucket for r in screened.select("bucket").collect()), np.int64)
     if not len(vocabulary):
         return Model(float(np.log(n[1] / n[0])), vocabulary, np.zeros(0))
+    named = bucket_of([w for neutral, group in identity for w in (neutral, *group)]) if identity else np.zeros(0, np.int64)
+    vocabulary = np.union1d(vocabulary, named)
     # The sample has a fixed size, so its ids are sent to every task.
-    rows = map_batches(labelled(chosen, True), _rows(vocabulary, identity), "label int, words array<int>, mentions array<int>").toArrow().combine_chunks()
+    picked = labelled(chosen, True).withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    found = map_batches(picked, _rows(vocabulary, identity), "label int, words array<int>, weight double, mentions array<int>")
+    rows = found.toArrow().combine_chunks()
     mentions = np.bincount(_flat(rows["mentions"])[0], minlength=BUCKETS)
     place = {int(v): i for i, v in enumerate(vocabulary)}
     used = [(a, b) for a, b in swaps(identity) if mentions[a]]
     pairs = np.array([(place.get(a, len(vocabulary)), place.get(b, len(vocabulary))) for a, b in used], np.int64).reshape(-1, 2)
     times = np.array([mentions[a] for a, _ in used], float)
     words, size = _flat(rows["words"])
-    intercept, weights = fit(words, size, rows["label"].to_numpy().astype(float), len(vocabulary), pairs, times)
+    free = np.searchsorted(vocabulary, named)
+    intercept, weights = fit(words, size, rows["label"].to_numpy().astype(float), len(vocabulary), pairs, times, rows["weight"].to_numpy(), free)
     return Model(intercept, vocabulary, weights)
 
 

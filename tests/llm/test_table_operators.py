@@ -324,6 +324,71 @@ def test_counterfactuals_protect_neutral_mentions(spark, monkeypatch):
     assert fair.scores(insult)[0] > 0.5
 
 
+def loss(intercept, w, rows, pairs, times, counts, free):
+    """The objective of ``fit`` in plain Python."""
+    total = sum(counts)
+    out = 0.0
+    for (words, label), c in zip(rows, counts, strict=True):
+        z = intercept + sum(w[x] for x in words)
+        out += c / total * (math.log1p(math.exp(-abs(z))) + max(z, 0) - label * z)
+    out += sum(toxicity.L1 * abs(v) for i, v in enumerate(w) if i not in free)
+    weight = lambda i: w[i] if i < len(w) else 0.0
+    return out + sum(toxicity.COUNTERFACTUAL * t / total * (weight(a) - weight(b)) ** 2 for (a, b), t in zip(pairs, times, strict=True))
+
+
+def test_fit_equals_an_independent_search():
+    rng = random.Random(5)
+    width = 7
+    rows = [(sorted(rng.sample(range(width), rng.randrange(1, 5))), int(rng.random() < 0.4)) for _ in range(60)]
+    rows = [(words, int(label or (0 in words and rng.random() < 0.7))) for words, label in rows]
+    counts = [rng.choice([1.0, 0.25]) for _ in rows]
+    pairs, times, free = [(2, 3), (3, 2), (4, width)], [20.0, 15.0, 9.0], {2, 3}
+    intercept, w = toxicity.fit(
+        np.array([x for words, _ in rows for x in words]), np.array([len(words) for words, _ in rows]), np.array([float(y) for _, y in rows]), width,
+        np.array(pairs), np.array(times), np.array(counts), sorted(free), steps=4000,
+    )
+    # Coordinate search with shrinking steps, from zero.
+    point, step = [0.0] * (width + 1), 1.0
+    value = lambda p: loss(p[0], p[1:], rows, pairs, times, counts, free)
+    best = value(point)
+    while step > 1e-7:
+        moved = False
+        for i in range(width + 1):
+            for d in (step, -step):
+                other = [v + d * (i == j) for j, v in enumerate(point)]
+                if value(other) < best - 1e-15:
+                    point, best, moved = other, value(other), True
+        step = step if moved else step / 2
+    assert abs(value([intercept, *w]) - best) < 1e-7
+    assert np.allclose([intercept, *w], point, atol=2e-2)
+
+
+def test_scores_equal_plain_sums():
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(30)]
+    weights = {n: rng.uniform(-2, 2) for n in names}
+    model = toxicity.Model(-0.5, toxicity.bucket_of(names), np.array([weights[n] for n in names]))
+    texts = [" ".join(rng.choice([*names, "other", "W3!"]) for _ in range(rng.randrange(40))) for _ in range(200)] + ["", None, "w1 " * 300_000]
+    want = [1 / (1 + math.exp(0.5 - sum(weights.get(w, 0.0) for w in {x.strip("!").lower() for x in (t or "").split()}))) for t in texts]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), want)
+
+
+def test_the_counterfactual_part_acts_on_the_given_tables(spark, monkeypatch):
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    docs, labels = read("documents"), read("labels")
+    seen = []
+    inner = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: seen.append((a[4], a[5])) or inner(*a, **k))
+    terms = toxicity.bucket_of([t for _, group in toxicity.IDENTITY for t in group])
+    fair = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain = toxicity.train(docs, labels)
+    pairs, times = seen[0]
+    assert len(pairs) > 500 and times.min() >= 1
+    # Without swaps the inserted terms pick up weights by chance; with them hardly any.
+    assert np.abs(plain.table[terms]).sum() > 0.05 and np.abs(fair.table[terms]).sum() < 0.3 * np.abs(plain.table[terms]).sum()
+
+
 def test_scores_of_odd_documents(spark):
     docs, labels = labelled(spark, random.Random(13))
     model = toxicity.train(docs, labels)
