@@ -7,8 +7,9 @@
   label; labels are cut into cells of bounded size.  Bucket mates of two cells meet in the tile of
   the two cells, once, however many bands they share; a tile holds only members that have a mate
   on the other side.
-* A task holds one tile at a time, tokenises its texts again and counts common shingles for all its
-  pairs at once.  Pairs never become rows: a tile returns, for each member, the number of
+* A task holds one tile at a time and counts common shingles for all its pairs at once.  Tiles inside one large
+  label get each member as its difference to the label's own set, a few shingles for near copies; the texts of a
+  large group thus do not travel once per tile.  Tiles of members of several labels tokenise their texts again.  Pairs never become rows: a tile returns, for each member, the number of
   linked documents and the smallest member it is connected to inside the tile.  Tiles are disjoint
   in pairs, so the numbers add up, and the connections give the classes by connected components.
 
@@ -37,8 +38,9 @@ from slotvalue.runtime import checkpoint, scratch_path
 THRESHOLD = 0.8
 TARGET_RECALL = 0.99999
 ROWS = 6
-# Members and distinct shingles of a cell; a tile is made of two.
+# Members and distinct shingles of a cell; a tile is made of two.  A large label has cells of its own.
 CELL_MEMBERS = 256
+LARGE_MEMBERS = 1024
 CELL_SHINGLES = 500_000
 # Large labels that are sent to every task instead of being shuffled, at most.
 SENT_LABELS = 50_000
@@ -121,15 +123,24 @@ def _common(hashes: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
     return pairs.reshape(members, members)
 
 
-def verify_tile(side: np.ndarray, sets: np.ndarray, first: np.ndarray, copies: np.ndarray, threshold: float):
+def verify_tile(
+    side: np.ndarray, sets: np.ndarray, first: np.ndarray, copies: np.ndarray, threshold: float,
+    size: np.ndarray | None = None, removed: np.ndarray | None = None,
+):
     """Linked documents and smallest connected member for each member of a tile.
 
     ``side`` is 0 or 1; within a tile of two cells only pairs across count.  Members are in the
-    order of their ids.
+    order of their ids.  With ``size`` and ``removed``, ``sets`` holds what each member lacks of a common base set,
+    ``removed`` shingles, and what it has beyond it: two members share the base less what either lacks, plus
+    what both have beyond; as lacking and further shingles never meet, one count of common marks gives both.
     """
     m = len(side)
-    size = np.diff(first)
-    common = _common(sets, np.repeat(np.arange(m), size), m)
+    common = _common(sets, np.repeat(np.arange(m), np.diff(first)), m)
+    if size is None:
+        size = np.diff(first)
+    else:
+        base = size - (np.diff(first) - removed) + removed
+        common = common + base[:, None] - removed[:, None] - removed[None, :]
     linked = common >= np.ceil(threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-9)
     linked &= (size[:, None] > 0) & (size[None, :] > 0)
     if side.any():
@@ -147,35 +158,48 @@ def verify_tile(side: np.ndarray, sets: np.ndarray, first: np.ndarray, copies: n
     return linked @ copies, root
 
 
-def _tiles(threshold: float, width: int):
-    """Verifies tile after tile; rows arrive sorted by tile."""
+def _tiles(load, threshold: float):
+    """Verifies tile after tile; rows arrive sorted by tile.  ``load`` gives the sets of its rows."""
 
     def run(batches, schema):
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (row["t1"], row["t2"]) != (held[0]["t1"], held[0]["t2"]):
-                    yield _verified(held, threshold, width, schema)
+                    yield _verified(held, load, threshold, schema)
                     held = []
                 held.append(row)
         if held:
-            yield _verified(held, threshold, width, schema)
+            yield _verified(held, load, threshold, schema)
 
     return run
 
 
-def _verified(rows, threshold, width, schema):
+def _from_texts(width: int):
+    def load(rows: list[dict]):
+        found, sizes = [], []
+        text = pa.array([r["text"] for r in rows], pa.string())
+        for a, b in tokens.slices(text):
+            own, first = tokens.distinct_sets(tokens.shingles(tokens.words(text[a:b]), width))
+            found.append(own)
+            sizes.append(np.diff(first))
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), None, None
+
+    return load
+
+
+def _from_differences(rows: list[dict]):
+    first = np.concatenate([[0], np.cumsum([len(r["marks"]) for r in rows])])
+    marks = np.concatenate([np.asarray(r["marks"], np.int64) for r in rows]).view(np.uint64)
+    return marks, first, np.array([r["n"] for r in rows]), np.array([r["removed"] for r in rows])
+
+
+def _verified(rows, load, threshold, schema):
     rows = sorted({(r["doc"], r["tag"]): r for r in rows}.values(), key=lambda r: (r["doc"], r["tag"]))
-    found, sizes = [], []
-    text = pa.array([r["text"] for r in rows], pa.string())
-    for a, b in tokens.slices(text):
-        own, first = tokens.distinct_sets(tokens.shingles(tokens.words(text[a:b]), width))
-        found.append(own)
-        sizes.append(np.diff(first))
-    sets, first = np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    sets, first, size, removed = load(rows)
     t1, t2 = rows[0]["t1"], rows[0]["t2"]
     side = np.array([0 if t1 == t2 or r["cell"] == t1 else 1 for r in rows])
-    links, root = verify_tile(side, sets, first, np.array([r["copies"] for r in rows], np.int64), threshold)
+    links, root = verify_tile(side, sets, first, np.array([r["copies"] for r in rows], np.int64), threshold, size, removed)
     some = np.flatnonzero(links)
     return batch_of(
         {
@@ -186,34 +210,68 @@ def _verified(rows, threshold, width, schema):
     )
 
 
-def _placed(members: DataFrame) -> DataFrame:
-    """``(t1, t2, cell, doc, tag)``: each member once for every tile in which it has a bucket mate."""
+def _whole_sets(width: int):
+    def run(batches, schema):
+        for batch in batches:
+            for a, b in tokens.slices(batch.column(2)):
+                sets, first = tokens.distinct_sets(tokens.shingles(tokens.words(batch.column(2)[a:b]), width))
+                lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(sets.view(np.int64)))
+                yield batch_of({"doc": batch.column(0)[a:b], "tag": batch.column(1)[a:b], "shingles": lists}, schema)
+
+    return run
+
+
+def _differences(large: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``(doc, tag, n, removed, marks)``: the members of large labels as differences to the label's own set."""
+    key = ["doc", "tag"]
+    needed = large.select(*key).unionByName(large.select("base.doc", "base.tag")).distinct()
+    path = scratch_path(large.sparkSession, "sets")
+    sets = map_batches(texts.join(needed, key), _whole_sets(width), "doc bigint, tag bigint, shingles array<bigint>")
+    sets.dropDuplicates(key).write.parquet(path)
+    sets = large.sparkSession.read.parquet(path)
+    bases = sets.select(F.struct(*key).alias("base"), F.col("shingles").alias("base_shingles"))
+    both = large.join(sets, key).join(bases, "base")
+    lacks, beyond = F.array_except("base_shingles", "shingles"), F.array_except("shingles", "base_shingles")
+    return both.select(*key, F.size("shingles").alias("n"), F.size(lacks).alias("removed"), F.concat(lacks, beyond).alias("marks"))
+
+
+def _placed(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(t1, t2, cell, doc, tag, base)``: each member once for every tile in which it has a bucket mate.
+
+    ``base`` is the label of a tile that lies inside one large label.  The second table has the members of large
+    labels, ``(doc, tag, base)``; it is None if there are none.
+    """
     # Of members without any mate nothing is left after the count.
     buckets = members.select("doc", "tag", "n", F.posexplode("bands").alias("band", "key"))
     size = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "tag")).alias("label"))
     mates = checkpoint(buckets.join(size.where("size > 1"), ["band", "key"]).drop("size"))
     labelled = mates.groupBy("doc", "tag").agg(F.min("label").alias("label"), F.max("n").alias("n"))
     total = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    parts = F.greatest(F.ceil(F.col("m") / CELL_MEMBERS), F.ceil(F.col("s") / CELL_SHINGLES))
+    fits = (F.col("m") <= CELL_MEMBERS) & (F.col("s") <= CELL_SHINGLES)
+    # A label that does not fit is large, though one cell of its own may do.
+    parts = F.when(fits, 0).otherwise(F.greatest(F.ceil(F.col("m") / LARGE_MEMBERS), F.ceil(F.col("s") / CELL_SHINGLES)))
     # A label that fits one cell shares it with others; a large one has cells of its own.
-    whole = total.where(parts == 1).agg(F.sum("m").alias("m"), F.sum("s").alias("s")).first()
+    whole = total.where(parts == 0).agg(F.sum("m").alias("m"), F.sum("s").alias("s")).first()
     bins = max(1, math.ceil((whole.m or 0) * 2 / CELL_MEMBERS), math.ceil((whole.s or 0) * 2 / CELL_SHINGLES))
     name = F.xxhash64("label.doc", "label.tag")
-    cell = F.when(F.col("parts") == 1, F.pmod(name, F.lit(bins))).otherwise(
+    cell = F.when(F.col("parts") == 0, F.pmod(name, F.lit(bins))).otherwise(
         F.xxhash64(name, F.pmod(F.xxhash64("doc", "tag"), F.col("parts")))
     )
-    large = checkpoint(total.select("label", parts.alias("parts")).where("parts > 1"))
-    large = F.broadcast(large) if large.count() <= SENT_LABELS else large
-    cells = labelled.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cells = cells.select("doc", "tag", cell.alias("cell"))
+    large = checkpoint(total.select("label", parts.alias("parts")).where("parts > 0"))
+    n_large = large.count()
+    large = F.broadcast(large) if n_large <= SENT_LABELS else large
+    cells = labelled.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    cells = cells.select("doc", "tag", cell.alias("cell"), F.when(F.col("parts") > 0, F.col("label")).alias("base"))
     mates = mates.select("doc", "tag", "band", "key").join(cells, ["doc", "tag"])
     # A bucket names each of its cells once, so a large one has as many rows as cells, not members.
-    others = mates.groupBy("band", "key").agg(F.collect_set("cell").alias("cells"))
-    tiles = mates.join(others, ["band", "key"]).groupBy("doc", "tag", "cell").agg(F.collect_set("cells").alias("cells"))
+    others = mates.groupBy("band", "key").agg(F.collect_set(F.struct("cell", "base")).alias("cells"))
+    tiles = mates.join(others, ["band", "key"]).groupBy("doc", "tag", "cell", "base").agg(F.collect_set("cells").alias("cells"))
     other = F.explode(F.array_distinct(F.flatten("cells"))).alias("other")
-    return tiles.select("doc", "tag", "cell", other).select(
-        F.least("cell", "other").alias("t1"), F.greatest("cell", "other").alias("t2"), "cell", "doc", "tag"
+    placed = tiles.select("doc", "tag", "cell", "base", other).select(
+        F.least("cell", "other.cell").alias("t1"), F.greatest("cell", "other.cell").alias("t2"), "cell", "doc", "tag",
+        F.when(F.col("base") == F.col("other.base"), F.col("base")).alias("base"),
     )
+    return placed, cells.where(F.col("base").isNotNull()).select("doc", "tag", "base") if n_large else None
 
 
 def similar_documents(
@@ -241,12 +299,23 @@ def similar_documents(
     classes = copies.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("head"), F.count(F.lit(1)).alias("copies"))
     classes = checkpoint(classes.select("d1", "d2", F.col("head.doc").alias("doc"), F.col("head.tag").alias("tag"), "copies"))
     heads = sketches.join(classes, ["doc", "tag", "d1", "d2"]).dropDuplicates(["doc", "tag"])
-    placed = _placed(heads)
-    placed = placed.join(classes.select("doc", "tag", "copies"), ["doc", "tag"])
-    bodies = placed.join(texts, ["doc", "tag"])
-    bodies = bodies.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+    placed, large = _placed(heads)
+    key = ["doc", "tag"]
+    placed = placed.join(classes.select(*key, "copies"), key)
     ddl = "doc bigint, tag bigint, n_links bigint, root_doc bigint, root_tag bigint"
-    verified = checkpoint(map_batches(bodies, _tiles(threshold, width), ddl))
+
+    def verify(bodies: DataFrame, load) -> DataFrame:
+        bodies = bodies.drop("base").repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+        return map_batches(bodies, _tiles(load, threshold), ddl)
+
+    if large is None:
+        verified = verify(placed.join(texts, key), _from_texts(width))
+    else:
+        placed = checkpoint(placed)
+        inside = placed.where(F.col("base").isNotNull()).join(_differences(large, texts, width), key)
+        across = placed.where(F.col("base").isNull()).join(texts, key)
+        verified = verify(inside, _from_differences).unionByName(verify(across, _from_texts(width)))
+    verified = checkpoint(verified)
     edges = verified.select(F.struct("doc", "tag").alias("u"), F.struct(F.col("root_doc").alias("doc"), F.col("root_tag").alias("tag")).alias("v"))
     roots = connected_components(edges.distinct()).select("node.doc", "node.tag", "root")
     links = verified.groupBy("doc", "tag").agg(F.sum("n_links").alias("n_links"))

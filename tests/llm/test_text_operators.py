@@ -143,9 +143,11 @@ def near_documents(groups=12, size=7):
     return docs
 
 
-@pytest.mark.parametrize("cell", [4, 256])
-def test_similar_documents_match_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "large"), [(4, 1024), (4, 2), (256, 1024)])
+def test_similar_documents_match_brute_force(spark, monkeypatch, cell, large):
+    # Groups of 7: as one label with cells of its own, cut into several cells, and together with other labels.
     monkeypatch.setattr(neardup, "CELL_MEMBERS", cell)
+    monkeypatch.setattr(neardup, "LARGE_MEMBERS", large)
     docs = near_documents()
     got = sorted(map(tuple, neardup.document_classes(spark.createDataFrame(docs, DOC).repartition(4)).collect()), key=str)
     assert got == sorted(((i, c, n) for (i, _), (c, n) in brute.classes(docs).items()), key=str)
@@ -173,6 +175,24 @@ def test_a_large_group_makes_no_pairs(spark):
     assert got == {(0, 699)}
 
 
+def test_differences_count_like_whole_sets():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**40, 300).astype(np.uint64))
+    sets, marks, removed = [], [], []
+    for _ in range(40):
+        lacks = rng.choice(base, rng.integers(0, 60), replace=False)
+        beyond = np.setdiff1d(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64), base)
+        own = np.union1d(np.setdiff1d(base, lacks), beyond)
+        sets.append(own)
+        marks.append(np.concatenate([np.setdiff1d(base, own), np.setdiff1d(own, base)]))
+        removed.append(len(np.setdiff1d(base, own)))
+    ends = lambda parts: np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    for side in (np.zeros(40, int), rng.integers(0, 2, 40)):
+        whole = neardup.verify_tile(side, np.concatenate(sets), ends(sets), np.arange(1, 41), 0.8)
+        short = neardup.verify_tile(side, np.concatenate(marks), ends(marks), np.arange(1, 41), 0.8, np.array([len(s) for s in sets]), np.array(removed))
+        assert (whole[0] == short[0]).all() and (whole[1] == short[1]).all() and whole[0].any()
+
+
 def test_bands_reach_the_recall():
     n = neardup.bands_for(0.8)
     assert 1 - (1 - 0.8**neardup.ROWS) ** n >= neardup.TARGET_RECALL > 1 - (1 - 0.8**neardup.ROWS) ** (n - 1)
