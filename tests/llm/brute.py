@@ -63,3 +63,43 @@ def contained(docs, items, threshold=0.8):
             if wanted and len(wanted & own) >= threshold * len(wanted) - 1e-9:
                 found.append((d, i, len(wanted), len(wanted & own)))
     return found
+
+
+def chunks_of(text, gear, reach, window, most):
+    """Start and end of the content-defined chunks of an ASCII text, one position after the other."""
+    data = text.encode()
+    h = [sum(int(gear[data[i - j]]) << j for j in range(min(window, i + 1))) % 2**32 for i in range(len(data))]
+    cuts = {0, len(data)}
+    for i in range(window - 1 + reach, len(data) - reach):
+        if h[i] > max(h[i - reach : i]) and h[i] >= max(h[i + 1 : i + 1 + reach]):
+            cuts.add(i + 1)
+    for a, b in list(zip(sorted(cuts), sorted(cuts)[1:], strict=False)):
+        cuts |= set(range(a + most, b, most))
+    cuts = sorted(cuts)
+    return list(zip(cuts, cuts[1:], strict=False)) if data else []
+
+
+def spans(docs, gear, reach, window, most, min_words):
+    """``(id, start, end, words, first id, is first)`` of the shared spans of (id, ASCII text) pairs."""
+    key = lambda i: (i is not None, i or 0)
+    texts = sorted(set(docs), key=str)
+    holders = {}
+    for i, t in texts:
+        for a, b in chunks_of(t or "", gear, reach, window, most):
+            holders.setdefault(t[a:b], set()).add(key(i))
+    out = []
+    for i, t in texts:
+        run = []
+        for a, b in [*chunks_of(t or "", gear, reach, window, most), (-1, -1)]:
+            if a >= 0 and len(holders[t[a:b]]) > 1:
+                run.append((a, b))
+                continue
+            if run:
+                start, end = run[0][0], run[-1][1]
+                words = sum(t[k] not in SPACE and (k == 0 or t[k - 1] in SPACE) for k in range(start, end))
+                if words >= min_words:
+                    first = min(((-(b - a), min(holders[t[a:b]])) for a, b in run))[1]
+                    earlier = any(min(holders[t[a:b]]) < key(i) for a, b in run)
+                    out.append((i, start, end, words, first[1] if first[0] else None, not earlier))
+            run = []
+    return out

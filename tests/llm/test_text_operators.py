@@ -297,3 +297,19 @@ def test_words_of_each_script():
 
     assert words("one two\tthree ", "four", "", " fünf ", "x" * 32, "x" * 60) == [3, 1, 0, 1, 1, 10]
     assert words("漢字" * 10, "漢字 abc", "привет мир", "ภาษาไทย", "") == [10, 2, 2, 3.5, 0]
+
+
+def test_spans_match_brute_force(spark):
+    rng = random.Random(15)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    passages = [some(n) for n in (30, 45, 80, 120)]
+    docs = []
+    for i in range(40):
+        parts = [some(rng.randrange(40)) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(len(parts)), rng.choice(passages))
+        docs.append((i, rng.choice([" ", "\n"]).join(parts)))
+    docs += [(50, "x " * 450), (51, "x " * 650), (52, None), (53, ""), (None, docs[3][1]), (54, docs[3][1]), docs[4], docs[4], (5, docs[6][1])]
+    got = [tuple(r) for r in chunks.span_report(spark.createDataFrame(docs, DOC).repartition(3)).collect()]
+    want = brute.spans(docs, chunks._GEAR, chunks.REACH, chunks.WINDOW, chunks.MOST, chunks.MIN_WORDS)
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 25
