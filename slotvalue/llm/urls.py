@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.llm.arrow import id_key, packed
+from slotvalue.runtime import checkpoint
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
@@ -102,10 +103,15 @@ def _posterior_mean(mean: Column, strength: float) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """``(host, n_labelled, n_bad, bad_rate, bad_low)`` from ``(host, n, bad)`` rows."""
+    """``(host, n_labelled, n_bad, bad_rate, bad_low)`` from ``(host, n, bad)`` rows.
+
+    ``bad_low`` is the mean of the posterior beta distribution less ``z`` of its standard deviations, a normal
+    approximation of its quantile; for hosts with few labels it can lie below 0.
+    """
     name, domain, suffix = host_levels(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": F.struct(suffix.alias("s"), domain.alias("d")), "suffix": suffix})
+    # Counted once: the strengths below and the result each come from these few numbers, not from the pages.
+    hosts = checkpoint(hosts.withColumns({"domain": F.struct(suffix.alias("s"), domain.alias("d")), "suffix": suffix}))
     sums = F.sum("n").alias("n"), F.sum("bad").alias("bad")
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
