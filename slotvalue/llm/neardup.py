@@ -44,6 +44,8 @@ LARGE_MEMBERS = 1024
 CELL_SHINGLES = 500_000
 # Large labels that are sent to every task instead of being shuffled, at most.
 SENT_LABELS = 50_000
+# Members of large labels (two numbers each) that are sent likewise, at most.
+SENT_MEMBERS = 500_000
 # A shingle that more members of a tile share is counted by matrix products.
 COMMON = 48
 COLUMNS = 4096
@@ -224,7 +226,9 @@ def _whole_sets(width: int):
 def _differences(large: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """``(doc, tag, n, removed, marks)``: the members of large labels as differences to the label's own set."""
     key = ["doc", "tag"]
-    needed = large.select(*key).unionByName(large.select("base.doc", "base.tag")).distinct()
+    needed = checkpoint(large.select(*key).unionByName(large.select("base.doc", "base.tag")).distinct())
+    # Sent to the texts while they are few, so that the texts stay where they are.
+    needed = F.broadcast(needed) if needed.count() <= SENT_MEMBERS else needed
     path = scratch_path(large.sparkSession, "sets")
     sets = map_batches(texts.join(needed, key), _whole_sets(width), "doc bigint, tag bigint, shingles array<bigint>")
     sets.dropDuplicates(key).write.parquet(path)
