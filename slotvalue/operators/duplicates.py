@@ -297,9 +297,7 @@ def compare_methods(vectors: DataFrame, length: int, configs: Sequence[tuple] =
     sizes = members_by_method(vectors, length, configs).groupBy("config", "root").agg(F.count(F.lit(1)).alias("size"))
     found = sizes.groupBy("config").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("ambiguous"), F.max("size").alias("biggest"))
     names = vectors.sparkSession.createDataFrame([(i, label_of(*c)) for i, c in enumerate(configs)], "config int, method string")
-    icons = vectors.agg(F.count(F.lit(1)).alias("icons"))
-    # One row per method and one row of totals.
-    both = names.join(found, "config", "left").join(F.broadcast(icons)).na.fill(0, ["groups", "ambiguous", "biggest"])
+    both = names.join(found, "config", "left").na.fill(0, ["groups", "ambiguous", "biggest"]).withColumn("icons", F.lit(vectors.count()).cast("bigint"))
     share = F.bround(100 * F.col("ambiguous") / F.nullif(F.col("icons"), F.lit(0)), 2)
     return both.select("method", "groups", "ambiguous", share.alias("ambiguous_pct"), "biggest", "icons")
 
