@@ -970,9 +970,11 @@ def catalog_json_scan(spark, sf):
         ).alias("item"),
     )
     arrays = items.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("rows"))
+    content = F.to_json(F.transform("rows", lambda r: r["item"]))
     path = scratch_path(spark, "catalog")
-    arrays.select("part", F.to_json(F.transform("rows", lambda r: r["item"])).alias("value")).write.partitionBy("part").text(path)
-    return readers.flat_catalog(readers.latest_items(readers.read_catalog_arrays(spark, path + "/*/*.txt"), "file", "pos")).select(*CATALOG)
+    files.write_files(arrays.select(F.format_string("items-%09d.json", "part").alias("name"), content.alias("content")), path)
+    found = readers.read_catalog_arrays(spark, path + "/*/*.json").withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    return readers.flat_catalog(readers.latest_items(found, "file", "pos")).select(*CATALOG)
 
 
 @query
