@@ -15,6 +15,8 @@ from slotvalue.runtime import checkpoint
 
 # Letters of the runs that names are indexed by.
 GRAM = 3
+# Queries that are sent to all tasks that read names; of more, both sides are shuffled.
+SENT_QUERIES = 50_000
 # Later layers win.
 AUTO, FLAT, MANUAL = 0, 1, 2
 
@@ -119,7 +121,8 @@ def find_asked(catalog: DataFrame, asked: DataFrame, gram: int = GRAM) -> DataFr
 
     An inverted index: every name under each of its runs of ``gram`` letters.  A query is looked up under the rarest of its
     own runs only, and what is found there is tested as a whole.  Queries of fewer letters use runs of their own
-    length, so they need no scan either; the empty query is in every name.
+    length, so they need no scan either; the empty query is in every name.  The index is never held whole: up to
+    ``SENT_QUERIES`` queries go to the names, of more both sides are shuffled by run.
     """
     typed = asked.select("query", F.lower("query").alias("needle")).where(F.col("query").isNotNull()).distinct()
     typed = checkpoint(typed.withColumn("size", F.least(F.length("needle"), F.lit(gram))))
@@ -133,10 +136,13 @@ def find_asked(catalog: DataFrame, asked: DataFrame, gram: int = GRAM) -> DataFr
     wanted = typed.select("query", "needle", F.explode(pick).alias("gram"))
     every = F.flatten(F.array(*[_grams(F.lower("name"), size) for size in sizes]))
     postings = catalog.where(F.col("name").isNotNull()).select("item_id", "name", "pos", F.explode(every).alias("gram"))
-    counts = postings.select("gram").join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     # A run that no name has is the rarest of all: the query finds nothing.
-    rarest = wanted.join(counts, "gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r"))
-    looked = rarest.where(F.col("r.names") > 0).select("query", "needle", F.col("r.gram").alias("gram"))
+    counted = wanted.join(counts.hint("merge"), "gram", "left")
+    rarest = counted.groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r"))
+    looked = checkpoint(rarest.where(F.col("r.names") > 0).select("query", "needle", F.col("r.gram").alias("gram")))
+    # The planner takes the postings for as small as the names they come from, so the side to send is not left to it.
+    looked = F.broadcast(looked) if looked.count() <= SENT_QUERIES else looked.hint("merge")
     found = postings.join(looked, "gram").where(F.contains(F.lower("name"), F.col("needle")))
     return found.select("item_id", "name", "pos", "query")
 

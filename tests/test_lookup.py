@@ -38,6 +38,22 @@ def test_unique_match_of_a_table_equals_that_of_literals(spark):
     assert by_table.where("query = 'zebra'").first().status == "unique" and by_table.where("query = 'id7'").first().status == "id"
 
 
+@pytest.mark.parametrize("sent", [0, links.SENT_QUERIES])
+def test_the_index_is_never_broadcast(spark, tmp_path, monkeypatch, sent):
+    """A small file of names makes a large index, which the planner takes for small."""
+    monkeypatch.setattr(links, "SENT_QUERIES", sent)
+    rows = catalog(random.Random(4))
+    spark.createDataFrame(rows, NAMED).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    asked = ["", "a", "ring", "bcabc ", "7", "nothing"]
+    table = spark.createDataFrame([(q,) for q in asked], "query string")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    found = links.find_asked(names, table)
+    assert plan(found).count("BroadcastHashJoin") == (sent > 0) and "BuildLeft" not in plan(found)
+    want = {(q, i) for q in asked for i, name, _ in rows if name is not None and q in name.lower()}
+    assert {(r.query, r.item_id) for r in found.collect()} == want
+
+
 def test_no_queries(spark):
     names = spark.createDataFrame(catalog(random.Random(3), 5), NAMED)
     nobody = spark.createDataFrame([], "query string")
