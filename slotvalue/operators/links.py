@@ -156,16 +156,16 @@ def resolve_unique(catalog: DataFrame, queries: Sequence[str] | DataFrame, liste
     """
     if isinstance(queries, DataFrame):
         asked = queries.select("query").where(F.col("query").isNotNull()).distinct()
-        by_name = checkpoint(find_asked(catalog, asked))
+        by_name = find_asked(catalog, asked)
     else:
         asked = catalog.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
         by_name = find_items(catalog, queries)
-    exact = catalog.join(asked, F.col("item_id") == F.col("query")).select("query", F.lit(True).alias("is_id"), "item_id", "name")
+    exact = catalog.join(asked.hint("merge"), F.col("item_id") == F.col("query")).select("query", F.lit(True).alias("is_id"), "item_id", "name")
     hits = by_name.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
     first = top_per_group(by_name, ["query"], [F.col("pos"), F.col("item_id")], listed).select("query", "item_id", "name")
-    # ``asked`` has a row per query, the others at most ``listed`` times that.
-    open_ = asked.join(exact.select("query").distinct(), "query", "left_anti").join(hits, "query", "left")
-    state = open_.join(first, "query", "left").select(
+    # ``asked`` has a row per query, the others at most ``listed`` times that: none of them is small.
+    open_ = asked.join(exact.select("query").distinct().hint("merge"), "query", "left_anti").join(hits.hint("merge"), "query", "left")
+    state = open_.join(first.hint("merge"), "query", "left").select(
         "query",
         F.when(F.col("hits") == 1, "unique").when(F.col("hits") > 1, "ambiguous").otherwise("none").alias("status"),
         F.coalesce("hits", F.lit(0)).alias("hits"),

@@ -52,6 +52,9 @@ def test_the_index_is_never_broadcast(spark, tmp_path, monkeypatch, sent):
     assert plan(found).count("BroadcastHashJoin") == (sent > 0) and "BuildLeft" not in plan(found)
     want = {(q, i) for q in asked for i, name, _ in rows if name is not None and q in name.lower()}
     assert {(r.query, r.item_id) for r in found.collect()} == want
+    unique = links.resolve_unique(names, table, 4)
+    assert plan(unique).count("BroadcastHashJoin") == 2 * (sent > 0) and "BuildLeft" not in plan(unique)
+    assert {r.query: r.status for r in unique.collect()} == {"": "ambiguous", "a": "ambiguous", "ring": "ambiguous", "bcabc ": "ambiguous", "7": "id", "nothing": "none"}
 
 
 def test_no_queries(spark):
