@@ -29,6 +29,8 @@ from slotvalue.sources.readers import path_exists, stale
 
 Table = Callable[[], DataFrame]
 BUCKETS = 1024
+# Up to this many folders, each task writes its rows into all of them; of more, rows of a folder come together first.
+OWN_FOLDERS = 64
 
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,9 +63,16 @@ def version_path(path: str, writer: str, version: int) -> str:
     return f"{path}/writer={writer}/version={version}"
 
 
-def write_version(batch: DataFrame, path: str, version: int, writer: str = "main", by: Sequence[str] = ()) -> None:
+def write_version(
+    batch: DataFrame, path: str, version: int, writer: str = "main", by: Sequence[str] = (), buckets: int = BUCKETS
+) -> None:
+    """Write a batch as one version, in folders ``by`` of ``buckets`` values.
+
+    Bringing the rows of a folder together spares files, but shuffles the whole batch; with few folders a task has
+    enough rows for a file in each.
+    """
     rows = batch.withColumn("commit", F.lit(_now()).cast("bigint"))
-    if by:
+    if by and buckets > OWN_FOLDERS:
         rows = rows.hint("rebalance", *[F.col(c) for c in by])
     rows.write.mode("overwrite").partitionBy(*by).parquet(version_path(path, writer, version))
 
@@ -176,13 +185,13 @@ def store_detections(detections: DataFrame, path: str, buckets: int = BUCKETS, v
     """Keep detections by session bucket, and their sessions by icon and by recognised item.
 
     A batch of corrections or prices then reads the buckets it touches only.  A crowded
-    bucket is split over several tasks and files.
+    bucket lies in several files, as each task writes its own.
     """
     rows = detections.withColumn("session_bucket", _bucket("session_id", buckets))
-    write_version(rows, f"{path}/rows", version, writer, ["session_bucket"])
+    write_version(rows, f"{path}/rows", version, writer, ["session_bucket"], buckets)
     for name, key, column in (ICON_INDEX, TEXT_INDEX):
         shown = detections.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, "session_id").distinct()
-        write_version(shown.withColumn(column, _bucket(key, buckets)), f"{path}/{name}", version, writer, [column])
+        write_version(shown.withColumn(column, _bucket(key, buckets)), f"{path}/{name}", version, writer, [column], buckets)
 
 
 def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -247,7 +256,7 @@ def sessions(spark: SparkSession, records: str, session_ids: Sequence[str], buck
 
 
 def write_records(records: DataFrame, out: str, version: int, writer: str, buckets: int = BUCKETS) -> None:
-    write_version(records.withColumn("session_bucket", _bucket("session_id", buckets)), out, version, writer, ["session_bucket"])
+    write_version(records.withColumn("session_bucket", _bucket("session_id", buckets)), out, version, writer, ["session_bucket"], buckets)
 
 
 def current_records(spark: SparkSession, out: str) -> DataFrame:

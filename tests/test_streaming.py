@@ -240,3 +240,14 @@ def test_a_repeated_fold_changes_nothing(spark, tmp_path):
     before = links_of(jobs.current_links(spark, out))
     jobs.fold_links(spark, out, jobs.links_in_state(spark, state), 1)
     assert links_of(jobs.current_links(spark, out)) == before and sorted(jobs._versions(spark, out, "fold")) == [1]
+
+
+def test_few_folders_are_written_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(600).select(F.format_string("s%d", F.col("id") % 50).alias("session_id"), F.col("id").alias("det_idx")).repartition(3)
+    for buckets, files in ((4, 3), (jobs.BUCKETS, 1)):
+        out = str(tmp_path / str(buckets))
+        jobs.write_records(rows, out, 0, "main", buckets)
+        found = jobs.current_records(spark, out)
+        assert sorted(r.det_idx for r in found.collect()) == list(range(600))
+        folders = [os.path.join(jobs.version_path(out, "main", 0), d) for d in os.listdir(jobs.version_path(out, "main", 0)) if d.startswith("session")]
+        assert {len([f for f in os.listdir(d) if f.endswith(".parquet")]) for d in folders} == {files}
