@@ -1104,8 +1104,9 @@ def stream_reprojection(spark, sf):
     """Records without corrections, then a stream of corrections that redoes only the sessions it touches."""
     layered = _layered(spark, sf)
     store, links_out, out, state = (scratch_path(spark, label) for label in ("store", "links", "records", "state"))
-    jobs.store_detections(t.detections(spark, sf).drop("quantity"), store, BUCKETS)
-    first = resolve.resolve(jobs.stored_detections(spark, store), layered(_no_corrections(spark)), t.catalog(spark, sf))
+    scanned = t.detections(spark, sf).drop("quantity")
+    jobs.store_detections(scanned, store, BUCKETS)
+    first = resolve.resolve(scanned, layered(_no_corrections(spark)), t.catalog(spark, sf))
     jobs.write_records(first, out, 0, "first", BUCKETS)
     jobs.maintain_records(
         jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: t.catalog(spark, sf), links_out, out, state, buckets=BUCKETS
@@ -1145,8 +1146,9 @@ def stream_price_refresh(spark, sf):
     old = F.when(F.col("pos") % 3 == 0, F.col("avg24h") + 7).otherwise(F.col("avg24h")).cast(catalog.schema["avg24h"].dataType)
     before = catalog.withColumn("avg24h", old)
     store, out = scratch_path(spark, "store"), scratch_path(spark, "records")
-    jobs.store_detections(t.detections(spark, sf).drop("quantity"), store, BUCKETS)
-    jobs.write_records(resolve.resolve(jobs.stored_detections(spark, store), shown, before), out, 0, "first", BUCKETS)
+    scanned = t.detections(spark, sf).drop("quantity")
+    jobs.store_detections(scanned, store, BUCKETS)
+    jobs.write_records(resolve.resolve(scanned, shown, before), out, 0, "first", BUCKETS)
     age = readers.snapshot_age(spark, scratch_path(spark, "missing"), "2024-01-15 00:00:00")
     jobs.refresh_prices(
         spark, age, before, lambda: catalog, lambda rows: writers.write_snapshot(rows, "catalog"), spark.read.parquet,
