@@ -14,7 +14,8 @@ from the fit and calibrates, for each kind, the lowest score whose precision the
 
 Candidates over the threshold that touch no base span are added; of overlapping ones the higher score wins.
 
-Everything about a document is computed within its row, so nothing but counts is shuffled.  A text is cut at its
+Everything about a document is computed within its row, so nothing but counts is shuffled; only the labels of documents
+with more than ``ROW_CANDIDATES`` candidates come from a join.  A text is cut at its
 matches once per pattern; patterns start only where a stretch of their characters starts, so that they take time
 linear in the text.
 
@@ -65,8 +66,9 @@ CUES = (
 TOP = 40
 FEATURES = 18
 CONTEXT = 40
-# Documents with more candidates are scored, but not used to fit.
-FIT_CANDIDATES = 256
+# Documents with more candidates get their labels for the fit by a join, in cells of so many code points.
+ROW_CANDIDATES = 256
+_CELL = 64
 TREES, DEPTH, RATE, RIDGE = 10, 3, 0.5, 1.0
 PRECISION = 0.9
 _MARK, _OTHER = "\x01", "\x02"
@@ -221,15 +223,41 @@ class Model:
         return F.get(F.array(*[F.lit(float(x)) for x in self.least]), kind)
 
 
-def examples(found: DataFrame, doc_id: str) -> DataFrame:
-    """``(kind, held, x, y, n)``: how often each combination of features was positive (``y`` 1) or negative."""
+def _labelled(found: DataFrame) -> DataFrame:
+    """``(held, c, y)``: wide candidates, ``y`` 1 if they equal a base span, 0 if they touch no base match; within the row."""
     touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     equal = lambda a, b: (a["kind"] == b["kind"]) & (a["start"] == b["start"]) & (a["end"] == b["end"]) & b["ok"]
     label = lambda c: F.when(F.exists("tried", lambda b: equal(c, b)), 1).when(F.exists("tried", lambda b: touch(c, b)), None).otherwise(0)
-    usable = found.where((F.size("wide") > 0) & (F.size("wide") + F.size("tried") <= FIT_CANDIDATES))
+    return found.select("held", F.explode(F.transform("wide", lambda c: F.struct(c.alias("c"), label(c).alias("y")))).alias("e")).select("held", "e.*")
+
+
+def _labelled_by_join(found: DataFrame) -> DataFrame:
+    """The same labels for rows of many candidates: spans meet in the ``_CELL`` code points that both lie in."""
+    cells = lambda c: F.explode(F.sequence(F.floor(c["start"] / _CELL), F.floor((c["end"] - 1) / _CELL)))
+    numbered = found.select("held", F.monotonically_increasing_id().alias("doc"), "wide", "tried")
+    path = scratch_path(found.sparkSession, "pii-long")
+    numbered.write.parquet(path)
+    numbered = found.sparkSession.read.schema(numbered.schema).parquet(path)
+    wide = numbered.select("doc", "held", F.posexplode("wide").alias("place", "c"))
+    tried = numbered.select("doc", F.explode("tried").alias("b")).select("doc", cells(F.col("b")).alias("cell"), "b")
+    met = wide.select("doc", "place", "c.kind", "c.start", "c.end", cells(F.col("c")).alias("cell")).join(tried.hint("merge"), ["doc", "cell"])
+    met = met.where((F.col("start") < F.col("b.end")) & (F.col("b.start") < F.col("end")))
+    same = F.coalesce("b.ok", F.lit(False)) & (F.col("kind") == F.col("b.kind")) & (F.col("start") == F.col("b.start")) & (F.col("end") == F.col("b.end"))
+    hits = met.groupBy("doc", "place").agg(F.max(same).alias("same"))
+    y = F.when(F.col("same").isNull(), 0).when(F.col("same"), 1)
+    return wide.join(hits.hint("merge"), ["doc", "place"], "left").select("held", "c", y.alias("y"))
+
+
+def examples(found: DataFrame, doc_id: str) -> DataFrame:
+    """``(kind, held, x, y, n)``: how often each combination of features was positive (``y`` 1) or negative.
+
+    Labels within the row take candidates times base matches; rows with more than ``ROW_CANDIDATES`` get them by a join.
+    """
     held = (F.crc32(F.coalesce(F.col(f"row.{doc_id}").cast("string"), F.lit(""))) % 5 == 0).alias("held")
-    rows = usable.select(held, F.explode(F.transform("wide", lambda c: F.struct(c.alias("c"), label(c).alias("y")))).alias("e"))
-    rows = rows.select("held", "e.c.*", F.col("e.y").alias("y")).where(F.col("y").isNotNull())
+    usable = found.where(F.size("wide") > 0).select(held, "tried", "wide")
+    few = F.size("wide") + F.size("tried") <= ROW_CANDIDATES
+    rows = _labelled(usable.where(few)).unionByName(_labelled_by_join(usable.where(~few)))
+    rows = rows.select("held", "c.*", "y").where(F.col("y").isNotNull())
     made = lambda t, y: F.struct(t.alias("text"), F.lit(y).alias("y"))
     reworded = F.transform(_reworded(F.col("kind"), F.col("text")), lambda t: made(t, 1))
     spoilt = F.transform(_spoilt(F.col("kind"), F.col("text")), lambda t: made(t, 0))

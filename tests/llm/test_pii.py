@@ -198,3 +198,19 @@ def test_long_texts_take_linear_time(spark, unit, n_ip):
 def test_no_python_on_the_executors(spark):
     plan = pii.span_digests(spark.createDataFrame(corpus(random.Random(1), 20), DOC))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_documents_of_many_candidates_teach_like_others(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = corpus(rng, 24)
+    whole = spark.createDataFrame([(1, " . ".join(text for _, text in docs * 12)), *docs[:6], (None, docs[7][1]), (2, None)], DOC)
+    found = pii.candidates(whole).localCheckpoint()
+    assert found.where(F.size("wide") + F.size("tried") > 256).count() == 1
+
+    def cells(limit):
+        monkeypatch.setattr(pii, "ROW_CANDIDATES", limit)
+        return sorted((r.kind, r.held, tuple(r.x), r.y, r.n) for r in pii.examples(found, "doc_id").collect())
+
+    within = cells(1 << 30)
+    assert cells(256) == within and cells(0) == within
+    assert sum(n for *_, n in within) > 500
