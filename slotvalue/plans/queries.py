@@ -1091,11 +1091,13 @@ def stream_valued_records(spark, sf):
 def stream_split_sessions(spark, sf):
     """Sessions whose detections arrive in several batches."""
     scans, out, state = (scratch_path(spark, label) for label in ("detections", "records", "state"))
-    t.detections(spark, sf).drop("quantity").repartition(4, "det_idx").write.parquet(scans)
-    arriving = jobs.stream_detections(spark, scans, files_per_batch=1)
-    jobs.value_detections(
-        arriving, lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
-    ).awaitTermination()
+    rows = t.detections(spark, sf).drop("quantity")
+    # Each part is as many files as its tasks write; every run of the stream takes the new files as one batch.
+    for part in range(4):
+        rows.where(F.pmod("det_idx", F.lit(4)) == part).write.mode("append").parquet(scans)
+        jobs.value_detections(
+            jobs.stream_detections(spark, scans), lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
+        ).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))
 
 
