@@ -12,7 +12,7 @@ from slotvalue.functions.geometry import in_top_strip
 from slotvalue.functions.rounding import round_share
 from slotvalue.functions.similarity import ratios
 from slotvalue.functions.text import normalise
-from slotvalue.operators.skew import spread_missing, top_per_group
+from slotvalue.operators.skew import present_key, spread_missing, top_per_group
 from slotvalue.runtime import checkpoint
 
 # Fixed value: lowest similarity that counts as a match.
@@ -225,7 +225,7 @@ def identify_boxes(words: DataFrame, catalog: DataFrame, keys: list[str], cutoff
     # Boxes without text share the empty key; they are spread over the joins.
     def side(name):
         return matched.select(
-            F.col("text").alias(f"{name}_key"), F.lit(0).cast("bigint").alias(f"{name}_salt"),
+            F.col("text").alias(f"{name}_key"), present_key(F.col("text")).alias(f"{name}_salt"),
             F.col("item_id").alias(f"{name}_item"), F.col("score").alias(f"{name}_score"),
         )
 

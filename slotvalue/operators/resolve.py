@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotvalue.functions.pricing import cells, effective_value, value_per_slot
 from slotvalue.operators.links import with_certainty
-from slotvalue.operators.skew import spread_missing
+from slotvalue.operators.skew import present_key, spread_missing
 
 
 def item_entries(catalog: DataFrame, basis: str = "avg24h") -> DataFrame:
@@ -25,17 +25,18 @@ def item_entries(catalog: DataFrame, basis: str = "avg24h") -> DataFrame:
     )
 
 
-ENTRY = ["name", "short", "width", "height"]
+ENTRY = ["name", "short", "width", "height", "value"]
 
 
-def _entry(*more: str) -> Column:
-    return F.struct(F.col("item_id").alias("id"), *ENTRY, *more)
+def _entry(prefix: str) -> list[Column]:
+    """Item columns of one side, flat, so that those that a result does not need are left out before the shuffles."""
+    return [F.col("item_id").alias(f"{prefix}id"), *[F.col(f).alias(prefix + f) for f in ENTRY]]
 
 
 def visual_candidates(links: DataFrame, items: DataFrame) -> DataFrame:
     """Icon to item by the link map; links to unknown items are dropped."""
     joined = with_certainty(links).join(items, "item_id")
-    return joined.select("icon_id", _entry("value").alias("v"), "score", "margin", "override", "certainty")
+    return joined.select("icon_id", *_entry("_v_"), "score", "margin", "override", F.col("certainty").alias("_certainty"))
 
 
 def resolve(
@@ -48,24 +49,22 @@ def resolve(
     pass through when named in ``keep``.
     """
     items = item_entries(catalog, basis)
-    by_text = items.select(
-        F.col("item_id").alias("ocr_id"), F.lit(0).cast("bigint").alias("_salt"), _entry("value").alias("o")
-    )
+    by_text = items.select(F.col("item_id").alias("ocr_id"), present_key(F.col("item_id")).alias("_salt"), *_entry("_o_"))
     # Many detections carry no text; their empty keys are spread over the join.
     salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("session_id"), F.col("det_idx")))
     both = salted.join(visual_candidates(links, items), "icon_id", "left").join(
         by_text, ["ocr_id", "_salt"], "left"
     )
-    v, o = F.col("v"), F.col("o")
+    # An item that was found has an id, so a null id tells that there was none.
+    by_icon, by_name = F.col("_v_id").isNotNull(), F.col("_o_id").isNotNull()
     text_score = F.coalesce("ocr_score", F.lit(0.0))
-    # The decision and the chosen entry are columns of their own, so they are computed once per row.
-    both = both.withColumn("seen", v.isNotNull() & (o.isNull() | (F.col("certainty") >= text_score)))
-    both = both.withColumn("chosen", F.when(F.col("seen"), v).otherwise(o))
-    seen = F.col("seen")
-    visual = F.struct(*[v[f].alias(f) for f in ("id", *ENTRY)], "score", "margin", "override", "certainty")
+    # The decision is a column of its own, so it is computed once per row.
+    both = both.withColumn("_seen", by_icon & (~by_name | (F.col("_certainty") >= text_score)))
+    seen = F.col("_seen")
+    visual = F.struct(*[F.col(f"_v_{f}").alias(f) for f in ("id", "name", "short", "width", "height")], "score", "margin", "override", F.col("_certainty").alias("certainty"))
 
     def text_field(field):
-        return F.coalesce(o[field], F.lit("")).alias(field)
+        return F.coalesce(f"_o_{field}", F.lit("")).alias(field)
 
     records = both.select(
         "session_id",
@@ -74,18 +73,18 @@ def resolve(
         "box",
         "det_conf",
         *keep,
-        F.when(seen & F.col("override"), "override").when(seen, "yolo").when(o.isNotNull(), "ocr").alias("source"),
-        F.when(seen, F.col("certainty")).when(o.isNotNull(), text_score).otherwise(0.0).alias("certainty"),
-        F.coalesce(v["id"] == o["id"], F.lit(False)).alias("agree"),
-        F.when(v.isNotNull(), visual).alias("yolo"),
+        F.when(seen & F.col("override"), "override").when(seen, "yolo").when(by_name, "ocr").alias("source"),
+        F.when(seen, F.col("_certainty")).when(by_name, text_score).otherwise(0.0).alias("certainty"),
+        F.coalesce(F.col("_v_id") == F.col("_o_id"), F.lit(False)).alias("agree"),
+        F.when(by_icon, visual).alias("yolo"),
         F.struct(
             *[text_field(f) for f in ("id", "name", "short")],
-            o["width"].alias("width"),
-            o["height"].alias("height"),
+            F.col("_o_width").alias("width"),
+            F.col("_o_height").alias("height"),
             text_score.alias("score"),
             F.coalesce("ocr_raw", F.lit("")).alias("raw"),
         ).alias("ocr"),
-        "chosen.*",
+        *[F.when(seen, F.col(f"_v_{f}")).otherwise(F.col(f"_o_{f}")).alias(f) for f in ("id", *ENTRY)],
     )
     slots = F.col("width") * F.col("height")
     return records.withColumn("slots", slots).withColumn("per_slot", value_per_slot(F.col("value"), slots))

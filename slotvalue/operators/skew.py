@@ -145,8 +145,16 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 def spread_missing(key: Column, *row_id: Column) -> Column:
     """Salt for an equi join whose left side has many empty keys.
 
-    Rows with a key get 0 (the salt of the right side); the others get a hash of the row and
+    Rows with a key get 0 and meet a right side salted by ``present_key``; the others get an odd hash of the row and
     find no partner, but no longer meet in one partition.
     """
     missing = key.isNull() | (key == "")
     return F.when(missing, F.xxhash64(*row_id).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint"))
+
+
+def present_key(key: Column) -> Column:
+    """Salt of the right side: 0, and an even number that no left row has for an empty key.
+
+    It depends on the row.  The optimizer takes a constant out of the join keys, and the empty ones meet again.
+    """
+    return F.when(key == "", F.lit(2)).otherwise(F.lit(0)).cast("bigint")

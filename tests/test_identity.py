@@ -55,6 +55,22 @@ def test_round_trip_loses_vanished_text_item(spark):
     assert (row.ocr_id, row.ocr_score, row.ocr_raw) == ("", 0.7, "raw")
 
 
+def test_detections_without_text_are_spread_over_the_join(spark):
+    session = spark.newSession()
+    for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}.items():
+        session.conf.set(key, value)
+    ocr = F.element_at(F.array(F.lit(""), F.lit(None).cast("string")), (F.col("id") % 2 + 1).cast("int"))
+    rows = session.range(4000).select(
+        F.lit("s").alias("session_id"), F.col("id").alias("det_idx"), F.lit("1").alias("icon_id"), F.array(*map(F.lit, BOX)).alias("box"),
+        F.lit(0.9).alias("det_conf"), ocr.alias("ocr_id"), F.lit(0.0).alias("ocr_score"), F.lit("").alias("ocr_raw"),
+    )
+    items = catalog(session).unionByName(session.createDataFrame([("", "Nameless", "", 1, 1, 5, 5, 0, 5)], CATALOG))
+    found = resolve.resolve(rows, session.createDataFrame([("1", "a", 12.0, 5.0, False)], LINK), items)
+    parts = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ocr.id") != "").alias("named")).collect()
+    assert sum(r.n for r in parts) == 4000 and sum(r.named for r in parts) == 0
+    assert max(r.n for r in parts) < 1000
+
+
 def layered(spark):
     auto = spark.createDataFrame(
         [("1", "a", 5.0, 4.0), ("2", "b", 6.0, None), ("3", None, None, None), ("4", "d", 1.0, 1.0)],
