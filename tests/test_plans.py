@@ -56,3 +56,9 @@ def test_filters_reach_the_scan(spark):
 )
 def test_nothing_is_ranked_in_one_partition(spark, name):
     assert "SinglePartition" not in plan(QUERIES[name](spark, DATA))
+
+
+@pytest.mark.parametrize("name, absent", [("identity_agreement", ["p_name", "p_brand", "p_retailprice"]), ("recall_report", ["p_name", "p_brand", "p_retailprice"])])
+def test_fusion_carries_only_the_item_columns_it_returns(spark, name, absent):
+    text = plan(QUERIES[name](spark, DATA))
+    assert "p_partkey" in text and not any(column in text for column in absent)
