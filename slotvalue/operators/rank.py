@@ -9,7 +9,7 @@ from slotvalue.functions.geometry import whole_pixels
 from slotvalue.functions.rounding import round_share
 from slotvalue.functions.text import shown_name
 from slotvalue.operators.resolve import identified
-from slotvalue.operators.skew import rank_within, top_per_group
+from slotvalue.operators.skew import rank_within, small_groups, top_per_group
 
 # Most detections kept per image, detector thresholds.
 MAX_DETECTIONS = 400
@@ -88,19 +88,26 @@ def collapse(records: DataFrame, first_seen: bool = False) -> DataFrame:
     return rows.drop("key")
 
 
-def rank_by_slot(records: DataFrame) -> DataFrame:
-    """Position of each identified detection, highest value per slot first."""
+def rank_by_slot(records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Position of each identified detection, highest value per slot first.
+
+    ``sizes`` has a row ``(session_id)`` for at least every record and is cheap to read; with it, sessions that are all
+    small are ranked whole.
+    """
     order = [F.col("per_slot").desc(), F.col("det_idx")]
-    return rank_within(identified(records), ["session_id"], order, out="position")
+    return rank_within(identified(records), ["session_id"], order, out="position", whole=small_groups(sizes, ["session_id"]))
 
 
-def keep_ditch(records: DataFrame) -> DataFrame:
+def keep_ditch(records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Split the collapsed items of a session at the median.
 
-    The better half (rounded up) is ``keep``, best first; the rest is ``ditch``, worst first.
+    The better half (rounded up) is ``keep``, best first; the rest is ``ditch``, worst first.  ``sizes`` as in
+    ``rank_by_slot``: small sessions are collapsed and ranked where one shuffle brought them.
     """
     order = [F.col("per_slot").desc(), F.col("first_det")]
-    ranked = rank_within(collapse(records), ["session_id"], order, total="n")
+    whole = small_groups(sizes, ["session_id"])
+    items = collapse(identified(records).repartition("session_id") if whole else records)
+    ranked = rank_within(items, ["session_id"], order, total="n", whole=whole)
     keep = F.col("rn") <= F.ceil(F.col("n") / 2)
     return (
         ranked.withColumn("list", F.when(keep, "keep").otherwise("ditch"))
@@ -109,10 +116,10 @@ def keep_ditch(records: DataFrame) -> DataFrame:
     )
 
 
-def least_certain(records: DataFrame) -> DataFrame:
-    """Review order of a session: least certain first, unidentified rows count as 0."""
+def least_certain(records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Review order of a session: least certain first, unidentified rows count as 0; ``sizes`` as in ``rank_by_slot``."""
     order = [F.coalesce("certainty", F.lit(0.0)), F.col("det_idx")]
-    return rank_within(records, ["session_id"], order, out="position")
+    return rank_within(records, ["session_id"], order, out="position", whole=small_groups(sizes, ["session_id"]))
 
 
 def top_report(records: DataFrame, n: int) -> DataFrame:

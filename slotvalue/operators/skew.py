@@ -14,6 +14,8 @@ from slotvalue.runtime import checkpoint
 
 # Bits of a digest that name the range a sample is cut in.
 SAMPLE_BITS = 12
+# Rows of a group that one task may rank by itself.
+WHOLE_GROUP = 100_000
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -41,15 +43,31 @@ def _starts(counts: DataFrame) -> tuple[DataFrame, int]:
     return counts.sparkSession.createDataFrame(pairs, "_range int, _start bigint"), sum(n for _, n in rows)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn", total: str | None = None) -> DataFrame:
+def small_groups(sizes: DataFrame | None, keys: Sequence[str]) -> bool:
+    """Whether no group of ``sizes`` has more rows than a task may rank; False if there is no such table."""
+    if sizes is None:
+        return False
+    most = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= WHOLE_GROUP
+
+
+def rank_within(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn", total: str | None = None, whole: bool = False
+) -> DataFrame:
     """1-based position of each row in its group, and optionally the size of the group.
 
     ``order`` must be total.  The table is cut into sorted ranges by group and order, written
     once, and each range is ranked on its own, so no task sorts more than a range,
     however large a group is.  Only groups that reach over a bound need a shift; there are
     fewer of them than ranges.  Select the columns you need before ranking.
+
+    ``whole`` says that every group is small (``small_groups``): then rows are shuffled by group once and not written.
     """
     keys = list(keys)
+    if whole:
+        group = W.partitionBy(*keys)
+        ranked = df.withColumn(out, F.row_number().over(group.orderBy(*order)))
+        return ranked.withColumn(total, F.count(F.lit(1)).over(group)) if total else ranked
     spread = _ranged(df, [*[F.col(k) for k in keys], *order])
     counts = spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     wide = counts.groupBy(*keys).agg(

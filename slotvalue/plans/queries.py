@@ -59,7 +59,7 @@ FLAT = [
 
 @query
 def keep_ditch(spark, sf):
-    return rank.keep_ditch(records(spark, sf))
+    return rank.keep_ditch(records(spark, sf), t.session_sizes(spark, sf))
 
 
 @query

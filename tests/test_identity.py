@@ -171,3 +171,19 @@ def test_sample_of_more_rows_than_the_table_holds(spark):
     rows = spark.range(20_000)
     for n in (19_999, 20_000, 20_001, 20_003):
         assert dataset.sample_first(rows, 7, n, "id").distinct().count() == min(n, 20_000)
+
+
+def test_small_sessions_rank_without_a_second_shuffle(spark, monkeypatch):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = records(session)
+    sizes = rows.select("session_id")
+    by_size = rank.keep_ditch(rows, sizes)
+    text = by_size._jdf.queryExecution().executedPlan().toString()
+    # The only shuffle by session is the one that brings its records together.
+    assert "REPARTITION_BY_COL" in text and text.count("Exchange hashpartitioning(session_id") == 1
+    for same in (rank.rank_by_slot, rank.least_certain, rank.keep_ditch):
+        ranked = sorted(same(rows, sizes).collect())
+        with monkeypatch.context() as m:
+            m.setattr(skew, "WHOLE_GROUP", 1)  # every session is a hot one
+            assert sorted(same(rows, sizes).collect()) == ranked == sorted(same(rows).collect())
