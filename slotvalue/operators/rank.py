@@ -80,12 +80,14 @@ def collapse(records: DataFrame, first_seen: bool = False) -> DataFrame:
     aggregation stays a hash aggregation with partial sums before the shuffle.  The
     icon and box of the first detection are added on request.
     """
-    found = identified(records).withColumn("key", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.col("name")))
-    extra = [F.min_by(F.struct("icon_id", "box"), "det_idx").alias("first")] if first_seen else []
-    rows = found.groupBy("session_id", "key", *ITEM).agg(
-        F.count(F.lit(1)).alias("qty"), F.min("det_idx").alias("first_det"), *extra
-    )
-    return rows.drop("key")
+    # Items without an id are told apart by their names, which are a grouping column as well.
+    found = identified(records)
+    first = F.min(F.struct("det_idx", "icon_id", "box")).alias("_first") if first_seen else F.min("det_idx").alias("first_det")
+    rows = found.groupBy("session_id", *ITEM).agg(F.count(F.lit(1)).alias("qty"), first)
+    if not first_seen:
+        return rows
+    parts = [F.col("_first.det_idx").alias("first_det"), F.struct("_first.icon_id", "_first.box").alias("first")]
+    return rows.select("session_id", *ITEM, "qty", *parts)
 
 
 def rank_by_slot(records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

@@ -187,3 +187,11 @@ def test_small_sessions_rank_without_a_second_shuffle(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(skew, "WHOLE_GROUP", 1)  # every session is a hot one
             assert sorted(same(rows, sizes).collect()) == ranked == sorted(same(rows).collect())
+
+
+def test_collapse_shuffles_no_copy_of_the_id(spark):
+    rows = rank.collapse(records(spark), first_seen=True)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert " AS key#" not in text and "min_by" not in text
+    got = {r.id: (r.qty, r.first_det, r.first.icon_id, list(r.first.box)) for r in rows.collect()}
+    assert got == {"a": (3, 0, "1", BOX), "b": (2, 3, "2", BOX), "c": (1, 5, "3", BOX)}
