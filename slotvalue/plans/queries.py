@@ -23,6 +23,7 @@ from slotvalue.operators import (
     resolve,
     spatial,
 )
+from slotvalue.operators.skew import shuffle_width
 from slotvalue.plans import tables as t
 from slotvalue.runtime import scratch_path
 from slotvalue.schema import METRIC_COLUMNS
@@ -1019,11 +1020,13 @@ def plain_log_scan(spark, sf):
     events = t.link_events(spark, sf)
     lines = events.select("seq", F.to_json(F.struct("ts", "icon_id", "item_id", "source", "certainty", "note")).alias("value"))
     path = scratch_path(spark, "log")
-    ordered = lines.repartitionByRange(2, "seq").sortWithinPartitions("seq")
+    ordered = lines.repartitionByRange("seq").sortWithinPartitions("seq")
     ordered.select(F.explode(F.when(F.col("seq") % 50 == 0, F.array("value", F.lit(""), F.lit("{cut of"))).otherwise(F.array("value")))).write.text(path)
     small = spark.newSession()
     small.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     small.conf.set("spark.sql.files.minPartitionNum", "1")
+    # A large log has many such splits; a task takes several of them.
+    small.conf.set("spark.sql.files.maxPartitionNum", str(4 * shuffle_width(spark.range(1))))
     return readers.read_plain_log(small, path).select("seq", "icon_id", "item_id", "source")
 
 

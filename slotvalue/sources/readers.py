@@ -118,7 +118,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "block", "line", "place"])
 
     numbered = rows.mapInArrow(count, "file string, block bigint, line string, place bigint")
-    splits = numbered.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    splits = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("file", "block", before.alias("start"))
     return numbered.join(starts, ["file", "block"]).select((F.col("start") + F.col("place")).alias("seq"), "line")

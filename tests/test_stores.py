@@ -149,3 +149,19 @@ def test_drift_equals_a_full_comparison(spark):
             want[i] = ("rekeyed", min(homes)) if homes else ("removed", None)
     want |= {i: ("new", None) for i in live if i not in trained}
     assert got == want
+
+
+def test_a_plain_log_is_written_and_read_by_as_many_tasks_as_there_are(spark, monkeypatch):
+    from slotvalue.plans.queries import QUERIES
+    from slotvalue.sources import readers
+
+    session, seen = spark.newSession(), []
+    for key, value in {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        session.conf.set(key, value)
+    read = readers.read_plain_log
+    monkeypatch.setattr(readers, "read_plain_log", lambda small, path: seen.append((small, path)) or read(small, path))
+    assert QUERIES["plain_log_scan"](session, "/root/testdata/sf0.001").count() > 0
+    small, path = seen[0]
+    assert small.read.text(path).select("_metadata.file_path").distinct().count() > 2
+    small.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    assert small.read.text(path).rdd.getNumPartitions() <= 100
