@@ -13,6 +13,8 @@ SQUARE = 64
 FAR = float(1 << 50)
 # Boxes and points of a square that meet in one task; more are split by a hash.
 CROWD = 20_000
+# Boxes of a scope that are simply tried one after the other.
+FEW = 64
 
 
 def _limited(col: str) -> Column:
@@ -59,12 +61,18 @@ def _crowded(points: DataFrame, boxes: DataFrame, place: list[str]) -> DataFrame
 
 def _survey(points: DataFrame, boxes: DataFrame, scope: str, square: int) -> tuple[list[int], bool]:
     """Levels in use, and whether any scope has more rows of one side than a task should get; one small aggregation."""
+    levels, most, _ = _sizes(points, boxes, scope, square)
+    return levels, most > CROWD
+
+
+def _sizes(points: DataFrame, boxes: DataFrame, scope: str, square: int) -> tuple[list[int], int, int]:
+    """Levels in use, the most rows of one side in a scope, and the most boxes in a scope."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _level(square))
     rows = _proper(boxes).select(F.col(scope).alias("scope"), F.lit(0).alias("side"), bit.alias("bit"))
     rows = rows.unionByName(points.select(F.col(scope).alias("scope"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("bit")))
     scopes = rows.groupBy("scope", "side").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits"))
-    most, bits = scopes.agg(F.max("n"), F.bit_or("bits")).first()
-    return [i for i in range(63) if (bits or 0) >> i & 1] or [0], (most or 0) > CROWD
+    most, drawn, bits = scopes.agg(F.max("n"), F.max(F.when(F.col("side") == 0, F.col("n"))), F.bit_or("bits")).first()
+    return [i for i in range(63) if (bits or 0) >> i & 1] or [0], most or 0, drawn or 0
 
 
 def points_in_boxes(
@@ -106,16 +114,31 @@ def topmost(
     """For each point the containing box that was drawn last.
 
     Equal rectangles are reduced to their topmost box and equal positions to one before
-    they meet.
+    they meet.  Where every scope has few boxes and no crowd of points, its boxes travel as one list that each of its
+    points tries, so either side is shuffled once.
     """
     sides = ["x0", "y0", "x1", "y1"]
+    levels, most, drawn = _sizes(points, boxes, scope, square)
+    if drawn <= FEW and most <= CROWD:
+        return _tried(points, boxes, scope, point, box, z)
     shown = boxes.groupBy(scope, *sides).agg(F.max_by(box, z).alias("_box"), F.max(z).alias("_z"))
     spots = points.select(scope, "x", "y").distinct()
-    found = _met(spots, shown, scope, square, *_survey(points, boxes, scope, square))
+    found = _met(spots, shown, scope, square, levels, most > CROWD)
     top = found.groupBy(scope, "x", "y").agg(F.max_by("_box", "_z").alias(box))
     return points.join(top, [scope, "x", "y"]).select(scope, *point, box)
 
 
+def _tried(points: DataFrame, boxes: DataFrame, scope: str, point: list[str], box: str, z: str) -> DataFrame:
+    """``topmost`` for scopes of few boxes."""
+    listed = F.struct(F.col(z).alias("z"), F.col(box).alias("box"), "x0", "y0", "x1", "y1")
+    shown = _proper(boxes).groupBy(scope).agg(F.collect_list(listed).alias("_shown"))
+    over = lambda b: F.col("x").between(b["x0"], b["x1"]) & F.col("y").between(b["y0"], b["y1"])
+    met = points.where(~F.isnan("x") & ~F.isnan("y")).join(shown, scope).withColumn("_hits", F.filter("_shown", over)).where(F.size("_hits") > 0)
+    drawn = F.filter("_hits", lambda b: b["z"].isNotNull())
+    top = F.array_max(F.transform(drawn, lambda b: F.struct(b["z"].alias("z"), b["box"].alias("box"))))
+    return met.select(scope, *point, top["box"].alias(box))
+
+
 def cell_geometry(grids: DataFrame) -> DataFrame:
     cols, rows = F.coalesce("cols", F.lit(1)), F.coalesce("rows", F.lit(1))
     return grids.withColumns({"cols": cols, "rows": rows}).withColumns(

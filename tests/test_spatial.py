@@ -69,3 +69,20 @@ def test_one_crowded_scope(spark, monkeypatch):
 
 def test_empty_sides(spark):
     assert pairs(spark, [], []) == pairs(spark, [(0, 1, 1.0, 1.0)], []) == pairs(spark, [], [(0, 1, 0.0, 0.0, 1.0, 1.0)]) == set()
+
+
+def test_few_boxes_meet_their_points_in_two_shuffles(spark, monkeypatch):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(4)
+    points = [(i % 9, i // 2, float(rng.randrange(40)), float(rng.randrange(40))) for i in range(300)]
+    points += [(0, 900, None, 1.0), (0, 901, math.nan, 0.0), (77, 902, 1.0, 1.0), *points[:3]]
+    boxes = [(i % 9, i, x := rng.uniform(-5, 40), y := rng.uniform(-5, 40), x + rng.randrange(30), y + rng.randrange(30)) for i in range(60)]
+    boxes += [(0, 900, 5.0, 5.0, 1.0, 9.0), (0, 901, None, 0.0, 50.0, 50.0), (1, 902, -math.inf, -math.inf, math.inf, math.inf)]
+    boxes.append((2, None, 0.0, 0.0, 50.0, 50.0))
+    table = lambda s: (s.createDataFrame(points, POINT), s.createDataFrame(boxes, BOX))
+    top = spatial.topmost(*table(session), "scope", ["point"], "box", "box")
+    assert top._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = sorted(map(str, top.collect()))
+    monkeypatch.setattr(spatial, "FEW", 0)
+    assert got == sorted(map(str, spatial.topmost(*table(session), "scope", ["point"], "box", "box").collect())) and len(got) > 100
