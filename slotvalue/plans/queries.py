@@ -66,7 +66,7 @@ def keep_ditch(spark, sf):
 @query
 def rank_by_slot(spark, sf):
     rows = records(spark, sf).select("session_id", "det_idx", "source", "id", "per_slot")
-    return rank.rank_by_slot(rows).drop("source")
+    return rank.rank_by_slot(rows, t.session_sizes(spark, sf)).drop("source")
 
 
 @query
@@ -91,7 +91,7 @@ def collapse_qty(spark, sf):
 @query
 def least_certain(spark, sf):
     rows = records(spark, sf).select("session_id", "det_idx", "certainty", "source")
-    return rank.least_certain(rows)
+    return rank.least_certain(rows, t.session_sizes(spark, sf))
 
 
 @query

@@ -62,3 +62,8 @@ def test_nothing_is_ranked_in_one_partition(spark, name):
 def test_fusion_carries_only_the_item_columns_it_returns(spark, name, absent):
     text = plan(QUERIES[name](spark, DATA))
     assert "p_partkey" in text and not any(column in text for column in absent)
+
+
+@pytest.mark.parametrize("name", ["rank_by_slot", "least_certain"])
+def test_small_sessions_are_not_written_to_be_ranked(spark, name):
+    assert "ExistingRDD" not in plan(QUERIES[name](spark, DATA))
