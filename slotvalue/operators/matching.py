@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slotvalue.functions.pricing import MARGIN_FULL
-from slotvalue.operators.packs import map_arrow, matrix, pack, pack_rows, unpack
-from slotvalue.operators.skew import rank_within, top_per_group
+from slotvalue.operators.packs import map_met, matrix, pack, unpack
+from slotvalue.operators.skew import rank_within, shuffle_width, top_per_group
 from slotvalue.runtime import scratch_path
 
 # Alpha above this belongs to the icon, matches reported per icon.
@@ -108,8 +108,9 @@ def _nearest_pivot(pivots: dict[int, np.ndarray]):
         sizes = vec.map(len).to_numpy()
         for n, centres in pivots.items():
             rows = np.flatnonzero(sizes == n)
-            if len(rows) and n:
-                out[rows] = _distances(np.stack(vec.iloc[rows].to_numpy()), centres).argmin(axis=1)
+            for a in range(0, len(rows) if n else 0, PACK_ROWS):
+                some = rows[a : a + PACK_ROWS]
+                out[some] = _distances(np.stack(vec.iloc[some].to_numpy()), centres).argmin(axis=1)
         return pd.Series(out)
 
     return nearest_pivot
@@ -187,36 +188,40 @@ def _opaque(alpha: pa.Array) -> np.ndarray:
     return (matrix(alpha) > ALPHA_FLOOR).astype(float)
 
 
+def _summaries(data: list[bytes]) -> tuple[list[pa.RecordBatch], np.ndarray]:
+    found = [unpack(x) for x in data]
+    return found, np.array([s.column("tile")[0].as_py() for s in found])
+
+
 def _visits(first: bool):
     """Tiles that queries have to visit: the one with the lowest bound, or all others that can hold a better candidate."""
 
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, tiles in zip(batch.column("asked"), batch.column("tiles"), strict=True):
-                queries = unpack(asked.as_py())
-                summaries = [unpack(x.as_py()) for x in unpack(tiles.as_py()).column("summary")]
-                numbers = np.array([s.column("tile")[0].as_py() for s in summaries])
-                mask = _opaque(queries.column("alpha"))
-                bound = tile_bounds(matrix(queries.column("vec")), mask, summaries) / mask.sum(axis=1)[:, None]
-                if first:
-                    at = (np.arange(len(bound)), bound.argmin(axis=1))
-                else:
-                    kth = queries.column("kth").to_numpy()[:, None]
-                    seen = queries.column("tile").to_numpy()[:, None]
-                    at = np.nonzero((bound * (1 - 1e-9) <= kth**2) & (numbers != seen))
-                icons = queries.column("icon_id").to_numpy()[at[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(icons), pa.array(numbers[at[1]]), pa.array(bound[at])], schema=schema)
+    def run(queries: pa.RecordBatch, met: tuple[list[pa.RecordBatch], np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        summaries, numbers = met
+        mask = _opaque(queries.column("alpha"))
+        bound = tile_bounds(matrix(queries.column("vec")), mask, summaries) / mask.sum(axis=1)[:, None]
+        if first:
+            at = (np.arange(len(bound)), bound.argmin(axis=1))
+        else:
+            kth = queries.column("kth").to_numpy(zero_copy_only=False)[:, None]
+            seen = queries.column("tile").to_numpy(zero_copy_only=False)[:, None]
+            at = np.nonzero((bound * (1 - 1e-9) <= kth**2) & (numbers != seen))
+        icons = queries.column("icon_id").to_numpy(zero_copy_only=False)[at[0]]
+        return pa.RecordBatch.from_arrays([pa.array(icons), pa.array(numbers[at[1]]), pa.array(bound[at])], schema=schema)
 
     return run
 
 
+def _candidates(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and ids of a tile."""
+    tile = unpack(data[0])
+    return matrix(tile.column("vec")), tile.column("item_id").to_numpy()
+
+
 def _best_in_tile(k: int):
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, data in zip(batch.column("asked"), batch.column("data"), strict=True):
-                tile, queries = unpack(data.as_py()), unpack(asked.as_py())
-                rows = _scored(queries, matrix(tile.column("vec")), tile.column("item_id").to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
+    def run(queries: pa.RecordBatch, tile: tuple[np.ndarray, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        rows = _scored(queries, *tile, k)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
 
     return run
 
@@ -267,18 +272,26 @@ def tile_visits(queries: DataFrame, tiles: DataFrame, k: int = BEST) -> tuple[Da
     """
     asked = queries.select("icon_id", "block", F.col("vec").cast("array<double>").alias("vec"), F.col("alpha").cast("array<double>").alias("alpha"))
     asked = asked.withColumn("n", F.size("vec")).where(F.exists("alpha", lambda a: a > ALPHA_FLOOR) & (F.size("alpha") == F.col("n")))
+    asked = asked.where(F.col("block").isNotNull())
     key = ["block", "n"]
-    summaries = pack_rows(tiles.select(*key, "summary"), key, PACK_ROWS, "tiles")
+    # A chunk of the tiles of a block meets a part of its queries, so a hot block is spread over all tasks.
+    parts = shuffle_width(tiles)
+    chunk = F.floor(F.col("tile") / PACK_ROWS)
+    summaries = tiles.select(*key, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("summary").alias("data"))
+    chunks = tiles.groupBy(*key).agg(F.max(chunk).alias("last"))
+    one = not chunks.agg(F.max("last")).first()[0]
 
     def met(df: DataFrame, first: bool) -> DataFrame:
-        pairs = pack_rows(df, key, PACK_ROWS, "asked").join(summaries, key).select("asked", "tiles")
-        return map_arrow(pairs, _visits(first), _VISIT)
+        dealt = df.withColumn("part", F.pmod(F.hash("icon_id"), F.lit(parts)))
+        if one:
+            dealt = dealt.withColumn("chunk", F.lit(0).cast("bigint"))
+        else:
+            dealt = dealt.join(chunks, key).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last")
+        return map_met(dealt, summaries, [*key, "chunk", "part"], PACK_ROWS, _summaries, _visits(first), _VISIT)
 
     def best(visits: DataFrame) -> DataFrame:
         there = visits.select("icon_id", "tile").join(asked, "icon_id")
-        sorted_ = there.repartition(*key, "tile").sortWithinPartitions(*key, "tile")
-        pairs = pack_rows(sorted_, [*key, "tile"], PACK_ROWS, "asked").join(tiles.select(*key, "tile", "data"), [*key, "tile"])
-        return map_arrow(pairs.select("asked", "data"), _best_in_tile(k), _OUT)
+        return map_met(there, tiles.select(*key, "tile", "data"), [*key, "tile"], PACK_ROWS, _candidates, _best_in_tile(k), _OUT)
 
     start = _written(met(asked, True).groupBy("icon_id").agg(F.min(F.struct("bound", "tile")).alias("v")).select("icon_id", "v.tile", "v.bound"), "visits")
     near = _written(best(start), "near")

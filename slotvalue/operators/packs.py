@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,24 +38,32 @@ def map_arrow(df: DataFrame, fn, ddl: str | T.StructType) -> DataFrame:
     return df.mapInArrow(lambda batches: fn(batches, schema), spark_schema)
 
 
-def pack_rows(df: DataFrame, keys: Sequence[str], size: int, out: str) -> DataFrame:
-    """One row ``(*keys, out)`` for at most ``size`` neighbouring rows with equal keys.
+def map_met(
+    asked: DataFrame, met: DataFrame, keys: Sequence[str], size: int, held: Callable[[list[bytes]], Any], fn: Callable, ddl: str
+) -> DataFrame:
+    """``fn(queries, kept, schema)`` for at most ``size`` rows of ``asked``, with what ``held`` makes of ``data`` of the rows of ``met`` with equal keys.
 
-    ``out`` holds the other columns.  Rows are packed where they lie: sort by the keys first for full packs.
+    One shuffle deals both sides by key and sorts them, those of ``met`` first.  So a task keeps the ``met`` of one key and a
+    batch of single rows, never a batch of pairs; a task has one Python worker.  Rows of ``asked`` whose key is not in ``met`` give nothing.
     """
     keys = list(keys)
-    others = [c for c in df.columns if c not in keys]
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(out, T.BinaryType())])
+    both = met.select(*keys, "data", F.lit(False).alias("_asked")).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "_asked")
 
-    def run(batches: Iterator[pa.RecordBatch], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        now, data, kept = None, [], None
         for batch in batches:
-            groups: dict[tuple, list[int]] = {}
-            for row, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)):
-                groups.setdefault(key, []).append(row)
-            inner = pa.RecordBatch.from_arrays([batch.column(c) for c in others], others)
-            for key, rows in groups.items():
-                for a in range(0, len(rows), size):
-                    data = pack(inner.take(pa.array(rows[a : a + size])))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, data), target, strict=True)], schema=target)
-
-    return map_arrow(df, run, schema)
+            places, start = zip(*[batch.column(c).to_pylist() for c in [*keys, "_asked"]], strict=True), 0
+            for (*key, is_asked), same in groupby(places):
+                rows = batch.slice(start, sum(1 for _ in same))
+                start += len(rows)
+                if key != now:
+                    now, data, kept = key, [], None
+                if not is_asked:
+                    data += rows.column("data").to_pylist()
+                elif data:
+                    kept = held(data) if kept is None else kept
+                    for a in range(0, len(rows), size):
+                        yield fn(rows.slice(a, size), kept, schema)
+
+    return map_arrow(dealt, run, ddl)
