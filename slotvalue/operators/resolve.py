@@ -35,7 +35,7 @@ def _entry(prefix: str) -> list[Column]:
 
 def visual_candidates(links: DataFrame, items: DataFrame) -> DataFrame:
     """Icon to item by the link map; links to unknown items are dropped."""
-    joined = with_certainty(links).join(items, "item_id")
+    joined = with_certainty(links).join(items.hint("shuffle_hash"), "item_id")
     return joined.select("icon_id", *_entry("_v_"), "score", "margin", "override", F.col("certainty").alias("_certainty"))
 
 
@@ -52,9 +52,10 @@ def resolve(
     by_text = items.select(F.col("item_id").alias("ocr_id"), present_key(F.col("item_id")).alias("_salt"), *_entry("_o_"))
     # Many detections carry no text; their empty keys are spread over the join.
     salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("session_id"), F.col("det_idx")))
-    both = salted.join(visual_candidates(links, items), "icon_id", "left").join(
-        by_text, ["ocr_id", "_salt"], "left"
-    )
+    # The right sides have one row per icon and item: a task hashes its share of them and streams the detections unsorted.  The
+    # planner takes a catalog of ids for small by its file and would send it whole to all tasks.
+    by_link = visual_candidates(links, items).hint("shuffle_hash")
+    both = salted.join(by_link, "icon_id", "left").join(by_text.hint("shuffle_hash"), ["ocr_id", "_salt"], "left")
     # An item that was found has an id, so a null id tells that there was none.
     by_icon, by_name = F.col("_v_id").isNotNull(), F.col("_o_id").isNotNull()
     text_score = F.coalesce("ocr_score", F.lit(0.0))

@@ -67,3 +67,9 @@ def test_fusion_carries_only_the_item_columns_it_returns(spark, name, absent):
 @pytest.mark.parametrize("name", ["rank_by_slot", "least_certain"])
 def test_small_sessions_are_not_written_to_be_ranked(spark, name):
     assert "ExistingRDD" not in plan(QUERIES[name](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["identity_agreement", "recall_report", "unidentified", "detections_roundtrip"])
+def test_fusion_sends_no_catalog_whole_and_sorts_no_detections(spark, name):
+    text = plan(QUERIES[name](spark, DATA))
+    assert text.count("ShuffledHashJoin") >= 2 and "BroadcastHashJoin" not in text and "SortMergeJoin" not in text
