@@ -49,15 +49,17 @@ def resolve(
     pass through when named in ``keep``.
     """
     items = item_entries(catalog, basis)
-    by_text = items.select(F.col("item_id").alias("ocr_id"), present_key(F.col("item_id")).alias("_salt"), *_entry("_o_"))
+    named = items.select(F.col("item_id").alias("ocr_id"), present_key(F.col("item_id")).alias("_salt"), F.lit(True).alias("_named"), *_entry("_o_")[1:])
     # Many detections carry no text; their empty keys are spread over the join.
     salted = detections.withColumn("_salt", spread_missing(F.col("ocr_id"), F.col("session_id"), F.col("det_idx")))
     # The right sides have one row per icon and item: a task hashes its share of them and streams the detections unsorted.  The
     # planner takes a catalog of ids for small by its file and would send it whole to all tasks.
     by_link = visual_candidates(links, items).hint("shuffle_hash")
-    both = salted.join(by_link, "icon_id", "left").join(by_text.hint("shuffle_hash"), ["ocr_id", "_salt"], "left")
-    # An item that was found has an id, so a null id tells that there was none.
-    by_icon, by_name = F.col("_v_id").isNotNull(), F.col("_o_id").isNotNull()
+    # The text first: it finds fewer items and adds fewer columns, so less travels to the second join.
+    both = salted.join(named.hint("shuffle_hash"), ["ocr_id", "_salt"], "left").drop("_salt").join(by_link, "icon_id", "left")
+    # An icon that was found has an id, so a null id tells that there was none.
+    by_icon, by_name = F.col("_v_id").isNotNull(), F.col("_named").isNotNull()
+    both = both.withColumn("_o_id", F.when(by_name, F.col("ocr_id")))
     text_score = F.coalesce("ocr_score", F.lit(0.0))
     # The decision is a column of its own, so it is computed once per row.
     both = both.withColumn("_seen", by_icon & (~by_name | (F.col("_certainty") >= text_score)))

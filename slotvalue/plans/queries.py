@@ -1066,6 +1066,11 @@ def _staged_detections(spark, sf):
     return path
 
 
+def _landed(spark, rows, label):
+    """A table as its snapshot: what every batch or slice reads is computed once."""
+    return spark.read.parquet(writers.write_snapshot(rows, label))
+
+
 BUCKETS = 16
 
 
@@ -1146,14 +1151,13 @@ def stream_scan_and_correct(spark, sf):
 @query
 def stream_price_refresh(spark, sf):
     """A stale catalog is replaced, and the sessions that show or name a repriced item are redone."""
-    shown = link_map(spark, sf)
-    catalog = t.catalog(spark, sf)
+    shown, catalog = _landed(spark, link_map(spark, sf), "links"), _landed(spark, t.catalog(spark, sf), "catalog")
     old = F.when(F.col("pos") % 3 == 0, F.col("avg24h") + 7).otherwise(F.col("avg24h")).cast(catalog.schema["avg24h"].dataType)
     before = catalog.withColumn("avg24h", old)
     store, out = scratch_path(spark, "store"), scratch_path(spark, "records")
     scanned = t.detections(spark, sf).drop("quantity")
     jobs.store_detections(scanned, store, BUCKETS)
-    jobs.write_records(resolve.resolve(scanned, shown, before), out, 0, "first", BUCKETS)
+    jobs.reproject(spark, store, None, shown, before, out, 0, "first", buckets=BUCKETS)
     age = readers.snapshot_age(spark, scratch_path(spark, "missing"), "2024-01-15 00:00:00")
     jobs.refresh_prices(
         spark, age, before, lambda: catalog, lambda rows: writers.write_snapshot(rows, "catalog"), spark.read.parquet,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,8 @@ CLUSTER_CONF = {
     ),
 }
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Scratch folders handed out by this process.
 _made: list[str] = []
 
@@ -68,6 +72,20 @@ def drop_scratch(spark: SparkSession) -> int:
     return removed
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job inside are removed when the job ends.
+
+    Otherwise they stay on the executors until the driver collects garbage, and a chain of writes holds the shuffles of all.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, so a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext

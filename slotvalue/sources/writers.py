@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.operators.dataset import label_line
-from slotvalue.runtime import scratch_path
+from slotvalue.runtime import freed_shuffles, scratch_path
 
 # Fixed value: certainty of an event written by hand.
 MANUAL_CERTAINTY = 100
@@ -34,7 +34,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 def write_snapshot(rows: DataFrame, label: str) -> str:
     """Write a table to a new versioned path and return the path."""
     path = scratch_path(rows.sparkSession, label)
-    rows.write.mode("errorifexists").parquet(path)
+    with freed_shuffles(rows.sparkSession):
+        rows.write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -24,13 +24,17 @@ from pyspark.sql.types import StructType
 from slotvalue.operators.resolve import item_entries, resolve
 from slotvalue.operators.skew import top_per_group
 from slotvalue.runtime import checkpoint as checkpoint_table
+from slotvalue.runtime import freed_shuffles
 from slotvalue.schema import DETECTION, LINK_EVENT
 from slotvalue.sources.readers import path_exists, stale
+from slotvalue.sources.writers import write_snapshot
 
 Table = Callable[[], DataFrame]
 BUCKETS = 1024
 # Up to this many folders, each task writes its rows into all of them; of more, rows of a folder come together first.
 OWN_FOLDERS = 64
+# Bytes of stored detections that are resolved at once: what their joins shuffle is gone before the next ones are read.
+SLICE_BYTES = 1 << 30
 
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -64,17 +68,20 @@ def version_path(path: str, writer: str, version: int) -> str:
 
 
 def write_version(
-    batch: DataFrame, path: str, version: int, writer: str = "main", by: Sequence[str] = (), buckets: int = BUCKETS
+    batch: DataFrame, path: str, version: int, writer: str = "main", by: Sequence[str] = (), buckets: int = BUCKETS,
+    commit: int | None = None, mode: str = "overwrite",
 ) -> None:
     """Write a batch as one version, in folders ``by`` of ``buckets`` values.
 
     Bringing the rows of a folder together spares files, but shuffles the whole batch; with few folders a task has
-    enough rows for a file in each.
+    enough rows for a file in each.  A version that is written in several parts gives them one ``commit`` and appends
+    all but the first.
     """
-    rows = batch.withColumn("commit", F.lit(_now()).cast("bigint"))
+    rows = batch.withColumn("commit", F.lit(commit or _now()).cast("bigint"))
     if by and buckets > OWN_FOLDERS:
         rows = rows.hint("rebalance", *[F.col(c) for c in by])
-    rows.write.mode("overwrite").partitionBy(*by).parquet(version_path(path, writer, version))
+    with freed_shuffles(rows.sparkSession):
+        rows.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(version_path(path, writer, version))
 
 
 def start(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
@@ -185,12 +192,13 @@ def store_detections(detections: DataFrame, path: str, buckets: int = BUCKETS, v
     """Keep detections by session bucket, and their sessions by icon and by recognised item.
 
     A batch of corrections or prices then reads the buckets it touches only.  A crowded
-    bucket lies in several files, as each task writes its own.
+    bucket lies in several files, as each task writes its own.  An index has a row per detection: readers
+    make its sessions distinct, and repeated rows compress to little.
     """
     rows = detections.withColumn("session_bucket", _bucket("session_id", buckets))
     write_version(rows, f"{path}/rows", version, writer, ["session_bucket"], buckets)
     for name, key, column in (ICON_INDEX, TEXT_INDEX):
-        shown = detections.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, "session_id").distinct()
+        shown = detections.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, "session_id")
         write_version(shown.withColumn(column, _bucket(key, buckets)), f"{path}/{name}", version, writer, [column], buckets)
 
 
@@ -212,11 +220,15 @@ def stored_index(spark: SparkSession, path: str, index: tuple[str, str, str] = I
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """The row with the newest commit of every detection; a hot session is many groups."""
+    """The row with the newest commit of every detection; a hot session is many groups.
+
+    Records that were redone from several stored copies of a detection share a commit; that of the newest copy counts.
+    """
     keys = ["session_id", "det_idx"]
     if "session_bucket" in rows.columns:
         keys.append("session_bucket")  # so that a filter on it reaches the folders
-    return top_per_group(rows, keys, [F.col("commit").desc()], 1).drop("rn")
+    order = [F.col(c).desc_nulls_last() for c in ("commit", "stored") if c in rows.columns]
+    return top_per_group(rows, keys, order, 1).drop("rn")
 
 
 def _pick(rows: DataFrame, keys: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
@@ -252,16 +264,22 @@ def sessions(spark: SparkSession, records: str, session_ids: Sequence[str], buck
     touched = spark.createDataFrame([(s,) for s in session_ids], "session_id string").select(_bucket("session_id", buckets))
     numbers = sorted({row[0] for row in touched.collect()})
     rows = spark.read.parquet(records).where(F.col("session_bucket").isin(numbers) & F.col("session_id").isin(list(session_ids)))
-    return newest(rows).drop("commit", "writer", "version", "session_bucket")
+    return newest(rows).drop("commit", "stored", "writer", "version", "session_bucket")
 
 
-def write_records(records: DataFrame, out: str, version: int, writer: str, buckets: int = BUCKETS) -> None:
-    write_version(records.withColumn("session_bucket", _bucket("session_id", buckets)), out, version, writer, ["session_bucket"], buckets)
+def write_records(
+    records: DataFrame, out: str, version: int, writer: str, buckets: int = BUCKETS, commit: int | None = None, mode: str = "overwrite"
+) -> None:
+    """``stored`` is the commit of the stored detection that a record was redone from, null for a scanned one."""
+    if "stored" not in records.columns:
+        records = records.withColumn("stored", F.lit(None).cast("bigint"))
+    rows = records.withColumn("session_bucket", _bucket("session_id", buckets))
+    write_version(rows, out, version, writer, ["session_bucket"], buckets, commit, mode)
 
 
 def current_records(spark: SparkSession, out: str) -> DataFrame:
     """The newest record of each detection over all writers."""
-    return newest(spark.read.parquet(out)).drop("commit", "session_bucket")
+    return newest(spark.read.parquet(out)).drop("commit", "stored", "session_bucket")
 
 
 def compact_records(spark: SparkSession, out: str, target: str, buckets: int = BUCKETS) -> None:
@@ -286,13 +304,40 @@ def value_detections(
     return start(detections, "append", checkpoint, each, **trigger)
 
 
+def _slices(spark: SparkSession, store: str, touched: Sequence[int], buckets: int) -> list[list[int]]:
+    """Touched buckets in groups of about ``SLICE_BYTES`` of stored rows; one empty group if none is touched."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/rows")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = files.getContentSummary(folder).getLength() if files.exists(folder) else 0
+    parts = max(1, min(len(touched), -(-size * len(touched) // (buckets * SLICE_BYTES))))
+    return [sorted(touched)[n::parts] for n in range(parts)]
+
+
 def reproject(
-    detections: DataFrame, sessions: DataFrame, links: DataFrame, catalog: DataFrame, out: str,
+    spark: SparkSession, store: str, sessions: DataFrame | None, links: DataFrame, catalog: DataFrame, out: str,
     version: int, writer: str, basis: str = "avg24h", buckets: int = BUCKETS,
 ) -> None:
-    """Resolve the stored detections of some sessions again and write them as a version."""
-    stored = _pick(detections, sessions, "session_id", "session_bucket", buckets)
-    write_records(resolve(stored, links, catalog, basis), out, version, writer, buckets)
+    """Resolve the stored detections of some sessions, or of all, again and write them as a version.
+
+    Whole buckets are worked on one slice after the other, so a session is always of one state and the disk holds the
+    shuffles of one slice.  Stored copies of a detection are not compared here, where rows are wide: all are redone, and
+    ``newest`` picks among the records.
+    """
+    stored = _stored(spark, f"{store}/rows", f"{_ddl(DETECTION)}, commit bigint, session_bucket int").withColumnRenamed("commit", "stored")
+    touched, keys = list(range(buckets)), None
+    if sessions is not None:
+        with freed_shuffles(spark):
+            keys = checkpoint_table(sessions.select("session_id").distinct().withColumn("session_bucket", _bucket("session_id", buckets)))
+        touched = [row[0] for row in keys.select("session_bucket").distinct().collect()]
+    slices, commit = _slices(spark, store, touched, buckets), _now()
+    if len(slices) > 1:
+        links, catalog = (spark.read.parquet(write_snapshot(side, name)) for side, name in ((links, "links"), (catalog, "catalog")))
+    for n, part in enumerate(slices):
+        rows = stored.where(F.col("session_bucket").isin(part))
+        if keys is not None:
+            rows = rows.join(keys.where(F.col("session_bucket").isin(part)), ["session_bucket", "session_id"], "left_semi")
+        records = resolve(rows, links, catalog, basis, keep=["stored"])
+        write_records(records, out, version, writer, buckets, commit, "append" if n else "overwrite")
 
 
 def maintain_records(
@@ -312,7 +357,7 @@ def maintain_records(
         icons = spark.read.parquet(version_path(links_out, "main", batch))
         shown = affected_sessions(stored_index(spark, store), icons, buckets=buckets)
         links = links_of(links_as_of(spark, checkpoint, batch, icons))
-        reproject(stored_detections(spark, store), shown, links, catalog_of(), records_out, batch, writer, basis, buckets)
+        reproject(spark, store, shown, links, catalog_of(), records_out, batch, writer, basis, buckets)
 
     return start(changing_links(events), "update", checkpoint, each, **trigger)
 
@@ -336,10 +381,11 @@ def refresh_records(
 
     An item is reached over the icons that are linked to it and over the texts that name it.
     """
-    items = checkpoint_table(repriced_items(before, after, basis_before, basis_after))
+    with freed_shuffles(spark):
+        items = checkpoint_table(repriced_items(before, after, basis_before, basis_after))
     icons = links.join(items, "item_id", "left_semi").select("icon_id")
     shown = affected_sessions(stored_index(spark, store), icons, stored_index(spark, store, TEXT_INDEX), items, buckets)
-    reproject(stored_detections(spark, store), shown, links, after, records_out, version, writer, basis_after, buckets)
+    reproject(spark, store, shown, links, after, records_out, version, writer, basis_after, buckets)
 
 
 def refresh_catalog(
