@@ -1115,11 +1115,11 @@ def stream_reprojection(spark, sf):
     layered = _layered(spark, sf)
     store, links_out, out, state = (scratch_path(spark, label) for label in ("store", "links", "records", "state"))
     scanned = t.detections(spark, sf).drop("quantity")
+    catalog = _landed(spark, t.catalog(spark, sf), "catalog")
     jobs.store_detections(scanned, store, BUCKETS)
-    first = resolve.resolve(scanned, layered(_no_corrections(spark)), t.catalog(spark, sf))
-    jobs.write_records(first, out, 0, "first", BUCKETS)
+    jobs.reproject(spark, store, None, layered(_no_corrections(spark)), catalog, out, 0, "first", buckets=BUCKETS)
     jobs.maintain_records(
-        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: t.catalog(spark, sf), links_out, out, state, buckets=BUCKETS
+        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: catalog, links_out, out, state, buckets=BUCKETS
     ).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))
 

@@ -98,7 +98,10 @@ def test_texts_are_joined_before_icons(spark):
 
 
 # Calls of ``write_records`` of each writer, at least, where a batch or slice is one file or bucket.
-PARTS = {"stream_price_refresh": {"first": 16, "refresh": 2}}
+PARTS = {
+    "stream_price_refresh": {"first": 16, "refresh": 2},
+    "stream_reprojection": {"first": 16, "correction": 2},
+}
 
 
 @pytest.mark.parametrize("name", PARTS)
