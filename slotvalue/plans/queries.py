@@ -1062,7 +1062,7 @@ def link_changes(spark, sf):
 
 def _staged_detections(spark, sf):
     path = scratch_path(spark, "detections")
-    t.detections(spark, sf).drop("quantity").write.parquet(path)
+    t.detections(spark, sf).drop("quantity").write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -1089,9 +1089,8 @@ def stream_valued_records(spark, sf):
     """Sessions valued as their detections arrive."""
     scans, out, state = _staged_detections(spark, sf), scratch_path(spark, "records"), scratch_path(spark, "state")
     arriving = jobs.stream_detections(spark, scans)
-    jobs.value_detections(
-        arriving, lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
-    ).awaitTermination()
+    shown, catalog = _landed(spark, link_map(spark, sf), "links"), _landed(spark, t.catalog(spark, sf), "catalog")
+    jobs.value_detections(arriving, lambda: shown, lambda: catalog, out, state, buckets=BUCKETS).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))
 
 
@@ -1100,11 +1099,12 @@ def stream_split_sessions(spark, sf):
     """Sessions whose detections arrive in several batches."""
     scans, out, state = (scratch_path(spark, label) for label in ("detections", "records", "state"))
     rows = t.detections(spark, sf).drop("quantity")
+    shown, catalog = _landed(spark, link_map(spark, sf), "links"), _landed(spark, t.catalog(spark, sf), "catalog")
     # Each part is as many files as its tasks write; every run of the stream takes the new files as one batch.
     for part in range(4):
-        rows.where(F.pmod("det_idx", F.lit(4)) == part).write.mode("append").parquet(scans)
+        rows.where(F.pmod("det_idx", F.lit(4)) == part).write.mode("append").option("compression", "zstd").parquet(scans)
         jobs.value_detections(
-            jobs.stream_detections(spark, scans), lambda: link_map(spark, sf), lambda: t.catalog(spark, sf), out, state, buckets=BUCKETS
+            jobs.stream_detections(spark, scans), lambda: shown, lambda: catalog, out, state, buckets=BUCKETS
         ).awaitTermination()
     return rank.session_summary(jobs.current_records(spark, out))
 

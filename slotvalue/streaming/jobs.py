@@ -33,8 +33,8 @@ Table = Callable[[], DataFrame]
 BUCKETS = 1024
 # Up to this many folders, each task writes its rows into all of them; of more, rows of a folder come together first.
 OWN_FOLDERS = 64
-# Bytes of stored detections that are resolved at once: what their joins shuffle is gone before the next ones are read.
-SLICE_BYTES = 1 << 30
+# Bytes of arriving and of stored detections that are resolved at once: what their joins shuffle is gone before the next ones are read.
+BATCH_BYTES, SLICE_BYTES = 2 << 30, 1 << 30
 
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -44,10 +44,13 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.json(path)
 
 
-def stream_detections(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_detections(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """Arriving detections; however much arrives, a batch has ``BATCH_BYTES`` of files unless another measure is given."""
     reader = spark.readStream.schema(DETECTION)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES)
     return reader.parquet(path)
 
 

@@ -97,6 +97,17 @@ def test_texts_are_joined_before_icons(spark):
     assert "icon_id" in last and "ocr_id" not in last
 
 
+def test_arriving_files_are_met_in_batches(spark, tmp_path, monkeypatch):
+    path, out, state = (str(tmp_path / n) for n in ("scans", "records", "state"))
+    for n in range(3):
+        scanned(spark, 7, first=7 * n).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(jobs, "BATCH_BYTES", 1, raising=False)
+    seen, links = writes(monkeypatch), layered(spark)(none(spark))
+    jobs.value_detections(jobs.stream_detections(spark, path), lambda: links, lambda: catalog(spark), out, state, buckets=4).awaitTermination()
+    assert seen == [("scan", "overwrite")] * 3
+    assert {(r.det_idx, r.version) for r in jobs.current_records(spark, out).select("det_idx", "version").collect()} == {(i, i // 7) for i in range(21)}
+
+
 # Calls of ``write_records`` of each writer, at least, where a batch or slice is one file or bucket.
 PARTS = {
     "stream_price_refresh": {"first": 16, "refresh": 2},
