@@ -1130,19 +1130,18 @@ def stream_scan_and_correct(spark, sf):
     layered = _layered(spark, sf)
     scans, store, links_out, out = (scratch_path(spark, label) for label in ("detections", "store", "links", "records"))
     scanned, corrected = scratch_path(spark, "state"), scratch_path(spark, "state")
-    rows = t.detections(spark, sf).drop("quantity")
+    rows, catalog = t.detections(spark, sf).drop("quantity"), _landed(spark, t.catalog(spark, sf), "catalog")
 
     def scan(part):
-        rows.where(F.col("det_idx") % 2 == part).write.mode("append").parquet(scans)
+        rows.where(F.col("det_idx") % 2 == part).write.mode("append").option("compression", "zstd").parquet(scans)
         jobs.value_detections(
-            jobs.stream_detections(spark, scans), lambda: layered(jobs.current_links(spark, links_out)), lambda: t.catalog(spark, sf),
+            jobs.stream_detections(spark, scans), lambda: layered(jobs.current_links(spark, links_out)), lambda: catalog,
             out, scanned, store=store, buckets=BUCKETS,
         ).awaitTermination()
 
     scan(0)
     jobs.maintain_records(
-        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: t.catalog(spark, sf), links_out, out, corrected,
-        buckets=BUCKETS,
+        jobs.stream_events(spark, _staged_events(spark, sf)), store, layered, lambda: catalog, links_out, out, corrected, buckets=BUCKETS,
     ).awaitTermination()
     scan(1)
     return rank.session_summary(jobs.current_records(spark, out))

@@ -112,6 +112,7 @@ def test_arriving_files_are_met_in_batches(spark, tmp_path, monkeypatch):
 PARTS = {
     "stream_price_refresh": {"first": 16, "refresh": 2},
     "stream_reprojection": {"first": 16, "correction": 2},
+    "stream_scan_and_correct": {"scan": 2, "correction": 2},
 }
 
 
